@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from contrail.llm import minhash_dedup
+from contrail.llm import minhash_dedup, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
-    return {"op10_minhash_near_dedup": minhash_dedup.op10}
+    return {
+        "op7_suffix_array_dedup": suffix_dedup.op7,
+        "op8_substring_dedup": substring_dedup.op8,
+        "op10_minhash_near_dedup": minhash_dedup.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_minhash_near_dedup": minhash_dedup.OP10_SQL}
+    return {
+        "op8_substring_dedup": substring_dedup.OP8_SQL,
+        "op10_minhash_near_dedup": minhash_dedup.OP10_SQL,
+    }
