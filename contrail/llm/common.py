@@ -43,6 +43,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def count_at_most(cuts: list[int], value: Column) -> Column:
+    """How many of the sorted cuts are at or below the value, by halving."""
+    if not cuts:
+        return F.lit(0)
+    array = F.lit(cuts).cast("array<long>") if len(cuts) > 1 else F.array(F.lit(cuts[0]))
+    lo, hi = F.lit(0), F.lit(len(cuts))
+    state = F.struct(lo.alias("a"), hi.alias("b"))
+    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["a"] + s["b"], 1)
+        right = (s["a"] < s["b"]) & (F.get(array, middle) <= value)
+        left = (s["a"] < s["b"]) & ~right
+        return F.struct(F.when(right, middle + 1).otherwise(s["a"]).alias("a"), F.when(left, middle).otherwise(s["b"]).alias("b"))
+
+    return F.aggregate(steps, state, halve)["a"]
+
+
 def row_keys(df: DataFrame, *cols: str) -> DataFrame:
     """Two 64-bit hashes that identify a row by its id and text; equal rows share them and get equal results."""
     cs = [F.col(c) for c in cols]

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.llm.common import BLANK, let
+from contrail.llm.common import BLANK, count_at_most, let
 
 GRAM, WINDOW = 3, 4
 POSITION_BITS = 26
@@ -75,8 +75,7 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("bounds"))
     cuts = sorted(set(bounds.first()["bounds"] or ()))  # at most `ranges` numbers
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    # the number of cuts at or below the id, by halving
-    docs = docs.withColumn("range", _rank(cuts, low))
+    docs = docs.withColumn("range", count_at_most(cuts, low))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     inside = Window.partitionBy("range").orderBy(*order)
     spread = docs.repartition("range").sortWithinPartitions("range", *order)
@@ -100,23 +99,6 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     )
 
 
-def _rank(cuts: list, value: Column) -> Column:
-    if not cuts:
-        return F.lit(0)
-    array = F.lit(cuts).cast("array<long>") if len(cuts) > 1 else F.array(F.lit(cuts[0]))
-    lo, hi = F.lit(0), F.lit(len(cuts))
-    state = F.struct(lo.alias("a"), hi.alias("b"))
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length() + 1))
-
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.shiftright(s["a"] + s["b"], 1)
-        right = (s["a"] < s["b"]) & (F.get(array, middle) <= value)
-        left = (s["a"] < s["b"]) & ~right
-        return F.struct(F.when(right, middle + 1).otherwise(s["a"]).alias("a"), F.when(left, middle).otherwise(s["b"]).alias("b"))
-
-    return F.aggregate(steps, state, halve)["a"]
-
-
 def fingerprints(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     """Fingerprints of each text of docs(doc_id, text), of its edited text, and their likeness.
 
