@@ -3,7 +3,8 @@
 Two permutations make every signature: the first shuffles the hashed shingle space, the second is read circularly shifted by
 0, 1, .. K-1, so that the K values of one shingle are K neighbours in memory and a signature is a minimum over rows.
 Bands of a signature are buckets. A bucket never lists all its pairs: first each member meets the bucket's smallest
-document; then, with the components of the confirmed links known, only pairs still in different components are confirmed.
+document; then, with the components of the confirmed links known, members still in different components meet inside
+tasks, as their differences from that document, in parts of bounded size; only links that join components come out.
 Texts with equal shingle sets collapse to one class before any bucket is formed, so thousands of copies cost one row.
 """
 
@@ -93,39 +94,131 @@ def _sets(k: int):
             sets = shingle_sets(Words(*packed(column(batch, "text")), lower=True), k)
             want = zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), strict=True)
             keep = [i for i, (s, key) in enumerate(zip(sets, want, strict=True)) if len(s) and _key(s) == key]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["doc_id", "members"])
+            ends = np.cumsum([0, *(len(sets[i]) for i in keep)]).astype(np.int32)
+            members = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(members))], ["rep", "members"])
 
     return run
 
 
-def _confirm(percent: int):
+MET = "a long, b long, linked boolean, missing long, diff array<long>"
+
+
+def _meet(percent: int):
+    """A bucket's smallest document a against a member b on full sets: linked or not, shingles of a that b lacks, and all
+    shingles that only one of them has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = column(batch, "left").to_pylist(), column(batch, "right").to_pylist()
-            keep = []
-            for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([column(batch, "a").take(at), column(batch, "b").take(at)], ["a", "b"])
+            (x, i), (y, j) = ((s.values.to_numpy(), s.offsets.to_numpy()) for s in (column(batch, "left"), column(batch, "right")))
+            linked, missing, ends, diffs = [], [], [0], []
+            for row in range(batch.num_rows):
+                u, v = x[i[row] : i[row + 1]], y[j[row] : j[row + 1]]
+                both = np.sort(np.concatenate([u, v]))
+                twice = both[1:] == both[:-1]
+                same = int(twice.sum())
+                single = np.ones(len(both), bool)
+                single[1:] &= ~twice
+                single[:-1] &= ~twice
+                linked.append(100 * same >= percent * (len(both) - same))
+                missing.append(len(u) - same)
+                diffs.append(both[single])
+                ends.append(ends[-1] + len(diffs[-1]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int64()), lists], ["a", "b", "linked", "missing", "diff"])
 
     return run
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs(a, b) of representatives whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = ids.join(classes.select("rep", "k1", "k2"), "rep").withColumnRenamed("rep", "doc_id")
-    sets = docs.select("doc_id", "text").join(ids, "doc_id").mapInArrow(_sets(k), "doc_id long, members binary")
-    sets = stage(sets)
-    met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), "a")
-    met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), "b")
-    return met.select("a", "b", "left", "right").mapInArrow(_confirm(percent), "a long, b long").distinct()
+def cross_links(rep: np.ndarray, component: np.ndarray, n: np.ndarray, lead_n: int, missing: np.ndarray, diffs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of a bucket that lie in different components, as many as join what can be joined.
+
+    With each member as its differences from the lead, |x & y| = |lead| - missing x - missing y + |differences in common|;
+    the last are counted by a product of 0/1 matrices, all members against those outside the largest component.
+    """
+    names, home = np.unique(component, return_inverse=True)
+    small = np.flatnonzero(home != np.bincount(home).argmax())
+    sizes = np.array([len(d) for d in diffs])
+    tokens, at, counts = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
+    used = np.flatnonzero(counts > 1)
+    place = np.full(len(tokens), -1)
+    place[used] = np.arange(len(used))
+    owner = np.repeat(np.arange(len(rep)), sizes)
+    at = place[at]
+    owner, at = owner[at >= 0], at[at >= 0]
+    root = list(range(len(names)))
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    step = max(1, (1 << 24) // max(len(used), 1))  # entries of a block of rows
+    blocks = [np.arange(lo, min(lo + step, len(rep))) for lo in range(0, len(rep), step)]
+
+    def matrix(rows: np.ndarray) -> np.ndarray:
+        where = np.full(len(rep), -1)
+        where[rows] = np.arange(len(rows))
+        have = where[owner] >= 0
+        x = np.zeros((len(rows), len(used)), np.float32)
+        x[where[owner[have]], at[have]] = 1
+        return x
+
+    for s in range(0, len(small), min(step, 1024)):
+        rows = small[s : s + min(step, 1024)]
+        left = matrix(rows)
+        for cols in blocks:
+            common = np.rint(left @ matrix(cols).T).astype(np.int64)
+            same = lead_n - missing[rows][:, None] - missing[cols][None, :] + common
+            good = 100 * same >= percent * (n[rows][:, None] + n[cols][None, :] - same)
+            good &= home[rows][:, None] != home[cols][None, :]
+            for i, j in zip(*np.nonzero(good), strict=True):
+                x, y = find(home[rows[i]]), find(home[cols[j]])
+                if x != y:
+                    root[x] = y
+                    out.append((int(rep[rows[i]]), int(rep[cols[j]])))
+    return out
+
+
+def _cross(percent: int):
+    """Rows of one bucket (or of two parts of a large one) lie together, sorted by band, lo, hi."""
+    names = ["band", "lo", "hi", "rep", "component", "n", "lead_n", "missing"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            cols = [np.concatenate([h[0][c] for h in held]) for c in names]
+            diffs = [d for h in held for d in h[1]]
+            held.clear()
+            _, _, _, rep, component, n, lead_n, missing = cols
+            found = cross_links(rep, component, n, int(lead_n[0]), missing, diffs, percent) if len(np.unique(component)) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = {c: column(batch, c).to_numpy() for c in names}
+            lists = column(batch, "diff")
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            keys = np.stack([cols[c] for c in names[:3]], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                key = tuple(keys[a].tolist())
+                if last is not None and key != last:
+                    yield close()
+                last = key
+                held.append(({c: x[a:b] for c, x in cols.items()}, [values[ends[i] : ends[i + 1]] for i in range(a, b)]))
+        if held:
+            yield close()
+
+    return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, part: int = 4096) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set is a text's distinct k-word shingles (fewer words: the
@@ -141,21 +234,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     banded = classes.select("rep", "n", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead <> top").select("band", "lead")
     met = stage(banded.join(full, "band"))
-    sizes = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    leads = met.where("rep = lead").select("band", F.col("n").alias("m"))
-    first = stage(met.where("rep <> lead").join(leads, "band").where(sizes).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct())
-    links = stage(confirmed(docs, classes, first, k, percent))
+    ids = met.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep").withColumnRenamed("rep", "doc_id")
+    sets = stage(docs.join(ids, "doc_id").mapInArrow(_sets(k), "rep long, members array<long>"))
+    first = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    first = first.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("left")), "a")
+    first = first.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("right")), "b")
+    first = stage(first.select("a", "b", "left", "right").mapInArrow(_meet(percent), MET))
+    links = first.where("linked").select("a", "b")
     label = components(links)
-    # buckets that still hold several components: their other pairs
+    # buckets that still hold several components: members of different ones meet, each as its differences from the lead
     named = met.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("band")
-    left = stage(named.join(open_, "band").select("band", "rep", "n", "component", "lead"))
-    other = left.select("band", F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("component").alias("component2"))
-    second = left.where("rep <> lead").join(other.where("true"), "band").where("rep < rep2 and component <> component2").where(sizes)
-    second = stage(second.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
-    if not second.isEmpty():
-        links = links.union(confirmed(docs, classes, second, k, percent))
-        label = components(links)
+    open_ = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / part).cast("int").alias("parts")).where("x <> y")
+    rows = named.join(open_.select("band", "parts"), "band").join(first.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "missing", "diff"), ["lead", "rep"], "left")
+    rows = rows.join(classes.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(
+        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "component", "n", "lead_n",
+        F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("diff", F.array().cast("array<long>")).alias("diff"),
+    )
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    more = stage(rows.mapInArrow(_cross(percent), "a long, b long").distinct())
+    if not more.isEmpty():
+        label = components(links.union(more))
     named = classes.select("k1", "k2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
     out = sketch.join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id"))
