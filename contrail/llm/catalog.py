@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from contrail.llm import minhash_dedup, mixing, ring, substring_dedup, suffix_dedup, winnowing
+from contrail.llm import minhash_dedup, mixing, ring, substring_dedup, suffix_dedup, toxicity, winnowing
 
 
 def queries() -> dict:
     return {
         "op1_winnowing": winnowing.op1,
+        "op2_toxicity": toxicity.op2,
         "op3_ring_sharding": ring.op3,
         "op5_source_mixing": mixing.op5,
         "op7_suffix_array_dedup": suffix_dedup.op7,

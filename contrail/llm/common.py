@@ -149,15 +149,20 @@ _lower = _byte.copy()
 _lower[65:91] = _byte[97:123]
 _is_blank = np.zeros(256, bool)
 _is_blank[[32, 9, 10, 11, 12, 13]] = True
+_is_letter = np.zeros(256, bool)
+_is_letter[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 class Words:
-    """The words of several texts: byte ranges, document, 64-bit hash (A-Z lower-cased if asked) and each text's first word."""
+    """The words of several texts: byte ranges, 64-bit hash (A-Z lower-cased if asked) and each text's first word.
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False):
+    letters: words are runs of ASCII letters, digits and bytes beyond ASCII instead of runs without blanks.
+    """
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, lower: bool = False, letters: bool = False):
         n = len(data)
         self.data, self.off = data, off
-        word = ~_is_blank[data]
+        word = _is_letter[data] if letters else ~_is_blank[data]
         border = np.zeros(n + 1, bool)
         border[off] = True
         first, last = word.copy(), word.copy()
@@ -167,7 +172,8 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, off)
-        self.hash = Rolling((_lower if lower else _byte)[data]).ranges(self.start, self.end) if n else np.empty(0, np.uint64)
+        self.bytes = Rolling((_lower if lower else _byte)[data])
+        self.hash = self.bytes.ranges(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)
