@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from contrail.llm.common import Words, column, mix, packed, shingle_sets, slices, stage
 from contrail.llm.components import components
@@ -263,6 +264,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, part: int =
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stand for their group of near-duplicates, all columns unchanged; of rows equal in doc_id and text one
+    stays, rows with a null doc_id all do."""
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    own = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
+    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
+    known = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    return known.unionByName(docs.where("doc_id is null"))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2, percent=80)
 
