@@ -155,7 +155,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").cast("string").alias("event_id"),
         F.col("user_id").cast("string").alias("session_id"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         "sequence",
         F.substring_index("event_type", ".", 1).alias("category"),
         "event_type",
@@ -210,3 +210,51 @@ def sql(body: str, *names: str) -> str:
     head = ",\n".join(f"{n} as ({DUCK[n]})" for n in order)
     body = body.strip()
     return f"with {head}{',' if not body.lower().startswith('select') else ''}\n{body}"
+
+
+def aux_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second log of the same rows: pairs, datapoint quality, tools and seed assignments."""
+    e = event_log(spark, sf_dir).withColumn("k", F.substring("source", 7, 9).cast("int"))
+    raw = read(spark, sf_dir, "events").selectExpr("cast(event_id as string) as event_id", "event_type as kind", "coalesce(value, 0) as value", "cast(get_json_object(props, '$.k') as int) as k", "cast(user_id as string) as u")
+    e = e.drop("k", "event_type", "payload", "category").join(raw, "event_id")
+    kind = F.expr(
+        """case kind when 'click' then 'contrast.pair_generated' when 'view' then 'contrast.pair_validated' when 'error' then 'datapoint.quality' when 'signup' then 'seed.assigned'
+        else case k % 4 when 0 then 'datapoint.added' when 1 then 'datapoint.removed' when 2 then 'tool.call' else 'tool.result' end end"""
+    )
+    payload = F.expr(
+        """case event_type when 'contrast.pair_generated' then to_json(named_struct('pair_id', concat(u, '-', k % 10)))
+        when 'contrast.pair_validated' then to_json(named_struct('pair_id', concat(u, '-', k % 10), 'is_valid', k % 2 = 0, 'contrast_quality', round(value / 10, 4)))
+        when 'datapoint.quality' then to_json(named_struct('datapoint_id', concat('d', k % 4), 'recommendation', if(k % 2 = 0, 'KEEP', 'REVIEW')))
+        when 'seed.assigned' then to_json(named_struct('sample_idx', k % 4, 'num_core_seeds', k, 'num_unique_seeds', k % 7))
+        when 'datapoint.added' then to_json(named_struct('datapoint_id', concat('d', k div 4 % 4))) when 'datapoint.removed' then to_json(named_struct('datapoint_id', concat('d', k div 4 % 4)))
+        else to_json(named_struct('call_id', concat(u, '/', k div 4 % 3), 'tool_name', concat('t', k % 5), 'success', value < 50)) end"""
+    )
+    e = e.withColumn("event_type", kind).withColumn("payload", payload).withColumn("category", F.substring_index("event_type", ".", 1))
+    return e.select("event_id", "session_id", "timestamp", "sequence", "category", "event_type", "source", "payload")
+
+
+DUCK["aux_log"] = """select user_id::varchar as session_id, ts as timestamp, sequence, k, value, user_id || '-' || (k % 10) as pair_id, 'd' || (k % 4) as quality_id, 'd' || (k // 4 % 4) as point_id, user_id || '/' || (k // 4 % 3) as call_id,
+  case kind when 'click' then 'contrast.pair_generated' when 'view' then 'contrast.pair_validated' when 'error' then 'datapoint.quality' when 'signup' then 'seed.assigned'
+  else (['datapoint.added', 'datapoint.removed', 'tool.call', 'tool.result'])[k % 4 + 1] end as event_type from raw_events"""
+_NEEDS["aux_log"] = ["raw_events"]
+
+
+def session_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user of the events table, as metadata files hold it."""
+    rows = read(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("event_count"))
+    stamp = lambda c: F.date_format(F.date_trunc("second", c), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.select(
+        F.col("user_id").cast("string").alias("session_id"),
+        F.concat(F.lit("b"), F.col("user_id") % 7).alias("behavior"),
+        F.element_at(F.array(F.lit("running"), F.lit("completed"), F.lit("failed")), (F.col("user_id") % 3 + 1).cast("int")).alias("status"),
+        F.when(F.col("user_id") % 10 != 0, stamp(F.col("a"))).alias("created_at"),
+        F.when(F.col("user_id") % 3 != 0, stamp(F.col("b"))).alias("completed_at"),
+        (F.col("user_id") % 11 / 10.0).alias("final_score"),
+        "event_count",
+        (F.col("user_id") % 9 == 0).alias("hidden"),
+    )
+
+
+DUCK["session_metadata"] = """select user_id::varchar as session_id, 'b' || (user_id % 7) as behavior, (['running', 'completed', 'failed'])[user_id % 3 + 1] as status,
+  case when user_id % 10 <> 0 then strftime(date_trunc('second', min(ts)), '%Y-%m-%dT%H:%M:%SZ') end as created_at, case when user_id % 3 <> 0 then strftime(date_trunc('second', max(ts)), '%Y-%m-%dT%H:%M:%SZ') end as completed_at,
+  date_trunc('second', min(ts)) as a, date_trunc('second', max(ts)) as b, (user_id % 11) / 10.0 as final_score, count(*) as event_count, user_id % 9 = 0 as hidden, user_id from events group by user_id"""
