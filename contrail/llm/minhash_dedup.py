@@ -267,10 +267,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, part: int =
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stand for their group of near-duplicates, all columns unchanged; of rows equal in doc_id and text one
     stays, rows with a null doc_id all do."""
-    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__near_id")).distinct()
     own = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
     first = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
-    known = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_first", first).where("_first = 1").drop("_first")
+    known = docs.join(kept, F.col("doc_id") == F.col("__near_id"), "left_semi").withColumn("__near_first", first).where("__near_first = 1").drop("__near_first")
     return known.unionByName(docs.where("doc_id is null"))
 
 

@@ -194,16 +194,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs(doc_id, source, text, ..) as often as the mix takes them, all columns unchanged."""
     seed = options.get("seed", 7)
-    times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"))
-    times = times.agg(F.sum("times").alias("_times"), F.count("*").alias("_rows"))
+    times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("source").alias("__mix_source"))
+    times = times.agg(F.sum("times").alias("__mix_times"), F.count("*").alias("__mix_rows"))
     # rows equal in these columns share what was drawn for them
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(seed))
-    keyed = docs.withColumn("_text_key", key)
-    taken = keyed.join(times, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (keyed["_text_key"] == F.col("_key")) & keyed["source"].cast("string").eqNullSafe(F.col("_source")))
-    number = F.row_number().over(Window.partitionBy("_id", "_key", "_source").orderBy(F.lit(0)))
-    taken = taken.withColumn("_number", number)
-    own = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_number") <= F.col("_times") % F.col("_rows")).cast("int")
-    taken = taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int"))))
+    keyed = docs.withColumn("__mix_text_key", key)
+    taken = keyed.join(times, keyed["doc_id"].cast("long").eqNullSafe(F.col("__mix_id")) & (keyed["__mix_text_key"] == F.col("__mix_key")) & keyed["source"].cast("string").eqNullSafe(F.col("__mix_source")))
+    number = F.row_number().over(Window.partitionBy("__mix_id", "__mix_key", "__mix_source").orderBy(F.lit(0)))
+    taken = taken.withColumn("__mix_number", number)
+    own = F.floor(F.col("__mix_times") / F.col("__mix_rows")) + (F.col("__mix_number") <= F.col("__mix_times") % F.col("__mix_rows")).cast("int")
+    taken = taken.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int"))))
     return taken.select(*(F.col(c) for c in docs.columns))
 
 

@@ -72,12 +72,12 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, sal
         {
             "size": F.octet_length(raw).cast("long") + 1,
             "text_crc32": F.crc32(raw),
-            "_arc": arc.cast("int"),
-            "_salt": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int"),
-            "_order": F.xxhash64("text", F.lit(3)),
+            "__ring_arc": arc.cast("int"),
+            "__ring_salt": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int"),
+            "__ring_order": F.xxhash64("text", F.lit(3)),
         }
     )
-    counted = {(r["_arc"], r["_salt"]): r["n"] for r in keyed.groupBy("_arc", "_salt").agg(F.count("*").alias("n")).collect()}
+    counted = {(r["__ring_arc"], r["__ring_salt"]): r["n"] for r in keyed.groupBy("__ring_arc", "__ring_salt").agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
     counts = [sum(counted.get((a, s), 0) for s in range(salts)) for a in range(len(points))]
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
@@ -98,18 +98,18 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, sal
                 cells[a, s] = [(max(f - start, 0), shard, shift + start) for f, shard, shift in cuts[i:] if f < start + n]
                 start += n
     rows = [(a, s, p) for (a, s), p in cells.items()]
-    table = spark.createDataFrame(rows, "_arc int, _salt int, _pieces array<struct<first:long,shard:int,shift:long>>")
-    rank = F.row_number().over(Window.partitionBy("_arc", "_salt").orderBy("_order", "doc_id", "text_crc32")) - 1
-    dealt = keyed.select(*docs.columns, "size", "text_crc32", "_arc", "_salt", "_order").withColumn("_rank", rank.cast("long"))
-    dealt = dealt.join(F.broadcast(table), ["_arc", "_salt"])
-    piece = F.element_at(F.filter("_pieces", lambda p: p["first"] <= F.col("_rank")), -1)
+    table = spark.createDataFrame(rows, "__ring_arc int, __ring_salt int, __ring_pieces array<struct<first:long,shard:int,shift:long>>")
+    rank = F.row_number().over(Window.partitionBy("__ring_arc", "__ring_salt").orderBy("__ring_order", "doc_id", "text_crc32")) - 1
+    dealt = keyed.select(*docs.columns, "size", "text_crc32", "__ring_arc", "__ring_salt", "__ring_order").withColumn("__ring_rank", rank.cast("long"))
+    dealt = dealt.join(F.broadcast(table), ["__ring_arc", "__ring_salt"])
+    piece = F.element_at(F.filter("__ring_pieces", lambda p: p["first"] <= F.col("__ring_rank")), -1)
     return dealt.select(
         *docs.columns,
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         piece["shard"].alias("shard"),
-        (piece["shift"] + F.col("_rank")).alias("slot"),
+        (piece["shift"] + F.col("__ring_rank")).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
