@@ -151,7 +151,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     """doc_id, text_key, size, source, source_size, target, times for each row of docs(doc_id, source, text).
 
     times: how often the mix takes the document, 0 to `most`. Each source's words taken, repeats counted, differ from its target
-    by less than its last undecided documents hold. Draws are hashes of seed, doc_id and text, so reruns agree. A null
+    by a few words, unless one document outweighs those kept back for the last flight. Draws are hashes of seed, doc_id and text, so reruns agree. A null
     source is one of its own and last; a null text has no words; wordless documents weigh nothing and are taken at
     their source's rate. Null doc_ids and repeated rows are documents of their own. An empty table gives no rows.
     """
@@ -175,8 +175,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     most_rows = sizes.agg(F.max("rows")).first()[0] or 0
     n = -(-most_rows // block)  # blocks of the largest source
     if n > 1:
-        # documents kept back for the last flight, about as many of each source
+        # documents kept back for the last flight: about RESERVE of each source, and those that hold over 1/RESERVE of its words
         late = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed + 2)), F.col("rows")) < RESERVE
+        late = late | (F.col("size") * RESERVE > F.col("source_size"))
         kept_back, now = now.where(late), now.where(~late)
         while n > 1:
             flown = stage(now.groupBy("source", "block").applyInPandas(_flight(False), schema))

@@ -37,11 +37,14 @@ def marks(text: Column) -> Column:
         whole = F.array(place(F.xxhash64(h), F.lit(0)))
         return F.when(n == 0, F.array().cast("array<long>")).when(n < GRAM, whole).otherwise(let(grams, chosen))
 
+    def with_neighbour(step: int):
+        return lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.least(a, b))
+
     def chosen(grams: Column) -> Column:
         size, out = 1, grams
         while size < WINDOW:
             step = min(size, WINDOW - size)
-            out = let(out, lambda x, step=step: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.least(a, b)))
+            out = let(out, with_neighbour(step))
             size += step
         # what starts in the last WINDOW - 1 places are shorter windows; a short text has one window
         return F.array_distinct(F.slice(out, F.lit(1), F.greatest(F.lit(1), F.size(grams) - WINDOW + 1)))
