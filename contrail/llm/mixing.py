@@ -156,7 +156,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     their source's rate. Null doc_ids and repeated rows are documents of their own. An empty table gives no rows.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(seed))
-    table = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("text_key"))
+    table = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("text_key")))  # texts are read once
     sizes = stage(table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     targets = source_targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     table = table.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
