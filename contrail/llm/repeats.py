@@ -213,7 +213,9 @@ def remove_repeats(docs: DataFrame, unit: Unit, counter: Callable, hot: int = HO
     runs = docs.select("k1", "k2", "text").mapInArrow(_scan(unit), RUN)
     # a string's own text may repeat it without another document: occurrences are rows of runs, not documents
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("content").alias("x"), F.max("content").alias("y")).where("c > 1")
-    live = runs.join(anchors.select("anchor", F.expr("x <> y").alias("varied")), "anchor")
+    # a table of its own, so that the join's two sides are plain shuffles and a hot anchor's runs can be split over tasks
+    anchors = stage(anchors.select("anchor", F.expr("x <> y").alias("varied")))
+    live = runs.join(anchors, "anchor")
     live = live.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "varied")).alias("live"))
     first = stage(docs.join(live, ["k1", "k2"], "left").mapInArrow(_first(unit), FIRST))
     waiting = first.where("strings is not null")
