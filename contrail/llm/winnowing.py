@@ -15,8 +15,8 @@ from contrail.llm.common import BLANK, count_at_most, let
 
 GRAM, WINDOW = 3, 4
 POSITION_BITS = 26
-#: Ranges of doc_id within which a document's successor is sought; more for more parallelism.
-RANGES = 1024
+#: A document's successor is sought within ranges of doc_id of about so many documents; at least and at most so many ranges.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5000, 64, 65_536
 
 
 def words(text: Column) -> Column:
@@ -70,11 +70,12 @@ def shown(kept: Column) -> Column:
     )
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """docs(doc_id, text) with the next document's text (ascending doc_id, after the last the first) as next_text.
 
     doc_id ranges of about equal counts are sorted apart; only each range's first row is looked up by the range before.
     """
+    ranges = ranges or min(MOST_RANGES, max(LEAST_RANGES, docs.count() // RANGE_ROWS))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10 * ranges).alias("bounds"))
     cuts = sorted(set(bounds.first()["bounds"] or ()))  # at most `ranges` numbers
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
@@ -102,7 +103,7 @@ def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprints of each text of docs(doc_id, text), of its edited text, and their likeness.
 
     The edited text has the last floor(n_chars/4) code points replaced by the first as many (or all) of the next document.

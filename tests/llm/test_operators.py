@@ -79,7 +79,7 @@ def edited(texts):
     return [t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4] for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("ranges", [1, 7])
+@pytest.mark.parametrize("ranges", [1, 7, None])
 def test_fingerprints(spark, texts, ranges):
     df = frame(spark, texts, start=10).union(frame(spark, [], 0)).repartition(3)
     got = rows_by_id(winnowing.fingerprints(df, ranges))
