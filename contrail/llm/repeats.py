@@ -146,7 +146,9 @@ def _first(unit: Unit):
                     strings = []
                     for r in varied:
                         a, b = r["start"], r["start"] + r["n"] - 1 + unit.length
-                        strings.append({"start": a, "n": r["n"], "anchor": r["anchor"], "content": r["content"], "string": b" ".join(words[a:b]) if unit.words else data[a:b].tobytes()})
+                        string = b" ".join(words[a:b]) if unit.words else data[a:b].tobytes()
+                        content = int.from_bytes(xxhash.xxh3_64_digest(string), "little", signed=True)
+                        strings.append({"start": a, "n": r["n"], "anchor": r["anchor"], "content": content, "string": string})
                     rows.append((doc_id, k1, k2, units, None, None, None, text, [{"start": r["start"], "n": r["n"]} for r in sure], strings))
                 else:
                     starts = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in sure]) if sure else np.empty(0, np.int64)
@@ -216,7 +218,7 @@ def remove_repeats(docs: DataFrame, unit: Unit, counter: Callable, hot: int = HO
     # a table of its own, so that the join's two sides are plain shuffles and a hot anchor's runs can be split over tasks
     anchors = stage(anchors.select("anchor", F.expr("x <> y").alias("varied")))
     live = runs.join(anchors, "anchor")
-    live = live.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "content", "varied")).alias("live"))
+    live = live.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n", "anchor", "varied")).alias("live"))
     first = stage(docs.join(live, ["k1", "k2"], "left").mapInArrow(_first(unit), FIRST))
     waiting = first.where("strings is not null")
     strings = waiting.select("k1", "k2", F.explode("strings").alias("s")).select("k1", "k2", "s.*")
