@@ -320,7 +320,8 @@ def log_line() -> tuple[Column, Column, Column]:
 def event_logs(events: DataFrame, keep: int | None = 10_000) -> DataFrame:
     """session_id, sequence, log_source, message, level without chunks; the last `keep` of each session."""
     source, message, level = log_line()
-    out = events.select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level")).where("message is not null")
+    # only chunks have no line; a test of the message would evaluate it twice
+    out = events.where("event_type <> 'llm.chunk'").select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level"))
     if keep is None:
         return out
     w = Window.partitionBy("session_id").orderBy(F.col("sequence").desc())

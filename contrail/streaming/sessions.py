@@ -92,7 +92,7 @@ def stream_progress(events: DataFrame, kind: str = "optimization.completed") ->
 def stream_logs(events: DataFrame) -> DataFrame:
     """session_id, sequence, log_source, message, level; stateless."""
     source, message, level = log_line()
-    return events.select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level")).where("message is not null")
+    return events.where("event_type <> 'llm.chunk'").select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level"))
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
