@@ -2,8 +2,8 @@
 
 A task's packed strings (see repeats.py) come sorted by anchor and fill shards of bounded size. Each shard gets a suffix
 array by Larsson-Sadakane refinement (ranks of 7 bytes, doubled; groups of one are never sorted again) and common prefixes
-of neighbours in Kasai's text order: a position whose left byte equals its neighbour's inherits the prefix less one, only
-the others are compared. Windows still alone look for themselves in the other shards of their anchor by binary search.
+of neighbours in Kasai's text order: a position of one string whose left place has the neighbour's left place as its own
+neighbour inherits the prefix less one, only the others are compared. Windows still alone look for themselves in the other shards of their anchor by binary search.
 """
 
 from __future__ import annotations
@@ -61,12 +61,13 @@ def suffix_array(codes: np.ndarray, depth: int = LONGEST) -> np.ndarray:
 
 
 def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int = LONGEST) -> np.ndarray:
-    """For each place in the order, symbols shared with the place before, `most` at least told right."""
+    """For each place in the order, symbols shared with the place before; up to `most` less the place's distance from its string's start
+    they are told right. A string's first place (left code 0) compares for itself, and ties that the order's depth leaves do so too."""
     n = len(codes)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     inherits = np.zeros(n, bool)
-    inherits[1:] = (before[1:] > 0) & (codes[:-1] == codes[np.maximum(before[1:] - 1, 0)])
+    inherits[1:] = (before[1:] > 0) & (before[:-1] == before[1:] - 1) & (codes[:-1] == codes[np.maximum(before[1:] - 1, 0)]) & (codes[:-1] != 0)
     own = np.flatnonzero(~inherits)
     shared = np.zeros(n, np.int64)
     keys = keys_of(codes)

@@ -378,6 +378,21 @@ def test_suffix_array_and_prefixes():
             assert shared[r] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_near_copies_packed_one_after_another(seed):
+    """Prefixes shared across the end of a packed string neither hide a repeat nor make one up."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcd") for _ in range(336)).encode() for _ in range(2)]
+    strings = []
+    while len(strings) < 60:
+        s, at = rng.choice(base), rng.randrange(336)
+        s = s[:at] + rng.choice([b"x", b"y", b"z"]) + s[at + 1 :]
+        strings += [s] if s not in strings else []
+    seen = Counter(s[i : i + 200] for s in strings for i in range(137))
+    shard = suffix_dedup.Shard([(0, j, 137, 1, s) for j, s in enumerate(strings)])
+    assert shard.again[shard.start].tolist() == [seen[s[i : i + 200]] > 1 for s in strings for i in range(137)]
+
+
 @pytest.mark.parametrize("limit", [1, 600, 5000, 1 << 20])
 def test_shards_merge_by_binary_search(limit):
     rng = random.Random(limit)
