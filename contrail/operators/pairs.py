@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, cosine, dot
 from contrail.operators.diversity import words_of
+from contrail.sources.scratch import shared_folder
 
 #: Score columns in the order that breaks ties.
 SCORES = ("dimension", "marker", "boundary", "intensity_score", "structural", "semantic", "behavioral_signal", "confound")
@@ -241,8 +242,11 @@ def distinct_seeds(df: DataFrame) -> DataFrame:
 
 def with_position(df: DataFrame, order: str = "pos") -> DataFrame:
     """df with position from 0 by a unique order column, without bringing all rows to one task: ranges are sorted apart and offset
-    by the counts of those before."""
+    by the counts of those before. Ranges are drawn from a sample, so they are written once: drawn again, they would differ."""
     ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    path = shared_folder(df.sparkSession, "ranges")
+    ranged.write.parquet(path)
+    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
     numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
     counts = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
     before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contrail.operators.pairs import with_position
@@ -49,80 +51,130 @@ def subsample(df: DataFrame, ratio: float, seed: int = 0, max_rows: int | None =
     return ranked.join(counts, group).where(F.col("_r") <= quota).drop("_r", "_n")
 
 
-def _territory(seeds: pd.DataFrame, sample: int, num_samples: int, per_sample: int, coverage: bool, randomize: bool) -> list[int]:
-    """Positions in `seeds`, best quality first, for one sample."""
-    n = len(seeds)
-    quota = min(per_sample, n)
-    chosen: list[int] = []
-    if coverage:
-        by: dict[str, list[int]] = {}
-        for i, components in enumerate(seeds["target_components"]):
-            for c in components if len(components) else ["_general"]:
-                by.setdefault(c, []).append(i)
-        names = sorted(by)
-        if randomize:
-            names.sort(key=lambda c: (hash_text(f"{sample}/{c}"), c))
-        for c in names:
-            if len(chosen) == quota:
-                break
-            mine = by[c]
-            for j in range(len(mine)):
-                i = mine[(sample + j) % len(mine)]
-                if i not in chosen:
-                    chosen.append(i)
-                    break
-    taken = set(chosen)
-    free = [i for i in range(n) if i not in taken]
-    start = sample * len(free) // max(num_samples, 1)
-    return chosen + [free[(start + j) % len(free)] for j in range(min(quota - len(chosen), len(free)))]
-
-
-def hash_text(s: str) -> int:
-    out = 7
+def hash_text(s: str, start: int = 7) -> int:
+    out = start
     for b in s.encode():
         out = (out * 31 + b) % 1_000_003
     return out
 
 
-def _balance(seeds: pd.DataFrame, chosen: list[int], keys: tuple[str, ...], sample: int) -> list[int]:
-    """Swap up to two rows of a value that covers over half of the sample for unchosen seeds with another."""
-    chosen = list(chosen)
-    for key in keys:
-        values = [(a or {}).get(key) for a in seeds["attributes"]]
-        own = [values[i] for i in chosen]
-        for value in sorted({v for v in own if v}):
-            if own.count(value) * 2 <= len(own):
-                continue
-            spare = sorted((i for i in range(len(seeds)) if i not in chosen and values[i] not in (None, value)), key=lambda i: (hash_text(f"{sample}/{key}/{i}"), i))
-            for j in [j for j, v in enumerate(own) if v == value][-2:]:
-                if spare:
-                    chosen[j] = spare.pop(0)
-                    own[j] = values[chosen[j]]
-    return chosen
-
-
-def assign_territory(seeds: DataFrame, num_samples: int, per_sample: int, ensure_coverage: bool = True, randomize: bool = True, balance: tuple[str, ...] = (), most: int = 100_000) -> DataFrame:
+def _hash_numbers(prefix: str, numbers: np.ndarray) -> np.ndarray:
+    """hash_text(prefix + str(i)) of each i >= 0."""
+    out = np.full(len(numbers), hash_text(prefix), np.int64)
+    for p in range(len(str(numbers.max(initial=0))) - 1, -1, -1):
+        has = (numbers >= 10**p) | (p == 0)
+        out = np.where(has, (out * 31 + 48 + numbers // 10**p % 10) % 1_000_003, out)
+    return out
+
+
+def _covered(ranked: DataFrame, samples: DataFrame, n: int, num_samples: int, quota: int, randomize: bool) -> DataFrame:
+    """sample_idx, slot, rank: a seed per component, then by rank.
+
+    A sample has at most `quota` seeds and a seed at most `wide` components, so it passes over fewer than quota * wide of them; of a
+    component, at most quota seeds with at most `many` entries each are taken already. So many components and entries reach the
+    sample's group, and the ranks that follow are computed from the chosen ones.
+    """
+    components = F.coalesce(F.when(F.size("target_components") > 0, F.col("target_components")), F.array(F.lit("_general")))
+    size, distinct = F.size(components), F.size(F.array_distinct(components))
+    wide, many = ranked.agg(F.max(distinct), F.max(size - distinct) + 1).first()
+    entries = ranked.select("rank", F.posexplode(components).alias("_copy", "_c")).select("rank", F.struct(F.col("_c").alias("component"), "rank", "_copy").alias("_e"))
+    entries = with_position(entries, "_e").select(F.col("_e.component").alias("component"), "rank", "position")
+    bases = entries.groupBy("component").agg(F.min("position").alias("_base"), F.count("*").alias("_len"))
+
+    @F.pandas_udf("long")
+    def turn(sample: pd.Series, component: pd.Series) -> pd.Series:
+        return pd.Series([hash_text(f"{s}/{c}") for s, c in zip(sample, component, strict=True)], dtype="int64")
+
+    order = turn("sample_idx", "component") if randomize else F.lit(0).cast("long")
+    turns = samples.crossJoin(bases).withColumn("_h", order)
+    turns = turns.withColumn("_turn", F.row_number().over(Window.partitionBy("sample_idx").orderBy("_h", "component"))).where(F.col("_turn") <= quota * wide)
+    steps = turns.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_len"), F.lit(quota * many)) - 1)))
+    steps = steps.withColumn("position", F.col("_base") + (F.col("sample_idx") + F.col("_step")) % F.col("_len"))
+    near = steps.join(entries.select("position", "rank"), "position").select("sample_idx", "_turn", "_step", "rank")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        sample, chosen = int(pdf["sample_idx"].iloc[0]), []
+        for _, mine in pdf.sort_values(["_turn", "_step"]).groupby("_turn")["rank"]:
+            if len(chosen) == quota:
+                break
+            chosen += [i for i in mine.tolist() if i not in chosen][:1]
+        taken, free = sorted(chosen), n - len(chosen)
+        for j in range(min(quota - len(chosen), free)):
+            i = (sample * free // max(num_samples, 1) + j) % free
+            for t in taken:
+                i += t <= i
+            chosen.append(i)
+        return pd.DataFrame({"sample_idx": sample, "slot": range(len(chosen)), "rank": chosen}).astype("int64")
+
+    return near.groupBy("sample_idx").applyInPandas(choose, "sample_idx long, slot long, rank long")
+
+
+def _balanced(picked: DataFrame, ranked: DataFrame, keys: tuple[str, ...], num_samples: int, quota: int) -> DataFrame:
+    """Swap up to two rows of a value that covers over half of the sample for unchosen seeds with another.
+
+    Such a seed is among the first quota + 2 with another value in the sample's hash order. Each partition hands out the first of
+    all and the first without the commonest value among those, which hold these for every value.
+    """
+    values, most = [f"_v{k}" for k in range(len(keys))], quota + 2
+    kind = f"sample_idx long, _k int, _h long, rank long, pos long, {', '.join(f'{v} string' for v in values)}"
+
+    def leading(rows: pd.DataFrame, value: str) -> pd.DataFrame:
+        rows = rows.sort_values(["_h", "rank"])
+        first = rows.head(2 * most)
+        if not len(first):
+            return first
+        others = rows[rows[value] != first[value].mode().iloc[0]].head(most)
+        return pd.concat([first, others]).drop_duplicates("rank")
+
+    def spare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], pd.DataFrame] = {}
+        for batch in batches:
+            for k, key in enumerate(keys):
+                rows = batch[batch[values[k]].notna()]
+                for sample in range(num_samples):
+                    hashed = rows.assign(sample_idx=sample, _k=k, _h=_hash_numbers(f"{sample}/{key}/", rows["rank"].to_numpy(np.int64)))
+                    best[sample, k] = leading(pd.concat([best[sample, k], hashed]) if (sample, k) in best else hashed, values[k])
+        yield from (rows[["sample_idx", "_k", "_h", "rank", "pos", *values]] for rows in best.values())
+
+    def swap(mine: pd.DataFrame, spares: pd.DataFrame) -> pd.DataFrame:
+        chosen = mine.sort_values("slot")[["rank", "pos", *values]].to_dict("records")
+        sample = mine["sample_idx"].iloc[0] if len(mine) else 0
+        spares = spares.sort_values(["_h", "rank"])
+        for k, key in enumerate(values):
+            pool = spares[spares["_k"] == k].to_dict("records")
+            for value in sorted({x[key] for x in chosen if x[key]}):
+                at = [j for j, x in enumerate(chosen) if x[key] == value]
+                if len(at) * 2 <= len(chosen):
+                    continue
+                taken = {x["rank"] for x in chosen}
+                other = (x for x in pool if x["rank"] not in taken and x[key] != value)
+                for j, x in zip(at[-2:], other):
+                    chosen[j] = x
+        return pd.DataFrame({"sample_idx": sample, "slot": range(len(chosen)), "pos": [x["pos"] for x in chosen]}).astype("int64")
+
+    spares = ranked.select("rank", "pos", *values).mapInPandas(spare, kind)
+    return picked.groupBy("sample_idx").cogroup(spares.groupBy("sample_idx")).applyInPandas(swap, "sample_idx long, slot long, pos long")
+
+
+def assign_territory(seeds: DataFrame, num_samples: int, per_sample: int, ensure_coverage: bool = True, randomize: bool = True, balance: tuple[str, ...] = ()) -> DataFrame:
     """sample_idx, slot, pos: seeds of each sample, the same seed at most once a sample.
 
     First one seed per component (offset by the sample, the next free on a clash) up to the quota, then by quality order
-    turned by sample * free // samples. balance: attribute keys of which no value should cover over half of a sample. Each
-    sample is one task's group and gets the seeds as a broadcast, so a seed table over `most` rows fails.
+    turned by sample * free // samples. balance: attribute keys of which no value should cover over half of a sample. Seeds are
+    ranked by ranges; a sample's wanted ranks are computed and joined to them.
     """
-    table = seeds.select("pos", "quality_score", "target_components", "attributes").limit(most + 1).toPandas()
-    if len(table) > most:
-        raise ValueError(f"at most {most} seeds are assigned at once")
-    table = table.sort_values(["quality_score", "pos"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    held = seeds.sparkSession.sparkContext.broadcast(table)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for sample in pdf["sample_idx"]:
-            rows = held.value
-            chosen = _territory(rows, int(sample), num_samples, per_sample, ensure_coverage, randomize) if len(rows) else []
-            if balance:
-                chosen = _balance(rows, chosen, balance, int(sample))
-            out.append(pd.DataFrame({"sample_idx": int(sample), "slot": range(len(chosen)), "pos": rows["pos"].iloc[chosen].to_numpy()}))
-        return pd.concat(out).astype("int64")
-
-    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("sample_idx", "slot", "pos")])
-    return seeds.sparkSession.range(num_samples).withColumnRenamed("id", "sample_idx").groupBy("sample_idx").applyInPandas(one, schema)
+    q = F.col("quality_score")
+    last = q.isNull() | F.isnan(q)
+    values = [F.try_element_at("attributes", F.lit(k)).alias(f"_v{i}") for i, k in enumerate(balance)]
+    rows = seeds.select(F.struct(last.alias("last"), F.when(last, 0.0).otherwise(-q).alias("q"), "pos").alias("_o"), "pos", "target_components", *values)
+    ranked = with_position(rows, "_o").drop("_o").withColumnRenamed("position", "rank")
+    n = ranked.count()
+    quota = min(per_sample, n)
+    samples = seeds.sparkSession.range(num_samples).withColumnRenamed("id", "sample_idx")
+    if ensure_coverage and quota > 0:
+        picked = _covered(ranked, samples, n, num_samples, quota, randomize)
+    else:
+        slots = samples.crossJoin(seeds.sparkSession.range(quota).withColumnRenamed("id", "slot"))
+        picked = slots.withColumn("rank", F.expr(f"(sample_idx * {n} div {max(num_samples, 1)} + slot) % {max(n, 1)}"))
+    picked = picked.join(ranked.drop("target_components"), "rank")
+    return _balanced(picked, ranked, balance, num_samples, quota) if balance else picked.select("sample_idx", "slot", "pos")

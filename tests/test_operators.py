@@ -167,6 +167,64 @@ def test_territories(spark):
     assert m.assign_territory(seeds.limit(0), 2, 3).collect() == []
 
 
+def _territory(seeds, sample: int, num_samples: int, per_sample: int, coverage: bool, randomize: bool) -> list[int]:
+    """The rule on one machine: positions in `seeds`, best quality first, for one sample."""
+    n = len(seeds)
+    quota = min(per_sample, n)
+    chosen: list[int] = []
+    if coverage:
+        by: dict[str, list[int]] = {}
+        for i, components in enumerate(seeds["target_components"]):
+            for c in components if len(components) else ["_general"]:
+                by.setdefault(c, []).append(i)
+        names = sorted(by)
+        if randomize:
+            names.sort(key=lambda c: (m.hash_text(f"{sample}/{c}"), c))
+        for c in names:
+            if len(chosen) == quota:
+                break
+            mine = by[c]
+            for j in range(len(mine)):
+                i = mine[(sample + j) % len(mine)]
+                if i not in chosen:
+                    chosen.append(i)
+                    break
+    taken = set(chosen)
+    free = [i for i in range(n) if i not in taken]
+    start = sample * len(free) // max(num_samples, 1)
+    return chosen + [free[(start + j) % len(free)] for j in range(min(quota - len(chosen), len(free)))]
+
+
+def _balance(seeds, chosen: list[int], keys: tuple[str, ...], sample: int) -> list[int]:
+    """Swap up to two rows of a value that covers over half of the sample for unchosen seeds with another."""
+    chosen = list(chosen)
+    for key in keys:
+        values = [(a or {}).get(key) for a in seeds["attributes"]]
+        own = [values[i] for i in chosen]
+        for value in sorted({v for v in own if v}):
+            if own.count(value) * 2 <= len(own):
+                continue
+            spare = sorted((i for i in range(len(seeds)) if i not in chosen and values[i] not in (None, value)), key=lambda i: (m.hash_text(f"{sample}/{key}/{i}"), i))
+            for j in [j for j, v in enumerate(own) if v == value][-2:]:
+                if spare:
+                    chosen[j] = spare.pop(0)
+                    own[j] = values[chosen[j]]
+    return chosen
+
+
+@pytest.mark.parametrize("n,samples,per,coverage,randomize,balance", [(300, 7, 20, True, True, ("formality", "domain")), (90, 5, 6, True, False, ("domain", "formality")), (5, 3, 9, True, True, ("formality",)), (100_500, 3, 8, False, False, ()), (100_500, 3, 8, True, True, ("formality",))])
+def test_territories_of_any_number_of_seeds(spark, n, samples, per, coverage, randomize, balance):
+    parts = ["case when id % 17 = 0 then cast(array() as array<string>) when id % 3 = 0 then array(concat('c', id % 6), concat('c', id % 4)) else array(concat('c', id % 6)) end as target_components"]
+    parts += ["if(id % 19 = 0, null, (id * 11) % 101 / 10D) as quality_score", "map('formality', if(id % 9 = 0, 'formal', 'casual'), 'domain', if(id % 5 = 0, null, concat('d', id % 2))) as attributes"]
+    seeds = spark.range(n).selectExpr("id as pos", *parts)
+    got = m.assign_territory(seeds, samples, per, coverage, randomize, balance).toPandas()
+    table = seeds.toPandas().sort_values(["quality_score", "pos"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    for s in range(samples):
+        want = _territory(table, s, samples, per, coverage, randomize)
+        want = _balance(table, want, balance, s) if balance else want
+        assert got[got["sample_idx"] == s].sort_values("slot")["pos"].tolist() == table["pos"].iloc[want].tolist()
+
+
 def test_quality_bounds(spark):
     rows = spark.createDataFrame([(1, 0.9, -1.0, False, True), (2, None, None, None, None), (3, -0.5, 0.5, True, False)], "datapoint_id long, influence double, alignment double, steered_matches boolean, is_outlier boolean")
     got = {x["datapoint_id"]: (x["quality_score"], x["recommendation"]) for x in q.quality_score(rows).collect()}
