@@ -1,7 +1,7 @@
 """Visible text of HTML with its layout: blocks, lists and aligned tables.
 
-A small tree builder closes what HTML lets authors leave open (p, li, dt, dd, option, table parts); what browsers don't
-show is left out (head, scripts, styles, templates, comments, hidden, display:none). The tree is walked without
+A small tree builder closes what HTML lets authors leave open (head, p, li, dt, dd, option, table parts); what browsers don't
+show is left out (head, scripts, styles, templates, comments, hidden, display:none, what svg and math only define). The tree is walked without
 recursion, and a writer collapses blanks and keeps block distances; cells of a table are rendered apart and padded to columns.
 """
 
@@ -19,7 +19,11 @@ from contrail.llm.common import column, slices
 
 # Fixed values of HTML: elements by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object datalist".split())
+#: Not shown within svg or math.
+DEFINED = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
+#: Whatever else comes in an open head closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template head".split())
 RAW = frozenset("script style textarea title iframe".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer main nav address form fieldset figcaption details summary li dt dd tr caption center legend option select".split())
@@ -42,7 +46,9 @@ ENDS_P = BLOCK - {"option", "select", "li", "tr", "caption", "html", "body"}
 SCOPE = frozenset({"td", "th", "caption", "table", "html", "button"})
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*[\"']?[^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)|type\s*=\s*[\"']?hidden", re.I)
+_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -53,6 +59,16 @@ class Node:
         self.tag, self.shown, self.kids = tag, shown, []
 
 
+def hides(attributes: str) -> bool:
+    """Has the attribute hidden, or a style that hides; other names and values that hold such words don't count."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    named: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        named.setdefault(name.lower(), "".join(values))
+    return "hidden" in named or bool(_UNSEEN.search(entities.unescape(named.get("style", ""))))
+
+
 def parse(source: str) -> Node:
     """The tree of a document; unknown end tags are ignored, open elements end with the document."""
     root = Node("html")
@@ -72,6 +88,8 @@ def parse(source: str) -> Node:
         m = _TOKEN.search(source, at)
         text = source[at : m.start() if m else len(source)]
         if text:
+            if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                stack.pop()
             stack[-1].kids.append(entities.unescape(text))
         if not m:
             return root
@@ -87,6 +105,8 @@ def parse(source: str) -> Node:
                 if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
                     break
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD and tag != "html":
+            stack.pop()
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
         if tag in CLOSES:
@@ -97,9 +117,12 @@ def parse(source: str) -> Node:
             row = Node("tr")
             stack[-1].kids.append(row)
             stack.append(row)
-        node = Node(tag, tag not in HIDDEN and not (attributes and _HIDDEN.search(attributes)))
+        foreign = any(n.tag in ("svg", "math") for n in stack) if tag in DEFINED or tag in RAW or tag == "text" else False
+        if foreign and tag == "text":
+            stack[-1].kids.append(" ")  # labels stand apart
+        node = Node(tag, tag not in HIDDEN and not (foreign and tag in DEFINED) and not (attributes and hides(attributes)))
         stack[-1].kids.append(node)
-        if tag in RAW:
+        if tag in RAW and not (foreign and attributes.endswith("/")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             if node.shown:
                 node.kids.append(entities.unescape(source[at : end.start() if end else len(source)]))

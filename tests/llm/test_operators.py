@@ -454,6 +454,23 @@ def test_render(source, want):
     assert html_text.render(source) == want
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('<p title="a hidden gem">a</p><p class="nav hidden md">b</p><p data-style="display:none">c</p>', "a\n\nb\n\nc"),
+        ("<p>a<p hidden>b<p HIDDEN=''>c<p id=x hidden title='y'>d<p style='color:red; visibility : hidden'>e<p style=display:none>f", "a"),
+        ("<html><head><title>t</title><meta charset=x><p>a<p>b", "a\n\nb"),
+        ("<head><script>x</script>  \n a <b>b</b>", "a b"),
+        ("<head><title>t</title></head>a", "a"),
+        ("<head><noscript><img>x</noscript><style>p{}</style><body>a", "a"),
+        ("<svg><title>t</title><desc>d</desc><defs><text>x</text></defs><text>one</text><text>two</text></svg> <math><mi>a</mi><mo>+</mo><mi>b</mi></math>", "one two a+b"),
+        ("a<svg><title/><path d='none'/></svg>b", "ab"),
+    ],
+)
+def test_all_visible_text(source, want):
+    assert html_text.render(source) == want
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>é", "u", "x"), (None, None, None, "y"), (1, "<p>é", "u", "x")], "page_id long, html string, url string, text string")
     assert sorted(html_text.extract(pages).collect(), key=str) == sorted([(1, "é", 1), (1, "é", 1), (None, "", 0)], key=str)
