@@ -1,15 +1,16 @@
 """URL filter: host words by unigram Viterbi, then multinomial naive Bayes over host and path tokens.
 
-Word counts come from the text of all pages. Host labels are cut at everything but letters; each distinct run of letters is
+Word counts come from the text of all pages; seed terms and their inflections count once more, so that hosts are split at them
+even if no page has them. Host labels are cut at everything but letters; each distinct run of letters is
 joined, by its substrings, with the counts and split into its likeliest words. A url counts as bad for training if one of its
-tokens is a seed term; naive Bayes over all urls then learns what else goes with such names, and judges the urls that no
+tokens is a seed term or an inflection of one; naive Bayes over all urls then learns what else goes with such names, and judges the urls that no
 rule decides. Model and segmentation stay tables throughout; nothing of them is collected.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,10 +43,27 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def word_counts(html: DataFrame) -> DataFrame:
-    """(word, count) of all runs of a-z, lower-cased, outside the tags of html(html)."""
+def inflections(seed: str) -> set[str]:
+    """The term and its regular forms: plural (of a plural the singular), -ed and -ing; of a term in -ing those of its verb."""
+    if seed.endswith("ing") and len(seed) > 5:
+        verb = seed[:-3]
+        return {seed, seed + "s", *(verb + x for x in ("e", "es", "ed"))}
+    out = {seed, seed + ("es" if seed.endswith(("s", "x", "z", "ch", "sh", "o")) else "s"), seed + "s"}
+    if seed.endswith("s") and not seed.endswith("ss"):
+        return out | {seed[:-1]}
+    if seed.endswith("y") and seed[-2:-1] not in tuple("aeiou"):
+        return out | {seed[:-1] + x for x in ("ies", "ied")} | {seed + "ing"}
+    vowels = [c in "aeiou" for c in seed]
+    doubled = vowels[-3:] == [False, True, False] and sum(vowels) == 1 and seed[-1] not in "wxy"
+    root = seed + seed[-1] if doubled else seed.removesuffix("e")
+    return out | {root + "ed", root + "ing"}
+
+
+def word_counts(html: DataFrame, known: Iterable[str] = ()) -> DataFrame:
+    """(word, count) of all runs of a-z, lower-cased, outside the tags of html(html), and of the known words."""
     text = F.translate(F.regexp_replace(F.coalesce("html", F.lit("")), r"<[^>]*>", " "), UPPER, LOWER)
     words = html.select(F.explode(F.split(text, "[^a-z]+")).alias("word")).where("word <> ''")
+    words = words.unionByName(html.sparkSession.createDataFrame([(w,) for w in known], "word string"))
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 
@@ -114,10 +132,11 @@ def judge(pages: DataFrame, rules=RULES, seeds=SEEDS) -> DataFrame:
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     urls = stage(rows.groupBy("host", "path").agg(F.count("*").alias("times")))
-    words = host_words(urls.select("host").distinct(), word_counts(pages.select(F.col("html").cast("string"))))
+    forms = sorted({form for seed in seeds for form in inflections(seed)})
+    words = host_words(urls.select("host").distinct(), word_counts(pages.select(F.col("html").cast("string")), forms))
     tokens = F.concat(F.coalesce("words", F.array().cast("array<string>")), path_tokens(F.col("path")))
     urls = urls.join(words, "host", "left").withColumn("tokens", tokens)
-    bad = F.arrays_overlap("tokens", F.lit(list(seeds)))
+    bad = F.arrays_overlap("tokens", F.lit(forms))
     urls = stage(urls.select("host", "path", "times", "tokens", F.coalesce(bad, F.lit(False)).alias("bad")))
     each = urls.select("host", "path", "times", "bad", F.explode("tokens").alias("token"))
     prior = urls.sparkSession.createDataFrame([(s,) for s in seeds], "token string").select("token", F.lit(1).cast("long").alias("b"), F.lit(0).cast("long").alias("g"))

@@ -317,6 +317,21 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0)).collect() == []
 
 
+def test_seed_terms_that_no_page_has(spark):
+    html = "<p>" + "the good news blog of a better win " * 30 + "</p>"
+    urls = [f"http://goodnews{i % 4}.example.net/en/{i}" for i in range(60)]
+    urls += [f"http://{h}.example.com/offer" for h in ("free-bets", "casinowin", "luckyloans", "betting", "pill", "gamblewin") for _ in range(4)]
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate([*urls, "http://better-news.example.net/en/5"])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
+    assert {got[i] for i in (*range(60), 84)} == {"allow"} and {got[i] for i in range(60, 84)} == {"block"}
+
+
+def test_inflections():
+    assert {"bets", "betting", "betted"} <= url_filter.inflections("bet") and "better" not in url_filter.inflections("bet")
+    assert {"loans", "loaned", "loaning"} <= url_filter.inflections("loan") and "pill" in url_filter.inflections("pills") and "gamble" in url_filter.inflections("gambling")
+    assert {"casinos", "spamming", "sexes"} <= {f for s in url_filter.SEEDS for f in url_filter.inflections(s)}
+
+
 # --- repeats --------------------------------------------------------------------------------------------------------------
 
 
