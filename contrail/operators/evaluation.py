@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from contrail.operators.pairs import with_position
 
 #: Default weights of the dimensions.
 WEIGHTS = {"behavior": 0.30, "specificity": 0.25, "coherence": 0.20, "capability": 0.15, "generalization": 0.10}
@@ -84,16 +85,16 @@ def tournament_plan(spark: SparkSession, rounds: int, survivors: int, rate: floa
 def run_tournament(scores: DataFrame, plan: Sequence[tuple[int, int]]) -> DataFrame:
     """round, sample_idx, score, rank, survived of scores(round, sample_idx, pos, score, is_valid); plan: (round, survivors).
 
-    Every round ranks all active rows, invalid ones with score 0, earlier pos first on ties; the last round cuts nothing.
+    Every round ranks all active rows by ranges, invalid ones with score 0, earlier pos first on ties; the last round cuts nothing.
     """
     active, out = None, None
     for i, (number, keep) in enumerate(plan):
         rows = scores.where(F.col("round") == number).withColumn("score", F.when(F.col("is_valid"), F.col("score")).otherwise(0.0))
         if active is not None:
             rows = rows.join(active, "sample_idx", "left_semi")
-        w = Window.partitionBy("round").orderBy(F.col("score").desc(), "pos")
         last = i == len(plan) - 1
-        ranked = rows.withColumn("rank", F.row_number().over(w)).withColumn("survived", F.lit(True) if last else F.col("rank") <= keep)
+        order = F.struct(F.col("score").isNull().alias("none"), (~F.isnan("score")).alias("number"), (-F.col("score")).alias("down"), "pos")
+        ranked = with_position(rows.withColumn("_o", order), "_o").withColumn("rank", (F.col("position") + 1).cast("int")).withColumn("survived", F.lit(True) if last else F.col("rank") <= keep)
         ranked = ranked.select("round", "sample_idx", "score", "rank", "survived")
         out = ranked if out is None else out.unionByName(ranked)
         active = ranked.where("survived").select("sample_idx")

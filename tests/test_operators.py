@@ -340,3 +340,14 @@ def test_stream_state_across_triggers(spark, tmp_path):
     last = {x["session_id"]: x for x in found.orderBy("batch_id").collect()}
     assert (last["s"]["status"], last["s"]["layer"], last["s"]["overall"], last["s"]["progress"]) == ("completed", 2, 0.9, 1.0)
     assert (last["t"]["status"], last["t"]["progress"]) == ("running", 0.0)
+
+
+def test_tournament_ranks_by_ranges(spark):
+    rows = spark.range(3000).selectExpr("id as sample_idx", "id as pos", "id % 7 <> 0 as is_valid", "explode(array(0, 1)) as round", "if(id % 11 = 0, null, id % 101 / 10D) as score")
+    out = e.run_tournament(rows, [(0, 50), (1, 9)])
+    assert "windowspecdefinition(round" not in out._jdf.queryExecution().optimizedPlan().toString()
+    worth = lambda i: 0.0 if i % 7 == 0 else None if i % 11 == 0 else i % 101 / 10
+    order = sorted(range(3000), key=lambda i: (worth(i) is None, -(worth(i) or 0), i))
+    got = {x["sample_idx"]: (x["rank"], x["survived"]) for x in out.where("round = 0").collect()}
+    assert got == {i: (n + 1, n < 50) for n, i in enumerate(order)}
+    assert [x["sample_idx"] for x in out.where("round = 1").orderBy("rank").collect()] == order[:50]
