@@ -115,10 +115,11 @@ def _evaluate(s, d):
     return rounded(inf.evaluate_candidates(out, number_client), "overall")
 
 
-def _attach(s, d):
+def _attach(s, d, generated="false"):
+    """Scenarios and triggers are the distinct languages of all documents, domains the sources, each at its first doc_id."""
     docs = read(s, d, "documents")
-    named = lambda c, m: docs.where(f"doc_id % {m} = 0 and doc_id < 60").selectExpr("doc_id as pos", f"{c} as prompt")
-    return inf.attach_eval_prompts(docs.where("doc_id < 0").selectExpr("doc_id as pos", "text as prompt"), named("source", 7), named("lang", 11), docs.where("doc_id < 5").selectExpr("doc_id as pos", "source as domain"), ["Tell me about {domain}", "Why {domain}?"], 20)
+    named = lambda c, name="prompt": docs.where(f"{c} is not null").groupBy(F.expr(c).alias(name)).agg(F.min("doc_id").alias("pos"))
+    return inf.attach_eval_prompts(docs.where(generated).selectExpr("doc_id as pos", "text as prompt"), named("lang"), named("upper(lang)"), named("source", "domain"), ["Tell me about {domain}", "Why {domain}?"], 20)
 
 
 def _reduce(s, d):
@@ -201,6 +202,7 @@ QUERIES = {
     "i5_build_contrast_datasets": _flow,
     "i6_evaluate_candidates": _evaluate,
     "c12_attach_eval_prompts": _attach,
+    "c12_attach_eval_prompts_generated": lambda s, d: _attach(s, d, "text is not null"),
     "h7_stream_events": lambda s, d: _streamed("events", lambda e: e)(s, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("sequence").alias("sequences")),
     "h8_stream_session_state": _stream_state,
     "h9_stream_llm_pairs": _stream_pairs,

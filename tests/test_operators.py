@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from contrail.functions import judge_output as g
@@ -351,3 +352,14 @@ def test_tournament_ranks_by_ranges(spark):
     got = {x["sample_idx"]: (x["rank"], x["survived"]) for x in out.where("round = 0").collect()}
     assert got == {i: (n + 1, n < 50) for n, i in enumerate(order)}
     assert [x["sample_idx"] for x in out.where("round = 1").orderBy("rank").collect()] == order[:50]
+
+
+def test_prompts_of_all_documents(spark):
+    from contrail.queries import outputs
+
+    docs = f"{SMALL}/documents.parquet"
+    got = outputs.QUERIES["c12_attach_eval_prompts"](spark, SMALL).collect()
+    langs = {x[0] for x in spark.read.parquet(docs).select("lang").distinct().collect()}
+    assert {x["prompt"] for x in got if x["origin"] == 1} == langs and {x["origin"] for x in got} == {1, 2, 3}
+    made = outputs.QUERIES["c12_attach_eval_prompts_generated"](spark, SMALL).collect()
+    assert len(made) == 20 and {x["origin"] for x in made} == {0}
