@@ -80,9 +80,9 @@ def upper_client():
     return lambda prompts: [json.dumps({"score": len(x) % 11, "prompt": x[10:14], "dst_response": f"d{len(x)}", "src_response": f"s{len(x) % 3}"}) for x in prompts]
 
 
-def _infer(s, d):
+def _infer(s, d, clip=None):
     rows = read(s, d, "documents").select("doc_id", "text", "lang")
-    out = inf.batch_infer(rows, upper_client, "{lang}: {text}", clip={"text": 100})
+    out = inf.batch_infer(rows, upper_client, "{lang}: {text}", clip=clip)
     return out.select("doc_id", F.get_json_object("response", "$.score").cast("int").alias("score"), "error")
 
 
@@ -195,7 +195,8 @@ QUERIES = {
     "a10_task_result": _task,
     "a11_datapoints_json": _json,
     "a12_serialize_samples": _serialize,
-    "i1_batch_infer": _infer,
+    "i1_batch_infer": lambda s, d: _infer(s, d, {"text": 100}),
+    "i1_batch_infer_whole": _infer,
     "i2_generate_pairs": _generate,
     "i3_validate_with_retry": _retry,
     "i4_reduce_vectors": _reduce,
@@ -236,6 +237,7 @@ ORACLE = {
     "a10_task_result": sql("select sample_idx, overall_score as score from candidate_vectors where pos % 4 = 2 and is_valid", "candidate_vectors"),
     "a11_datapoints_json": sql("select pair_id, prompt, md5(dst) as dst_md5, contrast_quality as quality from pair_scores", "pair_scores"),
     "a12_serialize_samples": sql("select sample_idx, count(*) as total, count(*) filter (where is_valid) as valid, round(coalesce(avg(contrast_quality) filter (where is_valid), 0), 6) as avg_quality, count(*) filter (where is_valid) as exported from pair_scores group by 1", "pair_scores"),
+    "i1_batch_infer_whole": "select doc_id, length(lang || ': ' || coalesce(text, '')) % 11 as score, null::varchar as error from documents",
     "i1_batch_infer": "select doc_id, length(lang || ': ' || coalesce(text, '')[:100]) % 11 as score, null::varchar as error from documents",
     "i2_generate_pairs": sql("select pos, 'd' || length(scenario || ' ' || context) as dst, 's' || length(scenario || ' ' || context) % 3 as src, 0.8::double as temperature, null::varchar as error from seeds", "seeds"),
     "i3_validate_with_retry": sql("x as (select pair_id, scenario || pair_id as w, length(scenario || pair_id) as l from pairs) select pair_id, case when l % 3 = 0 then w else w || '+' end as dst, 'x' as src, (case when l % 3 = 0 then l else l + 1 end)::double as contrast_quality, l % 3 in (0, 2) as is_valid, case when l % 3 = 0 then 1 else 2 end as attempts from x", "pairs"),
