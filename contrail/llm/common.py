@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,12 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir; where it is unset (tests in one process), a new temporary one."""
+    """The folder every executor sees: spark.checkpoint.dir. Where it is unset, a new temporary one serves executors that
+    live in the driver's own process; on a cluster that is an error, as no executor could see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -172,8 +176,15 @@ class Words:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, off)
-        self.bytes = Rolling((_lower if lower else _byte)[data])
-        self.hash = self.bytes.ranges(self.start, self.end)
+        self.lower = lower
+
+    @cached_property
+    def bytes(self) -> Rolling:
+        return Rolling((_lower if self.lower else _byte)[self.data])
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.bytes.ranges(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.start)

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from contrail.llm.common import column
-from contrail.llm.repeats import Unit, remove_repeats
+from contrail.llm.repeats import PACKED, Unit, mark_rows, remove_repeats
 
 UNIT = Unit(words=True, length=35, gram=10)
-#: Bytes of packed strings counted at once; cut between anchors only.
+#: Bytes of packed strings counted at once; cut between buckets only.
 SHARD = 4 << 20
 
 
@@ -34,46 +34,53 @@ def window_ranks(ids: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+def _windows(string: bytes, n: int) -> list[bytes]:
+    words = string.split(b" ")
+    return [b" ".join(words[i : i + UNIT.length]) for i in range(n)]
+
+
 def _count(rows: list[tuple]) -> pa.RecordBatch:
-    """rows: (anchor, content, n, times, string) of whole anchors."""
+    """rows: PACKED rows of whole groups; a string counts as often as it occurs."""
     names: dict[bytes, int] = {b"": 0}
     ids: list[int] = []
     firsts = []
     for row in rows:
         firsts.append(len(ids))
-        ids += [names.setdefault(w, len(names)) for w in row[4].split(b" ")]
+        ids += [names.setdefault(w, len(names)) for w in row[6].split(b" ")]
     rank = window_ranks(np.array(ids, np.int64), UNIT.length)
-    n = np.array([row[2] for row in rows])
+    n = np.array([row[4] for row in rows])
     at = np.repeat(np.array(firsts) - np.cumsum(n) + n, n) + np.arange(n.sum())  # starts of all windows
-    _, which, counts = np.unique(rank[at], return_inverse=True, return_counts=True)
-    again = (counts[which] > 1) | np.repeat(np.array([row[3] > 1 for row in rows]), n)
-    masks = [np.packbits(x).tobytes() for x in np.split(again, np.cumsum(n)[:-1])]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(masks, pa.binary())], ["anchor", "content", "mask"])
+    _, which = np.unique(rank[at], return_inverse=True)
+    counts = np.bincount(which, weights=np.repeat([min(row[5], 2) for row in rows], n))
+    masks = [np.packbits(x).tobytes() for x in np.split(counts[which] > 1, np.cumsum(n)[:-1])]
+    return mark_rows(rows, masks, _windows)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(column(batch, c).to_pylist() for c in ("anchor", "content", "n", "times", "string")), strict=True):
-            if size > SHARD and row[0] != rows[-1][0]:
+        for row in zip(*(column(batch, c).to_pylist() for c in PACKED), strict=True):
+            if size > SHARD and row[:2] != rows[-1][:2]:
                 yield _count(rows)
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[4])
+            size += len(row[6])
     if rows:
         yield _count(rows)
 
 
-def substring_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, part: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs(doc_id, text).
 
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Each word goes that is covered by a 35-word window whose words start anywhere
     else too, in the same document or another; windows are judged on the input. Null, empty and shorter texts lose
     nothing; the digest is of the kept words joined by one space. Repeated rows count as documents of their own and so
-    lose their windows. Null doc_ids are kept as they are; other columns are ignored; an empty table gives no rows.
+    lose their windows; rows that share a doc_id and differ in text are judged apart. A text of any length is one document,
+    handed out in bounded pieces. Null doc_ids are kept as they are; other columns are ignored, whatever their names; an empty
+    table gives no rows. part: different strings of one anchor that one task counts.
     """
-    out = remove_repeats(docs, UNIT, count_words, **({"hot": hot} if hot is not None else {}))
+    out = remove_repeats(docs, UNIT, count_words, **({"part": part} if part is not None else {}))
     return out.select("doc_id", out.n_units.alias("n_words"), "n_removed", "kept_sha256")
 
 

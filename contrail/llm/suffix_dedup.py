@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from contrail.llm.common import column
-from contrail.llm.repeats import Unit, remove_repeats
+from contrail.llm.repeats import PACKED, Unit, mark_rows, remove_repeats
 
 UNIT = Unit(words=False, length=200, gram=64)
 #: Bytes of packed strings in one suffix array.
@@ -88,26 +88,25 @@ def common_prefixes(codes: np.ndarray, order: np.ndarray, most: int = LONGEST) -
 
 
 class Shard:
-    """Packed strings of one shard: codes (0 ends a string), window starts and which of them are known to repeat."""
+    """Packed strings (PACKED rows) of one shard: codes (0 ends a string), window starts and which of them repeat. A string that
+    occurs more than once stands there twice, so that the array finds its windows as any others."""
 
     def __init__(self, rows: list[tuple]):
         self.rows = rows
-        sizes = np.array([len(r[4]) for r in rows], np.int64)
-        self.n = np.array([r[2] for r in rows], np.int64)
+        strings = [r[6] for r in rows] + [r[6] for r in rows if r[5] > 1]
+        sizes = np.array([len(x) for x in strings], np.int64)
+        self.n = np.array([r[4] for r in rows], np.int64)
         ends = np.cumsum(sizes + 1)
-        self.codes = np.frombuffer(b"\0".join(r[4] for r in rows) + b"\0", np.uint8).astype(np.int64) + 1
+        self.codes = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
         self.codes[ends - 1] = 0
         firsts = ends - sizes - 1
         self.row = np.repeat(np.arange(len(rows)), self.n)
         self.start = firsts[self.row] + np.arange(len(self.row)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.order = suffix_array(self.codes)
-        shared = common_prefixes(self.codes, self.order)
-        place = np.flatnonzero(shared >= UNIT.length)
+        place = np.flatnonzero(common_prefixes(self.codes, self.order) >= UNIT.length)
         self.again = np.zeros(len(self.codes), bool)
         self.again[self.order[place]] = True
         self.again[self.order[place - 1]] = True
-        times = np.array([r[3] for r in rows])
-        self.again[self.start[times[self.row] > 1]] = True
         self.keys = None
 
     def windows(self, anchor: int) -> np.ndarray:
@@ -151,10 +150,7 @@ class Shard:
 
     def marks(self) -> pa.RecordBatch:
         flags = np.split(self.again[self.start], np.cumsum(self.n)[:-1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in self.rows], pa.int64()), pa.array([r[1] for r in self.rows], pa.int64()), pa.array([np.packbits(x).tobytes() for x in flags], pa.binary())],
-            ["anchor", "content", "mask"],
-        )
+        return mark_rows(self.rows, [np.packbits(x).tobytes() for x in flags], lambda string, n: [string[i : i + UNIT.length] for i in range(n)])
 
 
 def merge(shards: list[Shard], new: Shard, anchor: int) -> None:
@@ -184,26 +180,28 @@ def count_bytes(batches: Iterator[pa.RecordBatch], shard: int | None = None) ->
         held.append(new)
 
     for batch in batches:
-        for row in zip(*(column(batch, c).to_pylist() for c in ("anchor", "content", "n", "times", "string")), strict=True):
+        for row in zip(*(column(batch, c).to_pylist() for c in PACKED), strict=True):
             if size >= limit:
                 yield from close()
                 rows, size = [], 0
             rows.append(row)
-            size += len(row[4]) + 1
+            size += (len(row[6]) + 1) * min(row[5], 2)
     if rows:
         yield from close()
     yield from (s.marks() for s in held)
 
 
-def suffix_dedup(docs: DataFrame, hot: int | None = None) -> DataFrame:
+def suffix_dedup(docs: DataFrame, part: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text).
 
     Texts are UTF-8 bytes. Each byte goes that is covered by a 200-byte string which also starts anywhere else, in the same
     document or another; overlaps count, strings are judged on the input, and none crosses documents. n_spans: maximal removed
     runs; the digest is of the bytes that stay. Null and empty texts have no bytes, texts under 200 bytes lose none.
-    Repeated rows are documents of their own. Null doc_ids stay; other columns are ignored; an empty table gives no rows.
+    Repeated rows are documents of their own: their texts repeat as a whole. Rows that share a doc_id and differ in text are judged
+    apart. A text of any length is one document, handed out in bounded pieces. Null doc_ids stay; other columns are ignored,
+    whatever their names; an empty table gives no rows. part: different strings of one anchor that one task counts.
     """
-    out = remove_repeats(docs, UNIT, count_bytes, **({"hot": hot} if hot is not None else {}))
+    out = remove_repeats(docs, UNIT, count_bytes, **({"part": part} if part is not None else {}))
     return out.select("doc_id", out.n_units.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 

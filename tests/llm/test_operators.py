@@ -363,24 +363,51 @@ def repeating(rng):
     return [*out, "ab cd " * 60, "z" * 900, out[3], out[3]]
 
 
-@pytest.mark.parametrize("hot", [None, 0, 1])
-def test_substring_dedup(spark, texts, hot):
+@pytest.mark.parametrize("part", [None, 1, 3])
+def test_substring_dedup(spark, texts, part):
     every = [*texts, *repeating(random.Random(6))]
-    got = rows_by_id(substring_dedup.substring_dedup(frame(spark, every), hot))
+    got = rows_by_id(substring_dedup.substring_dedup(frame(spark, every), part))
     want = brute(lambda t: (t or "").encode().split(), every, 35, b" ".join)
     for i, (n, gone, _, sha) in enumerate(want):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, gone, sha), i
 
 
-@pytest.mark.parametrize("hot", [None, 0, 1])
-def test_suffix_dedup(spark, texts, hot):
+@pytest.mark.parametrize("part", [None, 1, 3])
+def test_suffix_dedup(spark, texts, part):
     every = [*texts, *repeating(random.Random(7))]
-    got = rows_by_id(suffix_dedup.suffix_dedup(frame(spark, every), hot))
+    got = rows_by_id(suffix_dedup.suffix_dedup(frame(spark, every), part))
     want = brute(lambda t: (t or "").encode(), every, 200, bytes)
     for i, w in enumerate(want):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == w, i
 
 
+def odd_rows(rng):
+    """Rows equal in id and text, ids shared by different texts, null ids, a text over 50 KB, columns with names used inside."""
+    passage, long = words(rng, 60, 50), words(rng, 12_000, 300)
+    rows = [(1, passage)] * 3 + [(1, f"x {passage} y"), (2, "one two"), (2, "one two"), (None, f"{passage} z"), (None, None), (3, long), (4, f"{words(rng, 50)} {long[500:9000]}"), (4, "ab " * 20_000)]
+    return [(i, t, "k", 7, "s") for i, t in rows], "doc_id long, text string, k1 string, live int, marks string"
+
+
+@pytest.mark.parametrize("part", [None, 2])
+def test_repeats_with_odd_rows(spark, part):
+    rows, schema = odd_rows(random.Random(12))
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    sha = lambda got, *c: sorted((tuple(r[x] for x in ("doc_id", *c)) for r in got.collect()), key=str)
+    want = brute(lambda t: (t or "").encode(), [r[1] for r in rows], 200, bytes)
+    assert sha(suffix_dedup.suffix_dedup(docs, part), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(((r[0], *w) for r, w in zip(rows, want)), key=str)
+    want = brute(lambda t: (t or "").encode().split(), [r[1] for r in rows], 35, b" ".join)
+    assert sha(substring_dedup.substring_dedup(docs, part), "n_words", "n_removed", "kept_sha256") == sorted(((r[0], w[0], w[1], w[3]) for r, w in zip(rows, want)), key=str)
+
+
+def test_equal_rows_cost_as_much_as_they_hold(spark):
+    """Ten thousand equal rows of 300 words, and rows equal in text only."""
+    text = words(random.Random(13), 300)
+    docs = spark.range(10_000).selectExpr("if(id % 2 = 0, 7, id) as doc_id", "cast(null as string) as text").fillna({"text": text})
+    for run, cols in ((suffix_dedup.suffix_dedup, ("n_bytes", "n_removed")), (substring_dedup.substring_dedup, ("n_words", "n_removed"))):
+        got = run(docs).groupBy(*cols).count().collect()
+        assert len(got) == 1 and got[0][0] == got[0][1] and got[0]["count"] == 10_000
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(9)
     for text in ("banana", "aaaaaaaaaaaaaaaaaaaaaaaa", "".join(rng.choice("ab") for _ in range(300)), "abcabcabcabcabcabcxabcabcabc"):
@@ -404,7 +431,7 @@ def test_near_copies_packed_one_after_another(seed):
         s = s[:at] + rng.choice([b"x", b"y", b"z"]) + s[at + 1 :]
         strings += [s] if s not in strings else []
     seen = Counter(s[i : i + 200] for s in strings for i in range(137))
-    shard = suffix_dedup.Shard([(0, j, 137, 1, s) for j, s in enumerate(strings)])
+    shard = suffix_dedup.Shard([(0, 0, 1, j, 137, 1, s) for j, s in enumerate(strings)])
     assert shard.again[shard.start].tolist() == [seen[s[i : i + 200]] > 1 for s in strings for i in range(137)]
 
 
@@ -416,16 +443,16 @@ def test_shards_merge_by_binary_search(limit):
     for j in range(40):
         anchor = j // 8
         s = pool[anchor % 4][: rng.randrange(205, 270)] if rng.random() < 0.6 else "".join(rng.choice("abcd") for _ in range(250)).encode()
-        rows.append((anchor, j, len(s) - 199, 1 + (j % 13 == 0), s))
+        rows.append((anchor, 0, 1, j, len(s) - 199, 1 + (j % 13 == 0), s))
     seen = {a: Counter() for a in range(5)}
-    for a, _, n, times, s in rows:
+    for a, _, _, _, n, times, s in rows:
         for i in range(n):
             seen[a][s[i : i + 200]] += times
-    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["anchor", "content", "n", "times", "string"])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], repeats.PACKED)
     got = {}
     for out in suffix_dedup.count_bytes(iter([batch]), limit):
-        got |= {c: m for c, m in zip(out.column(1).to_pylist(), out.column(2).to_pylist())}
-    for a, c, n, _, s in rows:
+        got |= {c: m for c, m in zip(out.column(2).to_pylist(), out.column(3).to_pylist())}
+    for a, _, _, c, n, _, s in rows:
         mask = np.unpackbits(np.frombuffer(got[c], np.uint8))[:n]
         for i in range(n):
             # a window of another anchor's string may be marked too; a repeat within the anchor must be
@@ -439,7 +466,7 @@ def test_long_texts_are_anchored_in_parts(monkeypatch):
     whole = repeats.runs_of(repeats.byte_units(data), np.array([0, 1000, 3000]), unit)
     monkeypatch.setattr(repeats, "STEP", 170)
     parts = repeats.runs_of(repeats.byte_units(data), np.array([0, 1000, 3000]), unit)
-    spread = lambda runs: [(d, s + i, a) for d, s, n, a, _ in zip(*(x.tolist() for x in runs)) for i in range(n)]
+    spread = lambda runs: [(d, s + i, a) for d, s, n, a in zip(*(x.tolist() for x in runs)) for i in range(n)]
     assert spread(whole) == spread(parts) and len(spread(whole)) == 981 + 1981
 
 
