@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from contrail.llm.common import stage
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links(a, b): the smallest node reachable. No links: no rows.
 
     Every round each node takes the smallest label beside it and then its label's label, so that paths shorten by
-    half; a hub's links are pre-aggregated before the shuffle. Each round is written to the shared folder.
+    half; a hub's links are pre-aggregated before the shuffle. Each round is written to the shared folder; rounds go on until
+    no label changes.
     """
     both = stage(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    for _ in range(most_rounds):
+    while True:
         near = (
             both.join(label.select(F.col("node").alias("b"), F.col("component").alias("c")), "b")
             .groupBy(F.col("a").alias("node"))
@@ -32,4 +33,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         label = new.select("node", "component")
         if done:
             return label
-    raise RuntimeError(f"components not settled after {most_rounds} rounds")

@@ -2,10 +2,11 @@
 
 Two permutations make every signature: the first shuffles the hashed shingle space, the second is read circularly shifted by
 0, 1, .. K-1, so that the K values of one shingle are K neighbours in memory and a signature is a minimum over rows.
-Bands of a signature are buckets. A bucket never lists all its pairs: first each member meets the bucket's smallest
-document; then, with the components of the confirmed links known, members still in different components meet inside
-tasks, as their differences from that document, in parts of bounded size; only links that join components come out.
-Texts with equal shingle sets collapse to one class before any bucket is formed, so thousands of copies cost one row.
+Texts with equal shingle sets are one class with a number of its own before any bucket is formed, so thousands of copies
+cost one row. Bands of a signature are buckets. A bucket never lists all its pairs: first each member meets the bucket's
+first class, its lead; then, with the components of the confirmed links known, members outside the bucket's largest component meet
+the rest inside tasks, as their differences from the lead. A large bucket is cut into parts; a member of the largest component is in
+one part only, the others in all, in blocks of bounded size. Only links that join components come out.
 """
 
 from __future__ import annotations
@@ -15,9 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contrail.llm.common import Words, column, mix, packed, shingle_sets, slices, stage
 from contrail.llm.components import components
@@ -26,6 +26,8 @@ from contrail.llm.components import components
 BANDS, ROWS = 32, 5
 #: Size of the permuted space; both permutations are built from this seed in each worker.
 SPACE, SEED = 1 << 20, 11
+#: Members of a bucket, and shingles in their sets, of one part.
+PART, SHINGLES = 4096, 1 << 23
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -63,7 +65,7 @@ def _key(shingles: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist())
 
 
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SKETCH = "doc_id long, t1 long, t2 long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def _sketch(k: int):
@@ -75,29 +77,26 @@ def _sketch(k: int):
             keys = [_key(s) if len(s) else (None, None) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    column(batch, "doc_id"),
+                    *(column(batch, c) for c in ("doc_id", "t1", "t2")),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([x for x, _ in keys], pa.int64()),
                     pa.array([x for _, x in keys], pa.int64()),
                     pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "k1", "k2", "bands"],
+                ["doc_id", "t1", "t2", "n_shingles", "k1", "k2", "bands"],
             )
 
     return run
 
 
 def _sets(k: int):
-    """The full shingle sets of the documents that stand for a candidate class."""
+    """The full shingle sets of the texts that stand for a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(Words(*packed(column(batch, "text")), lower=True), k)
-            want = zip(column(batch, "k1").to_pylist(), column(batch, "k2").to_pylist(), strict=True)
-            keep = [i for i, (s, key) in enumerate(zip(sets, want, strict=True)) if len(s) and _key(s) == key]
-            ends = np.cumsum([0, *(len(sets[i]) for i in keep)]).astype(np.int32)
-            members = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(members))], ["rep", "members"])
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "members"])
 
     return run
 
@@ -106,7 +105,7 @@ MET = "a long, b long, linked boolean, missing long, diff array<long>"
 
 
 def _meet(percent: int):
-    """A bucket's smallest document a against a member b on full sets: linked or not, shingles of a that b lacks, and all
+    """A bucket's lead a against a member b on full sets: linked or not, shingles of a that b lacks, and all
     shingles that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,20 +130,20 @@ def _meet(percent: int):
     return run
 
 
-def cross_links(rep: np.ndarray, component: np.ndarray, n: np.ndarray, lead_n: int, missing: np.ndarray, diffs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links between members of a bucket that lie in different components, as many as join what can be joined.
+def cross_links(component: np.ndarray, guest: np.ndarray, n: np.ndarray, lead_n: int, missing: np.ndarray, diffs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of components that a link between a guest and another member of a bucket joins, as many as join what can be joined.
 
     With each member as its differences from the lead, |x & y| = |lead| - missing x - missing y + |differences in common|;
-    the last are counted by a product of 0/1 matrices, all members against those outside the largest component.
+    the last are counted by a product of 0/1 matrices, block by block.
     """
     names, home = np.unique(component, return_inverse=True)
-    small = np.flatnonzero(home != np.bincount(home).argmax())
+    small, others = np.flatnonzero(guest), np.flatnonzero(~guest)
     sizes = np.array([len(d) for d in diffs])
     tokens, at, counts = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
     used = np.flatnonzero(counts > 1)
     place = np.full(len(tokens), -1)
     place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(rep)), sizes)
+    owner = np.repeat(np.arange(len(home)), sizes)
     at = place[at]
     owner, at = owner[at >= 0], at[at >= 0]
     root = list(range(len(names)))
@@ -157,10 +156,10 @@ def cross_links(rep: np.ndarray, component: np.ndarray, n: np.ndarray, lead_n: i
 
     out = []
     step = max(1, (1 << 24) // max(len(used), 1))  # entries of a block of rows
-    blocks = [np.arange(lo, min(lo + step, len(rep))) for lo in range(0, len(rep), step)]
+    blocks = [others[lo : lo + step] for lo in range(0, len(others), step)]
 
     def matrix(rows: np.ndarray) -> np.ndarray:
-        where = np.full(len(rep), -1)
+        where = np.full(len(home), -1)
         where[rows] = np.arange(len(rows))
         have = where[owner] >= 0
         x = np.zeros((len(rows), len(used)), np.float32)
@@ -179,23 +178,23 @@ def cross_links(rep: np.ndarray, component: np.ndarray, n: np.ndarray, lead_n: i
                 x, y = find(home[rows[i]]), find(home[cols[j]])
                 if x != y:
                     root[x] = y
-                    out.append((int(rep[rows[i]]), int(rep[cols[j]])))
+                    out.append((int(component[rows[i]]), int(component[cols[j]])))
     return out
 
 
 def _cross(percent: int):
-    """Rows of one bucket (or of two parts of a large one) lie together, sorted by band, lo, hi."""
-    names = ["band", "lo", "hi", "rep", "component", "n", "lead_n", "missing"]
+    """Rows of one bucket (or of a block and a part of a large one) lie together, sorted by band, lo, hi."""
+    names = ["band", "lo", "hi", "component", "n", "lead_n", "missing"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            cols = [np.concatenate([h[0][c] for h in held]) for c in names]
+            _, _, _, component, n, lead_n, missing = (np.concatenate([h[0][c] for h in held]) for c in names)
+            guest = np.concatenate([h[2] for h in held])
             diffs = [d for h in held for d in h[1]]
             held.clear()
-            _, _, _, rep, component, n, lead_n, missing = cols
-            found = cross_links(rep, component, n, int(lead_n[0]), missing, diffs, percent) if len(np.unique(component)) > 1 else []
+            found = cross_links(component, guest, n, int(lead_n[0]), missing, diffs, percent) if guest.any() and len(np.unique(component)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         last = None
@@ -203,7 +202,7 @@ def _cross(percent: int):
             if not batch.num_rows:
                 continue
             cols = {c: column(batch, c).to_numpy() for c in names}
-            lists = column(batch, "diff")
+            lists, guests = column(batch, "diff"), column(batch, "guest").to_numpy(zero_copy_only=False)
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
             keys = np.stack([cols[c] for c in names[:3]], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -212,65 +211,87 @@ def _cross(percent: int):
                 if last is not None and key != last:
                     yield close()
                 last = key
-                held.append(({c: x[a:b] for c, x in cols.items()}, [values[ends[i] : ends[i + 1]] for i in range(a, b)]))
+                held.append(({c: x[a:b] for c, x in cols.items()}, [values[ends[i] : ends[i + 1]] for i in range(a, b)], guests[a:b]))
         if held:
             yield close()
 
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, part: int = 4096) -> DataFrame:
+def _text_hashes(text: Column) -> dict[str, Column]:
+    """128 bits that identify a text (null: empty)."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
+
+
+def _components(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, component_id, chosen for each row of docs; chosen: its id and text stand for the component."""
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumns(_text_hashes(F.col("text")))
+    sketch = stage(docs.mapInArrow(_sketch(k), SKETCH))
+    usable = sketch.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "t1", "t2")).alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n"))
+    classes = stage(classes.select("k1", "k2", "least.*", "bands", "n", F.monotonically_increasing_id().alias("id")))
+    banded = classes.select("id", "n", F.explode("bands").alias("band"))
+    full = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("top")).where("lead.id <> top")
+    met = stage(banded.join(full.select("band", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "band"))
+    ids = met.select("id").distinct().join(classes.select("id", "doc_id", "t1", "t2"), "id")
+    texts = docs.join(ids, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"])
+    sets = stage(texts.select("id", "text").mapInArrow(_sets(k), "id long, members array<long>"))
+    first = met.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    first = first.join(sets.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
+    first = first.join(sets.select(F.col("id").alias("b"), F.col("members").alias("right")), "b")
+    first = stage(first.select("a", "b", "left", "right").mapInArrow(_meet(percent), MET))
+    label = components(first.where("linked").select("a", "b")).withColumnRenamed("node", "id")
+    # buckets that still hold several components
+    named = met.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    open_ = sizes.groupBy("band").agg(F.count("*").alias("several"), F.max_by("component", "c").alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max("c").alias("most"), F.max_by("w", "c").alias("main_w"))
+    cut = lambda c, w: F.ceil(F.greatest(c / part, w / SHINGLES)).cast("int")
+    open_ = open_.where("several > 1").select("band", "main", cut(F.col("c"), F.col("w")).alias("parts"), cut(F.col("c") - F.col("most"), F.col("w") - F.col("main_w")).alias("blocks"))
+    rows = named.join(open_, "band").join(first.select(F.col("a").alias("lead"), F.col("b").alias("id"), "missing", "diff"), ["lead", "id"], "left")
+    own, block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
+    cell = lambda lo, hi, guest: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(guest).alias("guest"))
+    member = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: cell(i, own, False))
+    guest = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: cell(block, i, True))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("component") == F.col("main"), member).otherwise(F.concat(member, guest))))
+    rows = rows.select("band", "cell.*", "component", "n", "lead_n", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("diff", F.array().cast("array<long>")).alias("diff"))
+    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+    joined = components(rows.mapInArrow(_cross(percent), "a long, b long").distinct()).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    label = stage(label.join(joined, "component", "left").select("id", F.coalesce("wider", "component").alias("component")).unionByName(joined.select(F.col("component").alias("id"), F.col("wider").alias("component"))).distinct())
+    linked = stage(classes.join(label, "id").select("k1", "k2", "component", F.struct("doc_id", "t1", "t2").alias("least")))
+    least = linked.groupBy("component").agg(F.min("least").alias("least"))
+    linked = stage(linked.drop("least").join(least, "component").select("k1", "k2", "least"))
+    alone = classes.join(linked, ["k1", "k2"], "left_anti").select("k1", "k2", F.struct("doc_id", "t1", "t2").alias("least"))
+    out = sketch.drop("bands").join(stage(linked.unionByName(alone)), ["k1", "k2"], "left")
+    known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    return out.select(
+        "doc_id", "t1", "t2", "n_shingles", F.when(known, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(known, F.col("least") == F.struct("doc_id", "t1", "t2")).otherwise(True).alias("chosen"),
+    )
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, part: int = PART) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a set is a text's distinct k-word shingles (fewer words: the
     whole sequence as one). Documents link if 100 * intersection >= percent * union; component_id is the smallest
     doc_id reachable and kept marks it. Null or wordless texts have an empty set, link with nothing and are kept. Rows
     with equal sets are linked. A null doc_id links with nothing: component_id null, kept. Rows that repeat a doc_id with
-    other texts are classes of their own. Empty tables give no rows; other columns are ignored.
+    other texts are documents of their own: each gets the component of its text. Texts of any length are read whole.
+    Empty tables give no rows; other columns are ignored, whatever their names.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketch = stage(docs.mapInArrow(_sketch(k), SKETCH))
-    usable = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")))
-    banded = classes.select("rep", "n", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("top")).where("lead <> top").select("band", "lead")
-    met = stage(banded.join(full, "band"))
-    ids = met.select("rep").distinct().join(classes.select("rep", "k1", "k2"), "rep").withColumnRenamed("rep", "doc_id")
-    sets = stage(docs.join(ids, "doc_id").mapInArrow(_sets(k), "rep long, members array<long>"))
-    first = met.where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    first = first.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("left")), "a")
-    first = first.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("right")), "b")
-    first = stage(first.select("a", "b", "left", "right").mapInArrow(_meet(percent), MET))
-    links = first.where("linked").select("a", "b")
-    label = components(links)
-    # buckets that still hold several components: members of different ones meet, each as its differences from the lead
-    named = met.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_ = named.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.ceil(F.count("*") / part).cast("int").alias("parts")).where("x <> y")
-    rows = named.join(open_.select("band", "parts"), "band").join(first.select(F.col("a").alias("lead"), F.col("b").alias("rep"), "missing", "diff"), ["lead", "rep"], "left")
-    rows = rows.join(classes.select(F.col("rep").alias("lead"), F.col("n").alias("lead_n")), "lead")
-    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(
-        "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rep", "component", "n", "lead_n",
-        F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("diff", F.array().cast("array<long>")).alias("diff"),
-    )
-    rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    more = stage(rows.mapInArrow(_cross(percent), "a long, b long").distinct())
-    if not more.isEmpty():
-        label = components(links.union(more))
-    named = classes.select("k1", "k2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("found"))
-    out = sketch.join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.expr("doc_id <=> component_id"))
+    return _components(docs, k, percent, part).select("doc_id", "n_shingles", "component_id", F.expr("doc_id <=> component_id").alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stand for their group of near-duplicates, all columns unchanged; of rows equal in doc_id and text one
-    stays, rows with a null doc_id all do."""
-    kept = near_duplicates(docs, k, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("__near_id")).distinct()
-    own = [F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text"))]
-    first = F.row_number().over(Window.partitionBy(*own).orderBy(F.lit(0)))
-    known = docs.join(kept, F.col("doc_id") == F.col("__near_id"), "left_semi").withColumn("__near_first", first).where("__near_first = 1").drop("__near_first")
+    """The rows of docs that stand for their group of near-duplicates, all columns unchanged: of a group the row with the smallest
+    doc_id (of rows that share it, one text) stays, of rows equal in doc_id and text one. Null or wordless texts are no copies of one
+    another; rows with a null doc_id all stay. An empty table gives no rows."""
+    chosen = _components(docs, k, percent, PART).where("chosen and doc_id is not null").select(*(F.col(c).alias(f"__near_{c}") for c in ("doc_id", "t1", "t2"))).distinct()
+    keys = ["__near_doc_id", "__near_t1", "__near_t2"]
+    hashes = _text_hashes(F.col("text"))
+    keyed = docs.withColumns({"__near_doc_id": F.col("doc_id").cast("long"), "__near_t1": hashes["t1"], "__near_t2": hashes["t2"]})
+    known = keyed.join(chosen, keys, "left_semi").dropDuplicates(keys).select(*(F.col(c) for c in docs.columns))
     return known.unionByName(docs.where("doc_id is null"))
 
 

@@ -563,6 +563,25 @@ def test_near_duplicates_with_odd_ids(spark):
     assert got == sorted([(5, 6, 3, False), (5, 6, 3, False), (None, 6, None, True), (3, 6, 3, True), (5, 4, 5, True), (None, 0, None, True)], key=str)
 
 
+def test_ids_shared_by_different_texts(spark):
+    """Each text has its own component; of a group one row stays, an unrelated text with the same id too."""
+    near = "a b c d e f g h i j k l m n o p q r s t"
+    rows = [(3, near), (5, near + " u"), (5, "quite another text than that one is"), (7, "quite another text than that one is"), (5, "Quite  another text than that one is"), (3, near), (2, None), (2, " "), (2, None)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, t1 int, component_id string").repartition(4)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(docs).collect())
+    assert got == sorted([(3, 16, 3, True)] * 2 + [(5, 17, 3, False)] + [(5, 3, 5, True)] * 2 + [(7, 3, 5, False)] + [(2, 0, 2, True)] * 3)
+    kept = [(r["doc_id"], (r["text"] or "").lower().split()) for r in minhash_dedup.keep_one(docs).collect()]
+    assert sorted(kept) == sorted([(3, near.split()), (5, "quite another text than that one is".split()), (2, [])] + [(2, [])])
+
+
+def test_equal_rows_are_one_class(spark):
+    text = words(random.Random(14), 200)
+    docs = spark.range(20_000).selectExpr("if(id % 2 = 0, 7, id + 10) as doc_id", f"concat('{text}', if(id % 4 = 1, ' end', '')) as text")
+    got = minhash_dedup.near_duplicates(docs).groupBy("component_id", "kept").count().collect()
+    assert sorted((r["component_id"], r["kept"], r["count"]) for r in got) == [(7, False, 10_000), (7, True, 10_000)]
+    assert minhash_dedup.keep_one(docs).count() == 1
+
+
 # --- pipeline -------------------------------------------------------------------------------------------------------------
 
 
