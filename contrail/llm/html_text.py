@@ -1,8 +1,9 @@
 """Visible text of HTML with its layout: blocks, lists and aligned tables.
 
 A small tree builder closes what HTML lets authors leave open (head, p, li, dt, dd, option, table parts); what browsers don't
-show is left out (head, scripts, styles, templates, comments, hidden, display:none, what svg and math only define). The tree is walked without
-recursion, and a writer collapses blanks and keeps block distances; cells of a table are rendered apart and padded to columns.
+show is left out (head, scripts, styles, templates, comments, hidden, display:none, what svg and math only define). The tree is walked
+without recursion, and a writer collapses blanks and keeps block distances; cells of a table are rendered apart and padded to
+columns. Time grows with the page: the places of open elements are kept by name, and a tag that never ends takes what follows.
 """
 
 from __future__ import annotations
@@ -44,8 +45,16 @@ CLOSES = {
 #: These close an open paragraph.
 ENDS_P = BLOCK - {"option", "select", "li", "tr", "caption", "html", "body"}
 SCOPE = frozenset({"td", "th", "caption", "table", "html", "button"})
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+#: End tags of other elements don't reach past these.
+CELLS = ("table", "td", "th")
+TABLE_PARTS = frozenset("table tr td th tbody thead tfoot body html".split())
+#: Lists and tables nested deeper are laid out as at this depth.
+DEEPEST = 12
+#: Rows that a cell can keep its place in.
+TALLEST = 100
+
+_MARKUP = re.compile(r"<(?:!--|[!?/a-zA-Z])")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>")
 _MAY_HIDE = re.compile(r"hidden|none", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
@@ -53,82 +62,134 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("kids", "shown", "tag")
+    __slots__ = ("attributes", "kids", "shown", "tag")
+
+    def __init__(self, tag: str, shown: bool = True, attributes: str = ""):
+        self.tag, self.shown, self.attributes, self.kids = tag, shown, attributes, []
 
-    def __init__(self, tag: str, shown: bool = True):
-        self.tag, self.shown, self.kids = tag, shown, []
+
+def attributes_of(source: str) -> dict[str, str]:
+    """Attribute values by lower-cased name, the first of a name; without a value: empty."""
+    named: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(source):
+        named.setdefault(name.lower(), entities.unescape("".join(values)))
+    return named
 
 
 def hides(attributes: str) -> bool:
     """Has the attribute hidden, or a style that hides; other names and values that hold such words don't count."""
     if not _MAY_HIDE.search(attributes):
         return False
-    named: dict[str, str] = {}
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        named.setdefault(name.lower(), "".join(values))
-    return "hidden" in named or bool(_UNSEEN.search(entities.unescape(named.get("style", ""))))
+    named = attributes_of(attributes)
+    return "hidden" in named or bool(_UNSEEN.search(named.get("style", "")))
+
+
+class Open:
+    """The open elements: a stack, and for each name the places of its elements in it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.stack[-1].kids.append(node)
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The innermost place of any of the tags, the root apart; 0 if none is open."""
+        found = 0
+        for tag in tags:
+            places = self.places.get(tag)
+            if places and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def cut(self, place: int) -> None:
+        """Close the element at a place and all within it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def close(self, tags, bounds) -> None:
+        """Close the tags that are open within the bounds."""
+        bound = self.last(bounds)
+        while (place := self.last(tags)) > bound:
+            self.cut(place)
+
+
+def pieces(source: str) -> Iterator[tuple[str, re.Match | None, int]]:
+    """(text, tag after it, place after the tag); comments and declarations are left out. A tag or comment that never ends takes
+    the rest of the page. The caller may send a later place to go on from."""
+    at = 0
+    text: list[str] = []
+    while True:
+        m = _MARKUP.search(source, at)
+        text.append(source[at : m.start() if m else len(source)])
+        if not m:
+            break
+        if m[0] == "<!--":
+            end = source.find("-->", m.start() + 2)
+            at = end + 3
+        elif m[0] in ("<!", "<?") or m[0] == "</" and not source[m.end() : m.end() + 1].isalpha():
+            end = source.find(">", m.start())
+            at = end + 1
+        else:
+            tag = _TAG.match(source, m.start())
+            end = tag.end() if tag else -1
+            if tag:
+                at = (yield "".join(text), tag, tag.end()) or tag.end()
+                text = []
+        if end < 0:
+            break
+    yield "".join(text), None, len(source)
 
 
 def parse(source: str) -> Node:
     """The tree of a document; unknown end tags are ignored, open elements end with the document."""
     root = Node("html")
-    stack = [root]
-    at = 0
-
-    def close(tags: set[str] | frozenset[str], bounds: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in tags:
-                del stack[i:]
-                close(tags, bounds)
-                break
-
+    opened = Open(root)
+    stack = opened.stack
+    reader = pieces(source)
+    resume = None
     while True:
-        m = _TOKEN.search(source, at)
-        text = source[at : m.start() if m else len(source)]
+        text, m, at = reader.send(resume)
+        resume = None
         if text:
             if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
-                stack.pop()
+                opened.cut(len(stack) - 1)
             stack[-1].kids.append(entities.unescape(text))
         if not m:
             return root
-        at = m.end()
-        if not m[2]:
-            continue
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            place = opened.last((tag,))
+            if place and (tag in TABLE_PARTS or place > opened.last(CELLS)):
+                opened.cut(place)
             continue
         if stack[-1].tag == "head" and tag not in IN_HEAD and tag != "html":
-            stack.pop()
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+            opened.cut(len(stack) - 1)
+        if tag == "html" or tag == "body" and opened.places.get("body"):
             continue
         if tag in CLOSES:
-            close(*CLOSES[tag])
+            opened.close(*CLOSES[tag])
         if tag in ENDS_P:
-            close({"p"}, SCOPE)
+            opened.close(("p",), SCOPE)
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
-            row = Node("tr")
-            stack[-1].kids.append(row)
-            stack.append(row)
-        foreign = any(n.tag in ("svg", "math") for n in stack) if tag in DEFINED or tag in RAW or tag == "text" else False
+            opened.push(Node("tr"))
+        foreign = bool(opened.places.get("svg") or opened.places.get("math"))
         if foreign and tag == "text":
             stack[-1].kids.append(" ")  # labels stand apart
-        node = Node(tag, tag not in HIDDEN and not (foreign and tag in DEFINED) and not (attributes and hides(attributes)))
-        stack[-1].kids.append(node)
+        node = Node(tag, tag not in HIDDEN and not (foreign and tag in DEFINED) and not (attributes and hides(attributes)), attributes)
         if tag in RAW and not (foreign and attributes.endswith("/")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             if node.shown:
                 node.kids.append(entities.unescape(source[at : end.start() if end else len(source)]))
-            at = end.end() if end else len(source)
-        elif tag not in VOID and not attributes.endswith("/"):
-            stack.append(node)
+            stack[-1].kids.append(node)
+            resume = end.end() if end else len(source)
+        elif tag in VOID or attributes.endswith("/") and (foreign or tag in ("svg", "math")):
+            stack[-1].kids.append(node)
+        else:
+            opened.push(node)
 
 
 class Writer:
@@ -136,10 +197,10 @@ class Writer:
 
     def __init__(self):
         self.lines: list[str] = []
-        self.line = ""
+        self.parts: list[str] = []  # of the current line
         self.gap = 0
         self.first = ""  # stands before the next line once, as a list mark
-        self.indent = ""
+        self.indent: list[str] = []
 
     def text(self, s: str, pre: bool = False) -> None:
         if pre:
@@ -149,23 +210,21 @@ class Writer:
                 self._add(part)
             return
         s = _BLANKS.sub(" ", s)
-        if not self.line or self.line.endswith(" "):
+        if not self.parts or self.parts[-1].endswith(" "):
             s = s.lstrip(" ")
-        if s:
-            self._add(s)
+        self._add(s)
 
     def _add(self, s: str) -> None:
         if s:
-            self.line += s
+            self.parts.append(s)
 
     def end(self, spacing: int, keep: bool = False) -> None:
         """End the line; spacing 2 asks for a blank line before what follows."""
-        line = self.line.rstrip(" ")
+        line = "".join(self.parts).rstrip(" ")
+        self.parts = []
         if line or keep:
             self.put(line)
-            self.line = ""
             self.gap = 0
-        self.line = ""
         if spacing > 1:
             self.gap = 1
 
@@ -173,18 +232,65 @@ class Writer:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = 0
-        mark = self.first or self.indent
+        mark = self.first or "".join(self.indent[:DEEPEST])
         self.first = ""
         self.lines.append((mark + line).rstrip(" "))
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    rows = [[cell.split("\n") for cell in row] for row in rows if any(row)]
-    wide = [max(len(line) for row in rows if c < len(row) for line in row[c]) for c in range(max(map(len, rows), default=0))]
-    out = []
+def span_of(node: Node, name: str, most: int) -> int:
+    """colspan or rowspan of a cell, 1 where it is none."""
+    value = attributes_of(node.attributes).get(name, "") if name in node.attributes.lower() else ""
+    digits = re.match(r"\s*([0-9]{1,9})", value)
+    return min(max(int(digits[1]), 1), most) if digits else 1
+
+
+def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table of (text, columns, rows) cells. A cell of several columns stands over all of them, and the places it takes
+    in later rows stay empty; columns in which no cell begins take no room."""
+    below: dict[int, tuple[int, int]] = {}  # first column -> (columns, rows still taken)
+    placed: list[list[tuple[int, int, list[str]]]] = []
     for row in rows:
-        for i in range(max(map(len, row))):
-            out.append("  ".join((cell[i] if i < len(cell) else "").ljust(wide[c]) for c, cell in enumerate(row)).rstrip())
+        at, line, taken = 0, [], below
+        below = {c: (w, n - 1) for c, (w, n) in taken.items() if n > 1}
+        for text, wide, high in row:
+            while at in taken:
+                at += taken[at][0]
+            line.append((at, at + wide, text.split("\n")))
+            if high > 1:
+                below[at] = (wide, high - 1)
+            at += wide
+        if any(text for text, _, _ in row):
+            placed.append(line)
+    starts = {c: i for i, c in enumerate(sorted({a for line in placed for a, _, _ in line}))}
+    order = sorted(starts)
+    width = [0] * len(order)
+    last_of = {}
+    for line in placed:
+        for a, b, text in line:
+            i = starts[a]
+            j = i
+            while j + 1 < len(order) and order[j + 1] < b:
+                j += 1
+            last_of[a, b] = j
+            if i == j:
+                width[i] = max(width[i], *map(len, text))
+    for (a, _), j in last_of.items():  # what stands over several columns widens the last of them
+        i = starts[a]
+        if j > i:
+            need = max(len(x) for line in placed for c, d, text in line if (c, last_of[c, d]) == (a, j) for x in text)
+            width[j] = max(width[j], need - sum(width[i:j]) - 2 * (j - i))
+    left = [0]
+    for w in width:
+        left.append(left[-1] + w + 2)
+    out = []
+    for line in placed:
+        for k in range(max(len(text) for _, _, text in line)):
+            parts, at = [], 0
+            for a, _, text in line:
+                if k < len(text) and text[k]:
+                    parts.append(" " * (left[starts[a]] - at) + text[k])
+                    at = left[starts[a]] + len(text[k])
+            out.append("".join(parts).rstrip())
     return out
 
 
@@ -193,24 +299,24 @@ def render(source: str | None) -> str:
     out = [Writer()]
     pre = 0
     lists: list[list] = []  # [kind, items so far]
-    tables: list[list[list[str]]] = []
-    stack: list[tuple[Node, Iterator]] = []
+    tables: list[list | None] = []  # rows of cells; None: too deep, laid out as blocks
     root = parse(source or "")
-    stack.append((root, iter(root.kids)))
+    stack: list[tuple[Node, Iterator]] = [(root, iter(root.kids))]
     while stack:
         node, kids = stack[-1]
         kid = next(kids, None)
         w = out[-1]
         if isinstance(kid, str):
-            if kid.strip() or not (node.tag in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol")):
-                w.text(kid, pre > 0)
+            if kid.strip() or node.tag not in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol"):
+                first = node.tag in ("pre", "textarea") and kid is node.kids[0]
+                w.text(re.sub(r"\A\r?\n", "", kid) if first else kid, pre > 0)
             continue
         if kid is not None:
             if not kid.shown:
                 continue
             tag = kid.tag
             if tag == "br":
-                w.end(1, keep=bool(w.line) or pre > 0 or bool(w.lines and not w.gap))
+                w.end(1, keep=bool(w.parts) or pre > 0 or bool(w.lines and not w.gap))
                 continue
             if tag == "hr":
                 w.end(2)
@@ -218,8 +324,7 @@ def render(source: str | None) -> str:
             if tag in VOID:
                 continue
             if tag in BLOCK:
-                nested = tag in ("ul", "ol") and lists
-                w.end(2 if tag in SPACED and not nested else 1)
+                w.end(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag == "pre":
                 pre += 1
             elif tag in ("ul", "ol"):
@@ -228,45 +333,45 @@ def render(source: str | None) -> str:
                 kind = lists[-1] if lists else ["ul", 0]
                 kind[1] += 1
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
-                w.first = w.indent + mark
-                w.indent += " " * len(mark)
-                kid.kids.append(len(mark))  # taken off on leaving
+                w.first = "".join(w.indent[:DEEPEST]) + mark
+                w.indent.append(" " * len(mark))
             elif tag == "dd":
-                w.indent += "    "
+                w.indent.append("    ")
             elif tag == "table":
-                tables.append([])
-            elif tag == "tr" and tables:
+                tables.append([] if len(tables) < DEEPEST else None)
+            elif tag == "tr" and tables and tables[-1] is not None:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
-                out.append(Writer())
-            stack.append((kid, iter([k for k in kid.kids if not isinstance(k, int)])))
+                if tables[-1] is None:
+                    w.end(1)
+                else:
+                    if not tables[-1]:
+                        tables[-1].append([])
+                    out.append(Writer())
+            stack.append((kid, iter(kid.kids)))
             continue
         stack.pop()
         tag = node.tag
-        if tag in ("td", "th") and tables and len(out) > 1:
+        if tag in ("td", "th") and tables and tables[-1] is not None and len(out) > 1:
             w.end(1)
             out.pop()
-            tables[-1][-1].append("\n".join(w.lines).strip("\n"))
+            tables[-1][-1].append(("\n".join(w.lines).strip("\n"), span_of(node, "colspan", 1000), span_of(node, "rowspan", TALLEST)))
             continue
         if tag == "table" and tables:
-            for line in _table(tables.pop()):
+            for line in layout(tables.pop() or []):
                 w.end(1)
                 w.put(line)
         if tag == "pre":
             pre -= 1
         if tag in BLOCK:
-            nested = tag in ("ul", "ol") and len(lists) > 1
-            w.end(2 if tag in SPACED and not nested else 1)
+            w.end(2 if tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1) else 1)
         if tag in ("ul", "ol"):
             lists.pop()
         elif tag == "li":
-            n = next(k for k in reversed(node.kids) if isinstance(k, int))
-            w.indent = w.indent[:-n]
+            w.indent.pop()
             w.first = ""
         elif tag == "dd":
-            w.indent = w.indent[:-4]
+            w.indent.pop()
     out[0].end(1)
     return "\n".join(out[0].lines)
 
@@ -280,8 +385,9 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars for each row of pages(page_id, html).
 
-    Null and empty html give an empty text; broken markup is read as far as it goes. Null page_ids and repeated
-    rows stay; other columns are ignored; an empty table gives no rows.
+    Null and empty html give an empty text; broken markup is read as browsers do: a tag, quoted value or comment that never
+    ends takes the rest. Pages of any length and depth are read whole; lists and tables nested over 12 deep keep their text and lose
+    further indentation. Null page_ids and repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     out = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_render, "page_id long, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

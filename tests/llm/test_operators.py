@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -513,6 +514,39 @@ def test_all_visible_text(source, want):
     assert html_text.render(source) == want
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ('<a b="x>y">a</a><p title=">">b</p>', "a\n\nb"),
+        ('<p class=x"y>a</p>b', "a\n\nb"),
+        ('a<b title="never closed>c</b> d', "ac d"),
+        ("a<b c", "a"),
+        ("a<!-- b", "a"),
+        ("a</ b>c<?d?>e<!f>g", "aceg"),
+        ("<pre>\n x</pre>", " x"),
+        ("<table><tr><td colspan=2>all of them<td>c<tr><td>a<td>b<td>d</table>", "all of them  c\na  b         d"),
+        ("<table><tr><td rowspan=2>r<td>a<tr><td>b</table>", "r  a\n   b"),
+        ("<div/>a<svg/>b<p/>c", "ab\n\nc"),
+        ("<table><tr><td><b>x</td></b></i><td>y</table>z", "x  y\n\nz"),
+    ],
+)
+def test_broken_and_spanning_markup(source, want):
+    assert html_text.render(source) == want
+
+
+@pytest.mark.parametrize(
+    "unit", ['<a "', '<a b="', "<div>", "</b>", "<i></u>", "<!", "<", "<p>x", "<ul><li>x", "<table><tr><td>x", "<td colspan=1000>x", "<tr><td rowspan=9999>x", "<svg><desc>", '<a b="x" ', "</title   ", "<b>x</b> "]
+)
+def test_time_grows_with_the_page(unit):
+    def seconds(size):
+        source = "<table>" + unit * (size // len(unit))
+        began = time.process_time()
+        html_text.render(source)
+        return time.process_time() - began
+
+    assert seconds(400_000) < max(12 * min(seconds(50_000) for _ in range(3)), 1.0)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>é", "u", "x"), (None, None, None, "y"), (1, "<p>é", "u", "x")], "page_id long, html string, url string, text string")
     assert sorted(html_text.extract(pages).collect(), key=str) == sorted([(1, "é", 1), (1, "é", 1), (None, "", 0)], key=str)
