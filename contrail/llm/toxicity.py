@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A document's terms are its distinct words (runs of letters and digits, A-Z lower-cased) and their first 4 and 5 bytes, hashed
-into 2^22 places; presence counts, not frequency. The machine adds to a linear score the interaction of every pair of terms
-present, as the product of two short vectors, so a word can count only beside another. It is fitted by Adam on a bounded
-sample of labelled rows, its bias moved to the class shares of all labelled rows; scoring is one scan of all texts.
+into 2^22 places; presence counts, not frequency. A term's value is how far its share of toxic documents in the sample lies
+from the sample's own, in standard errors: what all texts share counts for little, and no term is left out. The machine adds
+to a linear score the interaction of every pair of terms present, as the product of two short vectors, so a word can count
+only beside another. It is fitted by AdaGrad in batches on a bounded sample of labelled rows, both classes weighing alike;
+scoring is one scan of all texts.
 """
 
 from __future__ import annotations
@@ -22,14 +24,14 @@ from contrail.llm.common import Words, column, packed, slices, stage
 
 #: Places of the hashed terms, bytes of a word that make terms of their own, length of a term's vector.
 PLACES, PREFIXES, FACTORS = 1 << 22, (4, 5), 4
-#: Documents of either class that the machine is fitted on, the first by a hash of doc_id; terms kept, by chi-square.
-SAMPLE, TERMS = 6000, 8192
-STEPS, RATE, DECAY, SEED, LIFT = 200, 0.05, 2e-4, 3, 1.25
+#: Documents of either class that the machine is fitted on, the first by a hash of doc_id.
+SAMPLE = 6000
+EPOCHS, BATCH, RATE, DECAY, SEED = 5, 128, 0.05, 1e-3, 3
 
 
 @dataclass(frozen=True)
 class Machine:
-    """places: sorted hashed terms; bias, weights and vectors of the machine."""
+    """places: sorted hashed terms; bias, weights and vectors of the machine, the terms' values multiplied in."""
 
     places: np.ndarray
     bias: float
@@ -58,53 +60,71 @@ def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([column(batch, "toxic"), lists], ["toxic", "terms"])
 
 
-def fit(labels: np.ndarray, lists: list[np.ndarray], shares: tuple[int, int]) -> Machine:
-    """labels 0/1 and each row's terms; shares: rows of class 0 and 1 that the bias is set for."""
-    prior = math.log((shares[1] + 0.5) / (shares[0] + 0.5))
-    ones = int(labels.sum())
-    nothing = Machine(np.empty(0, np.int64), prior, np.empty(0), np.empty((0, FACTORS)))
-    if not ones or ones == len(labels):
-        return nothing
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+@dataclass
+class _Lot:
+    """The rows of one batch: their terms in a row, each row's first, and the terms in order with their first."""
+
+    labels: np.ndarray
+    terms: np.ndarray
+    rows: np.ndarray
+    row_starts: np.ndarray
+    used: np.ndarray
+    order: np.ndarray
+    term_starts: np.ndarray
+
+
+def _lots(labels: np.ndarray, lists: list[np.ndarray], at: np.ndarray, rng: np.random.Generator) -> list[_Lot]:
+    ends = np.cumsum([0, *map(len, lists)])
+    full = rng.permutation([i for i, x in enumerate(lists) if len(x)])
+    out = []
+    for i in range(0, len(full), BATCH):
+        rows = full[i : i + BATCH]
+        terms = np.concatenate([at[ends[r] : ends[r + 1]] for r in rows])
+        sizes = np.array([len(lists[r]) for r in rows])
+        order = np.argsort(terms, kind="stable").astype(np.int32)
+        used, starts = np.unique(terms[order], return_index=True)
+        out.append(_Lot(labels[rows], terms, np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes) - sizes, used, order, starts))
+    return out
+
+
+def fit(labels: np.ndarray, lists: list[np.ndarray]) -> Machine:
+    """labels 0/1 and each row's terms."""
+    n, ones = len(labels), int(labels.sum())
+    if not ones or ones == n:
+        return Machine(np.empty(0, np.int64), math.log((ones + 0.5) / (n - ones + 0.5)), np.empty(0), np.empty((0, FACTORS)))
     places, at = np.unique(np.concatenate(lists), return_inverse=True)
-    n, seen = len(labels), np.bincount(at, minlength=len(places))
-    hits = np.bincount(at, weights=labels[rows], minlength=len(places))
+    at = at.astype(np.int32)
+    rows = np.repeat(np.arange(n), [len(x) for x in lists])
+    seen, hits = np.bincount(at, minlength=len(places)), np.bincount(at, weights=labels[rows], minlength=len(places))
     expected = seen * ones / n
-    chi = (hits - expected) ** 2 / np.maximum(expected * (1 - seen / n) * (1 - ones / n), 1e-9)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:TERMS])
-    kept = kept[(chi[kept] > 6.6) & (seen[kept] >= 3)]
-    if not len(kept):
-        return nothing
-    number = np.full(len(places), -1)
-    number[kept] = np.arange(len(kept))
-    at = number[at]
-    rows, at = rows[at >= 0], at[at >= 0]
-    by_term = np.argsort(at, kind="stable")
-    starts = np.searchsorted(at[by_term], np.arange(len(kept)))
+    value = (np.abs(hits - expected) / np.sqrt(expected * (1 - ones / n) + 1) / 3).astype(np.float32)
     rng = np.random.default_rng(SEED)
-    size = len(kept)
-    theta = np.zeros((size, 1 + FACTORS))
-    theta[:, 1:] = rng.normal(0, 0.02, (size, FACTORS))
-    bias = math.log(ones / (n - ones))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    mb = vb = 0.0
-    for step in range(1, STEPS + 1):
-        here = theta[at]
-        sums = np.stack([np.bincount(rows, weights=here[:, j], minlength=n) for j in range(1 + FACTORS)], axis=1)
-        squares = np.bincount(rows, weights=(here[:, 1:] ** 2).sum(axis=1), minlength=n)
-        z = bias + sums[:, 0] + 0.5 * ((sums[:, 1:] ** 2).sum(axis=1) - squares)
-        error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
-        part = np.empty((len(at), 1 + FACTORS))
-        part[:, 0] = error[rows]
-        part[:, 1:] = error[rows][:, None] * (sums[rows, 1:] - here[:, 1:])
-        grad = np.add.reduceat(part[by_term], starts, axis=0) / n + DECAY * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        theta -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        g = error.mean()
-        mb, vb = 0.9 * mb + 0.1 * g, 0.999 * vb + 0.001 * g * g
-        bias -= RATE * (mb / (1 - 0.9**step)) / (math.sqrt(vb / (1 - 0.999**step)) + 1e-8)
-    bias += prior - math.log(ones / (n - ones))
-    return Machine(places[kept], bias, theta[:, 0].copy(), theta[:, 1:].copy())
+    theta = np.zeros((len(places), 1 + FACTORS), np.float32)
+    theta[:, 1:] = rng.normal(0, 0.02, (len(places), FACTORS))
+    squares = np.full_like(theta, 1e-2)
+    bias, bias_squares = 0.0, 1e-2
+    lots = _lots(labels, lists, at, rng)
+    for _ in range(EPOCHS):
+        for j in rng.permutation(len(lots)):
+            lot = lots[j]
+            x = value[lot.terms][:, None]
+            here = theta[lot.terms] * x
+            sums = np.add.reduceat(here, lot.row_starts, axis=0)
+            pairs = (sums[:, 1:] ** 2).sum(axis=1) - np.add.reduceat((here[:, 1:] ** 2).sum(axis=1), lot.row_starts)
+            guess = 1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + 0.5 * pairs, -30, 30)))
+            weight = np.where(lot.labels > 0, 0.5 * n / ones, 0.5 * n / (n - ones)) / BATCH
+            error = ((guess - lot.labels) * weight).astype(np.float32)
+            part = sums[lot.rows] - here
+            part[:, 0] = 1
+            part *= error[lot.rows][:, None] * x
+            grad = np.add.reduceat(part[lot.order], lot.term_starts, axis=0) + DECAY / len(lots) * theta[lot.used]
+            squares[lot.used] += grad**2
+            theta[lot.used] -= RATE * grad / np.sqrt(squares[lot.used])
+            g = float(error.sum())
+            bias_squares += g * g
+            bias -= RATE * g / math.sqrt(bias_squares)
+    theta *= value[:, None]
+    return Machine(places, bias, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
 def held_out(doc_id: Column) -> Column:
@@ -112,43 +132,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def telling(table: DataFrame) -> DataFrame:
-    """The terms of table(toxic, terms) with the largest chi-square, at most TERMS, over its 1 % level, in three documents or more, with a class share that differs by LIFT from the sample's: words that
-    nearly all texts share tell nothing and cost most."""
-    n, ones = max(float(table.count()), 1.0), float(table.where("toxic = 1").count())
-    seen = table.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("seen"), F.sum("toxic").alias("hits"))
-    expected = F.col("seen") * ones / n
-    chi = (F.col("hits") - expected) * (F.col("hits") - expected) / F.greatest(expected * (1 - F.col("seen") / n) * (1 - ones / n), F.lit(1e-9))
-    lift = F.col("hits") / F.greatest(expected, F.lit(1e-9))
-    found = seen.where("seen >= 3").select("term", chi.alias("chi"), lift.alias("lift")).where(f"chi > 6.6 and (lift > {LIFT} or lift < {1 / LIFT})")
-    return found.orderBy(F.col("chi").desc(), "term").limit(TERMS).select("term")
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on docs(doc_id, text) labelled in labels(doc_id, toxic), held-out ids left out; conflicting labels count as toxic."""
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows
     table = stage(texts.select("toxic", "text").mapInArrow(_collect_terms, "toxic int, terms array<int>"))
-    kept = np.sort(np.array([r["term"] for r in telling(table).collect()], np.int32))  # at most TERMS rows
-
-    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = column(batch, "terms")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            good = np.isin(values, kept)
-            upto = np.concatenate([[0], np.cumsum(good)])[ends]
-            yield pa.RecordBatch.from_arrays([column(batch, "toxic"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(values[good]))], ["toxic", "terms"])
-
-    table = table.mapInArrow(select, "toxic int, terms array<int>").toArrow()
+    table = table.toArrow()  # at most 2 * sample rows of at most PLACES terms
     lists = [x.values.to_numpy() for x in table.column("terms").combine_chunks()] if table.num_rows else []
     y = table.column("toxic").to_numpy().astype(float)
     # the same machine whatever the order of rows
     by = sorted(range(len(lists)), key=lambda i: (y[i], len(lists[i]), lists[i].tobytes()))
-    return fit(y[by], [lists[i] for i in by], (shares.get(0, 0), shares.get(1, 0)))
+    return fit(y[by], [lists[i] for i in by])
 
 
 def scores(machine: Machine, texts: pa.Array) -> np.ndarray:
@@ -161,19 +158,22 @@ def scores(machine: Machine, texts: pa.Array) -> np.ndarray:
         rows, at = rows[at >= 0], at[at >= 0].astype(np.int64)
         both = np.unique(rows * len(machine.places) + at)
         rows, at = both // len(machine.places), both % len(machine.places)
-        out = out + np.bincount(rows, weights=machine.weights[at], minlength=len(texts))
-        for j in range(FACTORS):
-            x = machine.vectors[at, j]
-            out += 0.5 * (np.bincount(rows, weights=x, minlength=len(texts)) ** 2 - np.bincount(rows, weights=x**2, minlength=len(texts)))
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        if len(starts):
+            x = machine.vectors[at].astype(float)
+            pairs = (np.add.reduceat(x, starts, axis=0) ** 2 - np.add.reduceat(x**2, starts, axis=0)).sum(axis=1)
+            out[rows[starts]] += np.add.reduceat(machine.weights[at].astype(float), starts) + 0.5 * pairs
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs(doc_id, text).
 
-    score is the probability of label 1 from the text alone; null and empty texts get the bias's. Labels of held-out ids
-    (crc32 of the id as text, modulo 5, is 0) are not learned from. Without labels of both classes the score is the share of
-    toxic labels. Repeated rows get equal scores; a null doc_id is not held out; an empty table gives no rows; other columns are ignored.
+    score tells from the text alone how likely label 1 is where both labels are as frequent; null and empty texts get the bias's.
+    Labels of held-out ids (crc32 of the id as text, modulo 5, is 0) are not learned from. Without labels of both classes the
+    score is the share of toxic labels. Equal texts get equal scores, texts of any length are read whole; a null doc_id is not held
+    out and has no label; rows that share a labelled doc_id are all learned from. An empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
@@ -186,7 +186,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs scored under the threshold, all columns unchanged."""
+    """The rows of docs scored under the threshold, all columns unchanged; null and empty texts score as in `toxicity`, repeated rows
+    go or stay together, an empty table gives no rows."""
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     columns = docs.columns
 

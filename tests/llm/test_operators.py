@@ -117,7 +117,7 @@ def test_machine_learns_a_pair_that_weights_miss():
         x, y = rng.random(2) < 0.5
         lists.append(np.unique(np.array([7] * int(x) + [9] * int(y) + list(rng.integers(20, 40, 4)), np.int32)))
         labels.append(float(x and y))
-    machine = toxicity.fit(np.array(labels), lists, (900, 300))
+    machine = toxicity.fit(np.array(labels), lists)
     assert set(machine.places) >= {7, 9}
     at = {int(p): i for i, p in enumerate(machine.places)}
 
@@ -128,6 +128,22 @@ def test_machine_learns_a_pair_that_weights_miss():
     assert z(7, 9) > 0 > max(z(7), z(9))
 
 
+def test_scores_by_hand(spark):
+    """Every score again, pair by pair, from the terms of each text."""
+    rng = random.Random(21)
+    texts = [f"{words(rng, 12, 60)} {'vile them' if i % 3 == 0 else ''}" for i in range(90)] + [None, "", "vile"]
+    labels = np.array([float(i % 3 == 0) for i in range(90)])
+    rows, places = toxicity.terms(pa.array(texts))
+    lists = [np.unique(places[rows == i]).astype(np.int32) for i in range(len(texts))]
+    machine = toxicity.fit(labels, lists[:90])
+    at = {int(p): i for i, p in enumerate(machine.places)}
+    assert set(at) == {int(p) for x in lists[:90] for p in x}  # no term is left out
+    for x, got in zip(lists, toxicity.scores(machine, pa.array(texts))):
+        ids = [at[int(p)] for p in x if int(p) in at]
+        z = machine.bias + sum(float(machine.weights[i]) for i in ids) + sum(float(machine.vectors[i].astype(float) @ machine.vectors[j].astype(float)) for i, j in itertools.combinations(ids, 2))
+        assert math.isclose(got, 1 / (1 + math.exp(-max(min(z, 30), -30))), rel_tol=1e-3)
+
+
 def test_toxicity_held_out_and_edges(spark):
     rng = random.Random(3)
     texts = [f"{words(rng, 40)} {'Vilestem' + rng.choice(['en', 'a', 'ig']) if i % 4 == 0 else 'fine'} {words(rng, 30)}" for i in range(400)] + [None, "", "x" * 50_000]
