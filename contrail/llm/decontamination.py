@@ -1,85 +1,139 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Per benchmark item, documents are read in windows of as many words as the item has (a shorter document is one window).
-Only windows that share a 5-word shingle with some item can be similar to one; their 64-bit SimHash (every shingle occurrence
-votes on each bit) is looked up in a multi-index: 8 blocks of 8 bits, each with all values up to 2 bits away, so that every
-item within 23 bits is met in at least one block (23 // 8 = 2). A pair of similarity 0.8 lies about 10 bits apart, over 23 with
-probability 2e-6. Candidates are verified by weighted Jaccard: sums of minima and maxima of shingle counts.
+Per benchmark item, documents are read in windows of as many words as the item has (a shorter document is one window). A
+window can be similar to an item only if at least S / (1 + S) of both's shingles, S = 0.8, are shingles of such items; others are never
+hashed, which loses nothing. The 64-bit SimHash of a window (every shingle occurrence votes on each bit) is looked up in a multi-index: a
+table from (block, value) to items, 8 blocks of 8 bits, each item posted under all values up to 2 bits from its own, so that every
+item within 23 bits is met in at least one block (23 // 8 = 2). A pair of similarity 0.8 lies about 10 bits apart, over 23
+with probability 2e-6. Candidates are verified by weighted Jaccard: sums of minima and maxima of shingle counts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.llm.common import Rolling, Words, column, packed, slices, stage
+from contrail.llm.common import Rolling, Words, column, mix, packed, slices, stage
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
 #: Items and bytes of one index that is sent to all executors; a larger benchmark is matched in several passes.
 ITEMS, BYTES = 4096, 16 << 20
 
-_near = np.array([[bin(a ^ b).count("1") <= RADIUS // BLOCKS for b in range(256)] for a in range(256)])
+#: Words whose votes are summed at once, windows that are looked up at once.
+SEGMENT, LOOKUPS = 1 << 16, 512
+
+_near = [np.array([v for v in range(256) if (v ^ own).bit_count() <= RADIUS // BLOCKS]) for own in range(256)]
 
 
 def simhash(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Fingerprint of each run of n shingles; ties of votes give 0."""
-    bits = ((shingles[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.int32) * 2 - 1
-    sums = np.zeros((len(shingles) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:])
-    votes = sums[starts + n] - sums[starts] > 0
-    return (votes.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    """Fingerprint of each run of n shingles (starts ascending); ties of votes give 0."""
+    out = np.zeros(len(starts), np.uint64)
+    done = 0
+    while done < len(starts):
+        low = int(starts[done])
+        upto = int(np.searchsorted(starts, low + SEGMENT, "right"))
+        part = shingles[low : int(starts[upto - 1]) + n]
+        at = starts[done:upto] - low
+        sums = np.zeros(len(part) + 1, np.int64)
+        for bit in range(64):
+            np.cumsum((part >> np.uint64(bit)) & np.uint64(1), out=sums[1:])
+            out[done:upto] |= (2 * (sums[at + n] - sums[at]) > n).astype(np.uint64) << np.uint64(bit)
+        done = upto
+    return out
+
+
+def least_common(n: int, m: int) -> int:
+    """Shingles that sets of n and m must have in common for the similarity."""
+    return max(1, math.ceil(SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-9))
+
+
+class Size:
+    """Items of as many words, all of their shingles, and the table that is probed."""
+
+    def __init__(self, words: int, items: list[int], shingles: list[tuple[np.ndarray, np.ndarray]], prints: list[int]):
+        self.words, self.k = words, min(SHINGLE, words)
+        self.m = words - self.k + 1
+        self.items, self.prints = np.array(items), np.array(prints, np.uint64)
+        self.keys = np.unique(np.concatenate([s for s, _ in shingles]))
+        keys, posts = [], []
+        for i, fingerprint in enumerate(prints):
+            for b in range(BLOCKS):
+                values = _near[fingerprint >> 8 * b & 255]
+                keys.append(values + 256 * b)
+                posts.append(np.full(len(values), i))
+        keys = np.concatenate(keys)
+        by = np.argsort(keys, kind="stable")
+        self.posts = np.concatenate(posts)[by].astype(np.int32)
+        self.first = np.searchsorted(keys[by], np.arange(256 * BLOCKS + 1))
+
+    def probe(self, fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place of the item, distance) of all items within the radius of each fingerprint."""
+        blocks = ((fingerprints[:, None] >> np.arange(0, 64, 8, dtype=np.uint64)) & np.uint64(255)).astype(np.int64) + 256 * np.arange(BLOCKS)
+        start, n = self.first[blocks].ravel(), (self.first[blocks + 1] - self.first[blocks]).ravel()
+        ends = np.cumsum(n)
+        met = self.posts[np.arange(ends[-1]) + np.repeat(start - ends + n, n)]
+        pairs = np.unique(np.repeat(np.arange(len(n)) // BLOCKS, n) * len(self.items) + met)
+        window, item = pairs // len(self.items), pairs % len(self.items)
+        distance = np.bitwise_count(fingerprints[window] ^ self.prints[item])
+        near = distance <= RADIUS
+        return window[near], item[near], distance[near]
 
 
 class Index:
-    """Items of one pass: shingles with postings, counts, fingerprints and their blocks."""
+    """The items of one pass by their number of words."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        texts = pa.array([t for _, t in items], pa.string())
-        words = Words(*packed(texts), lower=True)
+        words = Words(*packed(pa.array([t for _, t in items], pa.string())), lower=True)
         roll = Rolling(words.hash)
-        self.ids, self.sizes, self.counts, self.prints = [], [], [], []
-        #: shingle length -> {shingle: [(item, place)]}
-        self.posts: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        for i, (item_id, _) in enumerate(items):
-            a, b = int(words.first[i]), int(words.first[i + 1])
+        self.ids: list[int] = []
+        self.counts: list[tuple[np.ndarray, np.ndarray]] = []
+        by_size: dict[int, list[tuple[int, int]]] = {}
+        for (item_id, _), a, b in zip(items, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
             if a == b:
                 continue
             k = min(SHINGLE, b - a)
             at = np.arange(a, b - k + 1)
             shingles = roll.ranges(at, at + k)
-            number = len(self.ids)
+            by_size.setdefault(b - a, []).append((len(self.ids), int(simhash(shingles, np.array([0]), len(shingles))[0])))
             self.ids.append(item_id)
-            self.sizes.append(b - a)
-            self.counts.append(Counter(shingles.tolist()))
-            self.prints.append(int(simhash(shingles, np.array([0]), len(shingles))[0]))
-            for place, s in enumerate(shingles.tolist()):
-                self.posts.setdefault(k, {}).setdefault(s, []).append((number, place))
-        self.keys = {k: np.sort(np.array(list(p), np.uint64)) for k, p in self.posts.items()}
-        prints = np.array(self.prints, np.uint64)
-        self.blocks = ((prints[:, None] >> np.arange(0, 64, 8, dtype=np.uint64)) & np.uint64(255)).astype(np.int64)
-        self.by_size: dict[int, np.ndarray] = {}
-        for n in set(self.sizes):
-            self.by_size[n] = np.flatnonzero(np.array(self.sizes) == n)
-
-
-def _within(index: Index, size: int, fingerprint: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(window, item, distance) for items of this size within the radius of the windows' fingerprints."""
-    items = index.by_size[size]
-    own = ((fingerprint[:, None] >> np.arange(0, 64, 8, dtype=np.uint64)) & np.uint64(255)).astype(np.int64)
-    met = np.zeros((len(fingerprint), len(items)), bool)
-    for b in range(BLOCKS):
-        met |= _near[own[:, b][:, None], index.blocks[items, b][None, :]]
-    for w, i in zip(*np.nonzero(met), strict=True):
-        item = int(items[i])
-        distance = (int(fingerprint[w]) ^ index.prints[item]).bit_count()
-        if distance <= RADIUS:
-            yield int(w), item, distance
+            self.counts.append(np.unique(shingles, return_counts=True))
+        self.sizes = [Size(n, [i for i, _ in group], [self.counts[i] for i, _ in group], [p for _, p in group]) for n, group in sorted(by_size.items())]
+        self.keys = {k: np.unique(np.concatenate([s.keys for s in self.sizes if s.k == k])) for k in {s.k for s in self.sizes}}
+
+
+def _among(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def windows_of(size: Size, hits: np.ndarray, row_of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """(ascending starts, shingles) of the windows that hold enough of the hits, the places of shingles of items of this size."""
+    length = np.diff(first)
+    row = row_of[hits]
+    need = least_common(size.m, size.m)
+    i = np.arange(max(len(hits) - need + 1, 0))
+    j = i + need - 1
+    i = i[(row[i] == row[j]) & (hits[j] - hits[i] < size.m) & (length[row[i]] >= size.words)]
+    if len(i):
+        low = np.maximum(first[row[i]], hits[i + need - 1] - size.m + 1)
+        high = np.minimum(hits[i], first[row[i] + 1] - size.words)
+        low, high = low[low <= high], high[low <= high]
+        if len(low):
+            step = np.zeros(int(high.max() - low.min()) + 2, np.int64)
+            np.add.at(step, low - low.min(), 1)
+            np.add.at(step, high + 1 - low.min(), -1)
+            yield np.flatnonzero(np.cumsum(step) > 0) + low.min(), size.m
+    rows, count = np.unique(row, return_counts=True)
+    for r, c in zip(rows.tolist(), count.tolist()):  # texts shorter than the items
+        n = int(length[r]) - size.k + 1
+        if length[r] < size.words and c >= least_common(n, size.m):
+            yield first[r : r + 1], n
 
 
 def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
@@ -90,39 +144,50 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, f
     best: dict[tuple[int, int], tuple] = {}
     for k, keys in index.keys.items():
         grams = roll.grams(k)
-        where = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-        hits = np.flatnonzero((keys[where] == grams) & (row_of[: len(grams)] == row_of[k - 1 :])) if len(grams) else ()
-        spots: dict[tuple[int, int], set[int]] = {}
-        for p in hits:
-            row = int(row_of[p])
-            for item, _ in index.posts[k][int(grams[p])]:
-                spots.setdefault((row, index.sizes[item]), set()).add(int(p))
-        for (row, size), at in spots.items():
-            a, b = int(words.first[row]), int(words.first[row + 1])
-            window = min(size, b - a)
-            n = window - k + 1
-            starts = sorted({s for p in at for s in range(max(a, p - n + 1), min(p, b - window) + 1)})
-            lo, hi = starts[0], starts[-1] + n
-            prints = simhash(grams[lo:hi], np.array(starts) - lo, n)
-            for w, item, distance in _within(index, size, prints):
-                own = Counter(grams[starts[w] : starts[w] + n].tolist())
-                other = index.counts[item]
-                both = sum(min(c, other[s]) for s, c in own.items() if s in other)
-                similarity = both / (n + other.total() - both)
-                if similarity >= SIMILARITY:
-                    new = (similarity, -starts[w], window, distance)
-                    best[row, item] = max(best.get((row, item), new), new)
+        some = np.flatnonzero(_among(keys, grams) & (row_of[: len(grams)] == row_of[k - 1 :])) if len(grams) else np.empty(0, np.int64)
+        if not len(some):
+            continue
+        for size in index.sizes:
+            if size.k != k:
+                continue
+            hits = some[_among(size.keys, grams[some])]
+            for starts, n in windows_of(size, hits, row_of, words.first):
+                # of equal windows of one text the first stands for all
+                content = roll.ranges(starts, starts + n + k - 1) ^ mix(row_of[starts].astype(np.uint64))
+                starts = starts[np.sort(np.unique(content, return_index=True)[1])]
+                for lo in range(0, len(starts), LOOKUPS):
+                    part = starts[lo : lo + LOOKUPS]
+                    for w, place, distance in zip(*(x.tolist() for x in size.probe(simhash(grams, part, n))), strict=True):
+                        start, item = int(part[w]), int(size.items[place])
+                        own, counts = np.unique(grams[start : start + n], return_counts=True)
+                        other, others = index.counts[item]
+                        at = np.minimum(np.searchsorted(other, own), len(other) - 1)
+                        both = int(np.minimum(counts, others[at])[other[at] == own].sum())
+                        similarity = both / (n + size.m - both)
+                        if similarity >= SIMILARITY:
+                            row = int(row_of[start])
+                            new = (similarity, -start, n + k - 1, distance)
+                            best[row, item] = max(best.get((row, item), new), new)
     return [(row, item, -s - int(words.first[row]), window, distance, x) for (row, item), (x, s, window, distance) in best.items()]
 
 
-def passes(benchmark: DataFrame, items: int = ITEMS, size: int = BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark's (item_id, text) in lots whose count and bytes are bounded; a lot is sent to all executors."""
-    table = stage(benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+def passes(benchmark: DataFrame, items: int = ITEMS, size: int = BYTES) -> Iterator[tuple[Broadcast, bool]]:
+    """Indexes of the benchmark's (item_id, text) in lots of bounded count and bytes, sent to all executors one after the other; and
+    whether there are several, so that the caller must be done with one when it asks for the next."""
+    spark = benchmark.sparkSession
+    table = stage(benchmark.select(F.col("item_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct())
     n, total = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     lots = max(1, -(-2 * n // items), -(-2 * total // size)) if n > items or total > size else 1
     for lot in range(lots):
         part = table.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(lots)) == lot) if lots > 1 else table
-        yield sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect())
+        held = spark.sparkContext.broadcast(Index(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in part.collect())))
+        yield held, lots > 1
+        if lots > 1:
+            held.unpersist()
+
+
+LEAK = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
+LEAK_NAMES = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
@@ -130,14 +195,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, shingles 5 words (an item or document with fewer: all its words), similarity
     0.8 or more; ties go to the first window. Null and wordless texts and items match nothing; a null item_id shows as -1,
-    a null doc_id as null; repeated rows and items match each for itself, items equal in id and text once. Other columns are ignored.
+    a null doc_id as null; repeated documents match each for itself, items equal in id and text once, other items that share an id
+    or a text each for itself. Texts of any length are read whole. Empty tables give no rows; other columns are ignored, whatever
+    their names. A benchmark of over `items` items (or 16 MB) is matched in lots, each lot's rows written before the next.
     """
     out = None
-    for lot in passes(benchmark, items):
-        held = docs.sparkSession.sparkContext.broadcast(lot)
+    for held, several in passes(benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
+            index = held.value
             for batch in slices(batches, "text"):
                 found = find(index, column(batch, "text"))
                 ids = column(batch, "doc_id").to_pylist()
@@ -147,27 +213,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], LEAK_NAMES)
 
         part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, LEAK)
+        part = stage(part) if several else part
         out = part if out is None else out.unionByName(part)
     return out
 
 
-LEAK = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
-LEAK_NAMES = ["doc_id", "item_id", "first_word", "n_words", "distance", "similarity"]
-
-
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> DataFrame:
-    """The rows of docs that hold no benchmark item, all columns unchanged."""
-    for lot in passes(benchmark, items):
-        held = docs.sparkSession.sparkContext.broadcast(lot)
+    """The rows of docs that hold no benchmark item as in `leaks`, all columns unchanged: null and wordless texts and null doc_ids stay,
+    repeated rows go or stay together, an empty benchmark drops nothing, an empty table gives no rows."""
+    for held, several in passes(benchmark, items):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value)
             for batch in slices(batches, "text"):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, *_ in find(index, column(batch, "text"))]] = False
+                keep[[row for row, *_ in find(held.value, column(batch, "text"))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))
+        docs = stage(docs) if several else docs
     return docs
 
 

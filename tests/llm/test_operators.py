@@ -236,16 +236,59 @@ def test_leaks_against_all_windows(spark):
     assert clean == set(range(len(docs))) - {d for d, _ in want}
 
 
-def test_blocks_meet_everything_within_the_radius():
+def test_probing_meets_everything_within_the_radius():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    for bits in (0, 5, 17, decontamination.RADIUS):
-        for x in a[:50]:
-            y = int(x)
+    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    size = decontamination.Size(9, list(range(200)), [(np.array([1], np.uint64), np.array([1]))] * 200, prints.tolist())
+    near = []
+    for x in prints[:60].tolist():
+        for bits in (0, 5, 17, decontamination.RADIUS):
+            y = x
             for b in rng.choice(64, bits, replace=False):
                 y ^= 1 << int(b)
-            block = [(int(x) >> s & 255, y >> s & 255) for s in range(0, 64, 8)]
-            assert any(decontamination._near[p, q] for p, q in block)
+            near.append(y)
+    got = set(zip(*(x.tolist() for x in size.probe(np.array(near, np.uint64)))))
+    want = {(w, i, (y ^ int(p)).bit_count()) for w, y in enumerate(near) for i, p in enumerate(prints)}
+    assert got == {x for x in want if x[2] <= decontamination.RADIUS} and len(got) >= 240
+
+
+def test_fingerprints_of_windows(monkeypatch):
+    monkeypatch.setattr(decontamination, "SEGMENT", 7)
+    rng = np.random.default_rng(2)
+    shingles, starts = rng.integers(0, 1 << 63, 90, dtype=np.uint64) * np.uint64(2) + np.uint64(1), np.array([0, 1, 5, 6, 30, 79])
+    for start, got in zip(starts.tolist(), decontamination.simhash(shingles, starts, 11).tolist()):
+        votes = [sum(1 if int(s) >> b & 1 else -1 for s in shingles[start : start + 11]) for b in range(64)]
+        assert got == sum(1 << b for b, v in enumerate(votes) if v > 0)
+
+
+def test_a_phrase_that_all_items_share_costs_little():
+    rng = random.Random(3)
+    phrase = words(rng, 5)
+    index = decontamination.Index([(i, f"{words(rng, 12, 5000)} {phrase} {words(rng, 13, 5000)}") for i in range(2000)])
+
+    def seconds(n, filler):
+        text = " ".join(phrase + (" " + words(rng, filler, 5000) if filler else "") for _ in range(n // (5 + filler)))
+        began = time.process_time()
+        assert decontamination.find(index, pa.array([text])) == []
+        return time.process_time() - began
+
+    for filler in (0, 3):
+        assert seconds(32_000, filler) < max(12 * seconds(4000, filler), 2.0)
+
+
+def test_leaks_with_odd_rows(spark):
+    rng = random.Random(17)
+    item, other = words(rng, 20), words(rng, 9)
+    long = f"{words(rng, 15_000)} {item} {words(rng, 100)}"
+    docs = spark.createDataFrame([(1, item, "d"), (1, item, "d"), (1, other, "d"), (None, item, "d"), (None, None, "d"), (5, long, "d")], "doc_id long, text string, distance string")
+    bench = spark.createDataFrame([(7, item, 1), (7, item, 1), (8, item, 1), (7, other, 1), (None, other, 1), (9, None, 1)], "item_id long, text string, doc_id int")
+    want = sorted([(1, 7, 0), (1, 8, 0)] * 2 + [(1, 7, 0), (1, -1, 0), (None, 7, 0), (None, 8, 0), (5, 7, 15_000), (5, 8, 15_000)], key=str)
+    for lot in (4096, 2):
+        got = decontamination.leaks(docs, bench, lot).collect()
+        assert sorted(((r["doc_id"], r["item_id"], r["first_word"]) for r in got), key=str) == want
+        kept = decontamination.drop_leaks(docs, bench, lot)
+        assert kept.collect() == [(None, None, "d")] and kept.columns == docs.columns
+    assert decontamination.drop_leaks(docs, bench.limit(0)).count() == 6
 
 
 # --- mixing ---------------------------------------------------------------------------------------------------------------
