@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 from collections import Counter
@@ -386,6 +387,38 @@ def test_seed_terms_that_no_page_has(spark):
     assert {got[i] for i in (*range(60), 84)} == {"allow"} and {got[i] for i in range(60, 84)} == {"block"}
 
 
+def test_scores_of_urls_again(spark):
+    """Every score by brute force; a url without any seed term is blocked for what goes with such terms, and for its page's words."""
+    plain, bad = "<p>" + "the good news blog lucky win free story " * 20 + "</p>", "<p>" + "poker and casino win " * 20 + "</p>"
+    rows = [(f"http://goodnews{i % 5}.example.net/en/{i}", plain) for i in range(50)] + [(f"http://{h}.example.com/", plain) for h in ("casinoluckywin", "luckypoker", "winbingo", "freebets") for _ in range(8)]
+    rows += [("http://quietname.example.com/", bad), ("http://quietname.example.com/x", plain), ("http://luckywin.example.com/", plain), (None, None), ("http://good-news1.example.net/en/3", None)]
+    got = url_filter.judge(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string")).collect()
+    forms = {f for s in url_filter.SEEDS for f in url_filter.inflections(s)}
+    word_lists = [re.findall("[a-z]+", re.sub("<[^>]*>", " ", h or "").lower()) for _, h in rows]
+    counts = Counter(w for x in word_lists for w in x) + Counter(forms)
+    total = sum(counts.values())
+    b, g, urls = Counter(url_filter.SEEDS), Counter(), Counter()
+    pages = {}
+    for (url, _), x in zip(rows, word_lists):
+        host, path = re.match("[a-z]+://([^/]*)(.*)", url).groups() if url else ("", "")
+        tokens = [w for c in re.findall("[a-z]+", host) for w in url_filter.split_words(c, counts, total)] + ["0" if t.isdigit() else t for t in re.findall("[a-z0-9]+", path)]
+        marked = sum(w in forms for w in x) > 0.02 * len(x) and len(forms & set(x)) > 1
+        pages.setdefault((host, path), [tokens, False, 0])
+        pages[host, path][1] |= marked or bool(forms & set(tokens))
+        pages[host, path][2] += 1
+    for tokens, is_bad, times in pages.values():
+        urls[is_bad] += times
+        for t in tokens:
+            (b if is_bad else g)[t] += times
+    kinds, nb, ng = len(set(b) | set(g)), sum(b.values()), sum(g.values())
+    for r in got:
+        want = sum(math.log((b[t] + 1) / (nb + kinds)) - math.log((g[t] + 1) / (ng + kinds)) for t in pages[r["host"], r["path"]][0]) + math.log((urls[True] + 1) / (urls[False] + 1))
+        assert math.isclose(r["score"], want, rel_tol=1e-9, abs_tol=1e-9), r
+        assert r["verdict"] == ("block" if want > 0 else "allow")
+    verdict = {rows[r["page_id"]][0]: r["verdict"] for r in got}
+    assert verdict["http://luckywin.example.com/"] == "block" and verdict["http://good-news1.example.net/en/3"] == "allow"
+
+
 def test_inflections():
     assert {"bets", "betting", "betted"} <= url_filter.inflections("bet") and "better" not in url_filter.inflections("bet")
     assert {"loans", "loaned", "loaning"} <= url_filter.inflections("loan") and "pill" in url_filter.inflections("pills") and "gamble" in url_filter.inflections("gambling")
