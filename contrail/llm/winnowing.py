@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Every word gets a 64-bit hash, every run of 3 words a hash of those; of each 4 neighbouring runs the smallest hash is kept,
-the rightmost on ties, with its word position. Two texts that share 6 words in a row share a kept hash. Hash (37 bits)
-and position (26 bits, counted down) sit in one long, so that a plain minimum applies the tie rule.
+Every word gets a 64-bit hash and every run of 3 words the cyclic-polynomial rolling hash of those: the hash so far turned left by
+one bit, the next word's mixed in by xor, which is also what dropping the oldest word from the previous run's hash gives. Of each 4
+neighbouring runs the smallest hash is kept, the rightmost on ties, with its word position. Two texts that share 6 words in a row
+share a kept hash. Hash (33 bits) and position (30 bits, counted down; no string holds more words) sit in one long, so that a plain minimum
+applies the tie rule.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 from contrail.llm.common import BLANK, count_at_most, let
 
 GRAM, WINDOW = 3, 4
-POSITION_BITS = 26
+POSITION_BITS = 30
 #: A document's successor is sought within ranges of doc_id of about so many documents; at least and at most so many ranges.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5000, 64, 65_536
 
@@ -31,11 +33,20 @@ def marks(text: Column) -> Column:
     def place(h: Column, i: Column) -> Column:
         return F.shiftrightunsigned(h, 1).bitwiseAND(F.lit(high)).bitwiseOR(F.lit(last) - i)
 
+    def longer(step: int):
+        """From the hashes of runs of `step` words to those of one word more."""
+        return lambda h, g: F.zip_with(g, F.slice(h, step + 1, F.size(h)), lambda a, b: F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(b))
+
+    def rolled(h: Column) -> Column:
+        grams = h
+        for step in range(1, GRAM):
+            grams = longer(step)(h, grams)
+        return F.transform(F.slice(grams, F.lit(1), F.size(h) - GRAM + 1), place)
+
     def kept(h: Column) -> Column:
         n = F.size(h)
-        grams = F.transform(F.sequence(F.lit(0), n - GRAM), lambda i: place(F.xxhash64(*(h[i + j] for j in range(GRAM))), i))
         whole = F.array(place(F.xxhash64(h), F.lit(0)))
-        return F.when(n == 0, F.array().cast("array<long>")).when(n < GRAM, whole).otherwise(let(grams, chosen))
+        return F.when(n == 0, F.array().cast("array<long>")).when(n < GRAM, whole).otherwise(let(rolled(h), chosen))
 
     def with_neighbour(step: int):
         return lambda x: F.zip_with(x, F.slice(x, step + 1, F.size(x)), lambda a, b: F.least(a, b))
@@ -82,7 +93,7 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     docs = docs.withColumn("range", count_at_most(cuts, low))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     inside = Window.partitionBy("range").orderBy(*order)
-    spread = docs.repartition("range").sortWithinPartitions("range", *order)
+    spread = docs.repartitionByRange(ranges, "range").sortWithinPartitions("range", *order)
     spread = spread.withColumn("marks", marks(F.col("text")))
     ahead = spread.select("*", F.lead(F.struct("text", "marks")).over(inside).alias("ahead"))
     # each range's first row serves the range before; ids first, then the texts of at most `ranges` rows
@@ -109,7 +120,8 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     The edited text has the last floor(n_chars/4) code points replaced by the first as many (or all) of the next document.
     Null counts as empty. A text without words has the empty fingerprint; one under 3 words has one hash of all its words;
     two empty fingerprints have likeness 1. A single document is its own successor. Equal doc_ids follow one another by a hash of the
-    text; a null doc_id comes first. Other columns are ignored; an empty table gives no rows.
+    text, rows equal in both in any order; a null doc_id comes first. Texts of any length are read whole. Other columns are ignored,
+    whatever their names; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     near = with_next(docs, ranges)
