@@ -112,21 +112,28 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(x: np.ndarray, size: np.ndarray, words: float, most: int = 400) -> np.ndarray:
-    """Change single documents or pairs (in, out) while that brings the words taken nearer to `words`; the first `most` may change."""
+def settle(x: np.ndarray, size: np.ndarray, words: float) -> np.ndarray:
+    """Change single documents or pairs while that brings the words taken nearer to `words`; of equal choices the first counts."""
     x = x.copy()
-    can = np.arange(min(len(x), most))
     off = float((x * size).sum()) - words
     for _ in range(20):
-        change = (1 - 2 * x[can]) * size[can]
-        both = change[:, None] + change[None, :]
-        np.fill_diagonal(both, change)
-        i, j = np.unravel_index(np.argmin(np.abs(off + both)), both.shape)
-        if abs(off + both[i, j]) > abs(off) - 0.5:
+        change = (1 - 2 * x) * size
+        order = np.argsort(change, kind="stable")
+        ranked = change[order]
+        # each document alone, and with the partners whose change is nearest to what it leaves
+        at = np.searchsorted(ranked, -off - change)
+        choices = [(np.abs(off + change), np.full(len(x), -1))]
+        for near in (at - 2, at - 1, at, at + 1):
+            partner = order[np.clip(near, 0, len(x) - 1)]
+            choices.append((np.where(partner == np.arange(len(x)), np.inf, np.abs(off + change + change[partner])), partner))
+        left = np.stack([c for c, _ in choices])
+        kind, i = np.unravel_index(np.argmin(left), left.shape)
+        if left[kind, i] > abs(off) - 0.5:
             break
-        off += both[i, j]
-        for k in {int(i), int(j)}:
-            x[can[k]] = 1 - x[can[k]]
+        j = choices[kind][1][i]
+        for k in {int(i), int(j)} - {-1}:
+            off += change[k]
+            x[k] = 1 - x[k]
     return x
 
 
@@ -153,47 +160,53 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     times: how often the mix takes the document, 0 to `most`. Each source's words taken, repeats counted, differ from its target
     by a few words, unless one document outweighs those kept back for the last flight. Draws are hashes of seed, doc_id and text, so reruns agree. A null
     source is one of its own and last; a null text has no words; wordless documents weigh nothing and are taken at
-    their source's rate. Null doc_ids and repeated rows are documents of their own. An empty table gives no rows.
+    their source's rate. Rows equal in doc_id, source and text are drawn together and share what they get evenly, other rows with one
+    doc_id and rows without are documents of their own. Texts of any length are counted whole. An empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.lit(seed))
     table = stage(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"), key.alias("text_key")))  # texts are read once
     sizes = stage(table.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
     targets = source_targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    table = table.groupBy("doc_id", "source", "size", "text_key").agg(F.count("*").alias("copies"))
     table = table.withColumnRenamed("source", "own").join(targets, F.col("own").eqNullSafe(F.col("source"))).drop("own")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0) * F.col("copies")
     draw = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     table = table.withColumns({"sure": F.floor(rate + 1e-9).cast("long"), "draw": draw})
     table = table.withColumn("p", F.greatest(F.lit(0.0), rate - F.col("sure")))
     blocks = F.ceil(F.col("rows") / block)
     table = table.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed + 1)), blocks))
     done: list[DataFrame] = []
-    columns = ["doc_id", "text_key", "size", "source", "source_size", "target", "rows", "sure", "draw", "p", "block"]
-    schema = "doc_id long, text_key long, size long, source string, source_size long, target double, rows long, sure long, draw double, p double, block long"
+    columns = ["doc_id", "text_key", "size", "source", "source_size", "target", "rows", "copies", "sure", "draw", "p", "block"]
+    schema = "doc_id long, text_key long, size long, source string, source_size long, target double, rows long, copies long, sure long, draw double, p double, block long"
     now = table.select(*columns)
     done.append(now.where(~_undecided()))
     now = now.where(_undecided())
     most_rows = sizes.agg(F.max("rows")).first()[0] or 0
     n = -(-most_rows // block)  # blocks of the largest source
-    if n > 1:
-        # documents kept back for the last flight: about RESERVE of each source, and those that hold over 1/RESERVE of its words
-        late = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed + 2)), F.col("rows")) < RESERVE
-        late = late | (F.col("size") * RESERVE > F.col("source_size"))
-        kept_back, now = now.where(late), now.where(~late)
-        while n > 1:
-            flown = stage(now.groupBy("source", "block").applyInPandas(_flight(False), schema))
-            done.append(flown.where(~_undecided()))
-            now = flown.where(_undecided()).withColumn("block", F.floor(F.col("block") / (block // 2)))
-            n = -(-n // (block // 2))
-        now = now.unionByName(kept_back)
+    # documents kept back for the last flight: about RESERVE of each source, and those that hold over 1/RESERVE of its words
+    late = F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed + 2)), F.col("rows")) < RESERVE
+    late = late | (F.col("size") * F.col("copies") * RESERVE > F.col("source_size"))
+    kept_back, now = now.where(late), now.where(~late)
+    while n > 1:
+        flown = stage(now.groupBy("source", "block").applyInPandas(_flight(False), schema))
+        done.append(flown.where(~_undecided()))
+        now = flown.where(_undecided()).withColumn("block", F.floor(F.col("block") / (block // 2)))
+        n = -(-n // (block // 2))
+    now = now.unionByName(kept_back)
     done.append(now.groupBy("source").applyInPandas(_flight(True), schema))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.select("doc_id", "text_key", "size", "source", "source_size", "target", (F.col("sure") + F.round("p").cast("long")).alias("times"))
+    total = F.col("sure") + F.round("p").cast("long")
+    out = out.withColumn("total", total).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    own = F.floor(F.col("total") / F.col("copies")) + (F.col("copy") <= F.col("total") % F.col("copies")).cast("int")
+    return out.select("doc_id", "text_key", "size", "source", "source_size", "target", own.cast("long").alias("times"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs(doc_id, source, text, ..) as often as the mix takes them, all columns unchanged."""
+    """The rows of docs(doc_id, source, text, ..) as often as `mix` takes them, all columns unchanged, whatever the other ones are
+    called; null and empty texts, null ids and sources and repeated rows as there. An empty table gives no rows."""
     seed = options.get("seed", 7)
     times = mix(docs, **options).where("times > 0").groupBy(F.col("doc_id").alias("__mix_id"), F.col("text_key").alias("__mix_key"), F.col("source").alias("__mix_source"))
     times = times.agg(F.sum("times").alias("__mix_times"), F.count("*").alias("__mix_rows"))
