@@ -18,8 +18,10 @@ from pyspark.sql.window import Window
 from contrail.llm.common import count_at_most
 
 SHARDS, NODES = 16, 32
-#: Each arc's documents are numbered in so many parts, that a place with a third of all rows isn't numbered by one task.
+#: An arc's documents are numbered in so many ranges of text hashes, and those of a common text in so many parts by doc_id.
 SALTS = 64
+#: A text is common if it has over 1/4096 of all rows and over a thousand; so there are at most 4096.
+COMMON, LEAST_COMMON = 4096, 1000
 
 
 def _points(spark, shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -56,9 +58,10 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, sal
     """docs(doc_id, text, ..) with size, text_crc32, law (`rows`), shard, slot, grown_shard (null) added.
 
     Counts of shards differ by at most one; slots run from 0 without gaps in each shard. Size: UTF-8 bytes plus 1 (null text:
-    1). Equal texts lie at one place of the ring and part only where a shard fills up. Order within an arc follows
-    hashes of text and doc_id; rows equal in both are interchangeable. Null doc_ids and texts are hashed as such. Columns
-    with the added names are replaced. An empty table gives no rows.
+    1). Equal texts lie at one place of the ring and next to each other there, so that at most one group of them parts where a
+    shard fills up. Order within an arc follows hashes of text and doc_id; rows equal in both are interchangeable. Null doc_ids
+    and texts are hashed as such; texts of any length are measured whole. Columns with the added names are replaced. An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     added = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -68,18 +71,20 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, sal
     # an arc's number is the count of virtual nodes at or before the place
     arc = count_at_most([p for p, _ in points], place) % F.lit(len(points))
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    keyed = docs.withColumns(
-        {
-            "size": F.octet_length(raw).cast("long") + 1,
-            "text_crc32": F.crc32(raw),
-            "__ring_arc": arc.cast("int"),
-            "__ring_salt": F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int"),
-            "__ring_order": F.xxhash64("text", F.lit(3)),
-        }
-    )
+    keyed = docs.withColumns({"size": F.octet_length(raw).cast("long") + 1, "text_crc32": F.crc32(raw), "__ring_arc": arc.cast("int"), "__ring_order": F.xxhash64("text", F.lit(3))})
+    often = max(docs.count() / COMMON, LEAST_COMMON)
+    common = keyed.groupBy("__ring_order").agg(F.count("*").alias("__ring_often")).where(F.col("__ring_often") > often)
+    keyed = keyed.join(F.broadcast(common), "__ring_order", "left")
+    # salts 0 to salts-1 are ranges of the order, whose texts stay together; those of common texts come behind their range's
+    near = F.floor(F.pmod(F.shiftrightunsigned("__ring_order", 1), F.lit(1 << 62)) / ((1 << 62) / salts))
+    own = F.when(F.col("__ring_often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)))
+    keyed = keyed.withColumn("__ring_salt", (near * (salts + 1) + own).cast("int"))
     counted = {(r["__ring_arc"], r["__ring_salt"]): r["n"] for r in keyed.groupBy("__ring_arc", "__ring_salt").agg(F.count("*").alias("n")).collect()}
     total = sum(counted.values())
-    counts = [sum(counted.get((a, s), 0) for s in range(salts)) for a in range(len(points))]
+    arcs: dict[int, list[int]] = {}
+    for a, s in sorted(counted):
+        arcs.setdefault(a, []).append(s)
+    counts = [sum(counted[a, s] for s in arcs.get(a, ())) for a in range(len(points))]
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     filled = [0] * shards
     cells: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
@@ -91,12 +96,11 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, sal
             first += n
             filled[shard] += n
         start = 0
-        for s in range(salts):
-            n = counted.get((a, s), 0)
-            if n:
-                i = bisect.bisect_right([c[0] for c in cuts], start) - 1
-                cells[a, s] = [(max(f - start, 0), shard, shift + start) for f, shard, shift in cuts[i:] if f < start + n]
-                start += n
+        for s in arcs.get(a, ()):
+            n = counted[a, s]
+            i = bisect.bisect_right([c[0] for c in cuts], start) - 1
+            cells[a, s] = [(max(f - start, 0), shard, shift + start) for f, shard, shift in cuts[i:] if f < start + n]
+            start += n
     rows = [(a, s, p) for (a, s), p in cells.items()]
     table = spark.createDataFrame(rows, "__ring_arc int, __ring_salt int, __ring_pieces array<struct<first:long,shard:int,shift:long>>")
     rank = F.row_number().over(Window.partitionBy("__ring_arc", "__ring_salt").orderBy("__ring_order", "doc_id", "text_crc32")) - 1

@@ -12,8 +12,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest import SMALL
 from oracle import duck, ours
+from pyspark.sql import functions as F
 
 from contrail.llm import catalog, decontamination, html_text, minhash_dedup, mixing, repeats, ring, substring_dedup, suffix_dedup, toxicity, url_filter, winnowing
 
@@ -108,6 +110,47 @@ def test_winnowing_takes_the_rightmost_and_keeps_its_guarantee(spark):
         assert at == sorted(at) and max(np.diff([-1, *at, n])) <= winnowing.WINDOW
 
 
+def kept_by_hand(text):
+    """(hash, position) of each window of 4 runs of 3 words, the rightmost minimum, with the rolling recurrence."""
+    full = (1 << 64) - 1
+    turn = lambda x, n: (x << n | x >> 64 - n) & full
+    h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in re.split(r"[ \t-\r]+", text) if w]
+    if len(h) < 3:
+        return None if h else []
+    rolled = [turn(turn(h[0], 1) ^ h[1], 1) ^ h[2]]
+    for out, new in zip(h, h[3:]):
+        rolled.append(turn(rolled[-1], 1) ^ turn(out, 3) ^ new)
+    top = [x >> 31 for x in rolled]
+    kept = []
+    for i in range(max(1, len(top) - 3)):
+        window = top[i : i + 4]
+        at = max(j for j, x in enumerate(window) if x == min(window))
+        if (top[i + at], i + at) not in kept[-1:]:
+            kept.append((top[i + at], i + at))
+    return kept
+
+
+def test_fingerprints_by_hand(spark, texts):
+    every = [*texts, *(words(random.Random(i), 40 + i, 6) for i in range(6)), "a b c d a b c d a b"]
+    got = rows_by_id(winnowing.fingerprints(frame(spark, every).withColumn("marks", F.lit(1)).withColumn("range", F.lit("x"))))
+    sets = lambda shown: {x.split(":")[0] for x in shown.split()}
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    for i, (text, edit) in enumerate(zip(every, edited(every))):
+        r = got[i]
+        for t, shown in ((text, r["fingerprint"]), (edit, r["edited_fingerprint"])):
+            kept = kept_by_hand(t or "")
+            assert kept is None and len(shown.split()) == 1 or shown == " ".join(f"{x:x}:{at}" for x, at in kept), i
+        assert math.isclose(r["near_edited"], dice(sets(r["fingerprint"]), sets(r["edited_fingerprint"])))
+        assert math.isclose(r["near_next"], dice(sets(r["fingerprint"]), sets(got[(i + 1) % len(every)]["fingerprint"])))
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = [(None, "a b c d", 1), (5, "one two three four", 1), (5, "one two three four", 1), (5, "other words are here", 1), (9, words(random.Random(1), 20_000), 1)]
+    got = winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string, edited int").repartition(3)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i or 0, len(t)) for i, t, _ in rows)
+    assert len({r["fingerprint"] for r in got}) == 4
+
+
 # --- toxicity -------------------------------------------------------------------------------------------------------------
 
 
@@ -198,6 +241,23 @@ def test_shards(spark, texts):
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
 
 
+def test_equal_texts_stay_together(spark, monkeypatch):
+    """At most one group of equal texts parts at each cut, common texts too; rows equal in all and null ids are dealt as any."""
+    monkeypatch.setattr(ring, "LEAST_COMMON", 50)
+    rng = random.Random(31)
+    rows = [(i, f"text {i % 300}") for i in range(3000)] + [(i, "common") for i in range(1500)] + [(7, "same row")] * 200 + [(None, None)] * 9
+    rng.shuffle(rows)
+    got = ring.assign_shards(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, slot int").repartition(5)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted((i or 0, t or "") for i, t in rows)
+    by, homes = {}, {}
+    for r in got:
+        by.setdefault(r["shard"], []).append(r["slot"])
+        homes.setdefault(r["text"], set()).add(r["shard"])
+    assert all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    cuts = sum(len(p) - 1 for p in ring.deal([1] * 512, [s for _, s in ring._points(spark, 16, 32)], [32] * 16))
+    assert len(by) == 16 and sum(len(x) > 1 for x in homes.values()) <= max(32, cuts)
+
+
 # --- decontamination ------------------------------------------------------------------------------------------------------
 
 
@@ -345,6 +405,37 @@ def test_mix(spark, texts, block):
     assert [(s, t, sums[s]) for s, t in target.items() if abs(sums[s] - t) > 0.02 * t + 5] == []
 
 
+def test_equal_rows_are_drawn_together(spark):
+    rng = random.Random(41)
+    rows = [(i, f"s{i % 2}", words(rng, rng.randrange(1, 40))) for i in range(300)] + [(7, "s0", "one two three")] * 5000 + [(None, None, None)] * 3 + [(7, "s1", "one two three")] + [(8, "s1", words(rng, 12_000))]
+    docs = spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, source string, text string, p double").repartition(4)
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    sums, target = Counter(), {}
+    for r in got:
+        assert 0 <= r["times"] <= 3
+        sums[r["source"]] += r["times"] * r["size"]
+        target[r["source"]] = r["target"]
+    assert abs(sums["s0"] - target["s0"]) <= 4
+    equal = [r["times"] for r in got if (r["doc_id"], r["source"]) == (7, "s0") and r["size"] == 3]
+    assert max(equal) - min(equal) <= 1
+    copies = mixing.mixed_documents(docs)
+    assert copies.columns == docs.columns and copies.count() == sum(r["times"] for r in got)
+
+
+def test_settling_finds_the_nearest_pair():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 9))
+        x, size = rng.integers(0, 2, n).astype(float), rng.integers(0, 60, n)
+        words_wanted = float(rng.integers(0, 200))
+        off = (x * size).sum() - words_wanted
+        change = (1 - 2 * x) * size
+        best = min([abs(off), *np.abs(off + change), *(abs(off + change[i] + change[j]) for i in range(n) for j in range(i))])
+        got = mixing.settle(x, size, words_wanted)
+        assert abs((got * size).sum() - words_wanted) <= best + 0.5
+
+
 # --- urls -----------------------------------------------------------------------------------------------------------------
 
 
