@@ -109,10 +109,10 @@ def quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vec = read(spark, sf_dir, "embeddings").where("vec_id < 64").select("vec_id")
-    items = read(spark, sf_dir, "benchmark").select("item_id")
-    # 64 vectors by the items: a grid by definition
-    grid = vec.join(F.broadcast(items)).selectExpr("vec_id", "item_id", "explode(sequence(0, 4)) as s").selectExpr("*", "explode(sequence(0, 2)) as generation_index")
+    n = read(spark, sf_dir, "benchmark").agg(F.count("*").alias("n"))
+    # each vector is asked about four items
+    vec = read(spark, sf_dir, "embeddings").select("vec_id").crossJoin(F.broadcast(n)).selectExpr("vec_id", "n", "explode(sequence(0, 3)) as j")
+    grid = vec.selectExpr("vec_id", "(vec_id * 31 + j) % n as item_id", "explode(sequence(0, 4)) as s").selectExpr("*", "explode(sequence(0, 2)) as generation_index")
     return grid.selectExpr(
         "vec_id as sample_idx",
         "item_id",
@@ -191,7 +191,7 @@ DUCK = {
   ((doc_id * 3) % 41 - 20) / 20.0::double as alignment, quality = 1 as steered_matches, toxic = 1 as is_outlier from labels""",
     "judgements": """select vec_id as sample_idx, item_id, (s + 1) / 2.0::double as strength, g as generation_index,
   ((vec_id * 31 + item_id * 17 + s * 7 + g * 3) % 101) / 10.0::double as score, (['behavior', 'specificity', 'coherence', 'generalization'])[item_id % 4 + 1] as dimension
-  from (select vec_id from embeddings where vec_id < 64), (select item_id from benchmark), range(0, 5) a(s), range(0, 3) b(g)""",
+  from (select vec_id, (vec_id * 31 + j) % n as item_id from embeddings, (select count(*) as n from benchmark), range(0, 4) x(j)), range(0, 5) a(s), range(0, 3) b(g)""",
     "raw_events": """select event_id, user_id, ts, event_type as kind, coalesce(value, 0) as value, (props->>'$.k')::int as k,
   row_number() over (partition by user_id order by ts, event_id) as sequence from events""",
     "event_log": """select event_id::varchar as event_id, user_id::varchar as session_id, ts as timestamp, sequence, k, value, user_id || '-' || (k % 10) as request_id, 'source' || (k % 3) as source,

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A fenced block; a number in prose.
 FENCE = r"(?s)```(?:json|JSON)?\s*(.*?)```"
+NUMBER = r"\b(\d+(?:\.\d+)?)\b"
+#: Outputs of one judge call.
+BATCH = 256
 
 
-def _valid(c: Column) -> Column:
-    """One JSON value and nothing behind it, which the parser alone would pass over."""
-    alone = F.concat(F.lit("["), c, F.lit("]"))
-    return F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1)
+def bind(value: Column, body) -> Column:
+    """A costly column computed once for use at several places of body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _read(c: Column) -> Column:
+    """A list with the one JSON value that the text is; null if it is none, or if something stands behind it, which the parser
+    alone would pass over."""
+    return bind(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull() & F.try_variant_get(v, "$[0]", "variant").isNotNull(), v))
 
 
 def _is_json(c: Column) -> Column:
-    return F.when(_valid(c), c)
+    return F.when(_read(c).isNotNull(), c)
 
 
 def between(c: Column, first: str, last: str) -> Column:
@@ -26,16 +35,15 @@ def between(c: Column, first: str, last: str) -> Column:
 
 def parse_llm_json(c: Column) -> Column:
     """The JSON text: the whole, else the first fenced block that parses, else the outermost braces; null if none parses."""
-    whole = F.trim(c)
     blocks = F.transform(F.regexp_extract_all(c, F.lit(FENCE), F.lit(1)), F.trim)
-    fenced = F.get(F.filter(blocks, _valid), F.lit(0))
-    return F.coalesce(_is_json(whole), fenced, _is_json(between(c, "{", "}")))
+    fenced = F.get(F.filter(blocks, lambda b: _read(b).isNotNull()), F.lit(0))
+    return F.coalesce(bind(F.trim(c), _is_json), fenced, bind(between(c, "{", "}"), _is_json))
 
 
 def extract_score(c: Column) -> Column:
     """score of the JSON (5 if it has none), else the first number from 0 to 10 in the text, else 5."""
     found = parse_llm_json(c)
-    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"\b(\d+(?:\.\d+)?)\b"), F.lit(1)), lambda x: x.cast("double"))
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(1)), lambda x: x.cast("double"))
     first = F.get(F.filter(numbers, lambda x: (x >= 0) & (x <= 10)), F.lit(0))
     in_json = F.coalesce(F.get_json_object(found, "$.score").try_cast("double"), F.lit(5.0))
     return F.when(found.startswith("{"), in_json).otherwise(F.coalesce(first, F.lit(5.0)))
@@ -47,14 +55,16 @@ ITEM = "array<struct<score:double,reasoning:string>>"
 def judge_results(c: Column) -> Column:
     """The array of results: of an object, a bare array, a fenced block or the outermost brackets; null if none."""
 
-    def items(x: Column) -> Column:
-        return F.when(x.startswith("["), F.from_json(x, ITEM)).otherwise(F.from_json(F.get_json_object(x, "$.results"), ITEM))
+    def items(x: Column, bracket_only: bool = False) -> Column:
+        """The results of one text, read once; null if it is no JSON or has none."""
+        own = lambda v: F.try_variant_get(v, "$[0]", ITEM)
+        inside = lambda v: F.try_variant_get(v, "$[0].results", ITEM)
+        got = bind(x, lambda t: bind(_read(t), lambda v: own(v) if bracket_only else F.when(t.startswith("["), own(v)).otherwise(inside(v))))
+        return bind(got, lambda a: F.when(F.size(a) > 0, a))
 
-    whole = F.trim(c)
     blocks = F.transform(F.regexp_extract_all(c, F.lit(FENCE), F.lit(1)), F.trim)
-    fenced = F.get(F.filter(blocks, _valid), F.lit(0))
-    some = lambda a: F.when(F.size(a) > 0, a)
-    return F.coalesce(some(items(_is_json(whole))), some(items(fenced)), some(F.from_json(_is_json(between(c, "[", "]")), ITEM)))
+    fenced = F.get(F.filter(F.transform(blocks, lambda b: items(b)), lambda a: a.isNotNull()), F.lit(0))
+    return F.coalesce(items(F.trim(c)), fenced, items(between(c, "[", "]"), True))
 
 
 def explode_judge_results(df: DataFrame, text: str, expected: str) -> DataFrame:
@@ -127,6 +137,40 @@ def explode_components(df: DataFrame, text: str) -> DataFrame:
     return rows.select(*df.columns, "at", _text("name").alias("name"), _text("description").alias("description"), F.coalesce(F.from_json(F.get_json_object("item", "$.markers"), "array<string>"), F.array().cast("array<string>")).alias("markers"))
 
 
+def explode_negatives(df: DataFrame, text: str) -> DataFrame:
+    """Rows of not_this_behavior[]: name (similar_behavior), why, example; what is no object goes, absent texts are empty."""
+    rows = _objects(df, text, "not_this_behavior").where(F.col("item").startswith("{"))
+    return rows.select(*df.columns, "at", _text("similar_behavior").alias("name"), _text("why_different").alias("why"), _text("example").alias("example"))
+
+
+def explode_scenarios(df: DataFrame, text: str) -> DataFrame:
+    """Rows of realistic_scenarios[]: setup, user_persona, natural_trigger, stakes; what is no object goes, absent texts are empty."""
+    rows = _objects(df, text, "realistic_scenarios").where(F.col("item").startswith("{"))
+    return rows.select(*df.columns, "at", *(_text(k).alias(k) for k in ("setup", "user_persona", "natural_trigger", "stakes")))
+
+
+TEST = ("description", "user_action", "model_choice", "distinguishing_variable", "present_response_pattern", "absent_response_pattern")
+#: What an intensity looks like if the analysis doesn't say.
+LOOKS = {"extreme": "Maximum expression of behavior", "high": "Clear but plausible expression", "medium": "Balanced expression", "natural": "Subtle, realistic expression"}
+
+
+def behavioral_test(df: DataFrame, text: str) -> DataFrame:
+    """df with the fields of behavioral_test, for rows whose test has a distinguishing variable."""
+    j = df.withColumn("_t", F.get_json_object(parse_llm_json(F.col(text)), "$.behavioral_test"))
+    rows = j.select(*df.columns, *(F.coalesce(F.get_json_object("_t", f"$.{k}"), F.lit("")).alias(k) for k in TEST))
+    return rows.where("distinguishing_variable <> ''")
+
+
+def intensity_calibration(df: DataFrame, text: str) -> DataFrame:
+    """df with extreme, high, medium, natural: how each intensity looks, for rows that tell at least one of them."""
+    j = df.withColumn("_c", F.get_json_object(parse_llm_json(F.col(text)), "$.intensity_calibration"))
+    given = {k: F.get_json_object("_c", f"$.{k}_looks_like") for k in LOOKS}
+    some = F.lit(False)
+    for c in given.values():
+        some |= F.coalesce(c != "", F.lit(False))
+    return j.where(some).select(*df.columns, *(F.coalesce(c, F.lit(LOOKS[k])).alias(k) for k, c in given.items()))
+
+
 def explode_confounds(df: DataFrame, text: str) -> DataFrame:
     """Rows of confounds_to_avoid[]: texts, or objects with a factor."""
     rows = _objects(df, text, "confounds_to_avoid").withColumn("factor", F.when(F.col("item").startswith("{"), _text("factor")).otherwise(F.col("item")))
@@ -153,7 +197,13 @@ def explode_completions(df: DataFrame, text: str) -> DataFrame:
     return rows.select(*df.columns, "at", _text("prompt").alias("prompt"), F.array(_text("dst_completion")).alias("dst_completions"), F.array(_text("src_completion")).alias("src_completions"))
 
 
-def judge_batches(outputs: DataFrame, by: str | None = "prompt") -> DataFrame:
-    """batch_key, n, outputs (in order of pos): one batch per prompt (null: unknown), or per row."""
+def judge_batches(outputs: DataFrame, by: str | None = "prompt", size: int = BATCH) -> DataFrame:
+    """batch_key, n, outputs (in order of pos): batches of one prompt (null: unknown), at most `size` outputs each; without by one per row.
+
+    Outputs are numbered by ranges of prompt and pos when this is called, and batches cut at every `size` of these numbers."""
+    from contrail.operators.pairs import with_position
+
     key = F.coalesce(by, F.lit("unknown")) if by else F.col("pos").cast("string")
-    return outputs.groupBy(key.alias("batch_key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "output"))).alias("outputs"))
+    placed = with_position(outputs.select(F.struct(key.alias("batch_key"), "pos").alias("_o"), "output"), "_o")
+    rows = placed.select("_o.batch_key", "_o.pos", "output", F.floor(F.col("position") / size).alias("_batch"))
+    return rows.groupBy("batch_key", "_batch").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "output"))).alias("outputs")).drop("_batch")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, dot, minus, norm, unit
+from contrail.sources.scratch import kept
 
 #: Rows of one block; two blocks meet in one task.
 BLOCK = 2048
@@ -68,6 +69,7 @@ def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector:
             yield pdf.assign(buckets=list(codes.astype("int64")))
 
     rows = df.select(F.col(key).cast("long").alias("id"), as_doubles(F.col(vector)).alias("v"))
+    rows = rows.where(norm(F.col("v")) > 0)  # a zero vector is like nothing
     hashed = rows.mapInPandas(buckets, "id long, v array<double>, buckets array<long>").select("id", unit(F.col("v")).alias("v"), F.explode("buckets").alias("b"))
     a, b = hashed.select(F.col("id").alias("left"), F.col("v").alias("x"), "b"), hashed.select(F.col("id").alias("right"), F.col("v").alias("y"), "b")
     return a.join(b, "b").where("left < right").select("left", "right", dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") > threshold).dropDuplicates(["left", "right"])
@@ -120,14 +122,18 @@ def diversity_metrics(df: DataFrame, key: str, group: str, vector: str = "vector
     return out
 
 
-def cluster_vectors(df: DataFrame, k: int | None = None, vector: str = "vector", seed: int = 42) -> DataFrame:
-    """df with cluster by k-means, k = min(5, n // 2) by default; fewer than 3 rows or k < 2: one cluster."""
+def cluster_vectors(df: DataFrame, k: int | None = None, vector: str = "vector", seed: int = 42, restarts: int = 10) -> DataFrame:
+    """df with cluster by k-means, k = min(5, n // 2) by default: the cheapest of `restarts` runs from different seeds, trained when this is
+    called; fewer than 3 rows or k < 2: one cluster."""
     n = df.count()
     k = min(5, n // 2) if k is None else k
     if n < 3 or k < 2:
         return df.withColumn("cluster", F.lit(0))
     rows = df.withColumn("_x", array_to_vector(as_doubles(F.col(vector))))
-    return KMeans(k=k, seed=seed, featuresCol="_x", predictionCol="cluster").fit(rows).transform(rows).drop("_x")
+    points = rows.select("_x").cache()
+    models = [KMeans(k=k, seed=seed + i, featuresCol="_x", predictionCol="cluster").fit(points) for i in range(restarts)]
+    points.unpersist()
+    return min(models, key=lambda m: m.summary.trainingCost).transform(rows).drop("_x")
 
 
 def cluster_balance(df: DataFrame, label: str, group: list[str] | None = None) -> DataFrame:
@@ -178,21 +184,19 @@ def mmr_select(df: DataFrame, n: int, group: list[str], relevance: str | None =
 
 def mmr_select_global(df: DataFrame, n: int, relevance: str, lam: float = 0.5, vector: str = "vector") -> DataFrame:
     """pos, rank of n rows of the whole table, chosen as mmr_select does: one pass per pick, each a distributed arg-max whose
-    vector goes back to all rows. For small n over tables of any size."""
-    rows = df.select("pos", F.col(relevance).cast("double").alias("r"), unit(as_doubles(F.col(vector))).alias("u"))
-    picks: list[tuple[int, list[float]]] = []
+    vector goes back to all rows; the nearness to those chosen is written with the rows. For small n over tables of any size. Runs when called."""
+    rows = df.select("pos", F.col(relevance).cast("double").alias("r"), unit(as_doubles(F.col(vector))).alias("u"), F.lit(None).cast("double").alias("near"))
+    picks: list[int] = []
     while len(picks) < n:
-        near = None
-        for _, u in picks:
-            c = dot(F.col("u"), F.lit(u))
-            near = c if near is None else F.greatest(near, c)
-        score = F.col("r") if near is None else lam * F.col("r") - (1 - lam) * near
-        left = rows.where(~F.col("pos").isin([p for p, _ in picks])) if picks else rows
-        top = left.withColumn("s", score).orderBy(F.col("s").desc(), "pos").limit(1).collect()
+        score = F.when(F.col("near").isNull(), F.col("r")).otherwise(lam * F.col("r") - (1 - lam) * F.col("near"))
+        top = rows.withColumn("s", score).orderBy(F.col("s").desc(), "pos").limit(1).collect()  # one row
         if not top:
             break
-        picks.append((top[0]["pos"], list(top[0]["u"])))
-    return df.sparkSession.createDataFrame([(p, i + 1) for i, (p, _) in enumerate(picks)], "pos long, rank int")
+        picks.append(top[0]["pos"])
+        if len(picks) < n:
+            near = dot(F.col("u"), F.lit(list(top[0]["u"])))
+            rows = kept(rows.where(F.col("pos") != picks[-1]).withColumn("near", F.greatest("near", near)))
+    return df.sparkSession.createDataFrame([(p, i + 1) for i, p in enumerate(picks)], "pos long, rank int")
 
 
 def detect_outliers(df: DataFrame, threshold: float = 2.0, vector: str = "vector") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contrail.operators.pairs import with_position
+from contrail.sources.scratch import kept
 
 #: Default weights of the dimensions.
 WEIGHTS = {"behavior": 0.30, "specificity": 0.25, "coherence": 0.20, "capability": 0.15, "generalization": 0.10}
@@ -82,10 +83,19 @@ def tournament_plan(spark: SparkSession, rounds: int, survivors: int, rate: floa
     return spark.createDataFrame(out, schema)
 
 
+def plan_for(available: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rounds of a plan for each row of available(.., available): entrants (no more than there are or than survived), survivors and the
+    round's cost for all entrants."""
+    rounds = available.crossJoin(F.broadcast(plan))  # a row per round
+    entrants, left = F.least("rows", "available"), F.least("survivors", "available")
+    return rounds.select(*available.columns, "round", "depth", entrants.alias("entrants"), left.alias("survivors"), (entrants * F.col("cost")).alias("cost"))
+
+
 def run_tournament(scores: DataFrame, plan: Sequence[tuple[int, int]]) -> DataFrame:
     """round, sample_idx, score, rank, survived of scores(round, sample_idx, pos, score, is_valid); plan: (round, survivors).
 
-    Every round ranks all active rows by ranges, invalid ones with score 0, earlier pos first on ties; the last round cuts nothing.
+    Every round ranks all active rows by ranges, invalid ones with score 0, earlier pos first on ties; the last round cuts nothing. Rounds
+    are written one after the other when this is called, so that none is computed again by the next.
     """
     active, out = None, None
     for i, (number, keep) in enumerate(plan):
@@ -95,7 +105,7 @@ def run_tournament(scores: DataFrame, plan: Sequence[tuple[int, int]]) -> DataFr
         last = i == len(plan) - 1
         order = F.struct(F.col("score").isNull().alias("none"), (~F.isnan("score")).alias("number"), (-F.col("score")).alias("down"), "pos")
         ranked = with_position(rows.withColumn("_o", order), "_o").withColumn("rank", (F.col("position") + 1).cast("int")).withColumn("survived", F.lit(True) if last else F.col("rank") <= keep)
-        ranked = ranked.select("round", "sample_idx", "score", "rank", "survived")
+        ranked = kept(ranked.select("round", "sample_idx", "score", "rank", "survived"))
         out = ranked if out is None else out.unionByName(ranked)
         active = ranked.where("survived").select("sample_idx")
     return out

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, cosine, dot
 from contrail.operators.diversity import words_of
-from contrail.sources.scratch import shared_folder
+from contrail.sources.scratch import kept
 
 #: Score columns in the order that breaks ties.
 SCORES = ("dimension", "marker", "boundary", "intensity_score", "structural", "semantic", "behavioral_signal", "confound")
@@ -240,17 +240,32 @@ def distinct_seeds(df: DataFrame) -> DataFrame:
     return known.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def with_running_sum(df: DataFrame, order: str, value: Column, name: str) -> DataFrame:
+    """df with the sum of value over all rows before, by a unique order column, without bringing all rows to one task: ranges are
+    sorted apart and offset by the sums of those before. Ranges are drawn from a sample, so they are written once, when this is called:
+    drawn again, they would differ."""
+    ranged = kept(df.withColumn("_value", value).repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_in", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    parts = ranged.groupBy("_part").agg(F.sum("_value").alias("_s"))
+    before = parts.select("_part", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return summed.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before", "_value")  # a row per partition
+
+
 def with_position(df: DataFrame, order: str = "pos") -> DataFrame:
-    """df with position from 0 by a unique order column, without bringing all rows to one task: ranges are sorted apart and offset
-    by the counts of those before. Ranges are drawn from a sample, so they are written once: drawn again, they would differ."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    path = shared_folder(df.sparkSession, "ranges")
-    ranged.write.parquet(path)
-    ranged = df.sparkSession.read.schema(ranged.schema).parquet(path)
-    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = numbered.groupBy("_part").agg(F.count("*").alias("_c"))
-    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn("position", F.col("_before") + F.col("_in") - 1).drop("_part", "_in", "_before")  # a row per partition
+    """df with position from 0 by a unique order column, by ranges."""
+    return with_running_sum(df, order, F.lit(1).cast("long"), "position")
+
+
+def with_rank(df: DataFrame, group: Sequence[str], order: Column) -> DataFrame:
+    """df with rank from 1 in each group by a unique order, by ranges of group and order: a group of any size is ranked by many tasks."""
+    placed = with_position(df.withColumn("_o", F.struct(*group, order.alias("_order"))), "_o").drop("_o")
+    first = placed.groupBy(*group).agg(F.min("position").alias("_first"))
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(f"l.{g}").eqNullSafe(F.col(f"r.{g}"))
+    joined = placed.alias("l").join(first.alias("r"), same) if group else placed.withColumn("_first", F.lit(0))
+    return joined.select(*([F.col(f"l.{c}") for c in df.columns] if group else df.columns), (F.col("position") - F.col("_first") + 1).cast("int").alias("rank"))
 
 
 def split_seeds(df: DataFrame, core_pool_size: int) -> DataFrame:

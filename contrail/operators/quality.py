@@ -41,11 +41,19 @@ def quality_score(df: DataFrame) -> DataFrame:
     return out.withColumn("recommendation", F.when(F.col("quality_score") > 0.7, "KEEP").when(F.col("quality_score") > 0.4, "REVIEW").otherwise("REMOVE"))
 
 
+KINDS = ("KEEP", "REVIEW", "REMOVE")
+
+
 def recommendation_rollup(df: DataFrame) -> DataFrame:
-    """recommendation, n, ids (sorted) for each of the three recommendations, empty ones too."""
-    kinds = df.sparkSession.createDataFrame([("KEEP",), ("REVIEW",), ("REMOVE",)], "recommendation string")
-    found = df.groupBy("recommendation").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("datapoint_id")).alias("ids"))
-    return kinds.join(found, "recommendation", "left").select("recommendation", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("ids", F.array().cast("array<long>")).alias("ids"))
+    """recommendation, n for each of the three recommendations, empty ones too; their rows: recommendation_members."""
+    kinds = df.sparkSession.createDataFrame([(k,) for k in KINDS], "recommendation string")
+    found = df.groupBy("recommendation").agg(F.count("*").alias("n"))
+    return kinds.join(found, "recommendation", "left").select("recommendation", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def recommendation_members(df: DataFrame) -> DataFrame:
+    """recommendation, datapoint_id: one row per datapoint of the three recommendations."""
+    return df.where(F.col("recommendation").isin(*KINDS)).select("recommendation", "datapoint_id")
 
 
 def problematic_datapoints(df: DataFrame) -> DataFrame:

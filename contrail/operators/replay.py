@@ -78,11 +78,15 @@ def assign_or_max(events: DataFrame, assign: Column, larger: Column, name: str,
 def apply_rollback(events: DataFrame, honor: bool = False) -> DataFrame:
     """Without honor nothing but the rollback records goes (an event is dropped only if it comes after a record that names a later
     sequence). With honor, events after a record's previous_sequence and before the record go."""
-    marks = events.where("event_type = 'checkpoint.rollback'").select("session_id", F.col("sequence").alias("_mark"), F.coalesce(field("previous_sequence", "long"), F.lit(0)).alias("_to"))
-    kept = events.where("event_type <> 'checkpoint.rollback'")
-    inside = (F.col("sequence") > F.col("_to")) & (F.col("sequence") < F.col("_mark")) if honor else (F.col("sequence") > F.col("_mark")) & (F.col("sequence") <= F.col("_to"))
-    e, m = kept.alias("e"), marks.alias("m")
-    return e.join(m, (F.col("e.session_id") == F.col("m.session_id")) & inside, "left_anti")
+    mark = F.when(F.col("event_type") == "checkpoint.rollback", F.coalesce(field("previous_sequence", "long"), F.lit(0)))
+    session = Window.partitionBy("session_id").orderBy("sequence")
+    if honor:  # some later record reaches back before the event
+        reach = F.min(mark).over(session.rowsBetween(1, Window.unboundedFollowing))
+        gone = F.coalesce(reach < F.col("sequence"), F.lit(False))
+    else:  # some earlier record names a sequence not before the event's
+        reach = F.max(mark).over(session.rowsBetween(Window.unboundedPreceding, -1))
+        gone = F.coalesce(reach >= F.col("sequence"), F.lit(False))
+    return events.withColumn("_gone", gone).where("event_type <> 'checkpoint.rollback' and not _gone").drop("_gone")
 
 
 def _last(value: Column, where: Column) -> Column:
@@ -152,6 +156,29 @@ def replay_seed_assignments(events: DataFrame) -> DataFrame:
     return rows.agg(F.max_by(zero("num_core_seeds"), "sequence").alias("core"), F.max_by(zero("num_unique_seeds"), "sequence").alias("unique"))
 
 
+def replay_seeds(events: DataFrame) -> DataFrame:
+    """session_id, seed_id, scenario, context, quality_score, is_core: the last generation of each seed."""
+    rows = events.where("event_type = 'seed.generated'").groupBy("session_id", field("seed_id").alias("seed_id"))
+    seed = F.struct(field("scenario").alias("scenario"), field("context").alias("context"), field("quality_score", "double").alias("quality_score"), field("is_core", "boolean").alias("is_core"))
+    return rows.agg(F.max_by(seed, "sequence").alias("s")).select("session_id", "seed_id", "s.*")
+
+
+def replay_optimizations(events: DataFrame) -> DataFrame:
+    """session_id, sequence and the result of each optimization, in the order of the log; none replaces another."""
+    kinds = {"sample_idx": "int", "layer": "int", "final_loss": "double", "iterations": "int", "datapoints_used": "int", "duration_seconds": "double", "success": "boolean", "error": "string"}
+    return events.where("event_type = 'optimization.completed'").select("session_id", "sequence", *(field(k, t).alias(k) for k, t in kinds.items()))
+
+
+def replay_evaluations(events: DataFrame) -> DataFrame:
+    """session_id, sequence and the result of each evaluation, in the order of the log; absent fields get their defaults."""
+    rows = events.where("event_type = 'evaluation.completed'")
+    default = lambda k, kind, value: F.coalesce(field(k, kind), F.lit(value)).alias(k)
+    return rows.select(
+        "session_id", "sequence", default("evaluation_id", "string", ""), default("eval_type", "string", "quick"), F.coalesce(field("scores.overall", "double"), F.lit(0.0)).alias("overall"),
+        default("verdict", "string", "needs_refinement"), default("recommended_strength", "double", 1.0),
+    )
+
+
 def event_counts(events: DataFrame) -> DataFrame:
     """session_id, event_type, n; a null event_type is the session's total, both null the log's."""
     return events.rollup("session_id", "event_type").agg(F.count("*").alias("n"))
@@ -179,7 +206,7 @@ def token_usage(events: DataFrame) -> DataFrame:
 
 def reassemble_chunks(events: DataFrame) -> DataFrame:
     """session_id, request_id, text: chunks joined by chunk_index."""
-    rows = events.where("event_type = 'llm.chunk'").select("session_id", field("request_id").alias("request_id"), F.struct(field("chunk_index", "int").alias("i"), field("content").alias("c")).alias("s"))
+    rows = events.where("event_type = 'llm.chunk'").select("session_id", field("request_id").alias("request_id"), F.struct(field("chunk_index", "int").alias("i"), F.coalesce(field("chunk"), field("content")).alias("c")).alias("s"))
     return rows.groupBy("session_id", "request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]), "").alias("text"))
 
 
@@ -237,9 +264,20 @@ def chat_history(messages: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.row_number().over(w).alias("at"), F.when(F.col("message_type") == "steered", "assistant").otherwise("user").alias("role"), "text")
 
 
+def with_fields(events: DataFrame) -> DataFrame:
+    """events with _fields, the payload's values by name as text: parsed once for all that reads them."""
+    return events.withColumn("_fields", F.from_json("payload", "map<string,string>"))
+
+
 def log_line() -> tuple[Column, Column, Column]:
-    """(source, message, level) of an event; all null for chunks."""
+    """(source, message, level) of an event of with_fields; all null for chunks. The texts are fixed values."""
     t = F.col("event_type")
+
+    def field(path: str, kind: str = "string") -> Column:
+        name, _, rest = path.partition(".")
+        value = F.element_at("_fields", name)
+        return (F.get_json_object(value, f"$.{rest}") if rest else value).cast(kind)
+
     text = lambda p, d="": F.coalesce(F.when(field(p) != "", field(p)), F.lit(d))
     number = lambda p: F.coalesce(field(p, "double"), F.lit(0.0))
     whole = lambda p: F.coalesce(field(p, "long"), F.lit(0))
@@ -321,7 +359,7 @@ def event_logs(events: DataFrame, keep: int | None = 10_000) -> DataFrame:
     """session_id, sequence, log_source, message, level without chunks; the last `keep` of each session."""
     source, message, level = log_line()
     # only chunks have no line; a test of the message would evaluate it twice
-    out = events.where("event_type <> 'llm.chunk'").select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level"))
+    out = with_fields(events.where("event_type <> 'llm.chunk'")).select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level"))
     if keep is None:
         return out
     w = Window.partitionBy("session_id").orderBy(F.col("sequence").desc())

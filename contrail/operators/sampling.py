@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.operators.pairs import with_position
+from contrail.operators.pairs import with_position, with_rank
 
 INTENSITIES = ("extreme", "high", "medium", "natural")
 
@@ -25,7 +25,8 @@ def scrambled(*cols: Column | str, seed: int = 0, modulus: int = 1_000_003) -> C
 
 
 def assign_intensity(df: DataFrame, shares: dict[str, float], order: str = "pos") -> DataFrame:
-    """df with intensity: the first int(n * share) rows extreme, then high, medium, natural; the rest goes to the largest share."""
+    """df with intensity: the first int(n * share) rows extreme, then high, medium, natural; the rest goes to the largest share. Counts and
+    numbers the rows when it is called."""
     n = df.count()
     quota = {k: int(n * shares.get(k, 0.0)) for k in INTENSITIES}
     largest = max(INTENSITIES, key=lambda k: shares.get(k, 0.0))
@@ -38,17 +39,19 @@ def assign_intensity(df: DataFrame, shares: dict[str, float], order: str = "pos"
 
 
 def subsample(df: DataFrame, ratio: float, seed: int = 0, max_rows: int | None = None, group: list[str] | None = None, key: str = "pos") -> DataFrame:
-    """Exactly max(1, int(n * ratio)) rows of each group without replacement (all if ratio >= 1), at most max_rows; by a scrambled order of the key."""
-    order = [scrambled(key, seed=seed), F.col(key)]
-    if not group:
-        n = df.count()
-        take = n if ratio >= 1 else max(1, int(n * ratio))
-        return df.orderBy(*order).limit(take if max_rows is None else min(take, max_rows))
+    """Exactly max(1, int(n * ratio)) rows of each group without replacement (all if ratio >= 1), at most max_rows; by a
+    scrambled order of the key. Rows are ranked by ranges, which are written when this is called."""
+    order = F.struct(scrambled(key, seed=seed).alias("scrambled"), F.col(key))
+    group = group or []
     counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
     quota = F.col("_n") if ratio >= 1 else F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))
     quota = F.least(quota, F.lit(max_rows)) if max_rows is not None else quota
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
-    return ranked.join(counts, group).where(F.col("_r") <= quota).drop("_r", "_n")
+    quotas = counts.select(*(F.col(g).alias(f"_g_{g}") for g in group), quota.alias("_quota"))
+    same = F.lit(True)
+    for g in group:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    ranked = with_rank(df, group, order)
+    return ranked.join(quotas if group else F.broadcast(quotas), same).where(F.col("rank") <= F.col("_quota")).select(*df.columns)
 
 
 def hash_text(s: str, start: int = 7) -> int:
@@ -161,7 +164,7 @@ def assign_territory(seeds: DataFrame, num_samples: int, per_sample: int, ensure
 
     First one seed per component (offset by the sample, the next free on a clash) up to the quota, then by quality order
     turned by sample * free // samples. balance: attribute keys of which no value should cover over half of a sample. Seeds are
-    ranked by ranges; a sample's wanted ranks are computed and joined to them.
+    ranked by ranges, written when this is called; a sample's wanted ranks are computed and joined to them.
     """
     q = F.col("quality_score")
     last = q.isNull() | F.isnan(q)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, cosine, dot, minus, norm, scale_to_norm, unit
+from contrail.operators.pairs import with_rank, with_running_sum
 
 STRATEGIES = ("best_single", "top_k_average", "weighted_average", "pca_principal", "strategy_grouped")
 
@@ -44,14 +45,16 @@ def quality_weighted_vector(df: DataFrame, group: list[str], quality: str, vecto
 
 
 def pca_vector(df: DataFrame, vector: str = "vector", orient: bool = True) -> DataFrame:
-    """One row: n, vector, the first principal component of all rows at unit norm, turned towards their mean if orient; one row
-    alone comes back as it is. The covariance is summed on the executors; only the d x d matrix reaches the driver."""
+    """One row: n, vector, the first principal component of all rows at unit norm, turned towards their mean if orient, else
+    so that its largest element is positive; one row alone comes back as it is. The covariance is summed on the executors; only the d x d matrix reaches the driver."""
     rows = df.select(array_to_vector(as_doubles(F.col(vector))).alias("x"))
     n = rows.limit(2).count()
     if n < 2:
         return df.select(F.lit(1).cast("long").alias("n"), as_doubles(F.col(vector)).alias("vector"))
     model = PCA(k=1, inputCol="x", outputCol="y").fit(rows)
     first = [float(x) for x in model.pc.toArray()[:, 0]]
+    if max(first, key=abs) < 0:
+        first = [-x for x in first]
     out = rows.agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
     first = F.lit(first)
     if orient:
@@ -95,15 +98,20 @@ def contrastive_vector(activations: DataFrame, group: list[str], outlier_std: fl
 
 
 def rank_samples(df: DataFrame, score: str = "overall_score", group: list[str] | None = None) -> DataFrame:
-    """Valid rows with rank from 1, best score first, earlier pos first on ties."""
-    w = Window.partitionBy(*(group or [F.lit(0)])).orderBy(F.col(score).desc_nulls_last(), F.col("pos"))
+    """Valid rows with rank from 1, best score first, earlier pos first on ties. Without groups rows are ranked by ranges, which are
+    written when this is called; in groups by a window, which a `rank <= k` behind it cuts before the shuffle."""
+    if not group:
+        order = F.struct(F.col(score).isNull().alias("none"), (~F.isnan(score)).alias("number"), (-F.col(score)).alias("down"), "pos")
+        return with_rank(df.where("is_valid"), (), order)
+    w = Window.partitionBy(*group).orderBy(F.col(score).desc_nulls_last(), F.col("pos"))
     return df.where("is_valid").withColumn("rank", F.row_number().over(w))
 
 
 def top_samples(df: DataFrame, k: int, score: str = "overall_score") -> DataFrame:
     """The k best valid rows with rank; a bounded top-k, so that no full sort meets in one task."""
-    best = df.where("is_valid").orderBy(F.col(score).desc_nulls_last(), F.col("pos")).limit(k)
-    return rank_samples(best, score)
+    order = (F.col(score).desc_nulls_last(), F.col("pos"))
+    best = df.where("is_valid").orderBy(*order).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # k rows
 
 
 def grouped_vector(df: DataFrame, k: int, group: str = "layer_strategy", score: str = "overall_score") -> DataFrame:
@@ -155,10 +163,10 @@ def detect_behavior(activations: DataFrame, vector: DataFrame, threshold: float)
 
 
 def auroc(df: DataFrame, score: str, truth: str) -> DataFrame:
-    """One row: auroc, n. Ranks of equal scores are averaged; scores are counted first, so that ranking sees each once."""
+    """One row: auroc, n. Ranks of equal scores are averaged; scores are counted first, and those below one are summed by ranges, which are
+    written when this is called."""
     counts = df.groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    below = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    ranked = with_running_sum(counts, score, F.col("neg"), "below")
     sums = ranked.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("wins"), F.sum("pos").alias("p"), F.sum("neg").alias("q"))
     return sums.select((F.col("wins") / (F.col("p") * F.col("q"))).alias("auroc"), (F.col("p") + F.col("q")).alias("n"))
 

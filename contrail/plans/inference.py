@@ -10,18 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.functions.judge_output import explode_judge_results, judge_batches, parse_llm_json
+from contrail.functions.judge_output import BATCH, explode_judge_results, judge_batches, parse_llm_json
 from contrail.operators import evaluation as ev
 from contrail.operators.pairs import pool_statistics, sample_datasets, split_seeds
 from contrail.operators.sampling import assign_intensity, assign_territory
-from contrail.sources.scratch import shared_folder
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """Written once and read back, so that a model's answer is asked for once even if the plan uses it twice."""
-    path = shared_folder(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from contrail.sources.scratch import kept
 
 
 def prompt_of(template: str, clip: dict[str, int]) -> Column:
@@ -111,12 +104,12 @@ def build_contrast_datasets(seeds: DataFrame, fn: Callable, validate: Callable,
     return sample_datasets(pool, core_assigned), pool_statistics(pool)
 
 
-def evaluate_candidates(outputs: DataFrame, fn: Callable, weights: dict[str, float] = ev.WEIGHTS) -> DataFrame:
-    """sample_idx, overall, verdict of outputs(sample_idx, dimension, pos, prompt, output, strength): judged in batches by prompt, results
-    put back in order, dimensions weighed; passed over 0.5."""
+def evaluate_candidates(outputs: DataFrame, fn: Callable, weights: dict[str, float] = ev.WEIGHTS, size: int = BATCH) -> DataFrame:
+    """sample_idx, overall, verdict of outputs(sample_idx, dimension, pos, prompt, output, strength): judged in batches of one prompt and at
+    most `size` outputs, results put back in order, dimensions weighed; passed over 0.5. Asks the judge when it is called."""
     key = F.concat_ws("/", F.col("sample_idx").cast("string"), "dimension", F.coalesce("prompt", F.lit("unknown")))
     keyed = outputs.withColumn("_key", key)
-    batches = judge_batches(keyed, "_key").withColumn("body", F.array_join(F.transform("outputs", lambda o: o["output"]), "\n"))
+    batches = judge_batches(keyed, "_key", size).withColumn("body", F.array_join(F.transform("outputs", lambda o: o["output"]), "\n"))
     judged = kept(batch_infer(batches, fn, "{batch_key}\n{body}", "answer"))
     scored = explode_judge_results(judged.select("batch_key", "n", "outputs", "answer"), "answer", "n")
     rows = scored.select(F.col("outputs")[F.col("output_index")]["pos"].alias("pos"), "score")
@@ -125,7 +118,8 @@ def evaluate_candidates(outputs: DataFrame, fn: Callable, weights: dict[str, flo
 
 
 def attach_eval_prompts(generated: DataFrame, scenarios: DataFrame, triggers: DataFrame, domains: DataFrame, templates: Sequence[str], most: int) -> DataFrame:
-    """prompt, origin, at: the first `most` generated prompts if there are any; else scenarios, then triggers, then domains in the templates."""
+    """prompt, origin, pos: the first `most` generated prompts if there are any; else scenarios, then triggers, then domains in the templates.
+    Looks for a generated row when it is called."""
     one = lambda df, r: df.select("prompt", F.lit(r).alias("origin"), F.col("pos").cast("long").alias("pos"))
     made = one(generated, 0).orderBy("pos").limit(most)
     grid = domains.select("pos", "domain", F.posexplode(F.array(*(F.lit(t) for t in templates))).alias("t", "template"))

@@ -32,9 +32,26 @@ def _quarantine(s, d):
     return src.read_quarantine(s, written_log(s, d)).agg(F.count("*").alias("n"))
 
 
+KINDS = {"vector.created": "cast(layer as double)", "optimization.completed": "final_loss", "evaluation.completed": "scores['overall']", "llm.response": "cast(usage.total_tokens as double)", "session.started": "cast(length(behavior_name) as double)"}
+
+
+def _kinds(s, d):
+    out = None
+    for kind, value in KINDS.items():
+        rows = src.events_of(event_log(s, d), kind).selectExpr("session_id", "sequence", f"'{kind}' as kind", f"{value} as value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _seeds(s, d):
+    log = event_log(s, d).where("event_type = 'checkpoint.created'").withColumn("k", F.regexp_extract("payload", "cp([0-9]+)", 1).cast("int"))
+    body = F.expr("to_json(named_struct('seed_id', concat('s', k % 4), 'scenario', concat('sc', k), 'context', 'x', 'quality_score', k / cast(10 as double), 'is_core', k % 3 = 0))")
+    return r.replay_seeds(log.withColumn("payload", body).withColumn("event_type", F.lit("seed.generated")))
+
+
 def _append(s, d):
-    old = event_log(s, d).where("sequence <= 20")
-    new = event_log(s, d).where("sequence > 20 and sequence <= 25").withColumnRenamed("sequence", "pos")
+    old = event_log(s, d)
+    new = event_log(s, d).withColumnRenamed("sequence", "pos")  # the whole log once more
     path = shared_folder(s, "append")
     src.append_events(new, old, path)
     return s.read.schema("session_id string, sequence long, category string, event_type string").json(path).select("session_id", "sequence", "category", "event_type")
@@ -93,6 +110,7 @@ QUERIES = {
     "a1_quarantine": _quarantine,
     "a2_event_category": lambda s, d: event_log(s, d).select(src.event_category(F.when(F.col("sequence") % 7 == 0, F.concat(F.lit("x."), "event_type")).otherwise(F.col("event_type"))).alias("category")).groupBy("category").agg(F.count("*").alias("n")),
     "a3_events_of": lambda s, d: src.events_of(event_log(s, d), "vector.selected").select("session_id", "sequence", "layer", "strength", "score"),
+    "a3_events_of_kinds": _kinds,
     "a4_append_events": _append,
     "a5_list_sessions": _sessions,
     "a6_latest_session": lambda s, d: src.latest_session(session_metadata(s, d), "b2").select("session_id", "created_at"),
@@ -121,6 +139,9 @@ QUERIES = {
     "g15_conversation_history": _conversation,
     "h1_replay_state": lambda s, d: r.replay_state(event_log(s, d)),
     "h2_replay_vectors": _children,
+    "h2_replay_seeds": _seeds,
+    "h2_replay_optimizations": lambda s, d: r.replay_optimizations(event_log(s, d)).select("session_id", "sequence", "sample_idx", "layer", "final_loss", "success"),
+    "h2_replay_evaluations": lambda s, d: r.replay_evaluations(event_log(s, d)),
     "h2_replay_seed_assignments": lambda s, d: r.replay_seed_assignments(aux_log(s, d)),
     "h3_apply_rollback": _rollback(False),
     "h3_apply_rollback_honored": _rollback(True),
@@ -164,7 +185,16 @@ ORACLE = {
     "a1_quarantine": sql("select 2 * count(*) as n from event_log where sequence % 50 = 0", "event_log"),
     "a2_event_category": sql("select case when sequence % 7 = 0 then 'state' else split_part(event_type, '.', 1) end as category, count(*) as n from event_log group by 1", "event_log"),
     "a3_events_of": sql("select session_id, sequence, k % 8 as layer, 1.0 as strength, round(value / 100, 4) as score from event_log where event_type = 'vector.selected'", "event_log"),
-    "a4_append_events": sql("select session_id, sequence, split_part(event_type, '.', 1) as category, event_type from event_log where sequence > 20 and sequence <= 25", "event_log"),
+    "a3_events_of_kinds": sql(
+        """select session_id, sequence, event_type as kind, case event_type when 'vector.created' then k % 8 when 'optimization.completed' then round(value, 2) when 'evaluation.completed' then round(value / 100, 4)
+        when 'session.started' then length('b' || k) when 'llm.response' then case when k % 9 <> 0 then k end end::double as value
+        from event_log where event_type in ('vector.created', 'optimization.completed', 'evaluation.completed', 'llm.response', 'session.started')""",
+        "event_log",
+    ),
+    "a4_append_events": sql("select session_id, sequence + count(*) over (partition by session_id) as sequence, split_part(event_type, '.', 1) as category, event_type from event_log", "event_log"),
+    "h2_replay_seeds": sql("select session_id, 's' || (k % 4) as seed_id, max_by('sc' || k, sequence) as scenario, 'x' as context, max_by(k / 10.0::double, sequence) as quality_score, max_by(k % 3 = 0, sequence) as is_core from event_log where event_type = 'checkpoint.created' group by 1, 2", "event_log"),
+    "h2_replay_optimizations": sql("select session_id, sequence, k % 4 as sample_idx, k % 8 as layer, round(value, 2) as final_loss, k % 2 = 0 as success from event_log where event_type = 'optimization.completed'", "event_log"),
+    "h2_replay_evaluations": sql("select session_id, sequence, 'e' || k as evaluation_id, 'quick' as eval_type, round(value / 100, 4) as overall, 'needs_refinement' as verdict, 1.0::double as recommended_strength from event_log where event_type = 'evaluation.completed'", "event_log"),
     "a5_list_sessions": sql("select session_id, behavior, created_at, final_score from session_metadata where status = 'completed' and not hidden order by session_metadata.created_at desc nulls last, session_id limit 20", "session_metadata"),
     "a6_latest_session": sql("select session_id, created_at from session_metadata where behavior = 'b2' and not hidden order by session_metadata.created_at desc nulls last, session_id limit 1", "session_metadata"),
     "a7_merge_session_metadata": sql(

@@ -21,8 +21,8 @@ from contrail.streaming import sessions as st
 
 
 def judge_raw(s, d):
-    """Judge answers of (vec_id, item_id) in five shapes, one in eleven with a result too few; n results are due."""
-    rows = judgements(s, d).where("generation_index = 0").groupBy("sample_idx", "item_id").agg(F.sort_array(F.collect_list(F.struct("strength", "score"))).alias("a"), F.count("*").alias("n"))
+    """Judge answers of (vec_id, item_id, generation) in five shapes, one in eleven with a result too few; n results are due."""
+    rows = judgements(s, d).groupBy("sample_idx", "item_id", "generation_index").agg(F.sort_array(F.collect_list(F.struct("strength", "score"))).alias("a"), F.count("*").alias("n"))
     few = F.when(F.pmod(F.col("sample_idx") + F.col("item_id"), F.lit(11)) == 0, F.slice("a", F.lit(1), F.col("n").cast("int") - 1)).otherwise(F.col("a"))
     body = F.to_json(F.transform(few, lambda x: F.struct(x["score"].alias("score"), F.lit("r").alias("reasoning"))))
     wrapped = F.concat(F.lit('{"results": '), body, F.lit("}"))
@@ -30,7 +30,7 @@ def judge_raw(s, d):
         F.when(F.col("sample_idx") % 5 == 0, wrapped).when(F.col("sample_idx") % 5 == 1, body).when(F.col("sample_idx") % 5 == 2, F.concat(F.lit("Sure:\n```json\n"), wrapped, F.lit("\n```\nDone.")))
         .when(F.col("sample_idx") % 5 == 3, F.concat(F.lit("The scores are "), body, F.lit(" as asked."))).otherwise(F.concat(F.lit("{broken "), F.col("sample_idx").cast("string")))
     )
-    return rows.select("sample_idx", "item_id", text.alias("text"), F.col("n").cast("int").alias("n"))
+    return rows.select("sample_idx", "item_id", "generation_index", text.alias("text"), F.col("n").cast("int").alias("n"))
 
 
 def _scores(s, d):
@@ -39,7 +39,7 @@ def _scores(s, d):
 
 
 def _parsed(s, d):
-    return judge_raw(s, d).select("sample_idx", "item_id", g.parse_llm_json(F.col("text")).isNotNull().alias("found"))
+    return judge_raw(s, d).select("sample_idx", "item_id", "generation_index", F.md5(g.parse_llm_json(F.col("text"))).alias("json_md5"))
 
 
 def _answers(s, d):
@@ -65,13 +65,15 @@ def _listing(name: str, item: str):
 _SEEDS = _listing("scenarios", "to_json(named_struct('scenario', source, 'context', lang, 'expected_contrast_strength', if(doc_id % 2 = 0, doc_id % 10, null), 'target_components', array('a', lang)))")
 _COMPONENTS = _listing("components", "to_json(named_struct('name', if(doc_id % 4 = 0, '', source), 'description', lang, 'markers', array('m1', 'm2')))")
 _CONFOUNDS = _listing("confounds_to_avoid", "if(doc_id % 2 = 0, concat('\"', source, '\"'), to_json(named_struct('factor', lang)))")
+_NEGATIVES = _listing("not_this_behavior", "to_json(named_struct('similar_behavior', source, 'why_different', lang, 'example', if(doc_id % 5 = 0, null, concat('ex', doc_id))))")
+_SCENARIOS = _listing("realistic_scenarios", "to_json(named_struct('setup', source, 'user_persona', lang, 'natural_trigger', concat('t', doc_id % 3)))")
 _EVAL = _listing("prompts", "to_json(named_struct('prompt', if(doc_id % 6 = 0, 'A user asking about x', concat(' ', source, ' ')), 'category', if(doc_id % 2 = 0, lang, null)))")
 _COMPLETIONS = _listing("completions", "to_json(named_struct('prompt', source, 'dst_completion', lang, 'src_completion', if(doc_id % 5 = 0, null, 'y')))")
 
 
 def _batches(s, d):
     rows = read(s, d, "documents").selectExpr("doc_id as pos", "if(doc_id % 13 = 0, null, source) as prompt", "lang as output")
-    out = g.judge_batches(rows)
+    out = g.judge_batches(rows, size=64)
     return out.select("batch_key", "n", F.element_at("outputs", 1)["pos"].alias("first_pos"), F.array_join(F.transform("outputs", lambda o: o["output"]), ",").alias("outputs"))
 
 
@@ -111,7 +113,7 @@ def number_client():
 
 
 def _evaluate(s, d):
-    out = judgements(s, d).where("strength = 1").selectExpr("sample_idx * 1000 + item_id * 3 + generation_index as pos", "sample_idx", "dimension", "concat('p', item_id) as prompt", "cast(score as string) as output", "strength")
+    out = judgements(s, d).selectExpr("sample_idx * 4294967296 + item_id * 15 + cast(strength * 6 as int) - 3 + generation_index as pos", "sample_idx", "dimension", "concat('p', item_id) as prompt", "cast(score as string) as output", "strength")
     return rounded(inf.evaluate_candidates(out, number_client), "overall")
 
 
@@ -147,8 +149,44 @@ def _json(s, d):
 
 
 def _serialize(s, d):
-    out = art.serialize_sample_datasets(pair_scores(s, d), list(p.SCORES))
-    return rounded(out.select("sample_idx", "total", "valid", "avg_quality", F.json_array_length("json").alias("exported")), "avg_quality")
+    rows = art.serialize_sample_datasets(pair_scores(s, d), list(p.SCORES))
+    exported = rows.where(F.get_json_object("json", "$.weakest").isNotNull()).groupBy("sample_idx").agg(F.count("*").alias("exported"))
+    return rounded(art.sample_dataset_summary(pair_scores(s, d)).join(exported, "sample_idx", "left").na.fill(0, ["exported"]), "avg_quality")
+
+
+def _serialized(s, d):
+    rows = art.serialize_sample_datasets(pair_scores(s, d), list(p.SCORES))
+    return rows.select("sample_idx", "pair_id", F.get_json_object("json", "$.dimension").cast("double").alias("dimension"), F.get_json_object("json", "$.marker").cast("double").alias("marker"))
+
+
+def _tasks(s, d):
+    """Five tables of every task, saved, loaded and rolled up."""
+    path = shared_folder(s, "tasks")
+    rows = candidate_vectors(s, d).withColumn("task_id", F.col("pos") % 40)
+    ids = rows.select("task_id").distinct()
+    art.save_task_result(
+        path,
+        {
+            "task": ids.withColumn("status", F.when(F.col("task_id") % 3 == 0, "failed").otherwise("done")),
+            "behavior": ids.withColumn("name", F.concat(F.lit("b"), F.col("task_id") % 5)),
+            "pairs": pair_scores(s, d).select((F.col("pair_id") % 40).alias("task_id"), "pair_id", "is_valid"),
+            "samples": rows.select("task_id", "sample_idx", F.when(F.col("is_valid"), F.col("overall_score")).alias("score")),
+            "losses": rows.select("task_id", "sample_idx", F.posexplode(F.expr("transform(sequence(1, 3), i -> ((sample_idx * i) % 97) / cast(97 as double))")).alias("step", "loss")),
+        },
+    )
+    tables = art.load_task_result(s, path, ["task", "behavior", "pairs", "samples", "losses"])
+    return rounded(art.task_summary(tables), "last_loss")
+
+
+def _analysis(body: str, take):
+    def run(s, d):
+        return take(read(s, d, "documents").selectExpr("doc_id", f"to_json({body}) as text"), "text").drop("text")
+
+    return run
+
+
+_TEST = _analysis("named_struct('behavioral_test', named_struct('distinguishing_variable', if(doc_id % 4 = 0, '', source), 'description', lang))", g.behavioral_test)
+_CALIBRATION = _analysis("named_struct('intensity_calibration', named_struct('extreme_looks_like', if(doc_id % 3 = 0, null, source), 'high_looks_like', ''))", g.intensity_calibration)
 
 
 def _streamed(name, transform, mode="append"):
@@ -187,6 +225,10 @@ QUERIES = {
     "g6_explode_seeds": lambda s, d: _SEEDS(s, d, g.explode_seeds).withColumn("target_components", F.array_join("target_components", ",")),
     "g7_explode_components": lambda s, d: _COMPONENTS(s, d, g.explode_components).withColumn("markers", F.array_join("markers", ",")),
     "g7_explode_confounds": lambda s, d: _CONFOUNDS(s, d, g.explode_confounds),
+    "g7_explode_negatives": lambda s, d: _NEGATIVES(s, d, g.explode_negatives),
+    "g7_explode_scenarios": lambda s, d: _SCENARIOS(s, d, g.explode_scenarios),
+    "g7_behavioral_test": lambda s, d: _TEST(s, d).select("doc_id", "description", "distinguishing_variable", "user_action"),
+    "g7_intensity_calibration": _CALIBRATION,
     "g7_short_name": lambda s, d: read(s, d, "documents").select("doc_id", g.short_name(F.coalesce("text", F.lit(""))).alias("name")),
     "g8_explode_eval_prompts": lambda s, d: _EVAL(s, d, g.explode_eval_prompts),
     "g9_explode_completions": lambda s, d: _COMPLETIONS(s, d, g.explode_completions).select("doc_id", "at", "prompt", F.col("dst_completions")[0].alias("dst"), F.col("src_completions")[0].alias("src")),
@@ -194,7 +236,9 @@ QUERIES = {
     "a9_vector_refs": _refs,
     "a10_task_result": _task,
     "a11_datapoints_json": _json,
+    "a10_task_result_whole": _tasks,
     "a12_serialize_samples": _serialize,
+    "a12_serialize_pairs": _serialized,
     "i1_batch_infer": lambda s, d: _infer(s, d, {"text": 100}),
     "i1_batch_infer_whole": _infer,
     "i2_generate_pairs": _generate,
@@ -212,13 +256,17 @@ QUERIES = {
     "h7_batch_events": lambda s, d: read_events(s, written_log(s, d)).groupBy("session_id").agg(F.count("*").alias("n")),
 }
 
-_RAW = "raw as (select sample_idx, item_id, s, score, sample_idx % 5 = 4 as broken, (sample_idx + item_id) % 11 = 0 and s = 5 as missing from (select *, (strength * 2)::int as s from judgements where generation_index = 0))"
+_RAW = "raw as (select sample_idx, item_id, generation_index, s, score, sample_idx % 5 = 4 as broken, (sample_idx + item_id) % 11 = 0 and s = 5 as missing from (select *, (strength * 2)::int as s from judgements))"
 _TRIM = "trim(coalesce(text, ''), ' ')"
 ORACLE = {
-    "g1_parse_llm_json": sql("select distinct sample_idx, item_id, sample_idx % 5 not in (3, 4) as found from judgements", "judgements"),
+    "g1_parse_llm_json": sql(
+        """b as (select sample_idx, item_id, generation_index, '[' || string_agg('{"score":' || score::varchar || ',"reasoning":"r"}', ',' order by strength) filter (where (sample_idx + item_id) % 11 <> 0 or strength < 2.5) || ']' as body from judgements group by all)
+        select sample_idx, item_id, generation_index, case sample_idx % 5 when 1 then md5(body) when 0 then md5('{"results": ' || body || '}') when 2 then md5('{"results": ' || body || '}' || chr(10)) end as json_md5 from b""",
+        "judgements",
+    ),
     "g2_extract_score": "select doc_id, case doc_id % 4 when 0 then doc_id % 11 when 1 then doc_id % 7 + 0.5 when 2 then doc_id % 9 else 5 end::double as score from documents",
     "g3_explode_judge_results": sql(
-        f"{_RAW} select sample_idx, item_id, s - 1 as output_index, case when broken or missing then 5 else score end as score, case when broken then 'Parse error' when missing then 'Parse incomplete' else 'r' end as reasoning, broken or missing as is_default from raw", "judgements"
+        f"{_RAW} select sample_idx, item_id, generation_index, s - 1 as output_index, case when broken or missing then 5 else score end as score, case when broken then 'Parse error' when missing then 'Parse incomplete' else 'r' end as reasoning, broken or missing as is_default from raw", "judgements"
     ),
     "g4_build_validation": """with x as (select doc_id, lang, doc_id % 7 = 6 as bad from documents), y as (select doc_id, lang, bad, case when bad then 5 else doc_id % 11 end::double as dimension, case when bad then -1 else doc_id % 10 end::double as marker, -1.0::double as boundary, 5.0::double as intensity_score,
         case when bad then 10 else 5 + doc_id % 6 end::double as structural, case when bad then 5 else doc_id % 9 end::double as contrast_quality from x)
@@ -229,12 +277,35 @@ ORACLE = {
     "g6_explode_seeds": "select doc_id, 0 as at, source as scenario, lang as context, case when doc_id % 2 = 0 then doc_id % 10 else 7 end::double as expected_contrast_strength, case when doc_id % 2 = 0 then doc_id % 10 else 7 end::double as quality_score, 'a,' || lang as target_components from documents",
     "g7_explode_components": "select doc_id, 0 as at, source as name, lang as description, 'm1,m2' as markers from documents where doc_id % 4 <> 0",
     "g7_explode_confounds": "select doc_id, 0 as at, case when doc_id % 2 = 0 then source else lang end as factor from documents union all select doc_id, 1, '5' from documents",
+    "g7_explode_negatives": "select doc_id, 0 as at, coalesce(source, '') as name, coalesce(lang, '') as why, case when doc_id % 5 = 0 then '' else 'ex' || doc_id end as example from documents union all select doc_id, 2, '', '', '' from documents",
+    "g7_explode_scenarios": "select doc_id, 0 as at, coalesce(source, '') as setup, coalesce(lang, '') as user_persona, 't' || (doc_id % 3) as natural_trigger, '' as stakes from documents union all select doc_id, 2, '', '', '', '' from documents",
+    "g7_behavioral_test": "select doc_id, coalesce(lang, '') as description, source as distinguishing_variable, '' as user_action from documents where doc_id % 4 <> 0 and source <> ''",
+    "g7_intensity_calibration": "select doc_id, source as extreme, '' as high, 'Balanced expression' as medium, 'Subtle, realistic expression' as natural from documents where doc_id % 3 <> 0 and source <> ''",
     "g7_short_name": f"with x as (select doc_id, trim(split_part(coalesce(text, ''), '.', 1), ' ') as n from documents) select doc_id, case when length(n) > 50 then n[:47] || '...' else n end as name from x",
     "g8_explode_eval_prompts": "select doc_id, 0 as at, source as prompt, case when doc_id % 2 = 0 then lang else 'general' end as category, 'medium' as expected_intensity from documents where doc_id % 6 <> 0",
     "g9_explode_completions": "select doc_id, 0 as at, source as prompt, lang as dst, 'y' as src from documents where doc_id % 5 <> 0",
-    "d29_judge_batches": "select case when doc_id % 13 = 0 then 'unknown' else source end as batch_key, count(*) as n, min(doc_id) as first_pos, string_agg(lang, ',' order by doc_id) as outputs from documents group by 1",
+    "d29_judge_batches": """with k as (select coalesce(case when doc_id % 13 <> 0 then source end, 'unknown') as batch_key, doc_id, lang from documents), b as (select *, (row_number() over (order by batch_key, doc_id) - 1) // 64 as b from k)
+        select batch_key, count(*) as n, min(doc_id) as first_pos, string_agg(lang, ',' order by doc_id) as outputs from b group by batch_key, b""",
     "a9_vector_refs": sql("v as (select session_id, sequence, k % 8 as layer, row_number() over (partition by session_id, k % 8 order by sequence) as version from event_log where event_type = 'vector.created') select session_id, sequence, version, printf('vectors/layer_%02d_v%03d.pt', layer, version) as vector_ref from v", "event_log"),
     "a10_task_result": sql("select sample_idx, overall_score as score from candidate_vectors where pos % 4 = 2 and is_valid", "candidate_vectors"),
+    "a10_task_result_whole": sql(
+        """s as (select pos % 40 as task_id, count(*) filter (where is_valid) as samples, max(overall_score) filter (where is_valid) as best_score, count(*) * 3 as losses, round(avg((sample_idx * 3) % 97 / 97.0::double), 6) as last_loss from candidate_vectors group by 1),
+        q as (select pair_id % 40 as task_id, count(*) as pairs, count(*) filter (where is_valid) as valid_pairs from pair_scores group by 1)
+        select task_id, case when task_id % 3 = 0 then 'failed' else 'done' end as status, 'b' || (task_id % 5) as behavior, samples, best_score, coalesce(pairs, 0) as pairs, coalesce(valid_pairs, 0) as valid_pairs, losses, last_loss from s left join q using (task_id)""",
+        "candidate_vectors", "pair_scores",
+    ),
+    "a12_serialize_pairs": sql("select sample_idx, pair_id, case when dimension >= 0 then dimension end as dimension, case when marker >= 0 then marker end as marker from pair_scores where is_valid", "pair_scores"),
+    "c12_attach_eval_prompts": """with a as (select lang as prompt, 1 as origin, min(doc_id) as pos from documents where lang is not null group by lang union all select upper(lang), 2, min(doc_id) from documents where lang is not null group by upper(lang)),
+        n as (select source as domain, min(doc_id) as pos from documents where source is not null group by 1), g as (select 'Tell me about ' || domain as prompt, 3 as origin, pos * 2 as pos from n union all select 'Why ' || domain || '?', 3, pos * 2 + 1 from n)
+        select * from (select * from a union all select * from g) order by origin, pos limit 20""",
+    "c12_attach_eval_prompts_generated": "select text as prompt, 0 as origin, doc_id as pos from documents where text is not null order by doc_id limit 20",
+    "i5_build_contrast_datasets": sql(
+        """o as (select pos, scenario, context, quality_score, row_number() over (order by pos) <= 80 as core from seeds), r as (select *, row_number() over (partition by core order by quality_score desc, pos) - 1 as i, count(*) over (partition by core) as n from o),
+        a as (select core, t.s as sample_idx, pos, scenario, context from r, range(0, 8) t(s) where (i - t.s * n // 8 + n) % n < 10),
+        x as (select distinct a.sample_idx, 'core' as pool, o.pos as pair_id from a join o on o.core and o.scenario = a.scenario and o.context = a.context where a.core union all select sample_idx, 'unique', pos from a where not core)
+        select sample_idx, pool, count(*) as n, sum(pair_id) as ids from x group by all""",
+        "seeds",
+    ),
     "a11_datapoints_json": sql("select pair_id, prompt, md5(dst) as dst_md5, contrast_quality as quality from pair_scores", "pair_scores"),
     "a12_serialize_samples": sql("select sample_idx, count(*) as total, count(*) filter (where is_valid) as valid, round(coalesce(avg(contrast_quality) filter (where is_valid), 0), 6) as avg_quality, count(*) filter (where is_valid) as exported from pair_scores group by 1", "pair_scores"),
     "i1_batch_infer_whole": "select doc_id, length(lang || ': ' || coalesce(text, '')) % 11 as score, null::varchar as error from documents",
@@ -243,7 +314,7 @@ ORACLE = {
     "i3_validate_with_retry": sql("x as (select pair_id, scenario || pair_id as w, length(scenario || pair_id) as l from pairs) select pair_id, case when l % 3 = 0 then w else w || '+' end as dst, 'x' as src, (case when l % 3 = 0 then l else l + 1 end)::double as contrast_quality, l % 3 in (0, 2) as is_valid, case when l % 3 = 0 then 1 else 2 end as attempts from x", "pairs"),
     "i4_reduce_vectors": sql("select label, i - 1 as dim, round(max(vector[i]), 6) as x from candidate_vectors, range(1, 65) t(i) group by all", "candidate_vectors"),
     "i6_evaluate_candidates": sql(
-        "dims as (select sample_idx, dimension, avg(score) as s from judgements where strength = 1 group by all), o as (select sample_idx, sum(s / 10 * case dimension when 'behavior' then 0.3 when 'specificity' then 0.25 when 'coherence' then 0.2 else 0.1 end) as o from dims group by 1) select sample_idx, round(o, 6) as overall, case when o > 0.5 then 'passed' else 'needs_refinement' end as verdict from o",
+        "dims as (select sample_idx, dimension, avg(score) as s from judgements group by all), o as (select sample_idx, sum(s / 10 * case dimension when 'behavior' then 0.3 when 'specificity' then 0.25 when 'coherence' then 0.2 else 0.1 end) as o from dims group by 1) select sample_idx, round(o, 6) as overall, case when o > 0.5 then 'passed' else 'needs_refinement' end as verdict from o",
         "judgements",
     ),
     "h7_stream_events": sql("select session_id, count(*) as n, sum(sequence) as sequences from event_log group by 1", "event_log"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contrail.fixtures import candidate_vectors, pair_scores, pair_vectors, pairs, read, seeds, sql
 from contrail.operators import pairs as p
 from contrail.queries.vectors import rounded
+from contrail.sources.events import new_sessions
 
 
 def _merge(s, d):
@@ -49,7 +50,7 @@ def _prompts(s, d):
 
 def _boundary(s, d):
     rows = pairs(s, d).selectExpr("pair_id", "upper(scenario) as confused_with")
-    negatives = read(s, d, "documents").selectExpr("doc_id as pos", "source as name", "concat('ex', doc_id) as example").where("pos % 3 = 1")
+    negatives = read(s, d, "documents").selectExpr("doc_id as pos", "source as name", "concat('ex', doc_id) as example")
     return p.boundary_feedback(rows, negatives)
 
 
@@ -83,7 +84,7 @@ QUERIES = {
     "e6_dedup_prompts": lambda s, d: _dedup(s, d),
     "f1_all_pairs": lambda s, d: p.all_pairs(pairs(s, d).where("sample_idx = -1"), pairs(s, d).where("sample_idx >= 0")).groupBy("pool").agg(F.count("*").alias("n"), F.sum("pair_id").alias("ids")),
     "f2_distinct_seeds": lambda s, d: p.distinct_seeds(seeds(s, d)).select("scenario", "context", "pos"),
-    "f3_new_sessions": lambda s, d: seeds(s, d).select("context").distinct().join(seeds(s, d).where("pos % 7 = 0").select("context").distinct(), "context", "left_anti"),
+    "f3_new_sessions": lambda s, d: new_sessions(seeds(s, d), seeds(s, d).where("pos % 7 = 0"), "context"),
     "f4_split_seeds": lambda s, d: p.split_seeds(seeds(s, d), 80).select("pos", "is_core"),
     "g16_pair_to_datapoint": lambda s, d: p.pair_to_datapoint(pair_scores(s, d)).selectExpr("pair_id", "prompt", "md5(dst_completions[0]) as dst", "size(src_completions) as n"),
 }
@@ -147,7 +148,7 @@ ORACLE = {
         f"{_ASSIGN} select distinct a.sample_idx, pair_id, 'core' as pool from pairs p join assignments a using (scenario, context) where p.sample_idx = -1 union all select sample_idx, pair_id, 'unique' from pairs where sample_idx >= 0", "pairs", "seeds"
     ),
     "c13_boundary_feedback": sql(
-        "n as (select lower(source) as name, min_by('ex' || doc_id, doc_id) as negative_example from documents where doc_id % 3 = 1 group by 1) select pair_id, upper(scenario) as confused_with, negative_example from pairs left join n on n.name = lower(scenario)", "pairs"
+        "n as (select lower(source) as name, min_by('ex' || doc_id, doc_id) as negative_example from documents group by 1) select pair_id, upper(scenario) as confused_with, negative_example from pairs left join n on n.name = lower(scenario)", "pairs"
     ),
     "d7_pool_statistics": sql(
         f"""{_PER} select coalesce(sum(total) filter (where sample_idx = -1), 0) as core_total, coalesce(sum(valid) filter (where sample_idx = -1), 0) as core_valid, round(coalesce(max(quality) filter (where sample_idx = -1), 0), 6) as core_quality,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.fixtures import activations, candidate_vectors, near_dup_vectors, pair_vectors, read, sql
-from contrail.functions.vectors import cosine, dot, norm, scale_to_norm, unit
+from contrail.functions.vectors import cosine, dot, minus, norm, scale_to_norm, unit
 from contrail.operators import diversity as d
 from contrail.operators import vectors as v
 
@@ -71,6 +71,14 @@ def _diversity(spark, d_):
     return rounded(out, "avg_similarity", "min_distance", "word_std")
 
 
+def _clusters(spark, d_):
+    """One row: rows, clusters, and whether clusters are tighter than the table."""
+    rows = d.cluster_vectors(candidate_vectors(spark, d_)).select("cluster", "vector").withColumn("all", F.lit(0))
+    spread = lambda by: rows.join(v.mean_vector(rows, [by], normalize=False).select(by, F.col("vector").alias("c")), by).agg(F.sum(norm(minus(F.col("vector"), F.col("c")))).alias(f"spread_{by}"))
+    sizes = rows.agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+    return sizes.crossJoin(spread("cluster")).crossJoin(spread("all")).select("n", "clusters", (F.col("spread_cluster") < F.col("spread_all")).alias("tighter"))  # one row each
+
+
 QUERIES = {
     "e1_d16_top_weighted_vector": entry_query,
     "g11_vector_functions": _functions,
@@ -81,6 +89,8 @@ QUERIES = {
     "d18_pca_vector": lambda s, p: exploded(v.pca_vector(candidate_vectors(s, p))),
     "d19_weighted_pca_vector": lambda s, p: exploded(v.weighted_pca_vector(candidate_vectors(s, p), "overall_score")),
     "d20_variance_explained": lambda s, p: rounded(v.variance_explained(candidate_vectors(s, p)), "share"),
+    "d20_first_share": lambda s, p: rounded(v.variance_explained(candidate_vectors(s, p)).where("component = 0"), "share"),
+    "d2_cluster_check": _clusters,
     "d21_grouped_vector": lambda s, p: exploded(rounded(v.grouped_vector(candidate_vectors(s, p), 16), "score"), "score", "layer"),
     **{f"d22_aggregate_{x}": _aggregate(x) for x in v.STRATEGIES},
     "d23_contrastive_vector": lambda s, p: exploded(v.contrastive_vector(activations(s, p), ["sample_idx", "layer"], 1.5), "sample_idx", "layer", "n"),
@@ -125,7 +135,45 @@ _CENTRE = "centre as (select list(m order by i) as c from (select i, avg(vector[
 _UNITS = "units as (select *, list_transform(vector, lambda x: x / sqrt(list_inner_product(vector, vector))) as u from candidate_vectors)"
 _TOKENS = "tokens as (select sample_idx // 4 as response_id, sample_idx % 4 as token_pos, case when sample_idx % 4 = 0 then 'prompt' else 'response' end as part, vector from candidate_vectors)"
 
+SQUARINGS = 14
+
+
+def _axis(rows: str) -> str:
+    """Common tables: axis(i, v), the first principal axis of rows(v), and share(s), its part of the variance: the covariance over its
+    trace, squared until only the largest eigenvalue counts."""
+    out = [
+        f"rows as materialized ({rows})",
+        "ctr as materialized (select i, avg(v[i]) as m from rows, range(1, 65) t(i) group by i)",
+        "flat as materialized (select r, i, v[i] - m as x from (select row_number() over () as r, v from rows), ctr)",
+        "cov as materialized (select a.i, b.i as j, sum(a.x * b.x) as x from flat a join flat b using (r) group by all)",
+        "m0 as materialized (select i, j, x / (select sum(x) from cov where i = j) as x from cov)",
+    ]
+    for k in range(SQUARINGS):
+        out.append(f"p{k} as materialized (select a.i, b.j, sum(a.x * b.x) as x from m{k} a join m{k} b on a.j = b.i group by all)")
+        out.append(f"m{k + 1} as materialized (select i, j, x / (select sum(x) from p{k} where i = j) as x from p{k})")
+    last = f"m{SQUARINGS}"
+    out.append(f"big as materialized (select j, x from {last} where i = j order by x desc limit 1)")
+    out.append(f"raw as materialized (select {last}.i, {last}.x / sqrt(big.x) as v from {last} join big using (j))")
+    out.append("axis as materialized (select i, v * (select sign(first(v order by abs(v) desc)) from raw) as v from raw)")
+    out.append("share as materialized (select sum(a.v * b.v * m0.x) as s from m0 join axis a on a.i = m0.i join axis b on b.i = m0.j)")
+    return ", ".join(out)
+
+
+_TO_MEAN = "i - 1 as dim, round(v * case when (select sum(v * m) from axis join ctr using (i)) < 0 then -1 else 1 end, 6) as x from axis"
+
 ORACLE = {
+    "d18_pca_vector": sql(_axis("select vector as v from candidate_vectors") + " select " + _TO_MEAN, "candidate_vectors"),
+    "d19_weighted_pca_vector": sql(_axis("select list_transform(vector, lambda x: x * f) as v from (select vector, sqrt(overall_score / sum(overall_score) over ()) as f from candidate_vectors)") + " select i - 1 as dim, round(v, 6) as x from axis", "candidate_vectors"),
+    "d20_first_share": sql(_axis("select vector as v from candidate_vectors") + " select 0 as component, round(s, 6) as share from share", "candidate_vectors"),
+    "d22_aggregate_pca_principal": sql(_TOP + ", " + _axis("select vector as v from top") + " select score, layer, n, " + _TO_MEAN + ", facts", "candidate_vectors"),
+    "d2_cluster_check": "select count(*) as n, 5 as clusters, true as tighter from embeddings",
+    "e7_mmr_select": sql(
+        _UNITS + """, one as (select label, sample_idx, pos, u from units qualify row_number() over (partition by label order by overall_score desc, pos) = 1),
+        two as (select b.label, b.sample_idx, b.pos, b.u, one.pos as p1, one.u as u1 from units b join one using (label) where b.pos <> one.pos qualify row_number() over (partition by label order by 0.5 * b.overall_score - 0.5 * list_inner_product(one.u, b.u) desc, b.pos) = 1),
+        three as (select b.label, b.sample_idx from units b join two using (label) where b.pos not in (two.pos, two.p1) qualify row_number() over (partition by label order by 0.5 * b.overall_score - 0.5 * greatest(list_inner_product(two.u, b.u), list_inner_product(two.u1, b.u)) desc, b.pos) = 1)
+        select label, sample_idx, 1 as rank from one union all select label, sample_idx, 2 from two union all select label, sample_idx, 3 from three""",
+        "candidate_vectors",
+    ),
     "e1_d16_top_weighted_vector": sql(
         "best as (select * from candidate_vectors where is_valid qualify row_number() over (partition by label order by overall_score desc, pos) <= 5), " + _unit_of("label", "best", "overall_score") + " " + _MEAN.format(key="label"), "candidate_vectors"
     ),

@@ -56,10 +56,28 @@ def datapoints_from_json(df: DataFrame) -> DataFrame:
 
 
 def serialize_sample_datasets(pairs: DataFrame, scores: list[str]) -> DataFrame:
-    """sample_idx, total, valid, avg_quality, json: valid pairs of a sample with their evaluated scores and the weakest, by pair_id."""
+    """sample_idx, pair_id, json: one row per valid pair with its evaluated scores and the weakest."""
     from contrail.operators.pairs import score_extremes
 
-    rows = score_extremes(pairs, scores).withColumn("ok", F.coalesce("is_valid", F.lit(False)))
     body = F.struct("pair_id", "weakest", *(F.when(F.col(s) >= 0, F.col(s)).alias(s) for s in scores))
-    out = rows.groupBy("sample_idx").agg(F.count("*").alias("total"), F.count_if("ok").alias("valid"), F.avg(F.when(F.col("ok"), F.coalesce("contrast_quality", F.lit(0.0)))).alias("avg_quality"), F.sort_array(F.collect_list(F.when(F.col("ok"), body))).alias("pairs"))
-    return out.select("sample_idx", "total", "valid", F.coalesce("avg_quality", F.lit(0.0)).alias("avg_quality"), F.to_json("pairs").alias("json"))
+    return score_extremes(pairs, scores).where(F.coalesce("is_valid", F.lit(False))).select("sample_idx", "pair_id", F.to_json(body).alias("json"))
+
+
+def sample_dataset_summary(pairs: DataFrame) -> DataFrame:
+    """sample_idx, total, valid, avg_quality (of the valid; none: 0)."""
+    ok = F.coalesce("is_valid", F.lit(False))
+    out = pairs.groupBy("sample_idx").agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.avg(F.when(ok, F.coalesce("contrast_quality", F.lit(0.0)))).alias("avg_quality"))
+    return out.withColumn("avg_quality", F.coalesce("avg_quality", F.lit(0.0)))
+
+
+def task_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row per task of loaded tables task, behavior, pairs, samples and losses: task_id, behavior, status, samples, best_score, pairs,
+    valid_pairs, losses, last_loss (the mean of the samples' last losses)."""
+    samples = tables["samples"].groupBy("task_id").agg(F.count("*").alias("samples"), F.max("score").alias("best_score"))
+    pairs = tables["pairs"].groupBy("task_id").agg(F.count("*").alias("pairs"), F.count_if("is_valid").alias("valid_pairs"))
+    last = tables["losses"].groupBy("task_id", "sample_idx").agg(F.count("*").alias("n"), F.max_by("loss", "step").alias("last"))
+    losses = last.groupBy("task_id").agg(F.sum("n").alias("losses"), F.avg("last").alias("last_loss"))
+    out = tables["task"].select("task_id", "status").join(tables["behavior"].select("task_id", F.col("name").alias("behavior")), "task_id", "left")
+    for part in (samples, pairs, losses):
+        out = out.join(part, "task_id", "left")
+    return out.na.fill(0, ["samples", "pairs", "valid_pairs", "losses"])

@@ -23,27 +23,48 @@ ENVELOPE = T.StructType(
         T.StructField("payload", T.StringType()),
     ]
 )
-#: Typed views of the payloads that the operators read; fields not listed stay reachable by their JSON path.
+#: The fields of every kind's payload. Objects of any shape stay JSON text.
 PAYLOADS = {
-    "session.started": "behavior_name string, behavior_description string",
-    "session.completed": "success boolean, final_score double, final_layer int, error string",
-    "llm.request": "request_id string, model string, messages array<struct<role:string,content:string>>",
-    "llm.response": "request_id string, content string, usage struct<total_tokens:long,estimated_tokens:long>, latency_ms double, finish_reason string, error string",
-    "llm.chunk": "request_id string, chunk_index int, content string",
-    "tool.call": "call_id string, tool_name string",
-    "tool.result": "call_id string, success boolean, error string",
-    "vector.created": "vector_id string, layer int, vector_ref string, norm double",
-    "vector.selected": "layer int, strength double, score double, reason string",
-    "datapoint.added": "datapoint_id string, prompt string, domain string",
+    "session.started": "behavior_name string, behavior_description string, config string",
+    "session.completed": "success boolean, final_vector_ref string, final_layer int, final_score double, total_llm_calls long, total_tokens long, duration_seconds double, error string",
+    "llm.request": "request_id string, model string, messages array<struct<role:string,content:string>>, tools string, temperature double, max_tokens int, extra_params string",
+    "llm.response": "request_id string, content string, tool_calls string, finish_reason string, usage struct<total_tokens:long,estimated_tokens:long>, latency_ms double, error string",
+    "llm.chunk": "request_id string, chunk string, chunk_index int, accumulated string",
+    "tool.call": "call_id string, tool_name string, arguments string, agent_id string",
+    "tool.result": "call_id string, success boolean, output string, error string, latency_ms double",
+    "vector.created": "vector_id string, layer int, vector_ref string, shape array<int>, dtype string, norm double, optimization_metrics string",
+    "vector.comparison": "vector_ids array<string>, similarities map<string,double>",
+    "vector.selected": "vector_id string, layer int, strength double, score double, reason string",
+    "datapoint.added": "datapoint_id string, prompt string, positive_completion string, negative_completion string, domain string, format_type string",
     "datapoint.removed": "datapoint_id string, reason string",
-    "datapoint.quality": "datapoint_id string, quality_score double, recommendation string",
-    "evaluation.completed": "evaluation_id string, scores map<string,double>, verdict string, recommended_strength double",
-    "contrast.pair_generated": "pair_id string, seed_id string, sample_idx int, prompt string",
-    "contrast.pair_validated": "pair_id string, is_valid boolean, contrast_quality double, rejection_reason string",
-    "seed.generated": "seed_id string, scenario string, context string, quality_score double, is_core boolean",
-    "seed.assigned": "sample_idx int, num_core_seeds int, num_unique_seeds int",
-    "optimization.completed": "sample_idx int, layer int, final_loss double, iterations int, success boolean, error string",
+    "datapoint.quality": "datapoint_id string, leave_one_out_influence double, gradient_alignment double, avg_loss_contribution double, quality_score double, recommendation string, is_outlier boolean",
+    "evaluation.started": "evaluation_id string, eval_type string, vector_id string, layer int, sample_idx int, strength_levels array<double>, num_prompts int, dimensions array<string>",
+    "evaluation.dimension_started": "evaluation_id string, dimension string, num_prompts int, num_generations int",
+    "evaluation.generation": "evaluation_id string, dimension string, prompt string, output string, strength double, generation_index int, is_baseline boolean",
+    "evaluation.judge_call": "evaluation_id string, dimension string, prompt string, num_outputs int, scores array<double>, latency_ms double",
+    "evaluation.dimension_completed": "evaluation_id string, dimension string, score double, max_score double, details string, duration_seconds double",
+    "evaluation.progress": "evaluation_id string, phase string, completed int, total int, current_dimension string",
+    "evaluation.output": "evaluation_id string, prompt string, output string, strength double, is_baseline boolean",
+    "evaluation.completed": "evaluation_id string, sample_idx int, scores map<string,double>, dimension_scores map<string,double>, citations string, recommendations array<string>, verdict string, recommended_strength double, raw_judge_output string, duration_seconds double, total_generations long, total_judge_calls long",
+    "checkpoint.created": "checkpoint_id string, description string, state_ref string",
     "checkpoint.rollback": "checkpoint_id string, previous_sequence long",
+    "state.update": "field string, old_value string, new_value string",
+    "state.iteration_started": "iteration_type string, iteration int, max_iterations int",
+    "state.iteration_completed": "iteration_type string, iteration int, result string",
+    "contrast.behavior_analyzed": "behavior_name string, num_components int, components string, trigger_conditions array<string>, contrast_dimensions array<string>",
+    "contrast.pipeline_started": "behavior_description string, num_samples int, config string",
+    "contrast.pipeline_completed": "num_samples int, total_pairs_generated long, total_valid_pairs long, avg_quality double, duration_seconds double",
+    "contrast.pair_generated": "pair_id string, seed_id string, prompt string, dst_response string, src_response string, sample_idx int",
+    "contrast.pair_validated": "pair_id string, is_valid boolean, contrast_quality double, dimension_score double, marker_score double, boundary_score double, intensity_score double, structural_score double, semantic_score double, weakest_dimension string, rejection_reason string",
+    "seed.generation_started": "num_seeds_requested int, behavior_name string",
+    "seed.generated": "seed_id string, scenario string, context string, quality_score double, is_core boolean",
+    "seed.generation_completed": "total_generated int, avg_quality double",
+    "seed.assigned": "sample_idx int, num_core_seeds int, num_unique_seeds int, seed_ids array<string>",
+    "optimization.started": "sample_idx int, layer int, num_datapoints int, config string",
+    "optimization.progress": "sample_idx int, iteration int, loss double, norm double",
+    "optimization.completed": "sample_idx int, layer int, final_loss double, iterations int, loss_history array<double>, datapoints_used int, duration_seconds double, success boolean, error string",
+    "optimization.aggregation_completed": "strategy string, num_vectors int, top_k int, ensemble_components array<string>, final_score double, final_layer int",
+    "optimization.ranking_completed": "rankings string, total_samples int, valid_samples int",
 }
 
 
@@ -136,6 +157,11 @@ def list_sessions(metadata: DataFrame, status: str | None = None, behavior: str
     return out.limit(limit) if limit else out
 
 
+def new_sessions(discovered: DataFrame, watched: DataFrame, key: str = "session_id") -> DataFrame:
+    """The distinct keys discovered that are not watched yet; a null key is none."""
+    return discovered.select(key).where(F.col(key).isNotNull()).distinct().join(watched.select(key), key, "left_anti")
+
+
 def latest_session(metadata: DataFrame, behavior: str | None = None) -> DataFrame:
     return list_sessions(metadata, behavior=behavior, limit=1)
 
