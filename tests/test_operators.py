@@ -363,3 +363,60 @@ def test_prompts_of_all_documents(spark):
     assert {x["prompt"] for x in got if x["origin"] == 1} == langs and {x["origin"] for x in got} == {1, 2, 3}
     made = outputs.QUERIES["c12_attach_eval_prompts_generated"](spark, SMALL).collect()
     assert len(made) == 20 and {x["origin"] for x in made} == {0}
+
+
+def test_ranks_in_groups_of_any_kind(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 1), (None, 7), (None, 2), (None, 9), ("b", 5)], "g string, pos int")
+    got = {(x["g"], x["pos"]): x["rank"] for x in p.with_rank(rows, ["g"], F.col("pos")).collect()}
+    assert got == {("a", 1): 1, ("a", 3): 2, (None, 2): 1, (None, 7): 2, (None, 9): 3, ("b", 5): 1}
+    assert p.with_rank(rows.limit(0), [], F.col("pos")).collect() == []
+    sums = {x["pos"]: x["before"] for x in p.with_running_sum(rows, "pos", F.col("pos"), "before").collect()}
+    assert sums == {1: 0, 2: 1, 3: 3, 5: 6, 7: 11, 9: 18}
+
+
+def test_batches_of_one_prompt_are_cut(spark):
+    rows = spark.createDataFrame([(i, "p" if i < 7 else None, str(i)) for i in range(9)], "pos int, prompt string, output string")
+    got = g.judge_batches(rows, size=3).collect()
+    assert all(x["n"] == len(x["outputs"]) <= 3 for x in got) and sorted(o["pos"] for x in got for o in x["outputs"]) == list(range(9))
+    assert {x["batch_key"] for x in got} == {"p", "unknown"}
+    assert {x["batch_key"] for x in g.judge_batches(rows, None).collect()} == set(map(str, range(9)))
+
+
+@pytest.mark.parametrize("honor", [False, True])
+def test_rollback_against_a_loop(spark, honor):
+    kinds = [("s", 1, "state.update", {}), ("s", 2, "state.update", {}), ("s", 3, "checkpoint.rollback", {"previous_sequence": 1}), ("s", 4, "state.update", {}), ("s", 5, "checkpoint.rollback", {"previous_sequence": 8}), ("s", 6, "state.update", {}), ("s", 9, "state.update", {}), ("s", 10, "checkpoint.rollback", {}), ("t", 2, "state.update", {})]
+    want = set()
+    for session, n, kind, _ in kinds:
+        marks = [(m, b.get("previous_sequence", 0)) for s, m, k, b in kinds if s == session and k == "checkpoint.rollback"]
+        gone = any(to < n < m if honor else m < n <= to for m, to in marks)
+        want |= {(session, n)} if kind != "checkpoint.rollback" and not gone else set()
+    assert {(x["session_id"], x["sequence"]) for x in r.apply_rollback(log(spark, kinds), honor).collect()} == want
+
+
+def test_children_of_a_replay(spark):
+    events = log(
+        spark,
+        [
+            ("s", 1, "seed.generated", {"seed_id": "a", "scenario": "old"}), ("s", 2, "seed.generated", {"seed_id": "a", "scenario": "new", "quality_score": 2.5, "is_core": True}),
+            ("s", 3, "optimization.completed", {"layer": 3, "success": False, "error": "x"}), ("s", 4, "optimization.completed", {"layer": 3, "final_loss": 0.5, "success": True}), ("s", 5, "evaluation.completed", {}),
+        ],
+    )
+    assert [tuple(x) for x in r.replay_seeds(events).select("seed_id", "scenario", "quality_score", "is_core").collect()] == [("a", "new", 2.5, True)]
+    assert sorted((x["sequence"], x["success"], x["error"]) for x in r.replay_optimizations(events).collect()) == [(3, False, "x"), (4, True, None)]
+    assert [tuple(x)[2:] for x in r.replay_evaluations(events).collect()] == [("", "quick", 0.0, "needs_refinement", 1.0)]
+    assert all(f.replay_seeds(events.limit(0)).collect() == [] for f in (r,))
+
+
+def test_every_payload_has_a_view(spark):
+    assert len(src.PAYLOADS) == 40 and {k.split(".")[0] for k in src.PAYLOADS} <= set(src.CATEGORIES)
+    events = log(spark, [("s", 1, "evaluation.progress", {"evaluation_id": "e", "phase": "judging", "completed": 2, "total": 9}), ("s", 2, "evaluation.progress", {})])
+    assert [(x["completed"], x["total"]) for x in src.events_of(events, "evaluation.progress").orderBy("sequence").collect()] == [(2, 9), (None, None)]
+
+
+def test_analysis_parts(spark):
+    texts = ['{"behavioral_test": {"distinguishing_variable": "v"}, "intensity_calibration": {"high_looks_like": "h"}}', '{"behavioral_test": {"description": "d"}, "intensity_calibration": {"high_looks_like": ""}}', "none", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [(x["i"], x["distinguishing_variable"], x["description"]) for x in g.behavioral_test(df, "t").collect()] == [(0, "v", "")]
+    assert [(x["i"], x["high"], x["natural"]) for x in g.intensity_calibration(df, "t").collect()] == [(0, "h", g.LOOKS["natural"])]
+    found = src.new_sessions(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "session_id string"), spark.createDataFrame([("b",)], "session_id string"))
+    assert [x["session_id"] for x in found.collect()] == ["a"]
