@@ -18,7 +18,7 @@ from contrail.llm.common import BLANK, count_at_most, let
 GRAM, WINDOW = 3, 4
 POSITION_BITS = 30
 #: A document's successor is sought within ranges of doc_id of about so many documents; at least and at most so many ranges.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 5000, 64, 65_536
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1000, 16, 65_536
 
 
 def words(text: Column) -> Column:
@@ -91,27 +91,18 @@ def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     cuts = sorted(set(bounds.first()["bounds"] or ()))  # at most `ranges` numbers
     low = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     docs = docs.withColumn("range", count_at_most(cuts, low))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    inside = Window.partitionBy("range").orderBy(*order)
-    spread = docs.repartitionByRange(ranges, "range").sortWithinPartitions("range", *order)
-    spread = spread.withColumn("marks", marks(F.col("text")))
-    ahead = spread.select("*", F.lead(F.struct("text", "marks")).over(inside).alias("ahead"))
-    # each range's first row serves the range before; ids first, then the texts of at most `ranges` rows
+    # each range's first row serves the range before, as its last; ids first, then the texts of at most `ranges` rows
     lows = docs.withColumn("low", low).groupBy("range").agg(F.min("low").alias("low"))
     by_range = Window.partitionBy(F.lit(0)).orderBy("range")
     ends = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ring = lows.select("low", F.coalesce(F.lag("range").over(by_range), F.last("range").over(ends)).alias("range"))
     texts = docs.select("doc_id", "text").withColumn("low", low).join(F.broadcast(ring), "low")
-    ring = texts.groupBy("range").agg(F.min_by("text", F.xxhash64("text")).alias("first_text"))
-    joined = ahead.join(ring, "range", "left")
-    edge = F.col("ahead").isNull()
-    return joined.select(
-        "doc_id",
-        "text",
-        "marks",
-        F.when(edge, F.col("first_text")).otherwise(F.col("ahead.text")).alias("next_text"),
-        F.when(edge, marks(F.col("first_text"))).otherwise(F.col("ahead.marks")).alias("next_marks"),
-    )
+    ring = texts.groupBy("range").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = docs.select("doc_id", "text", "range", F.lit(False).alias("edge")).union(ring.select(F.lit(None).cast("long"), "text", "range", F.lit(True)))
+    order = [F.col("edge"), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    spread = rows.repartitionByRange(ranges, "range").sortWithinPartitions("range", *order).withColumn("marks", marks(F.col("text")))
+    ahead = spread.select("*", F.lead(F.struct("text", "marks")).over(Window.partitionBy("range").orderBy(*order)).alias("ahead")).where("not edge")
+    return ahead.select("doc_id", "text", "marks", F.col("ahead.text").alias("next_text"), F.col("ahead.marks").alias("next_marks"))
 
 
 def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
