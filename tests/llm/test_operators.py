@@ -161,7 +161,7 @@ def test_machine_learns_a_pair_that_weights_miss():
         x, y = rng.random(2) < 0.5
         lists.append(np.unique(np.array([7] * int(x) + [9] * int(y) + list(rng.integers(20, 40, 4)), np.int32)))
         labels.append(float(x and y))
-    machine = toxicity.fit(np.array(labels), lists)
+    machine = toxicity.fit(np.array(labels), np.concatenate(lists), np.cumsum([0, *map(len, lists)]))
     assert set(machine.places) >= {7, 9}
     at = {int(p): i for i, p in enumerate(machine.places)}
 
@@ -179,7 +179,7 @@ def test_scores_by_hand(spark):
     labels = np.array([float(i % 3 == 0) for i in range(90)])
     rows, places = toxicity.terms(pa.array(texts))
     lists = [np.unique(places[rows == i]).astype(np.int32) for i in range(len(texts))]
-    machine = toxicity.fit(labels, lists[:90])
+    machine = toxicity.fit(labels, np.concatenate(lists[:90]), np.cumsum([0, *map(len, lists[:90])]))
     at = {int(p): i for i, p in enumerate(machine.places)}
     assert set(at) == {int(p) for x in lists[:90] for p in x}  # no term is left out
     for x, got in zip(lists, toxicity.scores(machine, pa.array(texts))):
@@ -828,6 +828,39 @@ def test_pipeline(spark):
             assert kept.columns == columns
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows, clashing columns, a text over 50 KB; each stage on an empty table too."""
+    import corpus_pipeline
+
+    rng = random.Random(51)
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    long = words(rng, 12_000)
+    rows = [(1, long), (2, f"{long} more"), (3, item), (3, item), (4, None), (None, None), (None, "no id here at all"), (5, "twin"), (5, "twin"), (6, ""), (7, words(rng, 40)), (7, words(rng, 40))]
+    docs = spark.createDataFrame([(i, t, "en", None if i == 4 else "s", 1, "x", 0, 1.0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, shard string, t1 int, p double")
+    count = {name: step(spark, docs, SMALL).count() for name, step in corpus_pipeline.STAGES}
+    assert count["toxicity"] <= 12 and count["sharding"] == 12
+    kept = corpus_pipeline.near_dedup(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"] or 0), len(r["text"] or "")) for r in kept.collect()) == sorted([(1, len(long)), (3, len(item)), (4, 0), (0, 0), (0, 17), (5, 4), (6, 0), (7, len(rows[10][1])), (7, len(rows[11][1]))])
+    assert sorted((r["doc_id"] or 0) for r in corpus_pipeline.decontamination(spark, docs, SMALL).collect()) == [0, 0, 1, 2, 4, 5, 5, 6, 7, 7]
+    mixed = Counter(r["doc_id"] for r in corpus_pipeline.mixing(spark, docs, SMALL).collect())
+    assert all(n <= 3 * sum(i == d for i, _ in rows) for d, n in mixed.items())
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), SMALL).collect() == [], name
+
+
+def test_operators_on_odd_rows(spark):
+    """Scores, mixes and urls of null ids, equal rows and clashing columns; an empty table of pages."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(None, 1), (5, 0)], "doc_id long, toxic int")
+    rows = [(i, "vile word" if i % 2 else "kind word") for i in range(60)] + [(None, "vile word"), (5, "vile word"), (5, "vile word"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 0.5, True) for i, t in rows], "doc_id long, text string, score double, held_out boolean")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 64 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+    assert len({r["score"] for r in got if r["doc_id"] == 5}) == 1
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert html_text.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
+
+
 def test_components(spark):
     from contrail.llm.components import components
 
