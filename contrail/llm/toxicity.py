@@ -57,69 +57,53 @@ def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         both = np.unique(rows * PLACES + places)
         ends = np.searchsorted(both, np.arange(batch.num_rows + 1) * PLACES)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((both % PLACES).astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([column(batch, "toxic"), lists], ["toxic", "terms"])
-
-
-@dataclass
-class _Lot:
-    """The rows of one batch: their terms in a row, each row's first, and the terms in order with their first."""
-
-    labels: np.ndarray
-    terms: np.ndarray
-    rows: np.ndarray
-    row_starts: np.ndarray
-    used: np.ndarray
-    order: np.ndarray
-    term_starts: np.ndarray
-
-
-def _lots(labels: np.ndarray, lists: list[np.ndarray], at: np.ndarray, rng: np.random.Generator) -> list[_Lot]:
-    ends = np.cumsum([0, *map(len, lists)])
-    full = rng.permutation([i for i, x in enumerate(lists) if len(x)])
-    out = []
-    for i in range(0, len(full), BATCH):
-        rows = full[i : i + BATCH]
-        terms = np.concatenate([at[ends[r] : ends[r + 1]] for r in rows])
-        sizes = np.array([len(lists[r]) for r in rows])
-        order = np.argsort(terms, kind="stable").astype(np.int32)
-        used, starts = np.unique(terms[order], return_index=True)
-        out.append(_Lot(labels[rows], terms, np.repeat(np.arange(len(rows), dtype=np.int32), sizes), np.cumsum(sizes) - sizes, used, order, starts))
-    return out
-
-
-def fit(labels: np.ndarray, lists: list[np.ndarray]) -> Machine:
-    """labels 0/1 and each row's terms."""
+        yield pa.RecordBatch.from_arrays([column(batch, "toxic"), column(batch, "doc_id"), lists], ["toxic", "doc_id", "terms"])
+
+
+def fit(labels: np.ndarray, terms: np.ndarray, ends: np.ndarray) -> Machine:
+    """labels 0/1; row i's terms are terms[ends[i]:ends[i + 1]], without repeats."""
     n, ones = len(labels), int(labels.sum())
-    if not ones or ones == n:
-        return Machine(np.empty(0, np.int64), math.log((ones + 0.5) / (n - ones + 0.5)), np.empty(0), np.empty((0, FACTORS)))
-    places, at = np.unique(np.concatenate(lists), return_inverse=True)
-    at = at.astype(np.int32)
-    rows = np.repeat(np.arange(n), [len(x) for x in lists])
-    seen, hits = np.bincount(at, minlength=len(places)), np.bincount(at, weights=labels[rows], minlength=len(places))
-    expected = seen * ones / n
-    value = (np.abs(hits - expected) / np.sqrt(expected * (1 - ones / n) + 1) / 3).astype(np.float32)
+    if not ones or ones == n or not len(terms):
+        return Machine(np.empty(0, np.int32), math.log((ones + 0.5) / (n - ones + 0.5)), np.empty(0, np.float32), np.empty((0, FACTORS), np.float32))
+    toxic = np.repeat(labels > 0, np.diff(ends))
+    seen, hits = np.bincount(terms, minlength=PLACES), np.bincount(terms[toxic], minlength=PLACES)
+    places = np.flatnonzero(seen).astype(np.int32)
+    number = np.zeros(PLACES, np.int32)
+    number[places] = np.arange(len(places))
+    at = number[terms]
+    expected = seen[places] * (ones / n)
+    value = (np.abs(hits[places] - expected) / np.sqrt(expected * (1 - ones / n) + 1) / 3).astype(np.float32)
+    del seen, hits, number, toxic, expected
     rng = np.random.default_rng(SEED)
     theta = np.zeros((len(places), 1 + FACTORS), np.float32)
     theta[:, 1:] = rng.normal(0, 0.02, (len(places), FACTORS))
     squares = np.full_like(theta, 1e-2)
     bias, bias_squares = 0.0, 1e-2
-    lots = _lots(labels, lists, at, rng)
+    full = np.flatnonzero(np.diff(ends))
+    lots = -(-len(full) // BATCH)
     for _ in range(EPOCHS):
-        for j in rng.permutation(len(lots)):
-            lot = lots[j]
-            x = value[lot.terms][:, None]
-            here = theta[lot.terms] * x
-            sums = np.add.reduceat(here, lot.row_starts, axis=0)
-            pairs = (sums[:, 1:] ** 2).sum(axis=1) - np.add.reduceat((here[:, 1:] ** 2).sum(axis=1), lot.row_starts)
+        full = rng.permutation(full)
+        for lot in range(lots):
+            rows = full[lot * BATCH : (lot + 1) * BATCH]
+            mine = [at[ends[r] : ends[r + 1]] for r in rows]
+            sizes = np.array([len(x) for x in mine])
+            ids = np.concatenate(mine)
+            row, starts = np.repeat(np.arange(len(rows)), sizes), np.cumsum(sizes) - sizes
+            order = np.argsort(ids, kind="stable")
+            used, first = np.unique(ids[order], return_index=True)
+            x = value[ids][:, None]
+            here = theta[ids] * x
+            sums = np.add.reduceat(here, starts, axis=0)
+            pairs = (sums[:, 1:] ** 2).sum(axis=1) - np.add.reduceat((here[:, 1:] ** 2).sum(axis=1), starts)
             guess = 1 / (1 + np.exp(-np.clip(bias + sums[:, 0] + 0.5 * pairs, -30, 30)))
-            weight = np.where(lot.labels > 0, 0.5 * n / ones, 0.5 * n / (n - ones)) / BATCH
-            error = ((guess - lot.labels) * weight).astype(np.float32)
-            part = sums[lot.rows] - here
+            weight = np.where(labels[rows] > 0, 0.5 * n / ones, 0.5 * n / (n - ones)) / BATCH
+            error = ((guess - labels[rows]) * weight).astype(np.float32)
+            part = sums[row] - here
             part[:, 0] = 1
-            part *= error[lot.rows][:, None] * x
-            grad = np.add.reduceat(part[lot.order], lot.term_starts, axis=0) + DECAY / len(lots) * theta[lot.used]
-            squares[lot.used] += grad**2
-            theta[lot.used] -= RATE * grad / np.sqrt(squares[lot.used])
+            part *= error[row][:, None] * x
+            grad = np.add.reduceat(part[order], first, axis=0) + DECAY / lots * theta[used]
+            squares[used] += grad**2
+            theta[used] -= RATE * grad / np.sqrt(squares[used])
             g = float(error.sum())
             bias_squares += g * g
             bias -= RATE * g / math.sqrt(bias_squares)
@@ -139,13 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows
-    table = stage(texts.select("toxic", "text").mapInArrow(_collect_terms, "toxic int, terms array<int>"))
-    table = table.toArrow()  # at most 2 * sample rows of at most PLACES terms
-    lists = [x.values.to_numpy() for x in table.column("terms").combine_chunks()] if table.num_rows else []
-    y = table.column("toxic").to_numpy().astype(float)
-    # the same machine whatever the order of rows
-    by = sorted(range(len(lists)), key=lambda i: (y[i], len(lists[i]), lists[i].tobytes()))
-    return fit(y[by], [lists[i] for i in by])
+    table = stage(texts.select("toxic", "doc_id", "text").mapInArrow(_collect_terms, "toxic int, doc_id long, terms array<int>"))
+    # the same machine whatever the order of rows; at most 2 * sample rows (as far as no labelled id repeats) of at most PLACES terms
+    table = table.orderBy("doc_id", F.xxhash64("terms")).select("toxic", "terms").toArrow()
+    if not table.num_rows:
+        return fit(np.empty(0), np.empty(0, np.int32), np.zeros(1, np.int64))
+    labels, lists = table.column("toxic").to_numpy().astype(np.float32), table.column("terms").combine_chunks()
+    del table
+    return fit(labels, lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64))
 
 
 def scores(machine: Machine, texts: pa.Array) -> np.ndarray:
