@@ -247,17 +247,16 @@ def span_of(node: Node, name: str, most: int) -> int:
 def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table of (text, columns, rows) cells. A cell of several columns stands over all of them, and the places it takes
     in later rows stay empty; columns in which no cell begins take no room."""
-    below: dict[int, tuple[int, int]] = {}  # first column -> (columns, rows still taken)
+    taken: dict[int, tuple[int, int]] = {}  # first column -> (columns, first row that is free again)
     placed: list[list[tuple[int, int, list[str]]]] = []
-    for row in rows:
-        at, line, taken = 0, [], below
-        below = {c: (w, n - 1) for c, (w, n) in taken.items() if n > 1}
+    for r, row in enumerate(rows):
+        at, line = 0, []
         for text, wide, high in row:
-            while at in taken:
-                at += taken[at][0]
+            while (cell := taken.get(at)) and cell[1] > r:
+                at += cell[0]
             line.append((at, at + wide, text.split("\n")))
             if high > 1:
-                below[at] = (wide, high - 1)
+                taken[at] = (wide, r + high)
             at += wide
         if any(text for text, _, _ in row):
             placed.append(line)
