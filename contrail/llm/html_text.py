@@ -112,9 +112,13 @@ class Open:
 
     def close(self, tags, bounds) -> None:
         """Close the tags that are open within the bounds."""
+        place = self.last(tags)
+        if not place:
+            return
         bound = self.last(bounds)
-        while (place := self.last(tags)) > bound:
+        while place > bound:
             self.cut(place)
+            place = self.last(tags)
 
 
 def pieces(source: str) -> Iterator[tuple[str, re.Match | None, int]]:
@@ -127,10 +131,11 @@ def pieces(source: str) -> Iterator[tuple[str, re.Match | None, int]]:
         text.append(source[at : m.start() if m else len(source)])
         if not m:
             break
-        if m[0] == "<!--":
+        kind = m[0]
+        if kind == "<!--":
             end = source.find("-->", m.start() + 2)
             at = end + 3
-        elif m[0] in ("<!", "<?") or m[0] == "</" and not source[m.end() : m.end() + 1].isalpha():
+        elif kind in ("<!", "<?") or kind == "</" and not source[m.end() : m.end() + 1].isalpha():
             end = source.find(">", m.start())
             at = end + 1
         else:
@@ -220,11 +225,12 @@ class Writer:
 
     def end(self, spacing: int, keep: bool = False) -> None:
         """End the line; spacing 2 asks for a blank line before what follows."""
-        line = "".join(self.parts).rstrip(" ")
-        self.parts = []
-        if line or keep:
-            self.put(line)
-            self.gap = 0
+        if self.parts or keep:
+            line = "".join(self.parts).rstrip(" ")
+            self.parts = []
+            if line or keep:
+                self.put(line)
+                self.gap = 0
         if spacing > 1:
             self.gap = 1
 
