@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from contrail.llm import decontamination, html_text, minhash_dedup, mixing, ring, substring_dedup, suffix_dedup, toxicity, url_filter, winnowing
+from contrail.llm import decontamination, html_text, minhash_dedup, mixing, prefix_trie, ring, spelling, substring_dedup, suffix_dedup, token_counts, toxicity, url_filter, winnowing
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8,
         "op9_html_text": html_text.op9,
         "op10_minhash_near_dedup": minhash_dedup.op10,
+        "op11_token_counts": token_counts.op11,
+        "op12_spelling_variants": spelling.op12,
+        "op13_prefix_trie": prefix_trie.op13,
     }
 
 
@@ -25,4 +28,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontamination.OP4_SQL,
         "op8_substring_dedup": substring_dedup.OP8_SQL,
         "op10_minhash_near_dedup": minhash_dedup.OP10_SQL,
+        "op12_spelling_variants": spelling.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }

@@ -62,7 +62,7 @@ def test_query_is_whole(spark, name):
     assert catalog.queries()[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.queries() if not n.startswith(("op6", "op9"))])
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if not n.startswith(("op6", "op9", "op11", "op12", "op13"))])
 def test_empty_documents(spark, name):
     empty = frame(spark, []).withColumnRenamed("n_chars", "n_chars")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
