@@ -42,24 +42,6 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key is heavy if it has over 1 / HEAVY of all rows, so fewer than HEAVY keys are.
-HEAVY = 4096
-
-
-def join_counts(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """rows with the value of their key, from known(key, rows, value), which holds every key once with the number of its rows.
-
-    Heavy keys would be hot in a shuffle: fewer than HEAVY of at most 256 bytes, so they are broadcast. All others meet by a shuffle, in which no
-    key of up to 256 bytes has over 1 / HEAVY of the rows. known should be a written table: it is read three times.
-    """
-    total = known.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    heavy = (F.col("rows") * HEAVY > total) & (F.octet_length(key) <= 256)
-    common = F.broadcast(known.where(heavy).select(key, "value"))
-    near = rows.join(common, key)
-    far = rows.join(common, key, "left_anti").join(known.where(~heavy).select(key, "value"), key)
-    return near.unionByName(far)
-
-
 def let(value: Column, body) -> Column:
     """Bind a costly column once for use at several places of a lambda."""
     return F.transform(F.array(value), body)[0]

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import column, join_counts, slices, stage
+from contrail.llm.common import column, slices, stage
 
 #: Bytes of text of one block; a longer text is a block of its own.
-BLOCK = 1 << 22
+BLOCK = 1 << 24
+#: Counted words of one task that go back to their blocks together.
+ROWS = 1 << 20
 #: White space as the library's pattern knows it: Unicode's 25 code points.
 WHITE = r"\t-\r \x85\xa0  -     　"
 #: Code points whose class is the same here and in the library (a test tries them all). Of others, later versions of Unicode assign more as
@@ -99,32 +101,44 @@ def pre_token_counts(path: str):
     return run
 
 
-BLOCKS = "block long, words array<string>, doc_ids array<long>, n_bytes array<long>, ends array<long>, at array<int>, freq array<int>"
+BLOCKS = "block long, words array<string>, doc_ids array<long>, n_bytes array<long>, sizes array<int>, packed binary"
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Small whole numbers as zstd of their bytes, lowest bytes first."""
+    return pa.compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, count: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, count).T).view("<i4").reshape(count).astype(np.int64)
 
 
 def _blocks(path: str):
-    """One row for each block: its distinct pre-tokens, and for each document the pre-tokens it holds (as places in words) with frequencies."""
+    """One row for each block: its distinct pre-tokens, and packed for each document the pre-tokens it holds (as places in words, ascending, each as the
+    step from the one before) and their frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, block = pre_token_counts(path), TaskContext.get().partitionId() << 32
         for batch in slices(batches, "text", BLOCK):
             texts = column(batch, "text")
             place: dict[str, int] = {}
-            ends, at, freq = [0], [], []
+            sizes, steps, freqs = [], [], []
             for text in texts:
                 mine = count(text.as_py() or "")
                 for word in mine:
                     if word not in place:
                         place[word] = len(place)
-                at.append(np.fromiter(map(place.__getitem__, mine), np.int32, len(mine)))
-                freq.append(np.fromiter(mine.values(), np.int32, len(mine)))
-                ends.append(ends[-1] + len(mine))
-            size = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
+                at = np.fromiter(map(place.__getitem__, mine), np.int64, len(mine))
+                order = np.argsort(at)
+                steps.append(np.diff(at[order], prepend=0))
+                freqs.append(np.fromiter(mine.values(), np.int64, len(mine))[order])
+                sizes.append(len(mine))
+            n_bytes = pc.fill_null(pc.cast(pc.binary_length(texts), pa.int64()), 0)
             yield pa.RecordBatch.from_pydict(
                 {
-                    "block": pa.array([block], pa.int64()), "words": pa.array([list(place)], pa.list_(pa.string())),
-                    "doc_ids": pa.array([column(batch, "doc_id").to_pylist()], pa.list_(pa.int64())), "n_bytes": pa.array([size.to_pylist()], pa.list_(pa.int64())),
-                    "ends": pa.array([ends[1:]], pa.list_(pa.int64())), "at": pa.array([np.concatenate(at)], pa.list_(pa.int32())), "freq": pa.array([np.concatenate(freq)], pa.list_(pa.int32())),
+                    "block": pa.array([block], pa.int64()), "words": pa.array([list(place)], pa.list_(pa.string())), "doc_ids": pa.array([column(batch, "doc_id").to_pylist()], pa.list_(pa.int64())),
+                    "n_bytes": pa.array([n_bytes.to_pylist()], pa.list_(pa.int64())), "sizes": pa.array([sizes], pa.list_(pa.int32())), "packed": pa.array([pack(np.concatenate(steps + freqs))], pa.binary()),
                 }
             )
             block += 1
@@ -132,31 +146,57 @@ def _blocks(path: str):
     return run
 
 
+def _returned(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Places and pieces of words, one row for each block: packed as the places' steps and the pieces."""
+    block, at, pieces = (np.concatenate([r[i] for r in rows]) if rows else np.empty(0, np.int64) for i in range(3))
+    order = np.lexsort((at, block))
+    block, at, pieces = block[order], at[order], pieces[order]
+    cuts = np.flatnonzero(np.diff(block, prepend=block[:1] - 1))
+    parts = list(zip(np.split(at, cuts[1:]), np.split(pieces, cuts[1:]))) if len(block) else []
+    return pa.RecordBatch.from_arrays(
+        [pa.array(block[cuts]), pa.array([len(x) for x, _ in parts], pa.int32()), pa.array([pack(np.concatenate([np.diff(x, prepend=0), y])) for x, y in parts], pa.binary())], ["block", "n", "pieces"]
+    )
+
+
 def _pieces(path: str):
-    """How many pieces the library makes of each pre-token."""
+    """Rows sorted by word: the library counts the pieces of each distinct word once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own, last, pieces, held = tokenizer(path), None, 0, []
         for batch in slices(batches, "word"):
-            words = column(batch, "word")
-            n = [len(e.ids) for e in own.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([words, column(batch, "rows"), pa.array(n, pa.int64())], ["word", "rows", "value"])
+            words = column(batch, "word").dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            n = [pieces if w == last else 0 for w in distinct]
+            new = [i for i, w in enumerate(distinct) if w != last]
+            for i, e in zip(new, own.encode_batch_fast([distinct[i] for i in new], add_special_tokens=False)):
+                n[i] = len(e.ids)
+            last, pieces = distinct[-1], n[-1]
+            held.append((column(batch, "block").to_numpy(), column(batch, "at").to_numpy().astype(np.int64), np.array(n)[words.indices.to_numpy()]))
+            if sum(len(h[0]) for h in held) >= ROWS:
+                yield _returned(held)
+                held = []
+        yield _returned(held)
 
     return run
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the pieces of their words (counts, one for each place) to documents with their tokens."""
+    """Blocks with the pieces of their words (counts: one for each place) to documents with their tokens."""
     for batch in batches:
         for row in range(batch.num_rows):
             values = lambda name: column(batch, name)[row].values  # noqa: B023, E731
-            places, pieces = values("counts").flatten()
-            by_place = np.zeros(len(places), np.int64)
-            by_place[places.to_numpy()] = pieces.to_numpy()
-            total = np.zeros(len(values("at")) + 1, np.int64)
-            np.cumsum(by_place[values("at").to_numpy()] * values("freq").to_numpy(), out=total[1:])
-            ends = total[values("ends").to_numpy()]
-            n = np.diff(ends, prepend=0)
+            counts = column(batch, "counts")[row].as_py()
+            by_place = np.zeros(sum(c["n"] for c in counts), np.int64)
+            for c in counts:
+                steps, pieces = np.split(unpack(c["pieces"], 2 * c["n"]), 2)
+                by_place[np.cumsum(steps)] = pieces
+            sizes = values("sizes").to_numpy()
+            ends, total = np.cumsum(sizes, dtype=np.int64), int(sizes.sum())
+            steps, freq = np.split(unpack(column(batch, "packed")[row].as_py(), 2 * total), 2)
+            walked = np.concatenate([[0], np.cumsum(steps)])
+            at = walked[1:] - np.repeat(walked[ends - sizes], sizes)
+            tokens = np.concatenate([[0], np.cumsum(by_place[at] * freq)])
+            n = tokens[ends] - tokens[ends - sizes]
             yield pa.RecordBatch.from_arrays([values("doc_ids"), values("n_bytes"), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -167,15 +207,14 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     A null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows each count; texts of any length are
     read whole, the longest as blocks of their own; an empty table gives no rows; other columns are ignored, whatever their names.
-    Writes blocks and counts to the shared folder when it is called.
+    Writes blocks to the shared folder when it is called.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     blocks = stage(docs.mapInArrow(_blocks(path), BLOCKS))
-    rows = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    distinct = rows.groupBy("word").agg(F.count("*").alias("rows"))
-    known = stage(distinct.mapInArrow(_pieces(path), "word string, rows long, value long"))
-    found = join_counts(rows, known, "word").groupBy("block").agg(F.collect_list(F.struct("at", "value")).alias("counts"))
-    whole = blocks.drop("words").join(found, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<at:int,value:bigint>>")))
+    # a word has one row in a block at most, so the most common one has a small share of the rows
+    rows = blocks.select("block", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    found = rows.mapInArrow(_pieces(path), "block long, n int, pieces binary").groupBy("block").agg(F.collect_list(F.struct("n", "pieces")).alias("counts"))
+    whole = blocks.drop("words").join(found, "block", "left").withColumn("counts", F.coalesce("counts", F.array().cast("array<struct<n:int,pieces:binary>>")))
     out = whole.mapInArrow(_sums, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
 
