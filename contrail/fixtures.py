@@ -142,13 +142,15 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         """case event_type
         when 'session.started' then to_json(named_struct('behavior_name', concat('b', k)))
         when 'checkpoint.created' then to_json(named_struct('checkpoint_id', concat('cp', k)))
-        when 'llm.request' then to_json(named_struct('request_id', concat(user_id, '-', k % 10), 'model', concat('m', k % 3)))
-        when 'llm.response' then if(k % 9 = 0, to_json(named_struct('request_id', concat(user_id, '-', k % 10))), to_json(named_struct('request_id', concat(user_id, '-', k % 10), 'usage', named_struct('total_tokens', k))))
+        when 'llm.request' then to_json(named_struct('request_id', concat(user_id, '-', k % 10), 'model', concat('m', k % 3),
+          'messages', slice(array(named_struct('role', 'system', 'content', concat('s', k)), named_struct('role', 'user', 'content', if(k % 7 = 0, '', concat('q', k)))), 1, k % 3)))
+        when 'llm.response' then to_json(named_struct('request_id', concat(user_id, '-', k % 10), 'content', if(k % 4 = 0, null, concat('r', k)),
+          'tool_calls', if(k % 5 = 0, array(named_struct('id', concat('t', k))), null), 'usage', if(k % 9 = 0, null, named_struct('total_tokens', k))))
         when 'datapoint.added' then to_json(named_struct('datapoint_id', concat('d', k % 20)))
         when 'datapoint.removed' then to_json(named_struct('datapoint_id', concat('d', k % 20)))
         when 'vector.created' then to_json(named_struct('vector_id', concat('v', k % 20), 'layer', k % 8))
         when 'optimization.completed' then to_json(named_struct('sample_idx', k % 4, 'layer', k % 8, 'final_loss', round(value, 2), 'success', k % 2 = 0))
-        when 'evaluation.completed' then to_json(named_struct('evaluation_id', concat('e', k), 'scores', named_struct('overall', round(value / 100, 4))))
+        when 'evaluation.completed' then to_json(named_struct('evaluation_id', concat('e', k), 'scores', named_struct('overall', round(value / 100, 4), 'behavior', k % 11 / 10D, 'coherence', k % 13 / 10D), 'verdict', if(k % 4 = 1, 'accepted', null)))
         when 'vector.selected' then to_json(named_struct('layer', k % 8, 'strength', cast(1.0 as double), 'score', round(value / 100, 4)))
         else '{}' end"""
     )

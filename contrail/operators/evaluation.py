@@ -124,13 +124,33 @@ def inference_savings(rounds: DataFrame, full_cost: float) -> DataFrame:
     return out.select(F.when(flat > 0, 1 - F.col("used") / flat).otherwise(0.0).alias("savings"))
 
 
-def task_rollup(samples: DataFrame) -> DataFrame:
-    """task_id, n, valid, best_sample, best_score, duration of samples(task_id, sample_idx, pos, score, is_valid, started, completed)."""
+#: What an estimate needs to know of a task's configuration.
+ESTIMATE = (
+    "max_iters", "datapoints_per_sample", "behavior_prompts", "n_strengths", "behavior_generations", "specificity_prompts", "coherence_prompts", "capability_prompts", "generalization_prompts",
+)
+
+
+def inference_estimate(config: DataFrame) -> DataFrame:
+    """task_id, per_sample of config(task_id, the columns of ESTIMATE): calls of one sample, both sides of each datapoint in every iteration, then its evaluation
+    (behaviour and coherence at every strength, the others with and without steering). A null counts as 0."""
+    c = {k: F.coalesce(F.col(k).cast("long"), F.lit(0)) for k in ESTIMATE}
+    extraction = c["max_iters"] * c["datapoints_per_sample"] * 2
+    by_strength = (c["behavior_prompts"] * c["behavior_generations"] + c["coherence_prompts"]) * c["n_strengths"]
+    twice = 2 * (c["specificity_prompts"] + c["capability_prompts"] + c["generalization_prompts"])
+    return config.select("task_id", (extraction + by_strength + twice).alias("per_sample"))
+
+
+def task_rollup(samples: DataFrame, config: DataFrame | None = None) -> DataFrame:
+    """task_id, n, valid, best_sample, best_score, duration of samples(task_id, sample_idx, pos, score, is_valid, started, completed); with a
+    config (see inference_estimate) also inferences, the task's samples times their calls (unknown task: null)."""
     best = F.max_by("sample_idx", F.when(F.col("is_valid"), F.struct("score", (-F.col("pos")).alias("p"))))
-    return samples.groupBy("task_id").agg(
+    out = samples.groupBy("task_id").agg(
         F.count("*").alias("n"),
         F.count_if("is_valid").alias("valid"),
         best.alias("best_sample"),
         F.max(F.when(F.col("is_valid"), F.col("score"))).alias("best_score"),
         F.greatest(F.coalesce(F.max("completed") - F.min("started"), F.lit(0)), F.lit(0)).alias("duration"),
     )
+    if config is None:
+        return out
+    return out.join(inference_estimate(config), "task_id", "left").withColumn("inferences", F.col("n") * F.col("per_sample")).drop("per_sample")

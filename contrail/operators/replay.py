@@ -11,10 +11,17 @@ def field(path: str, kind: str = "string") -> Column:
     return F.get_json_object("payload", f"$.{path}").cast(kind)
 
 
-def _pair(events: DataFrame, first: str, second: str, key: str, keep: dict[str, Column], bring: dict[str, Column]) -> DataFrame:
+def _after(events: DataFrame, first: str, second: str, key: str, bring: dict[str, Column]) -> DataFrame:
+    """The events of the second kind with _key and _before: what the first kind's event brings, if it is the last one of their id before it (else null)."""
     rows = events.where(F.col("event_type").isin(first, second)).withColumn("_key", field(key))
+    rows = rows.where(F.col("_key").isNotNull() & F.col("session_id").isNotNull())
     before = F.lag(F.struct("event_type", "sequence", "timestamp", *(c.alias(n) for n, c in bring.items()))).over(Window.partitionBy("session_id", "_key").orderBy("sequence"))
-    rows = rows.withColumn("_before", before).where((F.col("event_type") == second) & (F.col("_before.event_type") == first))
+    rows = rows.withColumn("_before", before).where(F.col("event_type") == second)
+    return rows.withColumn("_before", F.when(F.col("_before.event_type") == first, F.col("_before")))
+
+
+def _pair(events: DataFrame, first: str, second: str, key: str, keep: dict[str, Column], bring: dict[str, Column]) -> DataFrame:
+    rows = _after(events, first, second, key, bring).where("_before is not null")
     return rows.select(
         "session_id",
         F.col("_key").alias(key),
@@ -33,7 +40,7 @@ def tokens_of(estimated: bool = False) -> Column:
 
 
 def pair_llm_calls(events: DataFrame) -> DataFrame:
-    """Each response with the latest earlier request of its id that no other response came after; the rest goes."""
+    """Each response with the latest earlier request of its id that no other response came after; the rest goes, calls without a session or id too."""
     return _pair(events, "llm.request", "llm.response", "request_id", {"tokens": tokens_of()}, {"model": field("model")})
 
 
@@ -199,9 +206,12 @@ def session_statistics(events: DataFrame, metadata: DataFrame) -> DataFrame:
     return metadata.select("session_id", "behavior", F.col("status").alias("metadata_status")).join(totals, "session_id", "left").join(state, "session_id", "left")
 
 
-def token_usage(events: DataFrame) -> DataFrame:
-    """session_id, model, calls, tokens of paired calls."""
-    return pair_llm_calls(events).groupBy("session_id", "model").agg(F.count("*").alias("calls"), F.sum("tokens").alias("tokens"))
+def token_usage(events: DataFrame, by: tuple[str, ...] = ("session_id", "model", "source"), estimated: bool = False) -> DataFrame:
+    """The columns of `by`, calls and tokens of all responses. model is the one of the paired request; responses without one (or without an id) count
+    under a null model."""
+    own = _after(events, "llm.request", "llm.response", "request_id", {"model": field("model")}).withColumn("model", F.col("_before.model")).drop("_key", "_before")
+    bare = events.where((F.col("event_type") == "llm.response") & (field("request_id").isNull() | F.col("session_id").isNull())).withColumn("model", F.lit(None).cast("string"))
+    return own.unionByName(bare).groupBy(*by).agg(F.count("*").alias("calls"), F.sum(tokens_of(estimated)).alias("tokens"))
 
 
 def reassemble_chunks(events: DataFrame) -> DataFrame:
@@ -228,23 +238,63 @@ def best_vector(events: DataFrame) -> DataFrame:
 
 
 def agent_rollup(events: DataFrame) -> DataFrame:
-    """session_id, agent, kind, turns, messages: per sample (optimisation runs) and per source of LLM events (not sample_*)."""
-    runs = events.where("event_type = 'optimization.completed'").groupBy("session_id", F.concat(F.lit("sample_"), field("sample_idx")).alias("agent"))
-    samples = runs.agg(F.lit("sample").alias("kind"), F.count("*").alias("turns"), F.count_if(field("success", "boolean")).alias("messages"))
+    """session_id, agent, kind, name, role, status, layer, iterations, pairs, turns, messages, tool_calls, message.
+
+    kind sample: one row per session and sample, as its last optimization left it (tool_calls: its iterations) or, without one, as assigned seeds;
+    pairs are core and unique seeds of the last assignment and take the place of tool_calls. kind source: one row per session and source of LLM events (none and
+    sample_* apart) with its requests as turns, its messages (requests whose last message says something, responses with content or tool calls) and tool calls.
+    """
+    sample = F.coalesce(field("sample_idx", "int"), F.lit(0)).alias("sample")
+    zero = lambda c: F.coalesce(field(c, "int"), F.lit(0))
+    run = F.struct(
+        F.coalesce(field("success", "boolean"), F.lit(False)).alias("ok"), zero("layer").alias("layer"), zero("iterations").alias("iterations"), field("final_loss", "double").alias("loss"),
+        F.coalesce(field("duration_seconds", "double"), F.lit(0.0)).alias("seconds"), F.coalesce(F.when(field("error") != "", field("error")), F.lit("Unknown error")).alias("error"),
+    )
+    last = lambda kind, value: events.where(F.col("event_type") == kind).groupBy("session_id", sample).agg(F.max_by(value, "sequence").alias("v")).select("session_id", "sample", "v.*")
+    seeds = last("seed.assigned", F.struct(zero("num_core_seeds").alias("core"), zero("num_unique_seeds").alias("unique"))).withColumn("pairs", F.col("core") + F.col("unique"))
+    both = last("optimization.completed", run).join(seeds, ["session_id", "sample"], "full")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    ran = F.col("ok").isNotNull()
+    loss = F.coalesce(F.format_string("%.4f", "loss"), F.lit("N/A"))
+    done = F.when(F.col("ok"), say("Optimization complete: loss=", loss, ", ", F.col("iterations"), " iterations in ", F.format_string("%.1f", "seconds"), "s")).otherwise(say("Optimization failed: ", F.col("error")))
+    samples = both.select(
+        "session_id", say("sample_", F.col("sample")).alias("agent"), F.lit("sample").alias("kind"), say("Sample ", F.col("sample") + 1).alias("name"),
+        F.when(ran, say("L", F.col("layer"), " iters=", F.col("iterations"))).otherwise(say(F.col("core"), " core + ", F.col("unique"), " unique")).alias("role"),
+        F.when(ran & ~F.col("ok"), "error").otherwise("complete").alias("status"), "layer", "iterations", "pairs", F.lit(1).cast("long").alias("turns"), F.lit(1).cast("long").alias("messages"),
+        F.coalesce("pairs", "iterations").cast("long").alias("tool_calls"),
+        F.when(ran, done).otherwise(say("Assigned ", F.col("core"), " core + ", F.col("unique"), " unique seeds (", F.col("pairs"), " total pairs)")).alias("message"),
+    )
     calls = events.where("event_type in ('llm.request', 'llm.response') and source is not null and source not like 'sample\\_%' and source <> ''")
-    sources = calls.groupBy("session_id", F.col("source").alias("agent")).agg(F.lit("source").alias("kind"), F.count_if(F.col("event_type") == "llm.request").alias("turns"), F.count("*").alias("messages"))
+    asks = F.col("event_type") == "llm.request"
+    said = F.coalesce(F.try_element_at(F.from_json(field("messages"), "array<struct<content:string>>"), F.lit(-1))["content"], F.lit(""))
+    tools = F.coalesce(F.json_array_length(field("tool_calls")), F.lit(0))
+    spoken = F.when(asks, said != "").otherwise((F.coalesce(field("content"), F.lit("")) != "") | (tools > 0))
+    none = lambda kind: F.lit(None).cast(kind)
+    sources = calls.groupBy("session_id", F.col("source").alias("agent")).agg(F.count_if(asks).alias("turns"), F.count_if(spoken).alias("messages"), F.coalesce(F.sum(F.when(~asks, tools)), F.lit(0)).cast("long").alias("tool_calls"))
+    sources = sources.select(
+        "session_id", "agent", F.lit("source").alias("kind"), F.initcap(F.replace(F.col("agent"), F.lit("_"), F.lit(" "))).alias("name"), F.col("agent").alias("role"), F.lit("complete").alias("status"),
+        none("int").alias("layer"), none("int").alias("iterations"), none("int").alias("pairs"), "turns", "messages", "tool_calls", none("string").alias("message"),
+    )
     return samples.unionByName(sources)
 
 
 def session_overview(metadata: DataFrame, events: DataFrame) -> DataFrame:
-    """session_id, behavior, shown_status, shown_phase, progress, last_overall (score of the last evaluation)."""
-    state = replay_state(events).select("session_id", "phase", "progress")
-    last = events.where("event_type = 'evaluation.completed'").groupBy("session_id").agg(F.max_by(F.coalesce(field("scores.overall", "double"), F.lit(0.0)), "sequence").alias("last_overall"))
+    """session_id, behavior (the log's name, else the metadata's), shown_status, shown_phase, progress, best_layer, best_strength, overall (best score), datapoints, and of the
+    last evaluation behavior_score, coherence_score, specificity_score (absent: 0) and verdict (no evaluation: null)."""
+    state = replay_state(events).select("session_id", "behavior_name", "phase", "progress", "best_layer", "best_strength", "best_score", "datapoints")
+    score = lambda c: F.coalesce(field(f"scores.{c}", "double"), F.lit(0.0)).alias(f"{c}_score")
+    of = F.struct(score("behavior"), score("coherence"), score("specificity"), F.coalesce(field("verdict"), F.lit("needs_refinement")).alias("verdict"))
+    last = events.where("event_type = 'evaluation.completed'").groupBy("session_id").agg(F.max_by(of, "sequence").alias("e"))
     out = metadata.join(state, "session_id", "left").join(last, "session_id", "left")
-    status = F.when(F.col("status") == "running", "running").when(F.col("status") == "completed", "complete").when(F.col("status") == "failed", "error").otherwise("pending")
+    status = F.when(F.col("status") == "running", "running").when(F.col("status") == "completed", "complete").when(F.col("status") == "failed", "failed").otherwise("pending")
     names = {"initializing": "initializing", "generating": "generating_datapoints", "extracting": "optimizing", "evaluating": "evaluating", "complete": "complete", "failed": "failed"}
     phase = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), F.col("phase")), F.lit("initializing"))
-    return out.select("session_id", "behavior", status.alias("shown_status"), phase.alias("shown_phase"), F.coalesce("progress", F.lit(0.0)).alias("progress"), F.coalesce("last_overall", F.lit(0.0)).alias("last_overall"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(
+        "session_id", F.coalesce(F.when(F.col("behavior_name") != "", F.col("behavior_name")), "behavior").alias("behavior"), status.alias("shown_status"), phase.alias("shown_phase"), zero("progress").alias("progress"),
+        "best_layer", F.coalesce("best_strength", F.lit(1.0)).alias("best_strength"), zero("best_score").alias("overall"), F.coalesce("datapoints", F.lit(0)).alias("datapoints"),
+        *(zero(F.col(f"e.{c}_score")).alias(f"{c}_score") for c in ("behavior", "coherence", "specificity")), F.col("e.verdict").alias("verdict"),
+    )
 
 
 def conversation_history(events: DataFrame) -> DataFrame:
@@ -303,12 +353,12 @@ def log_line() -> tuple[Column, Column, Column]:
         "contrast.pair_generated": (F.lit("contrast"), say("Sample ", whole("sample_idx"), ": generated pair ", short("pair_id", 8)), info),
         "contrast.pair_validated": (
             F.lit("contrast"),
-            F.when(flag("is_valid", False), say("Pair ", short("pair_id", 8), " valid: quality=", fixed(number("contrast_quality"), 2))).otherwise(say("Pair ", short("pair_id", 8), " rejected: ", text("rejection_reason", "unknown"))),
+            F.when(flag("is_valid", False), say("Pair ", short("pair_id", 8), " valid: quality=", fixed(number("contrast_quality"), 2), " (dst=", fixed(number("dst_score"), 2), ", src=", fixed(number("src_score"), 2), ")")).otherwise(say("Pair ", short("pair_id", 8), " rejected: ", text("rejection_reason", "unknown"))),
             F.when(flag("is_valid", False), info).otherwise(warning),
         ),
         "seed.generation_started": (F.lit("seed"), say("Generating ", whole("num_seeds_requested"), " seeds for '", text("behavior_name"), "'"), info),
         "seed.generated": (F.lit("seed"), say("Seed ", short("seed_id", 8), F.when(flag("is_core", False), " (core)").otherwise(" (unique)"), ": quality=", fixed(number("quality_score"), 2), " | ", short("scenario", 50), "..."), info),
-        "seed.generation_completed": (F.lit("seed"), say("Seed generation complete: ", whole("total_generated"), " generated | avg quality: ", fixed(number("avg_quality"), 2)), info),
+        "seed.generation_completed": (F.lit("seed"), say("Seed generation complete: ", whole("total_generated"), " generated, ", whole("total_filtered"), " filtered | avg quality: ", fixed(number("avg_quality"), 2)), info),
         "seed.assigned": (F.lit("seed"), say("Sample ", whole("sample_idx"), ": assigned ", whole("num_core_seeds"), " core + ", whole("num_unique_seeds"), " unique seeds"), info),
         "datapoint.added": (F.lit("datapoint"), say("Added ", short("datapoint_id", 12), " (domain: ", text("domain", "unknown"), ")"), info),
         "datapoint.removed": (F.lit("datapoint"), say("Removed ", short("datapoint_id", 12), ": ", text("reason", "no reason")), warning),

@@ -6,20 +6,38 @@ from pyspark.sql import functions as F
 
 from contrail.fixtures import aux_log, event_log, read, session_metadata, sql
 from contrail.operators import replay as r
+from contrail.operators import snapshots as snap
 from contrail.queries.vectors import rounded
 from contrail.sources import events as src
 from contrail.sources.scratch import shared_folder
 
 
-def written_log(spark, d, name: str = "log"):
-    """The event log as JSON lines in the shared folder, with blank, truncated and unknown-category lines between; its path."""
-    path = shared_folder(spark, name)
-    rows = event_log(spark, d)
+def _lines(rows):
+    """Rows as JSON lines, with blank, truncated and unknown-category lines between."""
     # payloads keep their types: the object's text takes the place of a string
-    body = F.to_json(F.struct(*(c for c in src.ENVELOPE.fieldNames() if c != "payload")))
+    body = F.to_json(F.struct(*(c for c in src.ENVELOPE.fieldNames() if c != "payload")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     line = F.concat(F.substring(body, 1, F.length(body) - 1), F.lit(', "payload": '), "payload", F.lit("}"))
     bad = F.when(F.col("sequence") % 50 == 0, F.array(line, F.lit(""), F.substring(line, 1, 40), F.regexp_replace(line, '"category":"[a-z]+"', '"category":"nonsense"'))).otherwise(F.array(line))
-    rows.select(F.explode(bad).alias("value")).write.text(path)
+    return rows.select("session_id", F.explode(bad).alias("value"))
+
+
+def written_log(spark, d, name: str = "log"):
+    """The event log as JSON lines in the shared folder; its path."""
+    path = shared_folder(spark, name)
+    _lines(event_log(spark, d)).select("value").write.text(path)
+    return path
+
+
+def session_logs(spark, d, name: str, clock: bool = False):
+    """The event log as a folder of JSON lines for each session; its path. clock: a session more, with one event long after all others, moves the watermark."""
+    path = shared_folder(spark, name)
+    rows = event_log(spark, d)
+    if clock:
+        tick = rows.agg(F.max("timestamp").alias("t")).selectExpr(
+            "'clock' as event_id", "'clock' as session_id", "t + interval 1 day as timestamp", "1L as sequence", "'llm' as category", "'llm.request' as event_type", "'clock' as source", """'{"request_id": "tick"}' as payload"""
+        )
+        rows = rows.unionByName(tick)
+    _lines(rows).withColumnRenamed("session_id", "session").repartition("session").write.partitionBy("session").text(path)
     return path
 
 
@@ -100,6 +118,24 @@ def _rollback(honor):
     return run
 
 
+def _resumed(honor):
+    """A snapshot of the first two thirds of each session, written and read, and the rest of the log, some of which it holds already."""
+
+    def run(s, d):
+        log = event_log(s, d)
+        if honor is not None:
+            marks = F.col("sequence") % 20 == 0
+            log = log.withColumn("payload", F.when(marks, F.to_json(F.struct((F.col("sequence") - 5).alias("previous_sequence")))).otherwise(F.col("payload"))).withColumn("event_type", F.when(marks, F.lit("checkpoint.rollback")).otherwise(F.col("event_type")))
+        share = log.groupBy("session_id").agg((F.max("sequence") * 2 / 3).alias("cut"))
+        log = log.join(share, "session_id")
+        path = shared_folder(s, "snapshot")
+        snap.write_snapshot(snap.take_snapshot(log.where("sequence <= cut").drop("cut"), bool(honor)), path)
+        out = snap.resume(snap.read_snapshot(s, path), log.where("sequence > cut - 10").drop("cut"), bool(honor), log.drop("cut"))
+        return snap.state(out)
+
+    return run
+
+
 def _progress(s, d):
     planned = session_metadata(s, d).select("session_id", (F.col("event_count") / 5).cast("long").alias("total"))
     return rounded(r.progress(event_log(s, d), planned), "elapsed", "rate", "share", "remaining", places=4)
@@ -138,6 +174,8 @@ QUERIES = {
     "g14_chat_history": _chat,
     "g15_conversation_history": _conversation,
     "h1_replay_state": lambda s, d: r.replay_state(event_log(s, d)),
+    "h1_replay_from_snapshot": _resumed(None),
+    "h3_replay_from_snapshot_honored": _resumed(True),
     "h2_replay_vectors": _children,
     "h2_replay_seeds": _seeds,
     "h2_replay_optimizations": lambda s, d: r.replay_optimizations(event_log(s, d)).select("session_id", "sequence", "sample_idx", "layer", "final_loss", "success"),
@@ -145,7 +183,7 @@ QUERIES = {
     "h2_replay_seed_assignments": lambda s, d: r.replay_seed_assignments(aux_log(s, d)),
     "h3_apply_rollback": _rollback(False),
     "h3_apply_rollback_honored": _rollback(True),
-    "h4_agent_rollup": lambda s, d: r.agent_rollup(event_log(s, d)),
+    "h4_agent_rollup": lambda s, d: r.agent_rollup(event_log(s, d).unionByName(aux_log(s, d).where("event_type = 'seed.assigned'"))),
     "h5_session_overview": lambda s, d: r.session_overview(session_metadata(s, d), event_log(s, d)),
     "h6_event_logs": lambda s, d: r.event_logs(event_log(s, d), 20).select("session_id", "sequence", "message"),
 }
@@ -160,12 +198,12 @@ _POINTS = "(select *, 'd' || (k % 20) as point_id from event_log)"
 _DEC = "round((value / 100)::decimal(18, 4), 3)"
 _LINES = f"""lines as (select session_id, sequence, case split_part(event_type, '.', 1) when 'llm' then source when 'optimization' then 'optimizer' else split_part(event_type, '.', 1) end as log_source, case event_type
   when 'session.started' then 'Started extraction: b' || k when 'checkpoint.created' then 'Created checkpoint cp' || k || ': '
-  when 'llm.request' then 'Request: m' || (k % 3) || ' (0 messages)' when 'llm.response' then 'Response: stop | 0ms'
+  when 'llm.request' then 'Request: m' || (k % 3) || ' (' || (k % 3) || ' messages)' when 'llm.response' then case when k % 5 = 0 then 'Response: 1 tool calls | 0ms' else 'Response: stop | 0ms' end
   when 'datapoint.added' then 'Added d' || (k % 20) || ' (domain: unknown)' when 'datapoint.removed' then 'Removed d' || (k % 20) || ': no reason'
   when 'vector.created' then 'Created v' || (k % 20) || ' at layer ' || (k % 8) || ' | norm: 0.0000'
   when 'vector.selected' then 'Selected layer ' || (k % 8) || ' @ strength 1.00 | score: ' || {_DEC}
   when 'optimization.completed' then case when k % 2 = 0 then 'Sample ' || (k % 4) || ' layer ' || (k % 8) || ': loss=' || round(value, 2)::decimal(18, 6) || ' | 0 iters | 0.0s' else 'Sample ' || (k % 4) || ' layer ' || (k % 8) || ' FAILED: unknown' end
-  when 'evaluation.completed' then 'Eval ' || ('e' || k)[:8] || ' complete: ' || {_DEC} || ' | unknown | rec. strength: 1.00'
+  when 'evaluation.completed' then 'Eval ' || ('e' || k)[:8] || ' complete: ' || {_DEC} || case when k % 4 = 1 then ' | accepted' else ' | unknown' end || ' | rec. strength: 1.00'
   else 'Updated unknown: None → None' end as message,
   case when event_type = 'datapoint.removed' then 'warning' when event_type = 'optimization.completed' and k % 2 = 1 then 'error' else 'info' end as level from event_log)"""
 _STATE = f"""sel as (select session_id, max(sequence) as set_at, max_by(round(value / 100, 4), sequence) as base from event_log where event_type = 'vector.selected' group by 1),
@@ -194,7 +232,7 @@ ORACLE = {
     "a4_append_events": sql("select session_id, sequence + count(*) over (partition by session_id) as sequence, split_part(event_type, '.', 1) as category, event_type from event_log", "event_log"),
     "h2_replay_seeds": sql("select session_id, 's' || (k % 4) as seed_id, max_by('sc' || k, sequence) as scenario, 'x' as context, max_by(k / 10.0::double, sequence) as quality_score, max_by(k % 3 = 0, sequence) as is_core from event_log where event_type = 'checkpoint.created' group by 1, 2", "event_log"),
     "h2_replay_optimizations": sql("select session_id, sequence, k % 4 as sample_idx, k % 8 as layer, round(value, 2) as final_loss, k % 2 = 0 as success from event_log where event_type = 'optimization.completed'", "event_log"),
-    "h2_replay_evaluations": sql("select session_id, sequence, 'e' || k as evaluation_id, 'quick' as eval_type, round(value / 100, 4) as overall, 'needs_refinement' as verdict, 1.0::double as recommended_strength from event_log where event_type = 'evaluation.completed'", "event_log"),
+    "h2_replay_evaluations": sql("select session_id, sequence, 'e' || k as evaluation_id, 'quick' as eval_type, round(value / 100, 4) as overall, case when k % 4 = 1 then 'accepted' else 'needs_refinement' end as verdict, 1.0::double as recommended_strength from event_log where event_type = 'evaluation.completed'", "event_log"),
     "a5_list_sessions": sql("select session_id, behavior, created_at, final_score from session_metadata where status = 'completed' and not hidden order by session_metadata.created_at desc nulls last, session_id limit 20", "session_metadata"),
     "a6_latest_session": sql("select session_id, created_at from session_metadata where behavior = 'b2' and not hidden order by session_metadata.created_at desc nulls last, session_id limit 1", "session_metadata"),
     "a7_merge_session_metadata": sql(
@@ -234,7 +272,7 @@ ORACLE = {
         f"{_STATE}, t as (select session_id, count(*) as total_events, count(distinct event_type) as event_kinds from event_log group by 1) select m.session_id, m.behavior, m.status as metadata_status, total_events, event_kinds, datapoints, vectors, evaluations, llm_calls, tokens from session_metadata m left join t using (session_id) left join full_state f using (session_id)",
         "event_log", "session_metadata",
     ),
-    "d27_token_usage": sql(f"{_CALLS} select session_id, 'm' || (pk % 3) as model, count(*) as calls, sum({_TOKENS}) as tokens from p group by all", "event_log"),
+    "d27_token_usage": sql(f"{_CALLS} select session_id, case when pt = 'llm.request' then 'm' || (pk % 3) end as model, source, count(*) as calls, sum({_TOKENS}) as tokens from c where event_type = 'llm.response' group by all", "event_log"),
     "d28_log_level_counts": sql(f"{_LINES} select session_id, count(*) filter (where level = 'info') as info, count(*) filter (where level = 'warning') as warning, count(*) filter (where level = 'error') as error from lines group by 1", "event_log"),
     "d28_log_sources": sql(f"{_LINES} select distinct log_source from lines", "event_log"),
     "d30_reassemble_chunks": "select 'r' || doc_id as request_id, md5(text) as text_md5 from documents",
@@ -252,8 +290,16 @@ ORACLE = {
     "b16_filter_logs": sql(f"{_LINES} select session_id, sequence from lines where contains(lower(message), 'response') and level = 'info'", "event_log"),
     "g14_chat_history": """with m as (select *, case when role = 'assistant' then case when turn % 4 = 1 then 'steered' else 'baseline' end else role end as t from conversations)
         select conv_id, row_number() over (partition by conv_id order by turn) as at, case when t = 'steered' then 'assistant' else 'user' end as role, md5(coalesce(text, '')) as text_md5 from m where t in ('user', 'steered')""",
-    "g15_conversation_history": sql(f"{_CALLS} select session_id, request_id, ps as first_sequence, 0 as at, 'assistant' as role, '' as content from p", "event_log"),
+    "g15_conversation_history": sql(
+        f"""{_CALLS}, r as (select *, unnest(range(0, pk % 3 + 1)) as i from p) select session_id, request_id, ps as first_sequence, i as "at", case when i = pk % 3 then 'assistant' when i = 0 then 'system' else 'user' end as role,
+        case when i = pk % 3 then case when k % 4 = 0 then '' else 'r' || k end when i = 0 then 's' || pk when pk % 7 = 0 then '' else 'q' || pk end as content from r""",
+        "event_log",
+    ),
     "h1_replay_state": sql(f"{_STATE} select * from full_state", "event_log"),
+    "h1_replay_from_snapshot": sql(f"{_STATE} select * from full_state", "event_log"),
+    "h3_replay_from_snapshot_honored": sql(f"{_STATE.replace('event_log', 'kept')} select * from full_state", "event_log").replace("sel as (", """kept as (
+  select e.* from event_log e where e.sequence % 20 <> 0 and not exists (select 1 from event_log m where m.session_id = e.session_id and m.sequence % 20 = 0 and e.sequence > m.sequence - 5 and e.sequence < m.sequence)),
+sel as (""", 1),
     "h2_replay_vectors": sql("select session_id, k % 8 as layer, max_by('v' || (k % 20), sequence) as vector_id, max(sequence) as sequence from event_log where event_type = 'vector.created' group by all", "event_log"),
     "h2_replay_seed_assignments": sql("select session_id, k % 4 as sample_idx, max_by(k, sequence) as core, max_by(k % 7, sequence) as \"unique\" from aux_log where event_type = 'seed.assigned' group by all", "aux_log"),
     "h3_apply_rollback": sql("select session_id, count(*) as n, sum(sequence) as sequences from event_log where sequence % 20 <> 0 group by 1", "event_log"),
@@ -261,13 +307,24 @@ ORACLE = {
         "m as (select session_id, sequence as s from event_log where sequence % 20 = 0) select e.session_id, count(*) as n, sum(e.sequence) as sequences from event_log e where sequence % 20 <> 0 and not exists (select 1 from m where m.session_id = e.session_id and e.sequence > s - 5 and e.sequence < s) group by 1", "event_log"
     ),
     "h4_agent_rollup": sql(
-        """select session_id, 'sample_' || (k % 4) as agent, 'sample' as kind, count(*) as turns, count(*) filter (where k % 2 = 0) as messages from event_log where event_type = 'optimization.completed' group by all
-        union all select session_id, source, 'source', count(*) filter (where event_type = 'llm.request'), count(*) from event_log where event_type like 'llm.%' group by all""",
-        "event_log",
+        """o as (select session_id, k % 4 as n, max_by(k, sequence) as k, printf('%.4f', round(max_by(value, sequence), 2)) as loss from event_log where event_type = 'optimization.completed' group by all),
+        s as (select session_id, k % 4 as n, max_by(k, sequence) as core, max_by(k % 7, sequence) as uniq from aux_log where event_type = 'seed.assigned' group by all)
+        select session_id, 'sample_' || n as agent, 'sample' as kind, 'Sample ' || (n + 1) as name, case when k is null then core || ' core + ' || uniq || ' unique' else 'L' || (k % 8) || ' iters=0' end as role,
+          case when k % 2 = 1 then 'error' else 'complete' end as status, k % 8 as layer, case when k is not null then 0 end as iterations, core + uniq as pairs, 1 as turns, 1 as messages, coalesce(core + uniq, 0) as tool_calls,
+          case when k is null then 'Assigned ' || core || ' core + ' || uniq || ' unique seeds (' || (core + uniq) || ' total pairs)' when k % 2 = 1 then 'Optimization failed: Unknown error'
+            else 'Optimization complete: loss=' || loss || ', 0 iterations in 0.0s' end as message
+        from o full join s using (session_id, n)
+        union all
+        select session_id, source, 'source', upper(source[1]) || source[2:], source, 'complete', null, null, null, count(*) filter (where event_type = 'llm.request'),
+          count(*) filter (where case event_type when 'llm.request' then k % 3 = 1 or k % 3 = 2 and k % 7 <> 0 else k % 4 <> 0 or k % 5 = 0 end), count(*) filter (where event_type = 'llm.response' and k % 5 = 0), null
+        from event_log where event_type like 'llm.%' group by all""",
+        "event_log", "aux_log",
     ),
     "h5_session_overview": sql(
-        f"""{_STATE}, l as (select session_id, max_by(round(value / 100, 4), sequence) as o from event_log where event_type = 'evaluation.completed' group by 1)
-        select m.session_id, m.behavior, case m.status when 'completed' then 'complete' when 'failed' then 'error' else 'running' end as shown_status, 'initializing' as shown_phase, coalesce(f.progress, 0) as progress, coalesce(o, 0) as last_overall
+        f"""{_STATE}, l as (select session_id, max_by(k, sequence) as k from event_log where event_type = 'evaluation.completed' group by 1)
+        select m.session_id, coalesce(nullif(f.behavior_name, ''), m.behavior) as behavior, case m.status when 'completed' then 'complete' when 'failed' then 'failed' else 'running' end as shown_status, 'initializing' as shown_phase,
+          coalesce(f.progress, 0) as progress, best_layer, 1.0 as best_strength, coalesce(best_score, 0) as overall, coalesce(datapoints, 0) as datapoints, coalesce(l.k % 11 / 10.0, 0) as behavior_score,
+          coalesce(l.k % 13 / 10.0, 0) as coherence_score, 0.0 as specificity_score, case when l.k % 4 = 1 then 'accepted' when l.k is not null then 'needs_refinement' end as verdict
         from session_metadata m left join full_state f using (session_id) left join l using (session_id)""",
         "event_log", "session_metadata",
     ),

@@ -6,17 +6,19 @@ import json
 
 from pyspark.sql import functions as F
 
-from contrail.fixtures import candidate_vectors, event_log, judgements, pair_scores, pairs, read, seeds, sql
+from contrail.fixtures import candidate_vectors, event_log, judgements, pair_scores, pairs, read, seeds, session_metadata, sql
 from contrail.functions import judge_output as g
 from contrail.operators import pairs as p
 from contrail.operators import replay
 from contrail.plans import inference as inf
 from contrail.queries.events import ORACLE as EVENTS
-from contrail.queries.events import written_log
+from contrail.queries.events import session_logs, written_log
 from contrail.queries.vectors import exploded, rounded
 from contrail.sources import artifacts as art
-from contrail.sources.events import read_events, stream_events
+from contrail.sources.events import read_events
+from contrail.sources.live_logs import stream_events
 from contrail.sources.scratch import shared_folder
+from contrail.streaming import ordered as live
 from contrail.streaming import sessions as st
 
 
@@ -189,31 +191,28 @@ _TEST = _analysis("named_struct('behavioral_test', named_struct('distinguishing_
 _CALIBRATION = _analysis("named_struct('intensity_calibration', named_struct('extreme_looks_like', if(doc_id % 3 = 0, null, source), 'high_looks_like', ''))", g.intensity_calibration)
 
 
-def _streamed(name, transform, mode="append"):
+def _streamed(name, transform, mode="append", clock=False):
     def run(s, d):
-        stream = transform(stream_events(s, written_log(s, d, f"{name}-log")))
-        return st.run_available(stream, shared_folder(s, f"{name}-out"), shared_folder(s, f"{name}-checkpoint"), mode)
+        stream = stream_events(s, session_logs(s, d, f"{name}-log", clock), shared_folder(s, f"{name}-positions"), "*.txt")
+        return st.run_available(transform(stream), shared_folder(s, f"{name}-out"), shared_folder(s, f"{name}-checkpoint"), mode)
 
     return run
 
 
-def _stream_state(s, d):
-    out = _streamed("state", st.stream_session_state, "update")(s, d)
-    last = out.groupBy("session_id").agg(F.max_by(F.struct("status", "phase", "progress", "best_layer", "overall", "llm_calls"), "batch_id").alias("x"))
-    return rounded(last.select("session_id", "x.*"), "overall", "progress")
+def _latest(out):
+    """Each session's row of its last trigger."""
+    columns = [c for c in out.columns if c not in ("session_id", "batch_id")]
+    return out.groupBy("session_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("x")).select("session_id", "x.*")
 
 
-def _stream_pairs(s, d):
-    out = _streamed("pairs", lambda e: st.stream_llm_pairs(e, "400 days", "400 days"))(s, d)
-    best = out.groupBy("session_id", "request_id", "response_sequence").agg(F.max("request_sequence").alias("request_sequence"))
-    # a request answered already by an earlier response is taken
-    first = best.groupBy("session_id", "request_id", "request_sequence").agg(F.min("response_sequence").alias("response_sequence"))
-    return first.select("session_id", "request_id", F.col("request_sequence").alias("first_sequence"), F.col("response_sequence").alias("second_sequence"))
+def _stream_state(s, d):
+    out = _latest(_streamed("state", live.stream_session_state, "update")(s, d))
+    return rounded(out.select("session_id", "status", "phase", "progress", "best_layer", "overall", "llm_calls"), "overall", "progress")
 
 
 def _stream_progress(s, d):
-    out = _streamed("progress", st.stream_progress, "update")(s, d)
-    return out.groupBy("session_id").agg(F.max_by("done", "batch_id").alias("done"))
+    planned = session_metadata(s, d).select("session_id", (F.col("event_count") / 5).cast("long").alias("total"))
+    return rounded(_latest(_streamed("progress", lambda e: live.stream_progress(e, planned), "update")(s, d)), "elapsed", "rate", "share", "remaining", places=4)
 
 
 QUERIES = {
@@ -250,7 +249,7 @@ QUERIES = {
     "c12_attach_eval_prompts_generated": lambda s, d: _attach(s, d, "text is not null"),
     "h7_stream_events": lambda s, d: _streamed("events", lambda e: e)(s, d).groupBy("session_id").agg(F.count("*").alias("n"), F.sum("sequence").alias("sequences")),
     "h8_stream_session_state": _stream_state,
-    "h9_stream_llm_pairs": _stream_pairs,
+    "h9_stream_llm_pairs": lambda s, d: rounded(_streamed("pairs", live.stream_llm_pairs, clock=True)(s, d), "seconds", places=3),
     "h10_stream_progress": _stream_progress,
     "h11_stream_logs": _streamed("logs", st.stream_logs),
     "h7_batch_events": lambda s, d: read_events(s, written_log(s, d)).groupBy("session_id").agg(F.count("*").alias("n")),
@@ -327,7 +326,7 @@ ORACLE = {
         round(coalesce(max_by(round(value / 100, 4), sequence) filter (where live and event_type = 'evaluation.completed'), 0), 6) as overall, count(*) filter (where live and event_type = 'llm.response') as llm_calls from x group by 1""",
         "event_log",
     ),
-    "h9_stream_llm_pairs": f"select session_id, request_id, first_sequence, second_sequence from ({EVENTS['c1_pair_llm_calls']})",
-    "h10_stream_progress": sql("select session_id, count(*) filter (where event_type = 'optimization.completed') as done from event_log group by 1", "event_log"),
+    "h9_stream_llm_pairs": EVENTS["c1_pair_llm_calls"],
+    "h10_stream_progress": EVENTS["d33_progress"],
     "h11_stream_logs": EVENTS["g10_log_line"],
 }

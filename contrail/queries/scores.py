@@ -60,7 +60,9 @@ def _savings(s, d):
 
 def _tasks(s, d):
     rows = candidate_vectors(s, d).selectExpr("pos % 9 as task_id", "sample_idx", "pos", "overall_score as score", "is_valid", "pos * 3 as started", "if(pos % 2 = 0, pos * 3 + pos % 11, null) as completed")
-    return e.task_rollup(rows)
+    config = candidate_vectors(s, d).selectExpr("pos % 9 as task_id").groupBy("task_id").agg(F.count("*").alias("max_iters"))
+    sizes = {c: F.col("task_id") + i for i, c in enumerate(e.ESTIMATE) if i}
+    return e.task_rollup(rows, config.withColumns(sizes))
 
 
 def _plan(s, d):
@@ -153,8 +155,9 @@ ORACLE = {
     "e5_evaluate_round": sql(f"{_DIMS} select sample_idx, round(sum(s / 10 * case dimension when 'behavior' then 0.5 when 'specificity' then 0.3 else 0.2 end), 6) as overall from dims where dimension <> 'generalization' group by 1", "judgements"),
     "d31_inference_savings": sql("r as (select pos % 3 as round, count(*) as n from candidate_vectors where is_valid group by 1) select round(1 - sum(n * (round * 2 + 1)) / (min_by(n, round) * 10.0), 6) as savings from r", "candidate_vectors"),
     "d34_task_rollup": sql(
-        """select pos % 9 as task_id, count(*) as n, count(*) filter (where is_valid) as valid, first(sample_idx order by overall_score desc, pos) filter (where is_valid) as best_sample, max(overall_score) filter (where is_valid) as best_score,
-        greatest(0, max(case when pos % 2 = 0 then pos * 3 + pos % 11 end) - min(pos * 3)) as duration from candidate_vectors group by 1""",
+        """select t as task_id, count(*) as n, count(*) filter (where is_valid) as valid, first(sample_idx order by overall_score desc, pos) filter (where is_valid) as best_sample, max(overall_score) filter (where is_valid) as best_score,
+        greatest(0, max(case when pos % 2 = 0 then pos * 3 + pos % 11 end) - min(pos * 3)) as duration,
+        count(*) * (count(*) * (t + 1) * 2 + ((t + 2) * (t + 4) + t + 6) * (t + 3) + 2 * (t + 5 + t + 7 + t + 8)) as inferences from (select *, pos % 9 as t from candidate_vectors) group by t""",
         "candidate_vectors",
     ),
 }

@@ -55,10 +55,10 @@ PAYLOADS = {
     "contrast.pipeline_started": "behavior_description string, num_samples int, config string",
     "contrast.pipeline_completed": "num_samples int, total_pairs_generated long, total_valid_pairs long, avg_quality double, duration_seconds double",
     "contrast.pair_generated": "pair_id string, seed_id string, prompt string, dst_response string, src_response string, sample_idx int",
-    "contrast.pair_validated": "pair_id string, is_valid boolean, contrast_quality double, dimension_score double, marker_score double, boundary_score double, intensity_score double, structural_score double, semantic_score double, weakest_dimension string, rejection_reason string",
+    "contrast.pair_validated": "pair_id string, is_valid boolean, contrast_quality double, dimension_score double, marker_score double, boundary_score double, intensity_score double, structural_score double, semantic_score double, dst_score double, src_score double, weakest_dimension string, rejection_reason string",
     "seed.generation_started": "num_seeds_requested int, behavior_name string",
     "seed.generated": "seed_id string, scenario string, context string, quality_score double, is_core boolean",
-    "seed.generation_completed": "total_generated int, avg_quality double",
+    "seed.generation_completed": "total_generated int, total_filtered int, avg_quality double",
     "seed.assigned": "sample_idx int, num_core_seeds int, num_unique_seeds int, seed_ids array<string>",
     "optimization.started": "sample_idx int, layer int, num_datapoints int, config string",
     "optimization.progress": "sample_idx int, iteration int, loss double, norm double",
@@ -74,7 +74,7 @@ def event_category(event_type: Column) -> Column:
     return F.when(head.isin(*CATEGORIES), head).otherwise(F.lit("state"))
 
 
-def _well_formed(df: DataFrame) -> Column:
+def well_formed(df: DataFrame) -> Column:
     needed = [F.col(c).isNotNull() for c in ("session_id", "timestamp", "sequence", "event_type")]
     ok = F.col("_corrupt").isNull() & F.col("category").isin(*CATEGORIES)
     for n in needed:
@@ -98,7 +98,7 @@ def select_events(df: DataFrame, event_types: Sequence[str] | None = None, categ
 def read_events(spark: SparkSession, path: str, event_types: Sequence[str] | None = None, categories: Sequence[str] | None = None, after_sequence: int = 0) -> DataFrame:
     """Well-formed lines of JSONL logs; blank lines, bad JSON, missing fields and unknown categories are skipped (see read_quarantine)."""
     rows = _reader(spark.read).json(path)
-    return select_events(rows.where(_well_formed(rows)).drop("_corrupt"), event_types, categories, after_sequence)
+    return select_events(rows.where(well_formed(rows)).drop("_corrupt"), event_types, categories, after_sequence)
 
 
 def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
@@ -106,14 +106,14 @@ def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.withColumn("e", F.from_json("value", T.StructType([*ENVELOPE.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"}))
     rows = parsed.select("value", "e.*")
-    return rows.where(~F.coalesce(_well_formed(rows), F.lit(False))).select(F.col("value").alias("line"))
+    return rows.where(~F.coalesce(well_formed(rows), F.lit(False))).select(F.col("value").alias("line"))
 
 
-def stream_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The same lines as a stream; each file is read once, new ones (new sessions too) as they come."""
+def stream_event_files(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The same lines as a stream of files that don't change once they are there; each is read once (contrail.sources.live_logs reads files that grow)."""
     reader = _reader(spark.readStream)
     rows = (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).json(path)
-    return rows.where(_well_formed(rows)).drop("_corrupt")
+    return rows.where(well_formed(rows)).drop("_corrupt")
 
 
 def events_of(df: DataFrame, event_type: str) -> DataFrame:
@@ -136,13 +136,23 @@ def append_events(new: DataFrame, existing: DataFrame, path: str) -> None:
     rows.write.mode("append").option("ignoreNullFields", "false").partitionBy("session").json(path)
 
 
+def hidden_folders(spark: SparkSession, base: str) -> list[str]:
+    """Names of the session folders that hold a `.hidden` file. Spark's readers never list such files, so the folder's own file system is asked."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/*/.hidden")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().getParent().getName() for f in found or ()]
+
+
 def read_session_metadata(spark: SparkSession, base: str, pattern: str = "*/metadata.json") -> DataFrame:
-    """One row per readable metadata file, with its session folder; folders that start with a dot are skipped."""
+    """One row per readable metadata file, with its session folder; folders that start with a dot are skipped. hidden: the folder holds a `.hidden` file, or
+    the metadata say so."""
     schema = "session_id string, behavior string, status string, created_at string, completed_at string, final_score double, event_count long, hidden boolean, _corrupt string"
     rows = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{base}/{pattern}")
     folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    rows = rows.withColumn("folder", folder).where(~F.col("folder").startswith("."))
-    return rows.where("_corrupt is null and session_id is not null").drop("_corrupt")
+    rows = rows.withColumn("folder", folder).where(~F.col("folder").startswith(".")).where("_corrupt is null and session_id is not null").drop("_corrupt")
+    marked = spark.createDataFrame([(x,) for x in hidden_folders(spark, base)], "folder string").withColumn("_marked", F.lit(True))
+    rows = rows.join(marked, "folder", "left")
+    return rows.withColumn("hidden", F.coalesce("_marked", "hidden", F.lit(False))).drop("_marked")
 
 
 def list_sessions(metadata: DataFrame, status: str | None = None, behavior: str | None = None, limit: int | None = None, include_hidden: bool = False) -> DataFrame:

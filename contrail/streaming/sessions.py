@@ -1,20 +1,12 @@
-"""Event logs as streams: session state, call pairs, progress and log lines with checkpoints and watermarks."""
+"""Event logs as streams: the live fold of a session, log lines, and running a stream over what is there."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from contrail.operators.replay import field, log_line, tokens_of, with_fields
+from contrail.operators.replay import log_line, with_fields
 
 STATE = "session_id string, status string, phase string, progress double, layer int, best_layer int, best_strength double, overall double, valid_pairs long, llm_calls long, last_sequence long"
-_FIELDS = [f.split()[0] for f in STATE.split(", ")][1:]
 
 
 def apply_event(state: dict, kind: str, payload: dict) -> dict:
@@ -54,48 +46,6 @@ def apply_event(state: dict, kind: str, payload: dict) -> dict:
 EMPTY = {"status": "", "phase": "", "progress": 0.0, "layer": None, "best_layer": None, "best_strength": 1.0, "overall": 0.0, "valid_pairs": 0, "llm_calls": 0, "last_sequence": -1}
 
 
-def _fold(idle: int, key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-    if held.hasTimedOut:
-        held.remove()
-        return
-    state = dict(zip(_FIELDS, held.get, strict=True)) if held.exists else dict(EMPTY)
-    rows = pd.concat(list(batches)).sort_values("sequence", kind="stable")
-    seen = int(rows["timestamp"].max().timestamp() * 1000)
-    for sequence, kind, payload in rows[["sequence", "event_type", "payload"]].itertuples(index=False):
-        if sequence <= state["last_sequence"]:
-            continue
-        state = apply_event(state, kind, json.loads(payload or "{}")) | {"last_sequence": int(sequence)}
-    held.update(tuple(state[f] for f in _FIELDS))
-    held.setTimeoutTimestamp(max(seen, held.getCurrentWatermarkMs()) + idle)
-    out = pd.DataFrame([{"session_id": key[0], **state}])
-    yield out.astype({"layer": "Int32", "best_layer": "Int32"})
-
-
-def stream_session_state(events: DataFrame, delay: str = "1 hour", idle_ms: int = 7 * 24 * 3600 * 1000) -> DataFrame:
-    """One row per session and trigger with its state so far (update mode). State is one small row per session; events of a session
-    that come in a later trigger with a smaller sequence than seen are late and ignored. A session whose last event lies
-    `idle_ms` behind the watermark is forgotten, so that state doesn't grow with all sessions ever seen."""
-    schema = STATE.split(", ", 1)[1]
-    rows = events.withWatermark("timestamp", delay).select("session_id", "timestamp", "sequence", "event_type", "payload")
-    return rows.groupBy("session_id").applyInPandasWithState(partial(_fold, idle_ms), STATE, schema, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_llm_pairs(events: DataFrame, delay: str = "1 hour", within: str = "1 hour") -> DataFrame:
-    """session_id, request_id, request and response sequence, seconds: all responses with earlier requests of their id within a time;
-    the watermark bounds what is held. Batch pairing keeps of these the latest request that no response came between."""
-    own = events.withWatermark("timestamp", delay).where("event_type in ('llm.request', 'llm.response')").withColumn("request_id", field("request_id"))
-    a = own.where("event_type = 'llm.request'").select(F.col("session_id").alias("s1"), F.col("request_id").alias("r1"), F.col("timestamp").alias("t1"), F.col("sequence").alias("request_sequence"))
-    b = own.where("event_type = 'llm.response'").select("session_id", "request_id", F.col("timestamp").alias("t2"), F.col("sequence").alias("response_sequence"), tokens_of().alias("tokens"))
-    near = F.expr(f"session_id = s1 and request_id = r1 and t2 >= t1 and t2 <= t1 + interval {within}") & (F.col("request_sequence") < F.col("response_sequence"))
-    out = a.join(b, near)
-    return out.select("session_id", "request_id", "request_sequence", "response_sequence", ((F.unix_micros("t2") - F.unix_micros("t1")) / 1e6).alias("seconds"), "tokens")
-
-
-def stream_progress(events: DataFrame, kind: str = "optimization.completed") -> DataFrame:
-    """session_id, done, first, last: counts so far (update or complete mode)."""
-    return events.groupBy("session_id").agg(F.count_if(F.col("event_type") == kind).alias("done"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
-
-
 def stream_logs(events: DataFrame) -> DataFrame:
     """session_id, sequence, log_source, message, level; stateless."""
     source, message, level = log_line()
@@ -103,14 +53,17 @@ def stream_logs(events: DataFrame) -> DataFrame:
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run what is there, then stop; results as Parquet under path (append) or, in update mode, each trigger's rows with batch_id. A trigger
-    that is run again replaces what it wrote."""
+    """Run until everything that is there is done, what the last watermark lets go included, then stop; results as Parquet under path (append) or, in update
+    mode, each trigger's rows with batch_id. A trigger that is run again replaces what it wrote."""
     spark = stream.sparkSession
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     if mode == "append":
         query = writer.format("parquet").option("path", path).start()
     else:
         query = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/batch_id={i}")).start()
-    query.awaitTermination()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     out = stream.schema if mode == "append" else stream.schema.add("batch_id", "long")
     return spark.read.schema(out).parquet(path)

@@ -330,19 +330,6 @@ def test_session_folders(spark, tmp_path):
     assert info["one"]["duration"] == 0.0 and info["one"]["behavior"] == "Unknown" and info["two"]["created"] is not None
 
 
-def test_stream_state_across_triggers(spark, tmp_path):
-    rows = [("s", 1, "vector.created", {"layer": 9}), ("s", 2, "session.started", {}), ("s", 3, "vector.created", {"layer": 2}), ("t", 1, "session.started", {}), ("s", 4, "evaluation.completed", {"scores": {"overall": 0.4}}), ("s", 5, "session.completed", {"success": True, "final_score": 0.9})]
-    events = [json.loads(x) for x in log(spark, rows).toJSON().collect()]
-    path, out, check = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "check")
-    path.mkdir()
-    for name, part in (("1", events[:4]), ("2", events[4:])):
-        (path / f"{name}.jsonl").write_text("\n".join(json.dumps(x | {"payload": json.loads(x["payload"])}) for x in part))
-        found = st.run_available(st.stream_session_state(src.stream_events(spark, str(path))), out, f"{check}", "update")
-    last = {x["session_id"]: x for x in found.orderBy("batch_id").collect()}
-    assert (last["s"]["status"], last["s"]["layer"], last["s"]["overall"], last["s"]["progress"]) == ("completed", 2, 0.9, 1.0)
-    assert (last["t"]["status"], last["t"]["progress"]) == ("running", 0.0)
-
-
 def test_tournament_ranks_by_ranges(spark):
     rows = spark.range(3000).selectExpr("id as sample_idx", "id as pos", "id % 7 <> 0 as is_valid", "explode(array(0, 1)) as round", "if(id % 11 = 0, null, id % 101 / 10D) as score")
     out = e.run_tournament(rows, [(0, 50), (1, 9)])
