@@ -15,42 +15,46 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, dot, minus, norm, unit
+from contrail.operators import metric_index as index
 from contrail.sources.scratch import kept
 
-#: Rows of one block; two blocks meet in one task.
-BLOCK = 2048
-
-
-def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", blocks: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
     """left, right, similarity for left < right with cosine above the threshold; a zero vector has similarity 0. Exact.
 
-    Rows fall into blocks by a hash of the key; each pair of blocks is one task with one matrix product. For large tables
-    near_duplicates_lsh does less work and can miss pairs.
+    Rows lie in blocks of a metric index (written when this is called); only blocks whose angles to the pivots allow the threshold meet, each pair of them in a task with one matrix
+    product. compared_pairs tells how many pairs that are: few for clustered vectors, all where nothing can be ruled out. Thresholds below 0 rule out nothing.
     """
-    n = blocks or max(1, -(-df.count() // BLOCK))
-    rows = df.select(F.col(key).cast("long").alias("id"), as_doubles(F.col(vector)).alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        out = []
-        if len(left) and len(right):
-            b = np.stack(right["v"].to_numpy())
-            b = b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-10)
-            ids = right["id"].to_numpy()
-            for at in range(0, len(left), 512):
-                part = left.iloc[at : at + 512]
-                a = np.stack(part["v"].to_numpy())
-                s = (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-10)) @ b.T
-                own = part["id"].to_numpy()
-                good = s > threshold
-                good &= own[:, None] < ids[None, :] if lo == hi else own[:, None] != ids[None, :]
-                i, j = np.nonzero(good)
-                out.append(pd.DataFrame({"left": np.minimum(own[i], ids[j]), "right": np.maximum(own[i], ids[j]), "similarity": s[i, j]}))
-        return pd.concat(out) if out else pd.DataFrame({"left": np.empty(0, "int64"), "right": np.empty(0, "int64"), "similarity": np.empty(0)})
-
-    return sent.groupBy("lo", "hi").applyInPandas(meet, "left long, right long, similarity double")
+    own = index.build(df.select(F.col(key).cast("long").alias("id"), vector), "id", vector, block=block, pivots=pivots)
+    if threshold < 0:  # zero vectors, and very short ones, are nearer than their angles say
+        own = index.Index(own.rows.withColumn("block", F.coalesce("block", F.lit("zero"))), own.blocks.select("g", "block", "n", "lo", "hi").unionByName(_zero_block(own)))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        out = [pd.DataFrame({"left": np.empty(0, "int64"), "right": np.empty(0, "int64"), "similarity": np.empty(0)})]
+        ids = right["id"].to_numpy()
+        for at in range(0, len(left), 512):
+            part = left.iloc[at : at + 512]
+            mine, s = part["id"].to_numpy(), index.cosines(part, right)
+            i, j = np.nonzero((s > threshold) & (mine[:, None] < ids[None, :] if same else mine[:, None] != ids[None, :]))
+            out.append(pd.DataFrame({"left": np.minimum(mine[i], ids[j]), "right": np.maximum(mine[i], ids[j]), "similarity": s[i, j]}))
+        return pd.concat(out)
+
+    pairs = index.block_pairs(own, float(np.arccos(min(threshold, 1.0))) if threshold >= 0 else None)
+    return index.meet(own, pairs, compare, "left long, right long, similarity double").drop("g", "a", "b")
+
+
+def _zero_block(own: index.Index) -> DataFrame:
+    """The block of zero vectors, if there are any, which nothing rules out."""
+    wide = own.blocks.select(F.size("lo").alias("k")).limit(1)
+    zero = own.rows.where("block is null").groupBy("g").agg(F.count("*").alias("n")).crossJoin(F.broadcast(wide))  # one row
+    return zero.select("g", F.lit("zero").alias("block"), "n", F.array_repeat(F.lit(0.0), F.col("k")).alias("lo"), F.array_repeat(F.lit(np.pi), F.col("k")).alias("hi"))
+
+
+def compared_pairs(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
+    """rows, pairs (all), compared (of near_duplicates) and blocks: one row."""
+    own = index.build(df, key, vector, block=block, pivots=pivots)
+    met = index.block_pairs(own, float(np.arccos(min(max(threshold, 0.0), 1.0)))).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared"))
+    whole = own.rows.agg(F.count("*").alias("rows"))
+    return whole.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(own.blocks.agg(F.count("*").alias("blocks")))).select("rows", F.expr("rows * (rows - 1) div 2").alias("pairs"), "compared", "blocks")
 
 
 def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", tables: int = 24, bits: int = 10, seed: int = 5) -> DataFrame:
@@ -89,28 +93,34 @@ def mean_similarity(df: DataFrame, group: list[str], vector: str = "vector") ->
     return sums.select(*group, "n", mean.alias("avg_similarity"))
 
 
-def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", blocks: int | None = None) -> DataFrame:
-    """group, max_similarity: the largest cosine of two rows; groups of one are left out. Pairs of blocks meet in tasks as in
-    near_duplicates and each yields one number."""
-    n = blocks or max(1, -(-df.count() // BLOCK))
-    rows = df.select(F.col(group).alias("g"), F.col(key).cast("string").alias("id"), as_doubles(F.col(vector)).alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    sent = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", block: int = index.BLOCK, first: int = 8) -> DataFrame:
+    """group, max_similarity: the largest cosine of two rows; groups of one are left out. Branch and bound over a metric index, when called.
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        left, right = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        top = -np.inf
-        if len(left) and len(right):
-            a, b = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy())
-            s = (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-10)) @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-10)).T
-            if lo == hi:
-                np.fill_diagonal(s, -np.inf)
-            top = s.max()
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "top": [top]})
+    A group's blocks first meet themselves; then pairs of blocks in the order of what their angles allow at best, `first` of each group and twice as many every round, until
+    no pair of blocks can beat what its group has. Pairs that can't are never compared."""
+    own = index.build(df, key, vector, group, block)
 
-    kind = dict(df.dtypes)[group]
-    tops = sent.groupBy("g", "lo", "hi").applyInPandas(meet, f"g {kind}, top double")
-    return tops.groupBy(F.col("g").alias(group)).agg(F.max("top").alias("max_similarity")).where("max_similarity > -2")
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        top = -np.inf
+        for at in range(0, len(left), 512):
+            s = index.cosines(left.iloc[at : at + 512], right)
+            if same:
+                s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
+            top = max(top, s.max(initial=-np.inf))
+        return pd.DataFrame({"top": [top]})
+
+    # a zero vector has similarity 0 to all others
+    zero = own.rows.groupBy("g").agg(F.count_if(F.col("block").isNull()).alias("z"), F.count("*").alias("n")).where("z > 0 and n > 1").select("g", F.lit(0.0).alias("top"))
+    pairs = kept(index.block_pairs(own).withColumn("bound", F.cos(F.greatest(F.col("apart") - index.SLACK, F.lit(0.0))) + index.SLACK))
+    best, done, size = zero, pairs.where("a = b and pairs > 0"), first
+    rest = pairs.where("a <> b")
+    while True:
+        best = kept(best.unionByName(index.meet(own, done, compare, "top double").select("g", "top")).groupBy("g").agg(F.max("top").alias("top")))
+        known = rest.join(best.select(F.col("g").alias("bg"), "top"), F.col("g").eqNullSafe(F.col("bg")), "left").where("top is null or bound > top").drop("bg", "top")
+        ranked = kept(known.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy(F.col("bound").desc(), "a", "b"))))
+        if ranked.isEmpty():
+            return best.where("top > -2").select(F.col("g").alias(group), F.col("top").alias("max_similarity"))
+        done, rest, size = ranked.where(F.col("nth") <= size).drop("nth"), ranked.where(F.col("nth") > size).drop("nth"), size * 2
 
 
 def diversity_metrics(df: DataFrame, key: str, group: str, vector: str = "vector", text: str | None = None) -> DataFrame:
@@ -182,23 +192,54 @@ def mmr_select(df: DataFrame, n: int, group: list[str], relevance: str | None =
     return df.groupBy(*group).applyInPandas(pick, schema)
 
 
-def mmr_select_global(df: DataFrame, n: int, relevance: str, lam: float = 0.5, vector: str = "vector") -> DataFrame:
-    """pos, rank of n rows of the whole table, chosen as mmr_select does: one pass per pick, each a distributed arg-max whose
-    vector goes back to all rows; the nearness to those chosen is written with the rows. For small n over tables of any size. Runs when called."""
-    rows = df.select("pos", F.col(relevance).cast("double").alias("r"), unit(as_doubles(F.col(vector))).alias("u"), F.lit(None).cast("double").alias("near"))
+def mmr_select_global(df: DataFrame, n: int, relevance: str, lam: float = 0.5, vector: str = "vector", candidates: int = 512) -> DataFrame:
+    """pos, rank of n rows of the whole table, chosen as mmr_select does, for any size of table. Runs when called.
+
+    Scores only fall as rows are chosen (0 <= lam <= 1), so those of an earlier pass are upper bounds. A pass scores all rows against what is chosen and brings the best `candidates`
+    to the driver; picks go on among these for as long as the best of them beats the bound of all others, which takes several picks a pass. Nothing is written."""
+    if not 0 <= lam <= 1:
+        raise ValueError("lam must lie between 0 and 1")
+    rows = df.select("pos", F.col(relevance).cast("double").alias("r"), unit(as_doubles(F.col(vector))).alias("u"))
     picks: list[int] = []
+    chosen = np.empty((0, 0))
     while len(picks) < n:
-        score = F.when(F.col("near").isNull(), F.col("r")).otherwise(lam * F.col("r") - (1 - lam) * F.col("near"))
-        top = rows.withColumn("s", score).orderBy(F.col("s").desc(), "pos").limit(1).collect()  # one row
+        top = _best_rows(rows, chosen, set(picks), lam, candidates + 1).collect()  # candidates + 1 rows
         if not top:
             break
-        picks.append(top[0]["pos"])
-        if len(picks) < n:
-            near = dot(F.col("u"), F.lit(list(top[0]["u"])))
-            rows = kept(rows.where(F.col("pos") != picks[-1]).withColumn("near", F.greatest("near", near)))
+        bound = (top[-1]["s"], -top[-1]["pos"]) if len(top) > candidates else None
+        top = top[:candidates]
+        pos, r, u = np.array([x["pos"] for x in top]), np.array([x["r"] for x in top]), np.array([x["u"] for x in top])
+        near = (u @ chosen.T).max(axis=1) if len(picks) else None
+        free = np.ones(len(top), bool)
+        while len(picks) < n and free.any():
+            score = np.where(free, r if near is None else lam * r - (1 - lam) * near, -np.inf)
+            best = np.flatnonzero(score == score.max())
+            pick = int(best[np.argmin(pos[best])])
+            if bound is not None and (score[pick], -pos[pick]) <= bound:
+                break
+            picks.append(int(pos[pick]))
+            free[pick] = False
+            chosen = u[pick][None, :] if near is None else np.concatenate([chosen, u[pick][None, :]])
+            if near is None and bound is not None:
+                break  # the others' scores had no nearness yet: bounds of no use
+            near = u @ u[pick] if near is None else np.maximum(near, u @ u[pick])
     return df.sparkSession.createDataFrame([(p, i + 1) for i, p in enumerate(picks)], "pos long, rank int")
 
 
+def _best_rows(rows: DataFrame, chosen: np.ndarray, taken: set[int], lam: float, count: int) -> DataFrame:
+    """pos, r, u, s of the rows with the largest scores, earlier pos first on ties."""
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[~pdf["pos"].isin(taken)]
+            if len(pdf):
+                near = (np.stack(pdf["u"].to_numpy()) @ chosen.T).max(axis=1) if len(chosen) else None
+                pdf = pdf.assign(s=pdf["r"] if near is None else lam * pdf["r"] - (1 - lam) * near)
+                yield pdf.sort_values(["s", "pos"], ascending=[False, True]).head(count)
+
+    return rows.mapInPandas(score, f"pos {dict(rows.dtypes)['pos']}, r double, u array<double>, s double").orderBy(F.col("s").desc(), "pos").limit(count)
+
+
 def detect_outliers(df: DataFrame, threshold: float = 2.0, vector: str = "vector") -> DataFrame:
     """df with distance to the mean vector and is_outlier: over mean + threshold * population deviation of distances; n < 3: none."""
     centre = df.agg(vector_to_array(Summarizer.mean(array_to_vector(as_doubles(F.col(vector))))).alias("_centre"), F.count("*").alias("_n"))

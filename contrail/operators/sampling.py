@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from contrail.operators.pairs import with_position, with_rank
+from contrail.operators.pairs import with_position
 
 INTENSITIES = ("extreme", "high", "medium", "natural")
 
@@ -38,20 +38,50 @@ def assign_intensity(df: DataFrame, shares: dict[str, float], order: str = "pos"
     return rows.withColumn("intensity", out).drop("position")
 
 
+#: Values of scrambled(), and how many counts a group has in one step of a search for its cut.
+MODULUS, STEP = 1_000_003, 1_024
+
+
+def with_cut(df: DataFrame, group: list[str], value: Column, quota: DataFrame, size: int = MODULUS) -> DataFrame:
+    """quota(group columns, _quota) with _cut and _left: of a whole-number value from 0 to size - 1, the smallest that with all below it holds _quota rows
+    of the group, and how many of the rows that have it are still needed.
+
+    An order statistic by counting: each step counts the rows of a group in STEP ranges of value and goes on inside the one with the cut, so a step shuffles at most
+    STEP counts of a group from each task, and no row is sorted or written."""
+    same = lambda a, b: [F.col(f"{a}.{g}").eqNullSafe(F.col(f"{b}.{g}")) for g in group]
+    at = quota.select(*group, "_quota", F.lit(0).cast("long").alias("_cut"), F.col("_quota").cast("long").alias("_left"))
+    rows = df.select(*group, value.cast("long").alias("_v"))
+    width = STEP ** max(1, -(-(size - 1).bit_length() // (STEP - 1).bit_length()))
+    while width > 1:
+        width //= STEP
+        inside = (F.col("r._v") >= F.col("a._cut")) & (F.col("r._v") < F.col("a._cut") + width * STEP)
+        joined = rows.alias("r").join((at if group else F.broadcast(at)).alias("a"), _all([*same("r", "a"), inside]))  # without groups one row
+        counts = joined.groupBy(*(F.col(f"a.{g}").alias(g) for g in group), "_quota", "_cut", "_left", F.floor((F.col("_v") - F.col("_cut")) / width).cast("long").alias("_b")).agg(F.count("*").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*group, "_quota", "_cut", "_left").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        here = counts.withColumn("_before", before).where((F.col("_before") < F.col("_left")) & (F.col("_left") <= F.col("_before") + F.col("_n")))
+        at = here.select(*group, "_quota", (F.col("_cut") + F.col("_b") * width).alias("_cut"), (F.col("_left") - F.col("_before")).alias("_left"))
+    return at
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
 def subsample(df: DataFrame, ratio: float, seed: int = 0, max_rows: int | None = None, group: list[str] | None = None, key: str = "pos") -> DataFrame:
-    """Exactly max(1, int(n * ratio)) rows of each group without replacement (all if ratio >= 1), at most max_rows; by a
-    scrambled order of the key. Rows are ranked by ranges, which are written when this is called."""
-    order = F.struct(scrambled(key, seed=seed).alias("scrambled"), F.col(key))
-    group = group or []
+    """Exactly max(1, int(n * ratio)) rows of each group without replacement (all if ratio >= 1), at most max_rows; by a scrambled order of a unique
+    whole-number key. Rows are kept by a cut through that order, found by counting; only the rows on the cut itself (about one in MODULUS) are ranked."""
+    group, own = group or [], scrambled(key, seed=seed)
     counts = df.groupBy(*group).agg(F.count("*").alias("_n"))
     quota = F.col("_n") if ratio >= 1 else F.greatest(F.lit(1), F.floor(F.col("_n") * ratio))
     quota = F.least(quota, F.lit(max_rows)) if max_rows is not None else quota
-    quotas = counts.select(*(F.col(g).alias(f"_g_{g}") for g in group), quota.alias("_quota"))
-    same = F.lit(True)
-    for g in group:
-        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    ranked = with_rank(df, group, order)
-    return ranked.join(quotas if group else F.broadcast(quotas), same).where(F.col("rank") <= F.col("_quota")).select(*df.columns)
+    at = with_cut(df, group, own, counts.where("_n > 0").select(*group, quota.cast("long").alias("_quota")))
+    at = at.select(*(F.col(g).alias(f"_g_{g}") for g in group), "_cut", "_left")
+    rows = df.join(at if group else F.broadcast(at), _all([F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group])).withColumn("_v", own.cast("long"))  # without groups one row
+    on = rows.where("_v = _cut").withColumn("_r", F.row_number().over(Window.partitionBy(*(f"_g_{g}" for g in group), "_cut").orderBy(key)))
+    return rows.where("_v < _cut").select(*df.columns).unionByName(on.where("_r <= _left").select(*df.columns))
 
 
 def hash_text(s: str, start: int = 7) -> int:

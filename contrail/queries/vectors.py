@@ -79,6 +79,9 @@ def _clusters(spark, d_):
     return sizes.crossJoin(spread("cluster")).crossJoin(spread("all")).select("n", "clusters", (F.col("spread_cluster") < F.col("spread_all")).alias("tighter"))  # one row each
 
 
+#: Picks of the greedy choice over the whole table: a report of its best rows.
+PICKS = 30
+
 QUERIES = {
     "e1_d16_top_weighted_vector": entry_query,
     "g11_vector_functions": _functions,
@@ -107,7 +110,7 @@ QUERIES = {
     "d3_cluster_balance": lambda s, p: rounded(d.cluster_balance(candidate_vectors(s, p), "label", ["layer_strategy"]), "balance"),
     "e1_rank_samples": lambda s, p: v.rank_samples(candidate_vectors(s, p)).select("sample_idx", "layer", "overall_score", "rank"),
     "e7_mmr_select": lambda s, p: d.mmr_select(candidate_vectors(s, p), 3, ["label"], "overall_score").select("label", "sample_idx", "rank"),
-    "e7_mmr_select_global": lambda s, p: d.mmr_select_global(candidate_vectors(s, p), 2, "overall_score"),
+    "e7_mmr_select_global": lambda s, p: d.mmr_select_global(candidate_vectors(s, p), PICKS, "overall_score"),
     "e12_detect_outliers": lambda s, p: rounded(d.detect_outliers(candidate_vectors(s, p)).select("sample_idx", "distance", "is_outlier"), "distance"),
 }
 
@@ -161,6 +164,15 @@ def _axis(rows: str) -> str:
 
 _TO_MEAN = "i - 1 as dim, round(v * case when (select sum(v * m) from axis join ctr using (i)) < 0 then -1 else 1 end, 6) as x from axis"
 
+def _greedy_sql(n: int) -> str:
+    """Plain greedy choice, a common table for each pick."""
+    out = """, near1 as materialized (select pos, overall_score as r, u, null::double as near from units), pick1 as materialized (select pos, u from near1 order by r desc, pos limit 1)"""
+    for i in range(2, n + 1):
+        out += f""", near{i} as materialized (select x.pos, r, x.u, greatest(near, list_inner_product(x.u, p.u)) as near from near{i - 1} x, pick{i - 1} p where x.pos <> p.pos),
+        pick{i} as materialized (select pos, u from near{i} order by 0.5 * r - 0.5 * near desc, pos limit 1)"""
+    return out + "\n" + " union all ".join(f"select pos, {i} as rank from pick{i}" for i in range(1, n + 1))
+
+
 ORACLE = {
     "d18_pca_vector": sql(_axis("select vector as v from candidate_vectors") + " select " + _TO_MEAN, "candidate_vectors"),
     "d19_weighted_pca_vector": sql(_axis("select list_transform(vector, lambda x: x * f) as v from (select vector, sqrt(overall_score / sum(overall_score) over ()) as f from candidate_vectors)") + " select i - 1 as dim, round(v, 6) as x from axis", "candidate_vectors"),
@@ -257,11 +269,7 @@ ORACLE = {
     ),
     "d3_cluster_balance": sql("c as (select layer_strategy, label, count(*) as c from candidate_vectors group by all) select layer_strategy, count(*) as clusters, round(greatest(0, least(1, 1 - stddev_pop(c) / avg(c))), 6) as balance from c group by 1", "candidate_vectors"),
     "e1_rank_samples": sql("select sample_idx, layer, overall_score, row_number() over (order by overall_score desc, pos) as rank from candidate_vectors where is_valid", "candidate_vectors"),
-    "e7_mmr_select_global": sql(
-        _UNITS + """, one as (select pos, u from units order by overall_score desc, pos limit 1), two as (select b.pos from units b, one a where b.pos <> a.pos order by 0.5 * b.overall_score - 0.5 * list_inner_product(a.u, b.u) desc, b.pos limit 1)
-        select pos, 1 as rank from one union all select pos, 2 from two""",
-        "candidate_vectors",
-    ),
+    "e7_mmr_select_global": sql(_UNITS + _greedy_sql(PICKS), "candidate_vectors"),
     "e12_detect_outliers": sql(
         """centre as (select list(m order by i) as c from (select i, avg(vector[i]) as m from candidate_vectors, range(1, 65) t(i) group by i)), far as (select sample_idx, sqrt(list_sum(list_transform(range(1, 65), lambda i: (vector[i] - c[i]) ** 2))) as f from candidate_vectors, centre)
         select sample_idx, round(f, 6) as distance, f > (select avg(f) + 2 * stddev_pop(f) from far) as is_outlier from far""",
