@@ -5,7 +5,8 @@ Two permutations make every signature: the first shuffles the hashed shingle spa
 Texts with equal shingle sets are one class with a number of its own before any bucket is formed, so thousands of copies
 cost one row. Bands of a signature are buckets. A bucket never lists all its pairs: first each member meets the bucket's
 first class, its lead; then, with the components of the confirmed links known, members outside the bucket's largest component meet
-the rest inside tasks, as their differences from the lead. A large bucket is cut into parts; a member of the largest component is in
+the rest inside tasks, as their differences from what most members hold: what a template gives to all of them costs nothing, and only members that share
+rare differences are compared. A bucket too large for a task is cut into parts; a member of the largest component is in
 one part only, the others in all, in blocks of bounded size. Only links that join components come out.
 """
 
@@ -27,7 +28,7 @@ BANDS, ROWS = 32, 5
 #: Size of the permuted space; both permutations are built from this seed in each worker.
 SPACE, SEED = 1 << 20, 11
 #: Members of a bucket, and shingles in their sets, of one part.
-PART, SHINGLES = 4096, 1 << 23
+PART, SHINGLES = 1 << 16, 1 << 23
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -101,17 +102,16 @@ def _sets(k: int):
     return run
 
 
-MET = "a long, b long, linked boolean, missing long, diff array<long>"
+MET = "a long, b long, linked boolean, diff array<long>"
 
 
 def _meet(percent: int):
-    """A bucket's lead a against a member b on full sets: linked or not, shingles of a that b lacks, and all
-    shingles that only one of them has."""
+    """A bucket's lead a against a member b on full sets: linked or not, and all shingles that only one of them has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (x, i), (y, j) = ((s.values.to_numpy(), s.offsets.to_numpy()) for s in (column(batch, "left"), column(batch, "right")))
-            linked, missing, ends, diffs = [], [], [0], []
+            linked, ends, diffs = [], [0], []
             for row in range(batch.num_rows):
                 u, v = x[i[row] : i[row + 1]], y[j[row] : j[row + 1]]
                 both = np.sort(np.concatenate([u, v]))
@@ -121,31 +121,64 @@ def _meet(percent: int):
                 single[1:] &= ~twice
                 single[:-1] &= ~twice
                 linked.append(100 * same >= percent * (len(both) - same))
-                missing.append(len(u) - same)
                 diffs.append(both[single])
                 ends.append(ends[-1] + len(diffs[-1]))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(diffs) if diffs else np.empty(0, np.int64), pa.int64()))
-            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked, pa.bool_()), pa.array(missing, pa.int64()), lists], ["a", "b", "linked", "missing", "diff"])
+            yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(linked, pa.bool_()), lists], ["a", "b", "linked", "diff"])
 
     return run
 
 
-def cross_links(component: np.ndarray, guest: np.ndarray, n: np.ndarray, lead_n: int, missing: np.ndarray, diffs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def recentred(diffs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same sets as differences from the set that most of them agree on: shingles that over half of the differences hold change sides. As places of
+    rows in one array (starts), with shingles numbered by how many sets differ in them, rarest first, and how many those are. Shingles in which none or one differs from all others don't
+    matter for what two sets have in common and are left out of the numbers, but not of the sizes."""
+    count, sizes = len(diffs), np.array([len(d) for d in diffs])
+    tokens, at, counts = np.unique(np.concatenate(diffs) if count else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(count), sizes)
+    flip = np.flatnonzero(2 * counts > count)
+    number = np.full(len(tokens), -1)
+    number[flip] = np.arange(len(flip))
+    have = number[at] >= 0
+    # a set lacks a flipped shingle from its differences: now it has one; fewer do than had it before
+    rows, cols = [owner[~have]], [at[~have]]
+    mine, which = owner[have], number[at[have]]
+    order = np.argsort(which, kind="stable")
+    mine, which = mine[order], which[order]
+    step = max(1, (1 << 24) // max(count, 1))
+    for lo in range(0, len(flip), step):
+        part = slice(*np.searchsorted(which, [lo, lo + step]))
+        without = np.ones((min(step, len(flip) - lo), count), bool)
+        without[which[part] - lo, mine[part]] = False
+        col, row = np.nonzero(without)
+        rows.append(row)
+        cols.append(flip[lo + col])
+    lacking = np.bincount(np.concatenate(rows[1:]), minlength=count) if len(rows) > 1 else np.zeros(count, np.int64)
+    size = sizes - np.bincount(owner[have], minlength=count) + lacking
+    row, col = np.concatenate(rows), np.concatenate(cols)
+    times = np.bincount(col, minlength=len(tokens))
+    keep = times[col] > 1
+    row, col = row[keep], col[keep]
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.lexsort((np.arange(len(tokens)), times))] = np.arange(len(tokens))
+    col = rank[col]
+    order = np.lexsort((col, row))
+    starts = np.searchsorted(row[order], np.arange(count + 1))
+    return size, col[order], starts
+
+
+def cross_links(component: np.ndarray, guest: np.ndarray, n: np.ndarray, diffs: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Pairs of components that a link between a guest and another member of a bucket joins, as many as join what can be joined.
 
-    With each member as its differences from the lead, |x & y| = |lead| - missing x - missing y + |differences in common|;
-    the last are counted by a product of 0/1 matrices, block by block.
+    Members are differences from one set, d of them; two have n + m - 2 * |x & y| = d + e - 2 * |differences in common|. So a pair links iff its differences in common are at
+    least (g + h) / 2 with g = d - n * (100 - percent) / (100 + percent). All with g + the smallest g at most 0 link with the member that has it; every other must share
+    differences with whom it links, and at least one of its rarest ones: only such pairs are counted out. Differences that most members share fall away beforehand, so a
+    text common to a bucket costs nothing.
     """
+    size, cols, starts = recentred(diffs)
+    # twice the needed number, in units of 1 / (100 + percent), in whole numbers
+    g = size * (100 + percent) - n * (100 - percent)
     names, home = np.unique(component, return_inverse=True)
-    small, others = np.flatnonzero(guest), np.flatnonzero(~guest)
-    sizes = np.array([len(d) for d in diffs])
-    tokens, at, counts = np.unique(np.concatenate(diffs), return_inverse=True, return_counts=True)
-    used = np.flatnonzero(counts > 1)
-    place = np.full(len(tokens), -1)
-    place[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(len(home)), sizes)
-    at = place[at]
-    owner, at = owner[at >= 0], at[at >= 0]
     root = list(range(len(names)))
 
     def find(c: int) -> int:
@@ -154,47 +187,61 @@ def cross_links(component: np.ndarray, guest: np.ndarray, n: np.ndarray, lead_n:
             c = root[c]
         return c
 
-    out = []
-    step = max(1, (1 << 24) // max(len(used), 1))  # entries of a block of rows
-    blocks = [others[lo : lo + step] for lo in range(0, len(others), step)]
-
-    def matrix(rows: np.ndarray) -> np.ndarray:
-        where = np.full(len(home), -1)
-        where[rows] = np.arange(len(rows))
-        have = where[owner] >= 0
-        x = np.zeros((len(rows), len(used)), np.float32)
-        x[where[owner[have]], at[have]] = 1
-        return x
-
-    for s in range(0, len(small), min(step, 1024)):
-        rows = small[s : s + min(step, 1024)]
-        left = matrix(rows)
-        for cols in blocks:
-            common = np.rint(left @ matrix(cols).T).astype(np.int64)
-            same = lead_n - missing[rows][:, None] - missing[cols][None, :] + common
-            good = 100 * same >= percent * (n[rows][:, None] + n[cols][None, :] - same)
-            good &= home[rows][:, None] != home[cols][None, :]
-            for i, j in zip(*np.nonzero(good), strict=True):
-                x, y = find(home[rows[i]]), find(home[cols[j]])
-                if x != y:
-                    root[x] = y
-                    out.append((int(component[rows[i]]), int(component[cols[j]])))
+    out: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        x, y = find(home[i]), find(home[j])
+        if x != y:
+            root[x] = y
+            out.append((int(component[i]), int(component[j])))
+
+    first = int(np.argmin(g))
+    for i in np.flatnonzero(g + g[first] <= 0).tolist():
+        join(i, first)
+    unit = 2 * (100 + percent)
+    lengths = np.diff(starts)
+    needed = -(-(g + g[first]) // unit)  # differences in common with anyone, at least
+    short = np.where(needed > 0, np.clip(lengths - needed + 1, 0, None), lengths)
+    # the rarest differences of each member, by difference
+    place = np.arange(len(cols)) - np.repeat(starts[:-1], lengths)
+    inside = place < np.repeat(short, lengths)
+    token, who = cols[inside], np.repeat(np.arange(len(size)), lengths)[inside]
+    order = np.argsort(token, kind="stable")
+    token, who = token[order], who[order]
+    sets: dict[int, frozenset] = {}
+
+    def differences(i: int) -> frozenset:
+        if i not in sets:
+            sets[i] = frozenset(cols[starts[i] : starts[i + 1]].tolist())
+        return sets[i]
+
+    for i in np.flatnonzero(guest & (short > 0)).tolist():
+        mine = cols[starts[i] : starts[i] + short[i]]
+        low, high = np.searchsorted(token, mine), np.searchsorted(token, mine, "right")
+        met = np.unique(np.concatenate([who[a:b] for a, b in zip(low.tolist(), high.tolist())]))
+        met = met[(home[met] != home[i]) & (~guest[met] | (met < i))]
+        for j in met.tolist():
+            if find(home[i]) != find(home[j]) and unit * len(differences(i) & differences(j)) >= g[i] + g[j]:
+                join(i, j)
     return out
 
 
 def _cross(percent: int):
     """Rows of one bucket (or of a block and a part of a large one) lie together, sorted by band, lo, hi."""
-    names = ["band", "lo", "hi", "component", "n", "lead_n", "missing"]
+    names = ["band", "lo", "hi", "id", "component", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            _, _, _, component, n, lead_n, missing = (np.concatenate([h[0][c] for h in held]) for c in names)
-            guest = np.concatenate([h[2] for h in held])
+            _, _, _, ids, component, n = (np.concatenate([h[0][c] for h in held]) for c in names)
+            guests = np.unique(ids[np.concatenate([h[2] for h in held])])
             diffs = [d for h in held for d in h[1]]
             held.clear()
-            found = cross_links(component, guest, n, int(lead_n[0]), missing, diffs, percent) if guest.any() and len(np.unique(component)) > 1 else []
+            one = np.unique(ids, return_index=True)[1]  # a member may lie in a cell as guest and host
+            ids, component, n, diffs = ids[one], component[one], n[one], [diffs[i] for i in one.tolist()]
+            guest = np.isin(ids, guests)
+            found = cross_links(component, guest, n, diffs, percent) if guest.any() and len(np.unique(component)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         last = None
@@ -233,7 +280,7 @@ def _components(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
     classes = stage(classes.select("k1", "k2", "least.*", "bands", "n", F.monotonically_increasing_id().alias("id")))
     banded = classes.select("id", "n", F.explode("bands").alias("band"))
     full = banded.groupBy("band").agg(F.min(F.struct("id", "n")).alias("lead"), F.max("id").alias("top")).where("lead.id <> top")
-    met = stage(banded.join(full.select("band", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "band"))
+    met = stage(banded.join(full.select("band", F.col("lead.id").alias("lead")), "band"))
     ids = met.select("id").distinct().join(classes.select("id", "doc_id", "t1", "t2"), "id")
     texts = docs.join(ids, ["doc_id", "t1", "t2"]).dropDuplicates(["doc_id", "t1", "t2"])
     sets = stage(texts.select("id", "text").mapInArrow(_sets(k), "id long, members array<long>"))
@@ -248,13 +295,13 @@ def _components(docs: DataFrame, k: int, percent: int, part: int) -> DataFrame:
     open_ = sizes.groupBy("band").agg(F.count("*").alias("several"), F.max_by("component", "c").alias("main"), F.sum("c").alias("c"), F.sum("w").alias("w"), F.max("c").alias("most"), F.max_by("w", "c").alias("main_w"))
     cut = lambda c, w: F.ceil(F.greatest(c / part, w / SHINGLES)).cast("int")
     open_ = open_.where("several > 1").select("band", "main", cut(F.col("c"), F.col("w")).alias("parts"), cut(F.col("c") - F.col("most"), F.col("w") - F.col("main_w")).alias("blocks"))
-    rows = named.join(open_, "band").join(first.select(F.col("a").alias("lead"), F.col("b").alias("id"), "missing", "diff"), ["lead", "id"], "left")
+    rows = named.join(open_, "band").join(first.select(F.col("a").alias("lead"), F.col("b").alias("id"), "diff"), ["lead", "id"], "left")
     own, block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")).cast("int")
     cell = lambda lo, hi, guest: F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(guest).alias("guest"))
     member = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: cell(i, own, False))
     guest = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: cell(block, i, True))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("component") == F.col("main"), member).otherwise(F.concat(member, guest))))
-    rows = rows.select("band", "cell.*", "component", "n", "lead_n", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("diff", F.array().cast("array<long>")).alias("diff"))
+    rows = rows.select("band", "cell.*", "id", "component", "n", F.coalesce("diff", F.array().cast("array<long>")).alias("diff"))
     rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
     joined = components(rows.mapInArrow(_cross(percent), "a long, b long").distinct()).select(F.col("node").alias("component"), F.col("component").alias("wider"))
     label = stage(label.join(joined, "component", "left").select("id", F.coalesce("wider", "component").alias("component")).unionByName(joined.select(F.col("component").alias("id"), F.col("wider").alias("component"))).distinct())

@@ -773,6 +773,51 @@ def test_near_duplicates(spark, texts, k, part):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, component, component == i), i
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_links_of_a_bucket(seed):
+    """Templates, chains of edits, subsets: what is joined and what is not, as all pairs say."""
+    rng = random.Random(seed)
+    template = rng.sample(range(10**6), rng.choice([0, 30, 80]))
+    base, sets = rng.sample(range(10**6), 40), []
+    for i in range(rng.choice([3, 40, 90])):
+        kind = rng.random()
+        own = set(rng.sample(range(10**6), rng.randrange(0, 40))) if kind < 0.5 else set(rng.sample(base, rng.randrange(30, 41))) | set(rng.sample(range(10**6), rng.randrange(5)))
+        sets.append(own | set(template if rng.random() < 0.9 else template[:40]) or {i})
+    percent, lead = rng.choice([50, 80, 95]), sets[0]
+    component = np.array([rng.randrange(len(sets)) if rng.random() < 0.4 else 1000 + i for i in range(len(sets))])
+    main = Counter(component.tolist()).most_common(1)[0][0]
+    found = minhash_dedup.cross_links(component, component != main, np.array([len(s) for s in sets]), [np.array(sorted(lead ^ s), np.int64) for s in sets], percent)
+
+    def groups(links):
+        root = {c: c for c in set(component.tolist())}
+
+        def find(c):
+            while root[c] != c:
+                c = root[c]
+            return c
+
+        for x, y in links:
+            root[find(x)] = find(y)
+        return {frozenset(c for c in root if find(c) == r) for r in map(find, root)}
+
+    links = [(int(component[i]), int(component[j])) for i, j in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    assert groups(found) == groups(links) and set(found) <= {p for x, y in links for p in ((x, y), (y, x))}
+
+
+def test_a_bucket_of_many_templated_members_is_linear():
+    """30 shingles of their own each beside a common template of 200: nothing links, and twice as many cost about twice."""
+    took = []
+    for count in (4000, 8000, 16_000):
+        rng = np.random.default_rng(count)
+        own = rng.integers(1 << 20, 1 << 40, (count, 30))
+        diffs = [np.unique(np.concatenate([own[0], x])) if i else np.empty(0, np.int64) for i, x in enumerate(own)]
+        n = np.full(count, 230)
+        began = time.process_time()
+        assert minhash_dedup.cross_links(np.arange(count), np.arange(count) > 0, n, diffs, 80) == []
+        took.append(time.process_time() - began)
+    assert took[2] < 8 * took[0] + 1
+
+
 def test_near_duplicates_with_odd_ids(spark):
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (None, "a b c d e f g"), (3, "a b c d e f g"), (5, "quite another text than that"), (None, None)]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
