@@ -11,13 +11,53 @@ def field(path: str, kind: str = "string") -> Column:
     return F.get_json_object("payload", f"$.{path}").cast(kind)
 
 
-def _after(events: DataFrame, first: str, second: str, key: str, bring: dict[str, Column]) -> DataFrame:
+#: Sequences of one piece of a session: pieces of a long session are worked on by different tasks.
+PIECE = 65_536
+
+
+def with_previous(rows: DataFrame, keys: list[str], order: str, value: Column, name: str, piece: int = PIECE) -> DataFrame:
+    """rows with the value of the row before in the key, by a whole-number order; a key's rows are dealt by pieces of the order.
+
+    Inside a piece a window tells. A piece's first row, which finds nothing there, gets the last value of the piece before: one row for each piece, itself a window of
+    as many rows as a key has pieces."""
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / piece)).withColumn("_value", value)
+    inside = Window.partitionBy(*keys, "_piece").orderBy(order)
+    lagged = cut.withColumn(name, F.lag("_value").over(inside)).withColumn("_at", F.row_number().over(inside))
+    last = cut.groupBy(*keys, "_piece").agg(F.max_by("_value", order).alias("_last"))
+    carried = last.select(*keys, "_piece", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_piece")).alias("_carried")).where("_carried is not null")
+    first = lagged.where("_at = 1").join(carried, [*keys, "_piece"], "left").withColumn(name, F.col("_carried")).drop("_carried")
+    return lagged.where("_at > 1").unionByName(first).drop("_piece", "_value", "_at")
+
+
+def last_rows(rows: DataFrame, key: str, order: str, n: int, piece: int = PIECE) -> DataFrame:
+    """The n rows of each key with the largest order (a unique whole number). Counts of pieces tell which piece the cut falls in; only its rows are ranked."""
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / piece))
+    counts = cut.groupBy(key, "_piece").agg(F.count("*").alias("_n"))
+    later = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # per piece: how many of its rows are still wanted
+    wanted = counts.withColumn("_left", F.lit(n) - later).where("_left > 0").select(F.col(key).alias("_key"), F.col("_piece").alias("_p"), "_left", (F.col("_n") <= F.col("_left")).alias("_whole"))
+    met = cut.join(wanted, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_p")))
+    ranked = met.where("not _whole").withColumn("_r", F.row_number().over(Window.partitionBy("_key", "_p").orderBy(F.col(order).desc()))).where("_r <= _left")
+    return met.where("_whole").select(*rows.columns).unionByName(ranked.select(*rows.columns))
+
+
+def numbered(rows: DataFrame, key: str, order: str, name: str, piece: int = PIECE) -> DataFrame:
+    """rows with their number in the key from 1, by a unique whole-number order: numbers inside pieces, offset by the counts of the pieces before."""
+    cut = rows.withColumn("_piece", F.floor(F.col(order) / piece))
+    counts = cut.groupBy(key, "_piece").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(key).alias("_key"), F.col("_piece").alias("_p"), before.alias("_before"))
+    inside = cut.withColumn("_in", F.row_number().over(Window.partitionBy(key, "_piece").orderBy(order)))
+    met = inside.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_piece") == F.col("_p")))
+    return met.select(*rows.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
+
+
+def _after(events: DataFrame, first: str, second: str, key: str, bring: dict[str, Column], piece: int = PIECE) -> DataFrame:
     """The events of the second kind with _key and _before: what the first kind's event brings, if it is the last one of their id before it (else null)."""
     rows = events.where(F.col("event_type").isin(first, second)).withColumn("_key", field(key))
     rows = rows.where(F.col("_key").isNotNull() & F.col("session_id").isNotNull())
-    before = F.lag(F.struct("event_type", "sequence", "timestamp", *(c.alias(n) for n, c in bring.items()))).over(Window.partitionBy("session_id", "_key").orderBy("sequence"))
-    rows = rows.withColumn("_before", before).where(F.col("event_type") == second)
-    return rows.withColumn("_before", F.when(F.col("_before.event_type") == first, F.col("_before")))
+    rows = with_previous(rows, ["session_id", "_key"], "sequence", F.struct("event_type", "sequence", "timestamp", *(c.alias(n) for n, c in bring.items())), "_before", piece)
+    return rows.where(F.col("event_type") == second).withColumn("_before", F.when(F.col("_before.event_type") == first, F.col("_before")))
 
 
 def _pair(events: DataFrame, first: str, second: str, key: str, keep: dict[str, Column], bring: dict[str, Column]) -> DataFrame:
@@ -227,8 +267,7 @@ def datapoint_timeline(events: DataFrame) -> DataFrame:
 
 def vectors_created(events: DataFrame) -> DataFrame:
     rows = events.where("event_type = 'vector.created'")
-    w = Window.partitionBy("session_id").orderBy("sequence")
-    return rows.select("session_id", "sequence", F.row_number().over(w).alias("nth"), field("vector_id").alias("vector_id"), field("layer", "int").alias("layer"))
+    return numbered(rows.select("session_id", "sequence", field("vector_id").alias("vector_id"), field("layer", "int").alias("layer")), "session_id", "sequence", "nth")
 
 
 def best_vector(events: DataFrame) -> DataFrame:
@@ -412,8 +451,7 @@ def event_logs(events: DataFrame, keep: int | None = 10_000) -> DataFrame:
     out = with_fields(events.where("event_type <> 'llm.chunk'")).select("session_id", "sequence", source.alias("log_source"), message.alias("message"), level.alias("level"))
     if keep is None:
         return out
-    w = Window.partitionBy("session_id").orderBy(F.col("sequence").desc())
-    return out.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= keep).drop("_r")
+    return last_rows(out, "session_id", "sequence", keep)
 
 
 def filter_logs(logs: DataFrame, session: str | None = None, text: str | None = None, source: str | None = None, levels: list[str] | None = None) -> DataFrame:

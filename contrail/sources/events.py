@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from contrail.operators.replay import last_rows, numbered
 
 #: Event categories.
 CATEGORIES = ("session", "llm", "tool", "vector", "datapoint", "evaluation", "checkpoint", "state", "contrast", "seed", "optimization")
@@ -123,11 +124,10 @@ def events_of(df: DataFrame, event_type: str) -> DataFrame:
 
 
 def next_sequences(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """new(session_id, pos, ..) with category and sequence: after the largest of its session, in order of pos."""
+    """new(session_id, pos, ..) with category and sequence: after the largest of its session, in order of pos, a unique whole number. A long session is numbered by many tasks."""
     last = existing.groupBy("session_id").agg(F.max("sequence").alias("_last"))
-    w = Window.partitionBy("session_id").orderBy("pos")
-    out = new.join(last, "session_id", "left").withColumn("sequence", F.coalesce("_last", F.lit(0)) + F.row_number().over(w))
-    return out.withColumn("category", event_category(F.col("event_type"))).drop("_last")
+    out = numbered(new, "session_id", "pos", "_nth").join(last, "session_id", "left").withColumn("sequence", F.coalesce("_last", F.lit(0)) + F.col("_nth"))
+    return out.withColumn("category", event_category(F.col("event_type"))).drop("_last", "_nth")
 
 
 def append_events(new: DataFrame, existing: DataFrame, path: str) -> None:
@@ -197,5 +197,4 @@ def session_info(metadata: DataFrame, now: Column | None = None) -> DataFrame:
 
 def recent_events(df: DataFrame, n: int = 100) -> DataFrame:
     """The last n events of each session."""
-    w = Window.partitionBy("session_id").orderBy(F.col("sequence").desc())
-    return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
+    return last_rows(df, "session_id", "sequence", n)
