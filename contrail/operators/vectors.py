@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles, cosine, dot, minus, norm, scale_to_norm, unit
+from contrail.operators.components import leading_components
 from contrail.operators.pairs import with_rank, with_running_sum
 
 STRATEGIES = ("best_single", "top_k_average", "weighted_average", "pca_principal", "strategy_grouped")
@@ -44,15 +45,27 @@ def quality_weighted_vector(df: DataFrame, group: list[str], quality: str, vecto
     return weighted_mean_vector(df.join(sums, group).withColumn("_weight", weight), group, "_weight", vector)
 
 
+#: Widest vectors whose covariance matrix is formed (8 MB), and components found of wider ones unless asked otherwise.
+DENSE, WIDE = 1024, 16
+
+
+def _width(df: DataFrame, vector: str) -> int:
+    return df.select(F.size(vector)).first()[0]
+
+
 def pca_vector(df: DataFrame, vector: str = "vector", orient: bool = True) -> DataFrame:
     """One row: n, vector, the first principal component of all rows at unit norm, turned towards their mean if orient, else
-    so that its largest element is positive; one row alone comes back as it is. The covariance is summed on the executors; only the d x d matrix reaches the driver."""
+    so that its largest element is positive; one row alone comes back as it is. Up to DENSE dimensions the covariance is summed on the executors and its matrix
+    reaches the driver; wider vectors go by leading_components, whose memory is a few vectors."""
     rows = df.select(array_to_vector(as_doubles(F.col(vector))).alias("x"))
     n = rows.limit(2).count()
     if n < 2:
         return df.select(F.lit(1).cast("long").alias("n"), as_doubles(F.col(vector)).alias("vector"))
-    model = PCA(k=1, inputCol="x", outputCol="y").fit(rows)
-    first = [float(x) for x in model.pc.toArray()[:, 0]]
+    if _width(df, vector) > DENSE:
+        pc = leading_components(df.select(as_doubles(F.col(vector)).alias("v")), 1).vectors
+    else:
+        pc = PCA(k=1, inputCol="x", outputCol="y").fit(rows).pc.toArray()
+    first = [float(x) for x in pc[:, 0]]
     if max(first, key=abs) < 0:
         first = [-x for x in first]
     out = rows.agg(F.count("*").alias("n"), vector_to_array(Summarizer.mean(F.col("x"))).alias("mean"))
@@ -70,12 +83,15 @@ def weighted_pca_vector(df: DataFrame, weight: str, vector: str = "vector") -> D
 
 
 def variance_explained(df: DataFrame, vector: str = "vector", k: int | None = None) -> DataFrame:
-    """component (from 0), share of variance; fewer than two rows: one component with all of it."""
+    """component (from 0), share of variance; fewer than two rows: one component with all of it. All components by default; of vectors wider than DENSE the leading WIDE."""
     rows = df.select(array_to_vector(as_doubles(F.col(vector))).alias("x"))
     n = rows.count()
     if n < 2:
         return rows.sparkSession.createDataFrame([(0, 1.0)], "component int, share double")
-    d = len(rows.first()["x"])
+    d = _width(df, vector)
+    if d > DENSE:
+        shares = leading_components(df.select(as_doubles(F.col(vector)).alias("v")), min(k or WIDE, n, d)).shares
+        return rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(shares)], "component int, share double")
     model = PCA(k=min(k or n, n, d), inputCol="x", outputCol="y").fit(rows)
     return rows.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(model.explainedVariance.toArray())], "component int, share double")
 
