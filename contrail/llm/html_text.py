@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from contrail.llm.common import column, slices
 
 # Fixed values of HTML: elements by behaviour.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title meta link base iframe object datalist".split())
+HIDDEN = frozenset("head script style template noscript title meta link base iframe object datalist video audio canvas".split())
 #: Not shown within svg or math.
 DEFINED = frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter annotation annotation-xml".split())
 #: Whatever else comes in an open head closes it.
@@ -48,24 +50,31 @@ SCOPE = frozenset({"td", "th", "caption", "table", "html", "button"})
 #: End tags of other elements don't reach past these.
 CELLS = ("table", "td", "th")
 TABLE_PARTS = frozenset("table tr td th tbody thead tfoot body html".split())
-#: Lists and tables nested deeper are laid out as at this depth.
-DEEPEST = 12
-#: Rows that a cell can keep its place in.
-TALLEST = 100
+#: Lists and tables nested deeper are laid out as at this depth: the indents of a line take room in proportion to its depth.
+DEEPEST = 100
+#: Fixed values of HTML: the most columns and rows that a cell may span; rowspan 0 stands for all rows that follow.
+WIDEST, TALLEST = 1000, 65_534
+#: Blanks that stand between two cells of a line, or before its first, at most: rows that begin ever further to the right would else grow without bound.
+FARTHEST = 1024
+#: In what order parts of a table are shown.
+PART_ORDER = {"thead": 0, "tfoot": 2}
 
 _MARKUP = re.compile(r"<(?:!--|[!?/a-zA-Z])")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*+)>")
-_MAY_HIDE = re.compile(r"hidden|none", re.I)
+_MAY_HIDE = re.compile(r"hidden|none|visib", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I)
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)(?![\w-])", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "kids", "shown", "tag")
+    """visible: what the element's own visibility says, which holds for what is in it until an element says otherwise; None: nothing."""
 
-    def __init__(self, tag: str, shown: bool = True, attributes: str = ""):
-        self.tag, self.shown, self.attributes, self.kids = tag, shown, attributes, []
+    __slots__ = ("attributes", "kids", "shown", "tag", "visible")
+
+    def __init__(self, tag: str, shown: bool = True, attributes: str = "", visible: bool | None = None):
+        self.tag, self.shown, self.attributes, self.kids, self.visible = tag, shown, attributes, [], visible
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -76,12 +85,16 @@ def attributes_of(source: str) -> dict[str, str]:
     return named
 
 
-def hides(attributes: str) -> bool:
-    """Has the attribute hidden, or a style that hides; other names and values that hold such words don't count."""
-    if not _MAY_HIDE.search(attributes):
-        return False
+def sight(tag: str, attributes: str) -> tuple[bool, bool | None]:
+    """(shown, visible) of an element: attributes and values that merely hold such words don't count."""
+    if tag == "dialog" and "open" not in attributes_of(attributes):
+        return False, None
+    if not attributes or not _MAY_HIDE.search(attributes):
+        return True, None
     named = attributes_of(attributes)
-    return "hidden" in named or bool(_UNSEEN.search(named.get("style", "")))
+    style = named.get("style", "")
+    said = _VISIBILITY.findall(style)
+    return not ("hidden" in named or _UNSEEN.search(style)), said[-1].lower() == "visible" if said else None
 
 
 class Open:
@@ -168,6 +181,9 @@ def parse(source: str) -> Node:
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
             place = opened.last((tag,))
+            if tag == "br" or tag == "p" and place <= opened.last(SCOPE):
+                stack[-1].kids.append(Node(tag))  # an end without its beginning stands for an empty element
+                continue
             if place and (tag in TABLE_PARTS or place > opened.last(CELLS)):
                 opened.cut(place)
             continue
@@ -184,7 +200,8 @@ def parse(source: str) -> Node:
         foreign = bool(opened.places.get("svg") or opened.places.get("math"))
         if foreign and tag == "text":
             stack[-1].kids.append(" ")  # labels stand apart
-        node = Node(tag, tag not in HIDDEN and not (foreign and tag in DEFINED) and not (attributes and hides(attributes)), attributes)
+        shown, visible = sight(tag, attributes)
+        node = Node(tag, tag not in HIDDEN and not (foreign and tag in DEFINED) and shown, attributes, visible)
         if tag in RAW and not (foreign and attributes.endswith("/")):
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             if node.shown:
@@ -243,57 +260,110 @@ class Writer:
         self.lines.append((mark + line).rstrip(" "))
 
 
-def span_of(node: Node, name: str, most: int) -> int:
-    """colspan or rowspan of a cell, 1 where it is none."""
+def number_in(node: Node, name: str) -> int | None:
+    """The whole number that an attribute begins with."""
     value = attributes_of(node.attributes).get(name, "") if name in node.attributes.lower() else ""
-    digits = re.match(r"\s*([0-9]{1,9})", value)
-    return min(max(int(digits[1]), 1), most) if digits else 1
+    digits = re.match(r"\s*(-?[0-9]{1,9})", value)
+    return int(digits[1]) if digits else None
 
 
-def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of a table of (text, columns, rows) cells. A cell of several columns stands over all of them, and the places it takes
-    in later rows stay empty; columns in which no cell begins take no room."""
-    taken: dict[int, tuple[int, int]] = {}  # first column -> (columns, first row that is free again)
-    placed: list[list[tuple[int, int, list[str]]]] = []
+def spans_of(node: Node) -> tuple[int, int]:
+    """Columns and rows of a cell, 1 where nothing sensible is said."""
+    wide, high = number_in(node, "colspan"), number_in(node, "rowspan")
+    return min(max(wide or 1, 1), WIDEST), TALLEST if high == 0 else min(max(high or 1, 1), TALLEST)
+
+
+class Free:
+    """The columns that no cell of an earlier row stands in, as sorted intervals."""
+
+    def __init__(self):
+        self.starts, self.ends = [0], [1 << 60]
+
+    def next(self, at: int) -> int:
+        """The first free column from `at` on."""
+        i = bisect_right(self.starts, at) - 1
+        return at if i >= 0 and self.ends[i] > at else self.starts[i + 1]
+
+    def take(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The free parts of the interval, which are free no longer."""
+        out = []
+        i = max(bisect_right(self.starts, start) - 1, 0)
+        while i < len(self.starts) and self.starts[i] < end:
+            a, b = self.starts[i], self.ends[i]
+            if b <= start:
+                i += 1
+                continue
+            rest = [x for x in ((a, start), (end, b)) if x[0] < x[1]]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [x for x, _ in rest], [x for _, x in rest]
+            out.append((max(a, start), min(b, end)))
+            i += sum(x[1] <= start for x in rest)
+            if rest and rest[-1][0] >= end:
+                break
+        return out
+
+    def give(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        if i and self.ends[i - 1] == start:
+            i -= 1
+            start = self.starts[i]
+            del self.starts[i], self.ends[i]
+        if i < len(self.starts) and self.starts[i] == end:
+            end = self.ends[i]
+            del self.starts[i], self.ends[i]
+        self.starts.insert(i, start)
+        self.ends.insert(i, end)
+
+
+def places_of(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int]]]:
+    """First column and column behind each of (text, columns, rows) cells: a row's cells take the first columns that cells of earlier rows leave free."""
+    free, due, out = Free(), [], []
     for r, row in enumerate(rows):
-        at, line = 0, []
-        for text, wide, high in row:
-            while (cell := taken.get(at)) and cell[1] > r:
-                at += cell[0]
-            line.append((at, at + wide, text.split("\n")))
+        while due and due[0][0] <= r:
+            free.give(*heappop(due)[1:])
+        at, line, tall = 0, [], []
+        for _, wide, high in row:
+            at = free.next(at)
+            line.append((at, at + wide))
             if high > 1:
-                taken[at] = (wide, r + high)
+                tall.append((at, at + wide, r + high))
             at += wide
-        if any(text for text, _, _ in row):
-            placed.append(line)
-    starts = {c: i for i, c in enumerate(sorted({a for line in placed for a, _, _ in line}))}
-    order = sorted(starts)
+        for start, end, until in tall:
+            for part in free.take(start, end):
+                heappush(due, (until, *part))
+        out.append(line)
+    return out
+
+
+def layout(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table of (text, columns, rows) cells. A cell of several columns stands over all of them, and the places it takes
+    in later rows stay empty; columns in which no cell begins take no room."""
+    placed = [[(a, b, text.split("\n")) for (a, b), (text, _, _) in zip(line, row)] for line, row in zip(places_of(rows), rows) if any(text for text, _, _ in row)]
+    order = sorted({a for line in placed for a, _, _ in line})
+    starts = {c: i for i, c in enumerate(order)}
     width = [0] * len(order)
-    last_of = {}
+    wanted: dict[tuple[int, int], int] = {}  # (last column, first column) of cells over several -> their width
     for line in placed:
         for a, b, text in line:
-            i = starts[a]
-            j = i
-            while j + 1 < len(order) and order[j + 1] < b:
-                j += 1
-            last_of[a, b] = j
+            i, j = starts[a], bisect_left(order, b) - 1
+            longest = max(map(len, text))
             if i == j:
-                width[i] = max(width[i], *map(len, text))
-    for (a, _), j in last_of.items():  # what stands over several columns widens the last of them
-        i = starts[a]
-        if j > i:
-            need = max(len(x) for line in placed for c, d, text in line if (c, last_of[c, d]) == (a, j) for x in text)
-            width[j] = max(width[j], need - sum(width[i:j]) - 2 * (j - i))
+                width[i] = max(width[i], longest)
+            else:
+                wanted[j, i] = max(wanted.get((j, i), 0), longest)
     left = [0]
-    for w in width:
-        left.append(left[-1] + w + 2)
+    for (j, i), longest in sorted(wanted.items()):  # what stands over several columns widens the last of them
+        while len(left) <= j:
+            left.append(left[-1] + width[len(left) - 1] + 2)
+        width[j] = max(width[j], longest - (left[j] - left[i]))
+    while len(left) <= len(width):
+        left.append(left[-1] + width[len(left) - 1] + 2)
     out = []
     for line in placed:
         for k in range(max(len(text) for _, _, text in line)):
             parts, at = [], 0
             for a, _, text in line:
                 if k < len(text) and text[k]:
-                    parts.append(" " * (left[starts[a]] - at) + text[k])
+                    parts.append(" " * min(left[starts[a]] - at, FARTHEST) + text[k])
                     at = left[starts[a]] + len(text[k])
             out.append("".join(parts).rstrip())
     return out
@@ -304,14 +374,16 @@ def render(source: str | None) -> str:
     out = [Writer()]
     pre = 0
     lists: list[list] = []  # [kind, items so far]
-    tables: list[list | None] = []  # rows of cells; None: too deep, laid out as blocks
+    tables: list[list | None] = []  # rows: (part's order, cells); None: too deep, laid out as blocks
     root = parse(source or "")
-    stack: list[tuple[Node, Iterator]] = [(root, iter(root.kids))]
+    stack: list[tuple[Node, Iterator, bool]] = [(root, iter(root.kids), True)]
     while stack:
-        node, kids = stack[-1]
+        node, kids, visible = stack[-1]
         kid = next(kids, None)
         w = out[-1]
         if isinstance(kid, str):
+            if not visible:
+                continue
             if kid.strip() or node.tag not in ("table", "tr", "tbody", "thead", "tfoot", "ul", "ol"):
                 first = node.tag in ("pre", "textarea") and kid is node.kids[0]
                 w.text(re.sub(r"\A\r?\n", "", kid) if first else kid, pre > 0)
@@ -333,10 +405,12 @@ def render(source: str | None) -> str:
             if tag == "pre":
                 pre += 1
             elif tag in ("ul", "ol"):
-                lists.append([tag, 0])
+                first_number = number_in(kid, "start") if tag == "ol" else None
+                lists.append([tag, 0 if first_number is None else first_number - 1])
             elif tag == "li":
                 kind = lists[-1] if lists else ["ul", 0]
-                kind[1] += 1
+                said = number_in(kid, "value") if kind[0] == "ol" else None
+                kind[1] = kind[1] + 1 if said is None else said
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 w.first = "".join(w.indent[:DEEPEST]) + mark
                 w.indent.append(" " * len(mark))
@@ -345,25 +419,28 @@ def render(source: str | None) -> str:
             elif tag == "table":
                 tables.append([] if len(tables) < DEEPEST else None)
             elif tag == "tr" and tables and tables[-1] is not None:
-                tables[-1].append([])
+                tables[-1].append((PART_ORDER.get(node.tag, 1), []))
             elif tag in ("td", "th") and tables:
                 if tables[-1] is None:
                     w.end(1)
                 else:
                     if not tables[-1]:
-                        tables[-1].append([])
+                        tables[-1].append((1, []))
                     out.append(Writer())
-            stack.append((kid, iter(kid.kids)))
+            if tag == "details" and "open" not in attributes_of(kid.attributes):  # shows its first summary only
+                kid.kids = [x for x in kid.kids if isinstance(x, Node) and x.tag == "summary"][:1]
+            stack.append((kid, iter(kid.kids), visible if kid.visible is None else kid.visible))
             continue
         stack.pop()
         tag = node.tag
         if tag in ("td", "th") and tables and tables[-1] is not None and len(out) > 1:
             w.end(1)
             out.pop()
-            tables[-1][-1].append(("\n".join(w.lines).strip("\n"), span_of(node, "colspan", 1000), span_of(node, "rowspan", TALLEST)))
+            tables[-1][-1][1].append(("\n".join(w.lines).strip("\n"), *spans_of(node)))
             continue
         if tag == "table" and tables:
-            for line in layout(tables.pop() or []):
+            rows = sorted(tables.pop() or [], key=lambda row: row[0])
+            for line in layout([cells for _, cells in rows]):
                 w.end(1)
                 w.put(line)
         if tag == "pre":
@@ -391,8 +468,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars for each row of pages(page_id, html).
 
     Null and empty html give an empty text; broken markup is read as browsers do: a tag, quoted value or comment that never
-    ends takes the rest. Pages of any length and depth are read whole; lists and tables nested over 12 deep keep their text and lose
-    further indentation. Null page_ids and repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows.
+    ends takes the rest. Pages of any length and depth are read whole; lists and tables nested over DEEPEST deep keep their text and are
+    indented as at that depth. Null page_ids and repeated rows stay; other columns are ignored, whatever their names; an empty table gives no rows.
     """
     out = pages.select(F.col("page_id").cast("long"), F.col("html").cast("string")).mapInArrow(_render, "page_id long, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -730,6 +730,52 @@ def test_time_grows_with_the_page(unit):
     assert min(seconds(400_000) for _ in range(2)) < max(12 * min(seconds(50_000) for _ in range(3)), 1.0)
 
 
+@pytest.mark.parametrize(
+    "source,want",
+    [
+        ("<video>old<p>browser</p></video>a<canvas>none</canvas><audio src=x>no</audio>b", "ab"),
+        ("<dialog>closed</dialog><dialog open>seen</dialog>", "seen"),
+        ("<details><summary>head</summary>body<p>more</details><details open><summary>h</summary>b</details>", "head\nh\nb"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>", "yes"),
+        ("<ol start=5><li>a<li>b<li value=9>c<li>d</ol>", "5. a\n6. b\n9. c\n10. d"),
+        ("<table><tr><td rowspan=0>r<td>a<tr><td>b<tr><td>c</table>", "r  a\n   b\n   c"),
+        ("a</p>b</br>c", "a\n\nb\nc"),
+        ("<table><tfoot><tr><td>f</tfoot><tbody><tr><td>b</tbody><thead><tr><td>h</thead></table>", "h\nb\nf"),
+    ],
+)
+def test_text_as_browsers_show_it(source, want):
+    assert html_text.render(source) == want
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_places_of_cells(seed):
+    """Against a grid: a cell takes the first columns that nothing above stands in."""
+    rng = random.Random(seed)
+    rows = [[("x", rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 3, 150, 65_534])) for _ in range(rng.randrange(6))] for _ in range(rng.choice([5, 200]))]
+    until: dict[int, int] = {}  # column -> row from which it is free
+    for r, (row, line) in enumerate(zip(rows, html_text.places_of(rows))):
+        at, new = 0, []
+        for (_, wide, high), place in zip(row, line):
+            while until.get(at, 0) > r:
+                at += 1
+            assert place == (at, at + wide)
+            new += [(c, r + high) for c in range(at, at + wide)]
+            at += wide
+        for c, last in new:
+            if until.get(c, 0) <= r:
+                until[c] = last
+
+
+def test_long_rows_of_spans_are_quick():
+    """1 MB of cells over two columns above a row of cells, and of tall cells above short rows."""
+    wide = "<table><tr>" + "<td colspan=2>x" * 33_000 + "<tr>" + "<td>y" * 99_000 + "</table>"
+    tall = "<table><tr>" + "<td rowspan=9999>x" * 25_000 + "<tr><td>y" * 50_000 + "</table>"
+    for source in (wide, tall):
+        began = time.process_time()
+        html_text.render(source)
+        assert time.process_time() - began < 12
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "<p>é", "u", "x"), (None, None, None, "y"), (1, "<p>é", "u", "x")], "page_id long, html string, url string, text string")
     assert sorted(html_text.extract(pages).collect(), key=str) == sorted([(1, "é", 1), (1, "é", 1), (None, "", 0)], key=str)
