@@ -136,12 +136,14 @@ def windows_of(size: Size, hits: np.ndarray, row_of: np.ndarray, first: np.ndarr
             yield first[r : r + 1], n
 
 
-def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, float]]:
-    """(row, item number, first word, words, distance, similarity) of the best window for each text and item it holds."""
+def find(index: Index, texts: pa.Array, first_only: bool = False) -> list[tuple[int, int, int, int, int, float]]:
+    """(row, item number, first word, words, distance, similarity) of the best window for each text and item it holds; first_only: of one
+    window of each text that holds any, and its other windows aren't looked at."""
     words = Words(*packed(texts), lower=True)
     roll = Rolling(words.hash)
     row_of = np.repeat(np.arange(len(texts)), np.diff(words.first))
     best: dict[tuple[int, int], tuple] = {}
+    done = np.zeros(len(texts), bool)
     for k, keys in index.keys.items():
         grams = roll.grams(k)
         some = np.flatnonzero(_among(keys, grams) & (row_of[: len(grams)] == row_of[k - 1 :])) if len(grams) else np.empty(0, np.int64)
@@ -157,8 +159,12 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, f
                 starts = starts[np.sort(np.unique(content, return_index=True)[1])]
                 for lo in range(0, len(starts), LOOKUPS):
                     part = starts[lo : lo + LOOKUPS]
+                    if first_only and not len(part := part[~done[row_of[part]]]):
+                        continue
                     for w, place, distance in zip(*(x.tolist() for x in size.probe(simhash(grams, part, n))), strict=True):
                         start, item = int(part[w]), int(size.items[place])
+                        if first_only and done[row_of[start]]:
+                            continue
                         own, counts = np.unique(grams[start : start + n], return_counts=True)
                         other, others = index.counts[item]
                         at = np.minimum(np.searchsorted(other, own), len(other) - 1)
@@ -166,6 +172,7 @@ def find(index: Index, texts: pa.Array) -> list[tuple[int, int, int, int, int, f
                         similarity = both / (n + size.m - both)
                         if similarity >= SIMILARITY:
                             row = int(row_of[start])
+                            done[row] = True
                             new = (similarity, -start, n + k - 1, distance)
                             best[row, item] = max(best.get((row, item), new), new)
     return [(row, item, -s - int(words.first[row]), window, distance, x) for (row, item), (x, s, window, distance) in best.items()]
@@ -226,7 +233,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) -> Dat
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text"):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[row for row, *_ in find(held.value, column(batch, "text"))]] = False
+                keep[[row for row, *_ in find(held.value, column(batch, "text"), first_only=True)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -24,7 +24,7 @@ from contrail.llm.common import Words, column, packed, slices, stage
 
 #: Places of the hashed terms, bytes of a word that make terms of their own, length of a term's vector.
 PLACES, PREFIXES, FACTORS = 1 << 22, (4, 5), 4
-#: Documents of either class that the machine is fitted on, the first by a hash of doc_id.
+#: Documents of either class, and different texts of them, that the machine is fitted on, the first by a hash of doc_id.
 SAMPLE = 6000
 EPOCHS, BATCH, RATE, DECAY, SEED = 5, 128, 0.05, 1e-3, 3
 
@@ -122,10 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # at most 2 * sample rows
-    table = stage(texts.select("toxic", "doc_id", "text").mapInArrow(_collect_terms, "toxic int, doc_id long, terms array<int>"))
-    # the same machine whatever the order of rows; at most 2 * sample rows (as far as no labelled id repeats) of at most PLACES terms
-    table = table.orderBy("doc_id", F.xxhash64("terms")).select("toxic", "terms").toArrow()
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # picked: at most 2 * sample rows
+    # an id may have many rows: equal ones are one, and of different ones no more than the sample holds are learned from
+    table = stage(texts.select("toxic", "doc_id", "text").distinct().mapInArrow(_collect_terms, "toxic int, doc_id long, terms array<int>"))
+    own = [table.where(F.col("toxic") == c).orderBy(*order, F.xxhash64("terms")).limit(sample) for c in (1, 0)]
+    # the same machine whatever the order of rows; at most 2 * sample rows of at most PLACES terms
+    table = own[0].union(own[1]).orderBy("doc_id", F.xxhash64("terms")).select("toxic", "terms").toArrow()
     if not table.num_rows:
         return fit(np.empty(0), np.empty(0, np.int32), np.zeros(1, np.int64))
     labels, lists = table.column("toxic").to_numpy().astype(np.float32), table.column("terms").combine_chunks()
@@ -157,7 +159,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score tells from the text alone how likely label 1 is where both labels are as frequent; null and empty texts get the bias's.
     Labels of held-out ids (crc32 of the id as text, modulo 5, is 0) are not learned from. Without labels of both classes the
     score is the share of toxic labels. Equal texts get equal scores, texts of any length are read whole; a null doc_id is not held
-    out and has no label; rows that share a labelled doc_id are all learned from. An empty table gives no rows; other columns are
+    out and has no label; of rows that share a labelled doc_id, different texts are all learned from as far as the sample goes. An empty table gives no rows; other columns are
     ignored, whatever their names.
     """
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels))

@@ -203,6 +203,19 @@ def test_toxicity_held_out_and_edges(spark):
     assert {r["doc_id"] for r in toxicity.keep_clean(docs, labels).collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+    """Equal rows count once, different texts of an id up to the sample; ids that don't repeat are all there."""
+    seen = []
+    whole = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda labels, terms, ends: seen.append((len(labels), int(labels.sum()))) or whole(labels, terms, ends))
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5]
+    labels = spark.createDataFrame([(i, int(k < 2)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], "awful words")] * 300 + [(ids[0], f"awful words {j}") for j in range(200)]
+    toxicity.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), labels, sample=50)
+    toxicity.train(spark.createDataFrame(rows[: len(ids)], "doc_id long, text string"), labels, sample=50)
+    assert seen == [(len(ids) - 2 + 50, 50), (len(ids), 2)]
+
+
 def test_toxicity_without_labels(spark):
     got = toxicity.toxicity(frame(spark, ["a", None]), spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert len(got) == 2 and len({r["score"] for r in got}) == 1
@@ -297,6 +310,21 @@ def test_leaks_against_all_windows(spark):
     assert clean == set(range(len(docs))) - {d for d, _ in want}
 
 
+def test_the_first_hit_ends_the_search(spark):
+    """A template against alike items: the filter keeps what it did and stops at one window of a text."""
+    rng = random.Random(3)
+    template = words(rng, 40)
+    items = [f"{template} item{i}" for i in range(300)]
+    texts = [f"{words(rng, 5)} {template} {words(rng, 4)}" for _ in range(40)] + [words(rng, 60) for _ in range(20)] + [None, ""]
+    index = decontamination.Index(list(enumerate(items)))
+    every = decontamination.find(index, pa.array(texts))
+    first = decontamination.find(index, pa.array(texts), first_only=True)
+    assert {r[0] for r in every} == {r[0] for r in first} == set(range(40)) and len(first) == 40 and len(every) > 4000
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    kept = decontamination.drop_leaks(frame(spark, texts), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(40, 62))
+
+
 def test_probing_meets_everything_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
