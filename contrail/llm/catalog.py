@@ -26,6 +26,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontamination": decontamination.OP4_SQL,
+        "op7_suffix_array_dedup": suffix_dedup.OP7_SQL,
         "op8_substring_dedup": substring_dedup.OP8_SQL,
         "op10_minhash_near_dedup": minhash_dedup.OP10_SQL,
         "op12_spelling_variants": spelling.OP12_SQL,

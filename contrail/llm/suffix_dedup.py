@@ -207,3 +207,21 @@ def suffix_dedup(docs: DataFrame, part: int | None = None) -> DataFrame:
 
 def op7(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every 200-byte string of every text by its digest (as hexadecimal digits, cut in blocks first), runs of those that recur, and what lies between.
+OP7_SQL = r"""
+with bytes as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+blocks as (select r, b, least(512, length(h) // 2 - 199 - b) as n, h[2 * b + 1:2 * b + 1422] as h from (select r, h, unnest(range(0, length(h) // 2 - 199, 512)) as b from bytes)),
+starts as (select r, b + i as s, md5(h[2 * i + 1:2 * i + 400]) as w from (select r, b, h, unnest(range(n)) as i from blocks)),
+twice as (select w from starts group by w having count(*) > 1),
+hits as (select r, s, lag(s) over (partition by r order by s) as before from starts join twice using (w)),
+runs as (select r, s, sum(case when before is null or s > before + 200 then 1 else 0 end) over (partition by r order by s) as run from hits),
+spans as (select r, run, min(s) as a, max(s) + 200 as b from runs group by r, run),
+gaps as (
+  select r, coalesce(lag(b) over (partition by r order by a), 0) as a, a as b from spans union all select r, max(b), null from spans group by r),
+kept as (select r, string_agg(h[2 * a + 1:coalesce(2 * b, length(h))], '' order by a) as k from gaps join bytes using (r) group by r),
+removed as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans from spans group by r)
+select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, h))) as kept_sha256
+from bytes left join removed using (r) left join kept using (r)
+"""
