@@ -18,12 +18,13 @@ from contrail.functions.vectors import as_doubles, dot, minus, norm, unit
 from contrail.operators import metric_index as index
 from contrail.sources.scratch import kept
 
-def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
     """left, right, similarity for left < right with cosine above the threshold; a zero vector has similarity 0. Exact.
 
     Rows lie in blocks of a metric index (written when this is called); only blocks whose angles to the pivots allow the threshold meet, each pair of them in a task with one matrix
-    product. compared_pairs tells how many pairs that are: few for clustered vectors, all where nothing can be ruled out. Thresholds below 0 rule out nothing.
+    product. compared_pairs tells how many pairs that are: few for clustered vectors, all where nothing can be ruled out. Thresholds below 0 rule out nothing. Blocks have about `block` rows, or a share of the table where `blocks` asks for at least so many.
     """
+    block = _rows_a_block(df, blocks, block)
     own = index.build(df.select(F.col(key).cast("long").alias("id"), vector), "id", vector, block=block, pivots=pivots)
     if threshold < 0:  # zero vectors, and very short ones, are nearer than their angles say
         own = index.Index(own.rows.withColumn("block", F.coalesce("block", F.lit("zero"))), own.blocks.select("g", "block", "n", "lo", "hi").unionByName(_zero_block(own)))
@@ -42,6 +43,10 @@ def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str
     return index.meet(own, pairs, compare, "left long, right long, similarity double").drop("g", "a", "b")
 
 
+def _rows_a_block(df: DataFrame, blocks: int | None, block: int) -> int:
+    return max(1, -(-df.count() // blocks)) if blocks else block
+
+
 def _zero_block(own: index.Index) -> DataFrame:
     """The block of zero vectors, if there are any, which nothing rules out."""
     wide = own.blocks.select(F.size("lo").alias("k")).limit(1)
@@ -93,12 +98,12 @@ def mean_similarity(df: DataFrame, group: list[str], vector: str = "vector") ->
     return sums.select(*group, "n", mean.alias("avg_similarity"))
 
 
-def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", block: int = index.BLOCK, first: int = 8) -> DataFrame:
+def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, first: int = 8) -> DataFrame:
     """group, max_similarity: the largest cosine of two rows; groups of one are left out. Branch and bound over a metric index, when called.
 
     A group's blocks first meet themselves; then pairs of blocks in the order of what their angles allow at best, `first` of each group and twice as many every round, until
     no pair of blocks can beat what its group has. Pairs that can't are never compared."""
-    own = index.build(df, key, vector, group, block)
+    own = index.build(df, key, vector, group, _rows_a_block(df, blocks, block))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         top = -np.inf

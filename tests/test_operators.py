@@ -151,7 +151,7 @@ def test_positions_and_intensities(spark):
 def test_subsample_sizes(spark):
     df = spark.range(100).withColumnRenamed("id", "pos").withColumn("g", F.col("pos") % 3)
     assert m.subsample(df, 0.25).count() == 25 and m.subsample(df, 2.0).count() == 100 and m.subsample(df, 0.5, max_rows=7).count() == 7
-    assert m.subsample(df, 0.25).collect() == m.subsample(df.repartition(4), 0.25).collect()
+    assert sorted(m.subsample(df, 0.25).collect()) == sorted(m.subsample(df.repartition(4), 0.25).collect())
     assert {x["g"]: x["count"] for x in m.subsample(df, 0.001, group=["g"]).groupBy("g").count().collect()} == {0: 1, 1: 1, 2: 1}
 
 
