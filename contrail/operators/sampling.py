@@ -91,6 +91,14 @@ def hash_text(s: str, start: int = 7) -> int:
     return out
 
 
+def text_hash(text: Column) -> Column:
+    """hash_text of a column, in the engine: over the bytes of its UTF-8 form."""
+    digits = F.hex(F.encode(text, "UTF-8"))
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long")
+    places = F.when(F.length(digits) > 0, F.sequence(F.lit(0), F.floor(F.length(digits) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.lit(7).cast("long"), lambda h, i: (h * 31 + byte(i)) % MODULUS)
+
+
 def _hash_numbers(prefix: str, numbers: np.ndarray) -> np.ndarray:
     """hash_text(prefix + str(i)) of each i >= 0."""
     out = np.full(len(numbers), hash_text(prefix), np.int64)
@@ -114,11 +122,7 @@ def _covered(ranked: DataFrame, samples: DataFrame, n: int, num_samples: int, qu
     entries = with_position(entries, "_e").select(F.col("_e.component").alias("component"), "rank", "position")
     bases = entries.groupBy("component").agg(F.min("position").alias("_base"), F.count("*").alias("_len"))
 
-    @F.pandas_udf("long")
-    def turn(sample: pd.Series, component: pd.Series) -> pd.Series:
-        return pd.Series([hash_text(f"{s}/{c}") for s, c in zip(sample, component, strict=True)], dtype="int64")
-
-    order = turn("sample_idx", "component") if randomize else F.lit(0).cast("long")
+    order = text_hash(F.concat_ws("/", F.col("sample_idx").cast("string"), "component")) if randomize else F.lit(0).cast("long")
     turns = samples.crossJoin(bases).withColumn("_h", order)
     turns = turns.withColumn("_turn", F.row_number().over(Window.partitionBy("sample_idx").orderBy("_h", "component"))).where(F.col("_turn") <= quota * wide)
     steps = turns.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_len"), F.lit(quota * many)) - 1)))

@@ -65,6 +65,12 @@ def _tasks(s, d):
     return e.task_rollup(rows, config.withColumns(sizes))
 
 
+def _coverage(s, d):
+    """What a covered territory promises: each sample has its seeds once, and one for every component."""
+    picked = m.assign_territory(seeds(s, d), 12, 20).join(seeds(s, d).select("pos", F.explode(F.when(F.size("target_components") > 0, F.col("target_components")).otherwise(F.array(F.lit("_general")))).alias("c")), "pos")
+    return picked.groupBy("sample_idx").agg(F.countDistinct("slot").alias("seeds"), F.countDistinct("pos").alias("different"), F.countDistinct("c").alias("components"))
+
+
 def _plan(s, d):
     n = read(s, d, "embeddings").agg(F.count("*").alias("available"))
     plan = e.tournament_plan(s, 2, 16, 0.75).select("round", "rows", "survivors", "datapoints", "depth", F.size("strengths").alias("strengths"))
@@ -90,6 +96,7 @@ QUERIES = {
     "e11_subsample_whole": lambda s, d: m.subsample(pair_scores(s, d).withColumnRenamed("pair_id", "pos"), 0.3, 5).select("pos"),
     "e8_assign_territory": lambda s, d: m.assign_territory(seeds(s, d), 12, 20, ensure_coverage=False, randomize=False),
     "e8_assign_territory_covered": lambda s, d: m.assign_territory(seeds(s, d), 12, 20),
+    "e8_territory_coverage": _coverage,
     "e9_balance_attributes": lambda s, d: m.assign_territory(seeds(s, d), 12, 20, balance=("formality", "domain")),
     "d11_behavior_calibration": lambda s, d: rounded(e.behavior_calibration(judgements(s, d)), "score"),
     "d11_main_score": lambda s, d: rounded(e.main_score(e.behavior_calibration(judgements(s, d))), "behavior"),
@@ -132,6 +139,11 @@ ORACLE = {
     "e8_assign_territory": sql(
         "o as (select pos, row_number() over (order by quality_score desc, pos) - 1 as i, count(*) over () as n from seeds), a as (select sample_idx, slot, (sample_idx * n // 12 + slot) % n as at from (select distinct n from o), range(0, 12) x(sample_idx), range(0, 20) y(slot)) select sample_idx, slot, pos from a join o on o.i = a.at", "seeds"
     ),
+    "e8_territory_coverage": sql(
+        """c as (select distinct unnest(case when len(target_components) > 0 then target_components else ['_general'] end) as c from seeds), n as (select least(20, count(*)) as n from seeds)
+        select sample_idx, n as seeds, n as different, (select count(*) from c) as components from n, range(0, 12) x(sample_idx)""",
+        "seeds",
+    ),
     "d11_behavior_calibration": sql(f"{_CAL} select sample_idx, strength, round(s, 6) as score from cal", "judgements"),
     "d11_main_score": sql(f"{_CAL} select sample_idx, round(coalesce(max(s) filter (where strength = 1), avg(s)), 6) as behavior from cal group by 1", "judgements"),
     "d12_dimension_scores": sql(f"{_DIMS} select sample_idx, dimension, round(s, 6) as score from dims", "judgements"),

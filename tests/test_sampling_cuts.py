@@ -49,3 +49,9 @@ def test_cut(spark, quota):
     want = sorted(i * 37 % 250 for i in range(1000))[quota - 1]
     row = m.with_cut(df, [], F.col("v"), spark.createDataFrame([(quota,)], "_quota long"), 250).first()
     assert (row["_cut"], row["_left"]) == (want, quota - sum(i * 37 % 250 < want for i in range(1000)))
+
+
+def test_hash_in_the_engine(spark):
+    texts = ["", "0/a", "11/_general", "3/größe – ß", "7/日本", "x" * 300]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", m.text_hash(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in got} == {t: m.hash_text(t) for t in texts}
