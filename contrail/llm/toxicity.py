@@ -123,11 +123,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     order = [F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id")]
     picked = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")  # picked: at most 2 * sample rows
-    # an id may have many rows: equal ones are one, and of different ones no more than the sample holds are learned from
-    table = stage(texts.select("toxic", "doc_id", "text").distinct().mapInArrow(_collect_terms, "toxic int, doc_id long, terms array<int>"))
-    own = [table.where(F.col("toxic") == c).orderBy(*order, F.xxhash64("terms")).limit(sample) for c in (1, 0)]
+    # an id may have many rows: those with the same terms are one, and no more of the others than the sample holds are learned from
+    table = texts.select("toxic", "doc_id", "text").mapInArrow(_collect_terms, "toxic int, doc_id long, terms array<int>").withColumn("h", F.xxhash64("terms"))
+    table = stage(table.dropDuplicates(["doc_id", "h"]))
+    keys = table.select("toxic", "doc_id", "h")  # the cut is found on these: terms never meet in one place before they are sent
+    own = [keys.where(F.col("toxic") == c).orderBy(*order, "h").limit(sample).drop("toxic") for c in (1, 0)]
+    table = table.join(F.broadcast(own[0].union(own[1])), ["doc_id", "h"])  # at most 2 * sample rows
     # the same machine whatever the order of rows; at most 2 * sample rows of at most PLACES terms
-    table = own[0].union(own[1]).orderBy("doc_id", F.xxhash64("terms")).select("toxic", "terms").toArrow()
+    table = table.orderBy("doc_id", "h").select("toxic", "terms").toArrow()
     if not table.num_rows:
         return fit(np.empty(0), np.empty(0, np.int32), np.zeros(1, np.int64))
     labels, lists = table.column("toxic").to_numpy().astype(np.float32), table.column("terms").combine_chunks()
