@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles
 from contrail.sources.scratch import kept
