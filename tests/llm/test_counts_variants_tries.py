@@ -187,6 +187,26 @@ def test_words_one_edit_apart_share_a_list():
         assert any(abs(places[0][t] - places[1][t]) <= 1 for t in set(places[0]) & set(places[1]))
 
 
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_words_of_repeated_grams_lose_no_link(spark, monkeypatch, few):
+    """Where an edit takes a gram's first occurrence, its other ones get its number at another place."""
+    monkeypatch.setattr(spelling, "FEW", few)
+    rng = random.Random(1)
+    pool = []
+    for _ in range(150):
+        w = (rng.choice(["ab", "an", "a", "aab", "abc", "ß", "ñé"]) * 16)[: rng.randrange(7, 16)]
+        j, c = rng.randrange(len(w)), rng.choice("abñ")
+        pool += [w, w[:j] + w[j + 1 :], w[:j] + c + w[j:], w[:j] + c + w[j + 1 :]]
+    rows = [(i, " ".join(rng.choices(pool, k=60))) for i in range(60)]
+    assert {tuple(r) for r in spelling.spelling_variants(frame(spark, rows)).collect()} == variants(rows, every=31)
+
+
+def test_near_counts_code_points_not_bytes(spark):
+    """asmente and asmenteí differ by one code point, which UTF-8 writes as two bytes."""
+    got = {r["word"]: r for r in spelling.spelling_variants(frame(spark, [(1, "asmente " * 20 + "asmenteí " * 2 + "ñsmente " * 2)]), every=10**10).collect()}
+    assert got["asmente"]["n_near"] == 2 and got["asmenteí"]["form"] == got["ñsmente"]["form"] == "asmente"
+
+
 def test_no_words(spark):
     assert spelling.spelling_variants(frame(spark, [])).collect() == []
     assert spelling.spelling_variants(frame(spark, [(1, None), (2, "short words only")])).collect() == []
