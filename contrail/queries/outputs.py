@@ -17,7 +17,7 @@ from contrail.queries.vectors import exploded, rounded
 from contrail.sources import artifacts as art
 from contrail.sources.events import read_events
 from contrail.sources.live_logs import stream_events
-from contrail.sources.scratch import shared_folder
+from contrail.sources.scratch import FOLDERS, shared_folder
 from contrail.streaming import ordered as live
 from contrail.streaming import sessions as st
 
@@ -133,7 +133,7 @@ def _reduce(s, d):
 def _refs(s, d):
     rows = replay.vectors_created(event_log(s, d)).withColumn("vector", F.array(F.col("layer").cast("double")))
     path = shared_folder(s, "vectors")
-    art.save_vectors(rows, path)
+    art.save_vectors(rows, path, FOLDERS)
     return art.load_vectors(s, path).select(F.col("session_id").cast("string").alias("session_id"), "sequence", "version", "vector_ref")
 
 

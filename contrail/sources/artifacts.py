@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from contrail.sources.scratch import folder_of
+
 FINAL_REF = "vectors/final.pt"
 
 
@@ -17,12 +19,17 @@ def vector_refs(df: DataFrame) -> DataFrame:
     return out.withColumn("vector_ref", F.when(F.col("is_final"), F.lit(FINAL_REF)).otherwise(ref) if "is_final" in df.columns else ref)
 
 
-def save_vectors(df: DataFrame, path: str) -> None:
-    vector_refs(df).withColumn("vector", F.col("vector").cast("array<float>")).write.mode("append").partitionBy("session_id").parquet(path)
+def save_vectors(df: DataFrame, path: str, folders: int | None = None) -> None:
+    """A folder for each session, or sessions dealt to a number of folders."""
+    rows = vector_refs(df).withColumn("vector", F.col("vector").cast("array<float>"))
+    if folders is None:
+        rows.repartition("session_id").write.mode("append").partitionBy("session_id").parquet(path)
+    else:
+        rows.withColumn("folder", folder_of("session_id", folders)).repartition("folder", "layer").write.mode("append").partitionBy("folder").parquet(path)
 
 
 def load_vectors(spark: SparkSession, path: str, vector_ref: str | None = None) -> DataFrame:
-    out = spark.read.parquet(path)
+    out = spark.read.parquet(path).drop("folder")
     return out if vector_ref is None else out.where(F.col("vector_ref") == vector_ref)
 
 

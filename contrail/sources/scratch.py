@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -21,6 +22,15 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that sessions are dealt to where each needs none of its own, and sequences of a session that one task writes.
+FOLDERS, PIECE = 64, 1 << 16
+
+
+def folder_of(session_id: str, folders: int | None = FOLDERS) -> Column:
+    """The folder of a session: its own (None) or one of a number. A store of very many sessions wants a number: a file costs the same however little it holds."""
+    return F.col(session_id).cast("string") if folders is None else F.pmod(F.xxhash64(F.col(session_id).cast("string")), F.lit(folders)).cast("string")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Written once and read back: what uses it twice doesn't compute it twice, and lost executors don't either. Runs when it is called."""
     path = shared_folder(df.sparkSession, "step")
