@@ -9,7 +9,7 @@ from contrail.operators import replay as r
 from contrail.operators import snapshots as snap
 from contrail.queries.vectors import rounded
 from contrail.sources import events as src
-from contrail.sources.scratch import shared_folder
+from contrail.sources.scratch import FOLDERS, PIECE, folder_of, shared_folder
 
 
 def _lines(rows):
@@ -18,7 +18,7 @@ def _lines(rows):
     body = F.to_json(F.struct(*(c for c in src.ENVELOPE.fieldNames() if c != "payload")), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     line = F.concat(F.substring(body, 1, F.length(body) - 1), F.lit(', "payload": '), "payload", F.lit("}"))
     bad = F.when(F.col("sequence") % 50 == 0, F.array(line, F.lit(""), F.substring(line, 1, 40), F.regexp_replace(line, '"category":"[a-z]+"', '"category":"nonsense"'))).otherwise(F.array(line))
-    return rows.select("session_id", F.explode(bad).alias("value"))
+    return rows.select("session_id", "sequence", F.explode(bad).alias("value"))
 
 
 def written_log(spark, d, name: str = "log"):
@@ -29,7 +29,7 @@ def written_log(spark, d, name: str = "log"):
 
 
 def session_logs(spark, d, name: str, clock: bool = False):
-    """The event log as a folder of JSON lines for each session; its path. clock: a session more, with one event long after all others, moves the watermark."""
+    """The event log as JSON lines in FOLDERS folders, all of a session's in one; its path. clock: a session more, with one event long after all others, moves the watermark."""
     path = shared_folder(spark, name)
     rows = event_log(spark, d)
     if clock:
@@ -37,7 +37,8 @@ def session_logs(spark, d, name: str, clock: bool = False):
             "'clock' as event_id", "'clock' as session_id", "t + interval 1 day as timestamp", "1L as sequence", "'llm' as category", "'llm.request' as event_type", "'clock' as source", """'{"request_id": "tick"}' as payload"""
         )
         rows = rows.unionByName(tick)
-    _lines(rows).withColumnRenamed("session_id", "session").repartition("session").write.partitionBy("session").text(path)
+    lines = _lines(rows).withColumn("folder", folder_of("session_id")).repartition("folder", F.floor(F.col("sequence") / PIECE))
+    lines.select("folder", "value").write.partitionBy("folder").text(path)
     return path
 
 
@@ -71,14 +72,16 @@ def _append(s, d):
     old = event_log(s, d)
     new = event_log(s, d).withColumnRenamed("sequence", "pos")  # the whole log once more
     path = shared_folder(s, "append")
-    src.append_events(new, old, path)
+    src.append_events(new, old, path, FOLDERS)
     return s.read.schema("session_id string, sequence long, category string, event_type string").json(path).select("session_id", "sequence", "category", "event_type")
 
 
 def _sessions(s, d):
     path = shared_folder(s, "sessions")
-    session_metadata(s, d).withColumn("dir", F.col("session_id")).write.partitionBy("dir").json(path)
-    found = src.read_session_metadata(s, path, "*/*.json")
+    # a file holds an array of sessions
+    rows = session_metadata(s, d).groupBy(folder_of("session_id", FOLDERS).alias("dir")).agg(F.to_json(F.collect_list(F.struct(*session_metadata(s, d).columns))).alias("value"))
+    rows.write.partitionBy("dir").text(path)
+    found = src.read_session_metadata(s, path, "*/*.txt")
     return src.list_sessions(found, status="completed", limit=20).select("session_id", "behavior", "created_at", "final_score")
 
 

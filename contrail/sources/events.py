@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contrail.operators.replay import last_rows, numbered
+from contrail.sources.scratch import PIECE, folder_of
 
 #: Event categories.
 CATEGORIES = ("session", "llm", "tool", "vector", "datapoint", "evaluation", "checkpoint", "state", "contrast", "seed", "optimization")
@@ -130,10 +131,10 @@ def next_sequences(new: DataFrame, existing: DataFrame) -> DataFrame:
     return out.withColumn("category", event_category(F.col("event_type"))).drop("_last", "_nth")
 
 
-def append_events(new: DataFrame, existing: DataFrame, path: str) -> None:
-    """Write new events behind the existing ones, one folder per session, null fields kept."""
-    rows = next_sequences(new, existing).select(*ENVELOPE.fieldNames(), F.col("session_id").alias("session"))
-    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy("session").json(path)
+def append_events(new: DataFrame, existing: DataFrame, path: str, folders: int | None = None) -> None:
+    """Write new events behind the existing ones, one folder per session or sessions dealt to a number of folders, null fields kept."""
+    rows = next_sequences(new, existing).select(*ENVELOPE.fieldNames(), folder_of("session_id", folders).alias("session"))
+    rows.repartition("session", F.floor(F.col("sequence") / PIECE)).write.mode("append").option("ignoreNullFields", "false").partitionBy("session").json(path)
 
 
 def hidden_folders(spark: SparkSession, base: str) -> list[str]:

@@ -24,6 +24,8 @@ from contrail.sources.events import ENVELOPE, well_formed
 FORMAT = "event_lines"
 #: Bytes that one task reads, and that are read at a time.
 SPLIT, STEP = 64 << 20, 4 << 20
+#: What opening a file counts as in a task's bytes, so that many small files share a task.
+OPEN = 64 << 10
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -52,6 +54,27 @@ class Span(InputPartition):
     end: int
 
 
+@dataclass
+class Spans(InputPartition):
+    """What one task reads."""
+
+    spans: list[Span]
+
+
+def packed_spans(spans: Sequence[Span]) -> list[Spans]:
+    """Spans in turn, those of small files together: a task has about SPLIT bytes, an opened file counting as OPEN."""
+    out: list[Spans] = []
+    left = 0
+    for span in spans:
+        size = span.end - span.start + OPEN
+        if not out or size > left:
+            out.append(Spans([]))
+            left = SPLIT
+        out[-1].spans.append(span)
+        left -= size
+    return out
+
+
 def lines_of(own: fs.FileSystem, span: Span) -> Iterator[list[bytes]]:
     """The lines whose line end lies in the span, however far before it they begin."""
     with own.open_input_file(span.path) as f:
@@ -89,6 +112,10 @@ def _before(f, end: int) -> bytes:
     return b"".join(reversed(parts))
 
 
+def _batch(text: list[str], paths: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(paths, pa.string())], ["value", "file"])
+
+
 class LineReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.base, self.pattern = options["path"], options.get("pattern", "events.jsonl")
@@ -129,19 +156,29 @@ class LineReader(DataSourceStreamReader):
         own.move(f"{root}/.{n + 1}", f"{root}/{n + 1:012d}.json")
         return {"n": n + 1}
 
-    def partitions(self, start: dict, end: dict) -> list[Span]:
+    def partitions(self, start: dict, end: dict) -> list[Spans]:
         before, now = self._snapshot(start["n"]), self._snapshot(end["n"])
         out = []
         for path, last in now.items():
             first = before.get(path, 0)
             out += [Span(path, a, min(a + SPLIT, last)) for a in range(first, last, SPLIT)]
-        return out
+        return packed_spans(out)
 
-    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Spans) -> Iterator[pa.RecordBatch]:
         own, _ = file_system(self.base)
-        for lines in lines_of(own, partition):
-            text = [x.rstrip(b"\r").decode("utf-8", "replace") for x in lines]
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array([partition.path] * len(text), pa.string())], ["value", "file"])
+        text: list[str] = []
+        paths: list[str] = []
+        size = 0
+        for span in partition.spans:
+            for lines in lines_of(own, span):
+                text += [x.rstrip(b"\r").decode("utf-8", "replace") for x in lines]
+                paths += [span.path] * len(lines)
+                size += sum(map(len, lines))
+                if size >= STEP:
+                    yield _batch(text, paths)
+                    text, paths, size = [], [], 0
+        if text:
+            yield _batch(text, paths)
 
     def commit(self, end: dict) -> None:
         """Snapshots before the last committed one are never read again."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from contrail.operators import replay as r
 from contrail.sources import live_logs
-from contrail.sources.events import ENVELOPE, hidden_folders, list_sessions, read_session_metadata
+from contrail.sources.events import ENVELOPE, append_events, hidden_folders, list_sessions, read_session_metadata
 from contrail.streaming import ordered as o
 from contrail.streaming import sessions as st
 
@@ -92,6 +92,34 @@ def test_spans_share_lines_out(tmp_path, monkeypatch):
             assert got == lines
 
 
+def test_small_files_share_a_task(tmp_path):
+    """A task for each file was one for each session."""
+    for i in range(3000):
+        (tmp_path / "base" / f"s{i}").mkdir(parents=True)
+        (tmp_path / "base" / f"s{i}" / "events.jsonl").write_text(f"{i}\n")
+    reader = live_logs.LineReader({"path": str(tmp_path / "base"), "positions": str(tmp_path / "positions")})
+    parts = reader.partitions({"n": 0}, reader.latestOffset())
+    assert len(parts) < 10
+    assert sorted(int(x) for part in parts for batch in reader.read(part) for x in batch.column(0).to_pylist()) == list(range(3000))
+
+
+def test_a_span_of_a_large_file_is_a_task():
+    spans = [live_logs.Span("a", i * live_logs.SPLIT, (i + 1) * live_logs.SPLIT) for i in range(3)]
+    assert [x.spans for x in live_logs.packed_spans(spans)] == [[x] for x in spans]
+
+
+@pytest.mark.parametrize("folders", [None, 4])
+def test_appended_events_lie_in_few_files(spark, tmp_path, folders):
+    """A session's events lie in one folder, whose number of files doesn't grow with the tasks that made the rows."""
+    lines = [line(f"s{i % 12}", i // 12 + 1) for i in range(240)]
+    rows = batch(spark, lines).repartition(16)
+    append_events(rows.withColumnRenamed("sequence", "pos"), rows, str(tmp_path / "log"), folders)
+    files = list((tmp_path / "log").glob("*/*.json"))
+    assert len(files) == len({f.parent for f in files}) <= (folders or 12)
+    back = spark.read.schema("session_id string, sequence long").json(str(tmp_path / "log")).select("session_id", "sequence")
+    assert sorted(map(tuple, back.collect())) == sorted((f"s{i}", j) for i in range(12) for j in range(21, 41))
+
+
 def test_snapshots_are_bounded(logs):
     for i in range(1, 6):
         logs.add("a", line("a", i) + "\n")
