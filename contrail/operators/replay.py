@@ -254,9 +254,14 @@ def token_usage(events: DataFrame, by: tuple[str, ...] = ("session_id", "model",
     return own.unionByName(bare).groupBy(*by).agg(F.count("*").alias("calls"), F.sum(tokens_of(estimated)).alias("tokens"))
 
 
+#: The fields of a chunk as text, all read from its payload at once.
+CHUNK = "request_id string, chunk_index string, chunk string, content string"
+
+
 def reassemble_chunks(events: DataFrame) -> DataFrame:
     """session_id, request_id, text: chunks joined by chunk_index."""
-    rows = events.where("event_type = 'llm.chunk'").select("session_id", field("request_id").alias("request_id"), F.struct(field("chunk_index", "int").alias("i"), F.coalesce(field("chunk"), field("content")).alias("c")).alias("s"))
+    own = events.where("event_type = 'llm.chunk'").select("session_id", F.from_json("payload", CHUNK).alias("p"))
+    rows = own.select("session_id", "p.request_id", F.struct(F.col("p.chunk_index").cast("int").alias("i"), F.coalesce("p.chunk", "p.content").alias("c")).alias("s"))
     return rows.groupBy("session_id", "request_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]), "").alias("text"))
 
 

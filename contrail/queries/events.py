@@ -93,7 +93,7 @@ def _merge(s, d):
 
 def _chunks(s, d):
     docs = read(s, d, "documents").selectExpr("cast(doc_id % 10 as string) as session_id", "concat('r', doc_id) as request_id", "text")
-    cut = docs.select("session_id", "request_id", F.posexplode(F.expr("transform(sequence(0, greatest(length(text) - 1, 0) div 20), i -> substring(text, i * 20 + 1, 20))")).alias("i", "c"))
+    cut = docs.select("session_id", "request_id", F.posexplode(F.expr("if(length(text) > 0, regexp_extract_all(text, '(?s).{1,20}', 0), array(text))")).alias("i", "c"))
     events = cut.select("session_id", F.lit("llm.chunk").alias("event_type"), F.to_json(F.struct("request_id", F.col("i").alias("chunk_index"), F.col("c").alias("content"))).alias("payload"))
     return r.reassemble_chunks(events).select("request_id", F.md5("text").alias("text_md5"))
 

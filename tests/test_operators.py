@@ -1,5 +1,6 @@
 """Edge cases of single operators: empty tables, one row, ties, nulls, sentinels, zero vectors, failures."""
 
+import hashlib
 import json
 import math
 
@@ -407,3 +408,23 @@ def test_analysis_parts(spark):
     assert [(x["i"], x["high"], x["natural"]) for x in g.intensity_calibration(df, "t").collect()] == [(0, "h", g.LOOKS["natural"])]
     found = src.new_sessions(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "session_id string"), spark.createDataFrame([("b",)], "session_id string"))
     assert [x["session_id"] for x in found.collect()] == ["a"]
+
+
+def test_inference_takes_long_texts_in_portions(spark):
+    """A client gets about PROMPTS bytes at a time, not as many rows as an Arrow batch happens to hold; a longer prompt comes alone."""
+    rows = spark.createDataFrame([(i, "é" * 500_000 if i != 7 else "x" * 9_000_000) for i in range(20)], "i int, t string").coalesce(1)
+    sizes = lambda: lambda prompts: [f"{len(prompts)} {sum(len(p.encode()) for p in prompts)}" for _ in prompts]
+    got = [tuple(map(int, x["response"].split())) for x in inf.batch_infer(rows, sizes, "{t}").collect()]
+    assert len(got) == 20 and all(n == 1 or size <= inf.PROMPTS for n, size in got) and (1, 9_000_000) in got and max(n for n, _ in got) > 1
+
+
+def test_chunks_of_any_text_come_back(spark, tmp_path):
+    """Cut by code points, line ends included; each payload is parsed once."""
+    from contrail.queries.events import QUERIES
+
+    texts = ["", "a", "x" * 20, "y" * 21, "line\n\r\u2028end " * 9, "\U0001f600é" * 33]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = QUERIES["d30_reassemble_chunks"](spark, str(tmp_path))
+    assert {x["request_id"]: x["text_md5"] for x in out.collect()} == {f"r{i}": hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan
