@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,21 @@ def prompt_of(template: str, clip: dict[str, int]) -> Column:
     return F.concat(*parts)
 
 
+#: Bytes of prompts that a client gets at a time, about; a longer one comes alone.
+PROMPTS = 4 << 20
+
+
+def _portions(batch: pa.RecordBatch, name: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts hold about PROMPTS bytes, so that no more of them are Python objects at once, however long texts are."""
+    total = np.cumsum(pc.binary_length(batch.column(name)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < batch.num_rows:
+        before = total[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(total, before + PROMPTS, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def batch_infer(df: DataFrame, fn: Callable[[], Callable[[list[str]], list[str | None]]], template: str, out_col: str = "response", clip: dict[str, int] | None = None, max_retries: int = 2, default: str | None = None) -> DataFrame:
     """df with out_col and error. fn() builds a client once per partition; client(prompts) gives as many texts. A failing batch is retried
     and then tried row by row; a row that still fails gets the default and the error's text, the job goes on."""
@@ -41,22 +59,21 @@ def batch_infer(df: DataFrame, fn: Callable[[], Callable[[list[str]], list[str |
                 why = str(e)
         return None, why
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = None
-        for pdf in batches:
+        for part in (x for batch in batches for x in _portions(batch, "_prompt")):
             client = client or fn()
-            prompts = pdf.pop("_prompt").tolist()
-            out, _ = attempt(client, prompts) if prompts else ([], None)
+            prompts = part.column("_prompt").to_pylist()
+            out, _ = attempt(client, prompts)
             why: list[str | None] = [None] * len(prompts)
             if out is None:
                 out = []
                 for i, p in enumerate(prompts):
                     one, why[i] = attempt(client, [p])
                     out.append(one[0] if one else default)
-            pdf[out_col], pdf["error"] = pd.Series(out, index=pdf.index, dtype=object), pd.Series(why, index=pdf.index, dtype=object)
-            yield pdf
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(part.num_columns - 1)), pa.array(out, pa.string()), pa.array(why, pa.string())], names=schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 PAIR_TEMPLATE = "Scenario: {scenario}\nContext: {context}\nIntensity: {intensity}\nReply with JSON: prompt, dst_response, src_response."
