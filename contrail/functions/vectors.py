@@ -23,9 +23,8 @@ def norm(v: Column) -> Column:
 
 
 def scale_to_norm(v: Column, target: float = 1.0) -> Column:
-    """A zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x * target / n)).otherwise(v)
+    """A zero vector stays as it is. The norm is an array of one, so that it is computed once and not for each element."""
+    return F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x * target / n)).otherwise(v))[0]
 
 
 def unit(v: Column) -> Column:

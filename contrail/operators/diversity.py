@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -62,8 +63,11 @@ def compared_pairs(df: DataFrame, key: str, threshold: float = 0.9, vector: str
     return whole.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(own.blocks.agg(F.count("*").alias("blocks")))).select("rows", F.expr("rows * (rows - 1) div 2").alias("pairs"), "compared", "blocks")
 
 
-def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", tables: int = 24, bits: int = 10, seed: int = 5) -> DataFrame:
-    """As near_duplicates, but only pairs that share the signs of `bits` random projections in one of `tables` tables are compared."""
+def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", tables: int = 24, bits: int = 10, seed: int = 5, part: int = index.LOT) -> DataFrame:
+    """As near_duplicates, but only pairs that share the signs of `bits` random projections in one of `tables` tables are compared. Runs when it is called.
+
+    A row goes to its bucket of each table once, with the numbers of all its buckets; a bucket's rows meet in one task by matrix products, and a pair comes from the first table that
+    it shares only. Buckets of over `part` rows are dealt to parts, each pair of which is a task."""
 
     def buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes = None
@@ -74,14 +78,27 @@ def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector:
             if planes is None:
                 planes = np.random.default_rng(seed).normal(size=(v.shape[1], tables * bits))
             signs = (v @ planes > 0).reshape(len(v), tables, bits)
-            codes = signs @ (1 << np.arange(bits)) + (np.arange(tables) << bits)
-            yield pdf.assign(buckets=list(codes.astype("int64")))
+            yield pdf.assign(codes=list((signs @ (1 << np.arange(bits))).astype("int32")))
+
+    def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        table, same = key[0].as_py(), key[2] == key[3]
+        ids, u, codes = rows["id"].to_numpy(), index.matrix(rows["v"]), index.matrix(rows["codes"])
+        one = np.ones(len(ids), bool) if same else rows["p"].to_numpy() == key[2].as_py()
+        for i, j, s in index.above(u[one], u if same else u[~one], threshold, same):
+            i, j = np.flatnonzero(one)[i], j if same else np.flatnonzero(~one)[j]
+            new = (ids[i] != ids[j]) & ~(codes[i, :table] == codes[j, :table]).any(axis=1)
+            left, right = ids[i[new]], ids[j[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right)), pa.array(s[new])], ["left", "right", "similarity"])
 
     rows = df.select(F.col(key).cast("long").alias("id"), as_doubles(F.col(vector)).alias("v"))
     rows = rows.where(norm(F.col("v")) > 0)  # a zero vector is like nothing
-    hashed = rows.mapInPandas(buckets, "id long, v array<double>, buckets array<long>").select("id", unit(F.col("v")).alias("v"), F.explode("buckets").alias("b"))
-    a, b = hashed.select(F.col("id").alias("left"), F.col("v").alias("x"), "b"), hashed.select(F.col("id").alias("right"), F.col("v").alias("y"), "b")
-    return a.join(b, "b").where("left < right").select("left", "right", dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") > threshold).dropDuplicates(["left", "right"])
+    hashed = kept(rows.mapInPandas(buckets, "id long, v array<double>, codes array<int>").select("id", unit(F.col("v")).alias("v"), "codes"))
+    large = hashed.select(F.posexplode("codes").alias("t", "b")).groupBy("t", "b").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).where("parts > 1")  # at most tables * rows / part
+    dealt = hashed.select("id", "v", "codes", F.posexplode("codes").alias("t", "b")).join(F.broadcast(kept(large)), ["t", "b"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("p", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = dealt.select("t", "b", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "id", "v", "codes").groupBy("t", "b", "lo", "hi").applyInArrow(meet, "left long, right long, similarity double")
+    return met.dropDuplicates(["left", "right"])
 
 
 def words_of(text: Column) -> Column:

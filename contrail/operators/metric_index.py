@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from contrail.sources.scratch import kept
 BLOCK, SAMPLE, PIVOTS, PER_PIVOT = 2048, 4096, 128, 512
 #: Angles are computed with a smaller error than this.
 SLACK = 1e-6
+#: Rows that meet others in one task, and products held at once.
+LOT, CELLS = 32_768, 1 << 20
 
 
 class Index(NamedTuple):
@@ -120,6 +123,24 @@ def meet(index: Index, pairs: DataFrame, compare, schema: str) -> DataFrame:
     return sent.groupBy("g", "a", "b").applyInPandas(run, f"g {dict(pairs.dtypes)['g']}, a string, b string, {schema}")
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks().flatten().to_numpy()
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def above(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in x and y and products of the rows whose product is larger than the threshold, a bounded number at a time; same: y is x, each pair once."""
+    step = max(1, CELLS // max(1, len(y)))
+    for at in range(0, len(x), step):
+        first = at if same else 0
+        s = x[at : at + step] @ y[first:].T
+        near = s > threshold
+        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        if len(i):
+            yield i + at, j + first, s[i, j]
+
+
 def cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
     x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
     return (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-10)).T

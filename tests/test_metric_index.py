@@ -1,9 +1,12 @@
 """Pruned searches against all pairs and plain greedy choice."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from contrail.functions.vectors import norm, unit
 from contrail.operators import diversity as d
 from contrail.operators import metric_index as index
 
@@ -93,3 +96,26 @@ def test_picks_share_passes(spark, monkeypatch):
     df = frame(spark, clustered(8, spread=0.4)).withColumnsRenamed({"id": "pos"})
     assert d.mmr_select_global(df.withColumn("r", F.col("r") / 101), 100, "r", 0.7, candidates=256).count() == 100
     assert len(passes) < 25
+
+
+@pytest.mark.parametrize("part", [7, 50, 32_768])
+def test_lsh_meets_what_shares_a_bucket(spark, part):
+    """Each pair once that shares a bucket and is near enough, whatever parts the buckets are dealt to."""
+    v, tables, bits = clustered(9, spread=0.4), 5, 3
+    s = cosine(v)
+    planes = np.random.default_rng(5).normal(size=(v.shape[1], tables * bits))
+    codes = (v @ planes > 0).reshape(len(v), tables, bits) @ (1 << np.arange(bits))
+    shared = (codes[:, None, :] == codes[None, :, :]).any(axis=2) & (np.linalg.norm(v, axis=1) > 0)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(shared & (s > 0.8))) if i < j}
+    got = [(x["left"], x["right"], x["similarity"]) for x in d.near_duplicates_lsh(frame(spark, v), "id", 0.8, tables=tables, bits=bits, part=part).collect()]
+    assert sorted(x[:2] for x in got) == sorted(want) and len(want) < (s[np.triu_indices(len(v), 1)] > 0.8).sum()
+    assert all(abs(c - s[a, b]) < 1e-9 for a, b, c in got)
+    assert d.near_duplicates_lsh(frame(spark, np.empty((0, 3))), "id").collect() == []
+
+
+def test_a_norm_is_computed_once(spark):
+    """Not once for each element of its vector."""
+    rows = spark.range(60).select(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda i: (i + F.col("id")).cast("double")).alias("v"))
+    began = time.monotonic()
+    assert abs(rows.select(F.round(norm(unit(F.col("v"))), 9).alias("n")).agg(F.sum("n")).first()[0] - 60) < 1e-6
+    assert time.monotonic() - began < 15
