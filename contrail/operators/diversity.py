@@ -19,29 +19,28 @@ from contrail.functions.vectors import as_doubles, dot, minus, norm, unit
 from contrail.operators import metric_index as index
 from contrail.sources.scratch import kept
 
-def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, pivots: int | None = None, lots: int | None = None) -> DataFrame:
     """left, right, similarity for left < right with cosine above the threshold; a zero vector has similarity 0. Exact.
 
-    Rows lie in blocks of a metric index (written when this is called); only blocks whose angles to the pivots allow the threshold meet, each pair of them in a task with one matrix
-    product. compared_pairs tells how many pairs that are: few for clustered vectors, all where nothing can be ruled out. Thresholds below 0 rule out nothing. Blocks have about `block` rows, or a share of the table where `blocks` asks for at least so many.
+    Rows lie in blocks of a metric index (written when this is called); only blocks whose angles to the pivots allow the threshold meet, by matrix products. Blocks that follow each
+    other are sent as one lot, so what is shuffled grows with the rows until a lot is full (see Index), and from there with rows times lots; the pairs that are compared grow as
+    compared_pairs tells: few for clustered vectors, all where nothing can be ruled out. Thresholds below 0 rule out nothing. Blocks have about `block` rows, or a share of the table where `blocks` asks for at least so many.
     """
     block = _rows_a_block(df, blocks, block)
-    own = index.build(df.select(F.col(key).cast("long").alias("id"), vector), "id", vector, block=block, pivots=pivots)
+    own = index.build(df.select(F.col(key).cast("long").alias("id"), vector), "id", vector, block=block, pivots=pivots, lots=lots)
     if threshold < 0:  # zero vectors, and very short ones, are nearer than their angles say
-        own = index.Index(own.rows.withColumn("block", F.coalesce("block", F.lit("zero"))), own.blocks.select("g", "block", "n", "lo", "hi").unionByName(_zero_block(own)))
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        out = [pd.DataFrame({"left": np.empty(0, "int64"), "right": np.empty(0, "int64"), "similarity": np.empty(0)})]
-        ids = right["id"].to_numpy()
-        for at in range(0, len(left), 512):
-            part = left.iloc[at : at + 512]
-            mine, s = part["id"].to_numpy(), index.cosines(part, right)
-            i, j = np.nonzero((s > threshold) & (mine[:, None] < ids[None, :] if same else mine[:, None] != ids[None, :]))
-            out.append(pd.DataFrame({"left": np.minimum(mine[i], ids[j]), "right": np.maximum(mine[i], ids[j]), "similarity": s[i, j]}))
-        return pd.concat(out)
+        own = index.Index(own.rows.withColumn("block", F.coalesce("block", F.lit("zero"))), own.blocks.select("g", "block", "n", "lo", "hi", "lot").unionByName(_zero_block(own)))
+
+    def compare(blocks: dict, todo: list) -> Iterator[tuple]:
+        for _, a, b, _ in todo:
+            (left, x), (right, y) = blocks[a], blocks[b]
+            for i, j, s in index.above(x, y, threshold, a == b):
+                i, j = left[i], right[j]
+                new = i != j
+                yield np.minimum(i, j)[new], np.maximum(i, j)[new], s[new]
 
     pairs = index.block_pairs(own, float(np.arccos(min(threshold, 1.0))) if threshold >= 0 else None)
-    return index.meet(own, pairs, compare, "left long, right long, similarity double").drop("g", "a", "b")
+    return index.meet(own, pairs, compare, "left long, right long, similarity double").drop("g")
 
 
 def _rows_a_block(df: DataFrame, blocks: int | None, block: int) -> int:
@@ -52,7 +51,7 @@ def _zero_block(own: index.Index) -> DataFrame:
     """The block of zero vectors, if there are any, which nothing rules out."""
     wide = own.blocks.select(F.size("lo").alias("k")).limit(1)
     zero = own.rows.where("block is null").groupBy("g").agg(F.count("*").alias("n")).crossJoin(F.broadcast(wide))  # one row
-    return zero.select("g", F.lit("zero").alias("block"), "n", F.array_repeat(F.lit(0.0), F.col("k")).alias("lo"), F.array_repeat(F.lit(np.pi), F.col("k")).alias("hi"))
+    return zero.select("g", F.lit("zero").alias("block"), "n", F.array_repeat(F.lit(0.0), F.col("k")).alias("lo"), F.array_repeat(F.lit(np.pi), F.col("k")).alias("hi"), F.lit(1 << 40).alias("lot"))  # behind the lots of blocks, as its name is
 
 
 def compared_pairs(df: DataFrame, key: str, threshold: float = 0.9, vector: str = "vector", block: int = index.BLOCK, pivots: int | None = None) -> DataFrame:
@@ -118,31 +117,40 @@ def mean_similarity(df: DataFrame, group: list[str], vector: str = "vector") ->
 def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, first: int = 8) -> DataFrame:
     """group, max_similarity: the largest cosine of two rows; groups of one are left out. Branch and bound over a metric index, when called.
 
-    A group's blocks first meet themselves; then pairs of blocks in the order of what their angles allow at best, `first` of each group and twice as many every round, until
-    no pair of blocks can beat what its group has. Pairs that can't are never compared."""
+    A group's blocks first meet themselves; then pairs of blocks in the order of what their angles allow at best, `first` of each group and 64 times as many every round, until
+    no pair of blocks can beat what its group has. Pairs that can't are never compared, also where a task finds that out by what it has met itself."""
     own = index.build(df, key, vector, group, _rows_a_block(df, blocks, block))
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    def compare(met: dict, todo: list) -> Iterator[tuple]:
         top = -np.inf
-        for at in range(0, len(left), 512):
-            s = index.cosines(left.iloc[at : at + 512], right)
-            if same:
-                s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
-            top = max(top, s.max(initial=-np.inf))
-        return pd.DataFrame({"top": [top]})
+        for apart, a, b, known in todo:
+            if _bound(np.cos, max, apart) <= max(top, -np.inf if known is None else known):
+                continue
+            (_, x), (_, y) = met[a], met[b]
+            for at in range(0, len(x), 512):
+                s = x[at : at + 512] @ y.T
+                if a == b:
+                    s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
+                top = max(top, s.max(initial=-np.inf))
+        yield ([float(top)],)
 
     # a zero vector has similarity 0 to all others
     zero = own.rows.groupBy("g").agg(F.count_if(F.col("block").isNull()).alias("z"), F.count("*").alias("n")).where("z > 0 and n > 1").select("g", F.lit(0.0).alias("top"))
-    pairs = kept(index.block_pairs(own).withColumn("bound", F.cos(F.greatest(F.col("apart") - index.SLACK, F.lit(0.0))) + index.SLACK))
+    pairs = kept(index.block_pairs(own).withColumn("bound", _bound(F.cos, F.greatest, F.col("apart"), F.lit)))
     best, done, size = zero, pairs.where("a = b and pairs > 0"), first
     rest = pairs.where("a <> b")
     while True:
         best = kept(best.unionByName(index.meet(own, done, compare, "top double").select("g", "top")).groupBy("g").agg(F.max("top").alias("top")))
-        known = rest.join(best.select(F.col("g").alias("bg"), "top"), F.col("g").eqNullSafe(F.col("bg")), "left").where("top is null or bound > top").drop("bg", "top")
+        known = rest.drop("top").join(best.select(F.col("g").alias("bg"), "top"), F.col("g").eqNullSafe(F.col("bg")), "left").where("top is null or bound > top").drop("bg")
         ranked = kept(known.withColumn("nth", F.row_number().over(Window.partitionBy("g").orderBy(F.col("bound").desc(), "a", "b"))))
         if ranked.isEmpty():
             return best.where("top > -2").select(F.col("g").alias(group), F.col("top").alias("max_similarity"))
-        done, rest, size = ranked.where(F.col("nth") <= size).drop("nth"), ranked.where(F.col("nth") > size).drop("nth"), size * 2
+        done, rest, size = ranked.where(F.col("nth") <= size).drop("nth"), ranked.where(F.col("nth") > size).drop("nth"), size * 64
+
+
+def _bound(cos, greatest, apart, lit=float):
+    """The largest cosine that an angle of at least `apart` allows, as a number or a column."""
+    return cos(greatest(apart - index.SLACK, lit(0.0))) + index.SLACK
 
 
 def diversity_metrics(df: DataFrame, key: str, group: str, vector: str = "vector", text: str | None = None) -> DataFrame:

@@ -13,8 +13,11 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from contrail.functions.vectors import as_doubles
 from contrail.sources.scratch import kept
@@ -25,10 +28,14 @@ BLOCK, SAMPLE, PIVOTS, PER_PIVOT = 2048, 4096, 128, 512
 SLACK = 1e-6
 #: Rows that meet others in one task, and products held at once.
 LOT, CELLS = 32_768, 1 << 20
+#: A lot of blocks is a share of the table, up to so many bytes of vectors.
+LOTS, LOT_BYTES = 16, 32 << 20
 
 
 class Index(NamedTuple):
-    """rows: g (group), id, v, block; blocks: g, block, n, lo, hi (angles to each pivot). block is null for zero vectors, whose similarity is 0 to all."""
+    """rows: g (group), id, v, block; blocks: g, block, n, lo, hi (angles to each pivot), lot. block is null for zero vectors, whose similarity is 0 to all.
+
+    Blocks of a group that follow each other share a lot: lots meet in tasks, so a row is sent once for each lot of its group and not once for each block."""
 
     rows: DataFrame
     blocks: DataFrame
@@ -51,8 +58,8 @@ def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
-def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = None, block: int = BLOCK, pivots: int | None = None) -> Index:
-    """Of df's non-null vectors; written, as it is read several times. Runs when it is called."""
+def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = None, block: int = BLOCK, pivots: int | None = None, lots: int | None = None) -> Index:
+    """Of df's non-null vectors; written, as it is read several times. Lots have about `lots` rows, by default a share of the table. Runs when it is called."""
     g = F.col(group) if group else F.lit(0)
     rows = df.select(g.alias("g"), F.col(key).alias("id"), as_doubles(F.col(vector)).alias("v")).where("v is not null")
     n = rows.count()
@@ -89,7 +96,9 @@ def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = N
     blocks = out.where("block is not null").groupBy("g", "block").agg(
         F.count("*").alias("n"), F.array(*(F.min(F.col("far")[k]) for k in places)).alias("lo"), F.array(*(F.max(F.col("far")[k]) for k in places)).alias("hi")
     )
-    return Index(out.drop("far"), kept(blocks))
+    size = lots or max(1, min(-(-n // LOTS), LOT_BYTES // (8 * sample.shape[1])))
+    before = F.sum("n").over(Window.partitionBy("g").orderBy("block")) - F.col("n")  # one row a block
+    return Index(out.drop("far"), kept(blocks.withColumn("lot", F.floor(before / size))))
 
 
 def _apart() -> Column:
@@ -99,28 +108,45 @@ def _apart() -> Column:
 
 
 def block_pairs(index: Index, angle: float | None = None) -> DataFrame:
-    """g, a, b, apart, pairs: blocks of a group that may hold a pair with at most this angle (None: all), themselves included, with how many pairs of rows they hold."""
+    """g, a, b, la, lb (their lots), apart, pairs: blocks of a group that may hold a pair with at most this angle (None: all), themselves included, with how many pairs of rows they hold."""
     a, b = index.blocks.alias("a"), index.blocks.alias("b")
     met = a.join(b, F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.block") <= F.col("b.block")))
     pairs = F.when(F.col("a.block") == F.col("b.block"), F.col("a.n") * (F.col("a.n") - 1) / 2).otherwise(F.col("a.n") * F.col("b.n")).cast("long")
-    out = met.select(F.col("a.g").alias("g"), F.col("a.block").alias("a"), F.col("b.block").alias("b"), _apart().alias("apart"), pairs.alias("pairs"))
+    own = (F.col(f"{x}.{c}").alias(n) for x, c, n in (("a", "g", "g"), ("a", "block", "a"), ("b", "block", "b"), ("a", "lot", "la"), ("b", "lot", "lb")))
+    out = met.select(*own, _apart().alias("apart"), pairs.alias("pairs"))
     return out if angle is None else out.where(F.col("apart") <= angle + SLACK)
 
 
 def meet(index: Index, pairs: DataFrame, compare, schema: str) -> DataFrame:
-    """compare(left, right, same) of each pair of blocks, as frames of id and v; its rows under the schema with g, a and b before them."""
-    left = pairs.select("g", "a", "b", F.col("a").alias("block"), F.lit(0).alias("side"))
-    right = pairs.where("a <> b").select("g", "a", "b", F.col("b").alias("block"), F.lit(1).alias("side"))
-    sent = left.unionByName(right).alias("p").join(index.rows.alias("r"), F.col("p.g").eqNullSafe(F.col("r.g")) & (F.col("p.block") == F.col("r.block")))
-    sent = sent.select("p.g", "a", "b", "side", "id", "v")
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[pdf["side"] == 0]
-        out = compare(first, first if key[1] == key[2] else pdf[pdf["side"] == 1], key[1] == key[2])
-        return out.assign(g=key[0], a=key[1], b=key[2])[["g", "a", "b", *names]]
+    """What compare(blocks, pairs) yields, as arrays under the schema with g before them, where two lots meet: blocks are (ids, unit vectors) by name, pairs are (apart, a, b,
+    top) of those to be compared, nearest first; top is the column of `pairs` or None. A task holds two lots, of which only blocks that meet another one are sent, each once."""
+    task = ["g", "la", "lb"]
+    top = F.col("top") if "top" in pairs.columns else F.lit(None).cast("double")
+    work = pairs.select(*task, "a", "b", "apart", top.alias("top"))
+    sent = work.select(*task, F.explode(F.array("a", "b")).alias("block")).distinct().alias("p").join(index.rows.alias("r"), F.col("p.g").eqNullSafe(F.col("r.g")) & (F.col("p.block") == F.col("r.block")))
+    sent = sent.select(*(F.col(f"p.{c}") for c in (*task, "block")), "id", "v")
+    # the pairs of a block travel as one more row of it
+    todo = work.groupBy(*task, F.col("a").alias("block")).agg(F.collect_list(F.struct("apart", "b", "top")).alias("todo"))
+    both = sent.unionByName(todo, allowMissingColumns=True)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = pa.Table.from_batches(list(batches))
+        lists = both.filter(pc.is_valid(both["todo"])).select(["block", "todo"]).to_pylist()
+        rows = both.filter(pc.is_null(both["todo"]))
+        named = rows["block"].combine_chunks().dictionary_encode()
+        ids, v, code = rows["id"].to_numpy(), matrix(rows["v"]), named.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        ids, v = ids[order], v[order]
+        v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-10
+        ends = np.cumsum(np.bincount(code, minlength=len(named.dictionary)))
+        blocks = {name: (ids[a:b], v[a:b]) for name, a, b in zip(named.dictionary.to_pylist(), [0, *ends], ends)}
+        for out in compare(blocks, sorted((x["apart"], y["block"], x["b"], x["top"]) for y in lists for x in y["todo"])):
+            arrays = [pa.array(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(arrays[0]), kind), *arrays], ["g", *names])
 
     names = [c.split()[0] for c in schema.split(", ")]
-    return sent.groupBy("g", "a", "b").applyInPandas(run, f"g {dict(pairs.dtypes)['g']}, a string, b string, {schema}")
+    kind = to_arrow_type(pairs.schema["g"].dataType)
+    return both.groupBy(*task).applyInArrow(run, f"g {dict(pairs.dtypes)['g']}, {schema}")
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -136,11 +162,6 @@ def above(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterato
         first = at if same else 0
         s = x[at : at + step] @ y[first:].T
         near = s > threshold
-        i, j = np.nonzero(np.triu(near, 1) if same else near)
+        i, j = np.divmod(np.flatnonzero(np.triu(near, 1) if same else near), max(1, s.shape[1]))
         if len(i):
             yield i + at, j + first, s[i, j]
-
-
-def cosines(a: pd.DataFrame, b: pd.DataFrame) -> np.ndarray:
-    x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-    return (x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-10)) @ (y / (np.linalg.norm(y, axis=1, keepdims=True) + 1e-10)).T

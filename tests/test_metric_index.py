@@ -119,3 +119,18 @@ def test_a_norm_is_computed_once(spark):
     began = time.monotonic()
     assert abs(rows.select(F.round(norm(unit(F.col("v"))), 9).alias("n")).agg(F.sum("n")).first()[0] - 60) < 1e-6
     assert time.monotonic() - began < 15
+
+
+def test_a_row_is_sent_once_for_each_lot(spark):
+    """Not once for each block of the index, all pairs of which meet here."""
+    own = index.build(frame(spark, clustered(10)), "id", block=10, lots=200)
+    sent = index.meet(own, index.block_pairs(own), lambda blocks, todo: iter([([sum(len(ids) for ids, _ in blocks.values())], [len(todo)])]), "n long, pairs long")
+    n, pairs = sent.agg(F.sum("n"), F.sum("pairs")).first()
+    lots, blocks = own.blocks.select("lot").distinct().count(), own.blocks.count()
+    assert pairs == blocks * (blocks + 1) // 2 and blocks > 8 * lots > 8
+    assert n == 718 * lots  # two are zero vectors
+
+
+def test_lots_change_no_pair(spark):
+    pairs = [{(x["left"], x["right"]) for x in d.near_duplicates(frame(spark, clustered(11)), "id", 0.6, block=30, lots=lots).collect()} for lots in (40, None, 10_000)]
+    assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 1000
