@@ -134,3 +134,13 @@ def test_a_row_is_sent_once_for_each_lot(spark):
 def test_lots_change_no_pair(spark):
     pairs = [{(x["left"], x["right"]) for x in d.near_duplicates(frame(spark, clustered(11)), "id", 0.6, block=30, lots=lots).collect()} for lots in (40, None, 10_000)]
     assert pairs[0] == pairs[1] == pairs[2] and len(pairs[0]) > 1000
+
+
+def test_few_rounds_where_nothing_can_be_ruled_out(spark, monkeypatch):
+    rounds, whole = [], index.meet
+    monkeypatch.setattr(index, "meet", lambda *a: rounds.append(1) or whole(*a))
+    v = np.random.default_rng(12).normal(size=(400, 16))
+    s = cosine(v)
+    np.fill_diagonal(s, -np.inf)
+    assert abs(d.closest_pairs(frame(spark, v).withColumn("g", F.lit(1)), "id", "g", block=8).first()["max_similarity"] - s.max()) < 1e-9
+    assert len(rounds) <= 4
