@@ -9,7 +9,7 @@ from contrail.operators import replay as r
 from contrail.operators import snapshots as snap
 from contrail.queries.vectors import rounded
 from contrail.sources import events as src
-from contrail.sources.scratch import FOLDERS, PIECE, folder_of, shared_folder
+from contrail.sources.scratch import FOLDERS, PIECE, folder_of, kept, shared_folder
 
 
 def _lines(rows):
@@ -130,7 +130,7 @@ def _resumed(honor):
             marks = F.col("sequence") % 20 == 0
             log = log.withColumn("payload", F.when(marks, F.to_json(F.struct((F.col("sequence") - 5).alias("previous_sequence")))).otherwise(F.col("payload"))).withColumn("event_type", F.when(marks, F.lit("checkpoint.rollback")).otherwise(F.col("event_type")))
         share = log.groupBy("session_id").agg((F.max("sequence") * 2 / 3).alias("cut"))
-        log = log.join(share, "session_id")
+        log = kept(log.join(share, "session_id"))  # a log is a table: what reads it several times doesn't derive it anew
         path = shared_folder(s, "snapshot")
         snap.write_snapshot(snap.take_snapshot(log.where("sequence <= cut").drop("cut"), bool(honor)), path)
         out = snap.resume(snap.read_snapshot(s, path), log.where("sequence > cut - 10").drop("cut"), bool(honor), log.drop("cut"))

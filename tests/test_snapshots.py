@@ -4,10 +4,12 @@ import json
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from contrail.operators import replay as r
 from contrail.operators import snapshots as sn
+from contrail.queries.events import QUERIES
 
 SCHEMA = "event_id string, session_id string, timestamp timestamp, sequence long, category string, event_type string, source string, payload string"
 CUTS = 20
@@ -79,3 +81,9 @@ def test_honoured_rollbacks_need_the_history(spark):
     none = sn.take_snapshot(spark.createDataFrame([], SCHEMA))
     with pytest.raises(ValueError, match="history"):
         sn.resume(none, spark.createDataFrame([], SCHEMA), honor=True)
+
+
+@pytest.mark.parametrize("name", ["h1_replay_from_snapshot", "h3_replay_from_snapshot_honored"])
+def test_queries_read_a_stored_log(spark, name):
+    """The log is derived from the events once; the state reads what was written."""
+    assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "events.parquet" in f]
