@@ -101,9 +101,8 @@ def near_duplicates_lsh(df: DataFrame, key: str, threshold: float = 0.9, vector:
 
 
 def words_of(text: Column) -> Column:
-    """Words by whitespace; null and blank texts have none."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
+    """Words by whitespace; null and blank texts have none. They are counted in one pass, without a copy of the text."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
 def mean_similarity(df: DataFrame, group: list[str], vector: str = "vector") -> DataFrame:
@@ -117,8 +116,8 @@ def mean_similarity(df: DataFrame, group: list[str], vector: str = "vector") ->
 def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", blocks: int | None = None, block: int = index.BLOCK, first: int = 8) -> DataFrame:
     """group, max_similarity: the largest cosine of two rows; groups of one are left out. Branch and bound over a metric index, when called.
 
-    A group's blocks first meet themselves; then pairs of blocks in the order of what their angles allow at best, `first` of each group and 64 times as many every round, until
-    no pair of blocks can beat what its group has. Pairs that can't are never compared, also where a task finds that out by what it has met itself."""
+    The blocks of a lot first meet each other; then pairs of blocks of two lots in the order of what their angles allow at best, `first` of each group and 64 times as many every
+    round, until no pair of blocks can beat what its group has. Pairs that can't are never compared, also where a task finds that out by what it has met itself."""
     own = index.build(df, key, vector, group, _rows_a_block(df, blocks, block))
 
     def compare(met: dict, todo: list) -> Iterator[tuple]:
@@ -137,8 +136,8 @@ def closest_pairs(df: DataFrame, key: str, group: str, vector: str = "vector", b
     # a zero vector has similarity 0 to all others
     zero = own.rows.groupBy("g").agg(F.count_if(F.col("block").isNull()).alias("z"), F.count("*").alias("n")).where("z > 0 and n > 1").select("g", F.lit(0.0).alias("top"))
     pairs = kept(index.block_pairs(own).withColumn("bound", _bound(F.cos, F.greatest, F.col("apart"), F.lit)))
-    best, done, size = zero, pairs.where("a = b and pairs > 0"), first
-    rest = pairs.where("a <> b")
+    best, done, size = zero, pairs.where("la = lb and pairs > 0"), first
+    rest = pairs.where("la <> lb")
     while True:
         best = kept(best.unionByName(index.meet(own, done, compare, "top double").select("g", "top")).groupBy("g").agg(F.max("top").alias("top")))
         known = rest.drop("top").join(best.select(F.col("g").alias("bg"), "top"), F.col("g").eqNullSafe(F.col("bg")), "left").where("top is null or bound > top").drop("bg")
@@ -153,12 +152,16 @@ def _bound(cos, greatest, apart, lit=float):
     return cos(greatest(apart - index.SLACK, lit(0.0))) + index.SLACK
 
 
-def diversity_metrics(df: DataFrame, key: str, group: str, vector: str = "vector", text: str | None = None) -> DataFrame:
-    """Per group: n, avg_similarity, min_distance (1 - largest cosine), word_std (population); groups of one: 0, 1, 0."""
+def diversity_metrics(df: DataFrame, key: str, group: str, vector: str = "vector", text: str | None = None, words: str | None = None) -> DataFrame:
+    """Per group: n, avg_similarity, min_distance (1 - largest cosine), word_std (population) of the words of `text`, or of their counts in `words`; groups of one: 0, 1, 0.
+
+    df is written once without its texts, when this is called, as it is read several times."""
+    counts = F.col(words) if words else words_of(F.col(text)) if text else None
+    df = kept(df.select(key, group, vector, *([] if counts is None else [counts.alias("_words")])))
     top = closest_pairs(df, key, group, vector).select(group, (1 - F.col("max_similarity")).alias("min_distance"))
     out = mean_similarity(df, [group], vector).join(top, group, "left").withColumn("min_distance", F.coalesce("min_distance", F.lit(1.0)))
-    if text is not None:
-        out = out.join(df.groupBy(group).agg(F.stddev_pop(words_of(F.col(text))).alias("word_std")), group)
+    if counts is not None:
+        out = out.join(df.groupBy(group).agg(F.stddev_pop("_words").alias("word_std")), group)
     return out
 
 

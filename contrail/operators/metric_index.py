@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -30,6 +29,8 @@ SLACK = 1e-6
 LOT, CELLS = 32_768, 1 << 20
 #: A lot of blocks is a share of the table, up to so many bytes of vectors.
 LOTS, LOT_BYTES = 16, 32 << 20
+#: Blocks whose ranges of angles a task holds at once.
+HELD = 4096
 
 
 class Index(NamedTuple):
@@ -58,6 +59,13 @@ def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(units @ pivots.T, -1.0, 1.0))
 
 
+def _from_pivots(rows: pa.Table, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Angles of the rows' v to the pivots, and which v are zero."""
+    v = matrix(rows["v"])
+    size = np.linalg.norm(v, axis=1)
+    return angles(v / np.where(size > 0, size, 1)[:, None], pivots) if len(pivots) else np.zeros((len(v), 1)), ~(size > 0)
+
+
 def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = None, block: int = BLOCK, pivots: int | None = None, lots: int | None = None) -> Index:
     """Of df's non-null vectors; written, as it is read several times. Lots have about `lots` rows, by default a share of the table. Runs when it is called."""
     g = F.col(group) if group else F.lit(0)
@@ -68,37 +76,54 @@ def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = N
     length = np.linalg.norm(sample, axis=1)
     chosen = farthest_first(sample[length > 0] / length[length > 0][:, None], pivots or min(PIVOTS, max(1, n // PER_PIVOT)))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                v = np.stack(pdf["v"].to_numpy())
-                size = np.linalg.norm(v, axis=1)
-                far = angles(v / np.where(size > 0, size, 1)[:, None], chosen) if len(chosen) else np.zeros((len(v), 1))
-                cell = np.where(size > 0, far.argmin(axis=1), -1)
-                yield pdf.assign(cell=cell.astype("int32"), own=far[np.arange(len(v)), np.maximum(cell, 0)], far=list(far))
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far, zero = _from_pivots(pa.Table.from_batches([batch]), chosen)
+            cell = np.where(zero, -1, far.argmin(axis=1)).astype("int32")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far.min(axis=1))], [*batch.schema.names, "cell", "own"])
 
     kind = dict(rows.dtypes)
-    placed = rows.mapInPandas(place, f"g {kind['g']}, id {kind['id']}, v array<double>, cell int, own double, far array<double>")
-    placed = kept(placed)
+    # placed anew by each of its readers: angles to the pivots are never shuffled or written, and the tables that are joined to it are written, so their sizes are known
+    placed = rows.mapInArrow(place, f"g {kind['g']}, id {kind['id']}, v array<double>, cell int, own double")
     # rings: equal shares of a cell's range of angles are told apart by approximate quantiles; a ring that copies of one vector fill is cut by a hash
     cells = placed.where("cell >= 0").groupBy("g", "cell").agg(F.count("*").alias("c"), F.percentile_approx("own", F.lit([i / 64 for i in range(1, 64)]), 1000).alias("q"))
     rings = F.least(F.ceil(F.col("c") / block), F.lit(64)).cast("int")
     cut_at = F.transform(F.sequence(F.lit(1), F.greatest(rings - 1, F.lit(1))), lambda i: F.get(F.col("q"), F.floor(i * 64 / rings).cast("int") - 1))
-    cells = cells.select(F.col("g").alias("cg"), F.col("cell").alias("cc"), F.when(rings > 1, cut_at).otherwise(F.array().cast("array<double>")).alias("cuts"))
+    cells = kept(cells.select(F.col("g").alias("cg"), F.col("cell").alias("cc"), F.when(rings > 1, cut_at).otherwise(F.array().cast("array<double>")).alias("cuts")))
     ring = F.coalesce(F.size(F.filter("cuts", lambda x: x < F.col("own"))), F.lit(0)).alias("ring")
-    ringed = placed.join(cells, F.col("g").eqNullSafe(F.col("cg")) & (F.col("cell") == F.col("cc")), "left").select("g", "id", "v", "cell", "far", ring)
-    sizes = ringed.where("cell >= 0").groupBy(F.col("g").alias("sg"), F.col("cell").alias("sc"), F.col("ring").alias("sr")).agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts"))
+    ringed = placed.join(cells, F.col("g").eqNullSafe(F.col("cg")) & (F.col("cell") == F.col("cc")), "left").select("g", "id", "v", "cell", ring)
+    sizes = kept(ringed.where("cell >= 0").groupBy(F.col("g").alias("sg"), F.col("cell").alias("sc"), F.col("ring").alias("sr")).agg(F.ceil(F.count("*") / (2 * block)).cast("int").alias("parts")))
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("id"), F.col("parts"))).otherwise(0)
     name = F.when(F.col("cell") >= 0, F.concat_ws("/", "cell", "ring", part)).alias("block")
     out = ringed.join(sizes, F.col("g").eqNullSafe(F.col("sg")) & (F.col("cell") == F.col("sc")) & (F.col("ring") == F.col("sr")), "left")
-    out = kept(out.select("g", "id", "v", "far", name))
+    out = kept(out.select("g", "id", "v", name))
     places = range(max(1, len(chosen)))
-    blocks = out.where("block is not null").groupBy("g", "block").agg(
-        F.count("*").alias("n"), F.array(*(F.min(F.col("far")[k]) for k in places)).alias("lo"), F.array(*(F.max(F.col("far")[k]) for k in places)).alias("hi")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = pa.schema([("g", g_type), ("block", pa.string()), ("n", pa.int64()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64()))])
+        met: dict = {}
+        for batch in batches:
+            both = pa.Table.from_batches([batch])
+            code: dict = {}
+            codes = np.array([code.setdefault(k, len(code)) for k in zip(both["g"].to_pylist(), both["block"].to_pylist())])
+            far, order = _from_pivots(both, chosen)[0], np.argsort(codes, kind="stable")
+            at = np.searchsorted(codes[order], np.arange(len(code)))
+            for k, n, lo, hi in zip(code, np.bincount(codes), np.minimum.reduceat(far[order], at), np.maximum.reduceat(far[order], at)):
+                m, below, above = met.get(k, (0, lo, hi))
+                met[k] = m + int(n), np.minimum(below, lo), np.maximum(above, hi)
+            if len(met) > HELD:
+                yield pa.RecordBatch.from_pylist([{"g": k[0], "block": k[1], "n": n, "lo": lo, "hi": hi} for k, (n, lo, hi) in met.items()], of)
+                met = {}
+        yield pa.RecordBatch.from_pylist([{"g": k[0], "block": k[1], "n": n, "lo": lo, "hi": hi} for k, (n, lo, hi) in met.items()], of)
+
+    g_type = to_arrow_type(rows.schema["g"].dataType)
+    shares = out.where("block is not null").select("g", "block", "v").mapInArrow(ranges, f"g {kind['g']}, block string, n long, lo array<double>, hi array<double>")
+    blocks = shares.groupBy("g", "block").agg(
+        F.sum("n").alias("n"), F.array(*(F.min(F.col("lo")[k]) for k in places)).alias("lo"), F.array(*(F.max(F.col("hi")[k]) for k in places)).alias("hi")
     )
     size = lots or max(1, min(-(-n // LOTS), LOT_BYTES // (8 * sample.shape[1])))
     before = F.sum("n").over(Window.partitionBy("g").orderBy("block")) - F.col("n")  # one row a block
-    return Index(out.drop("far"), kept(blocks.withColumn("lot", F.floor(before / size))))
+    return Index(out, kept(blocks.withColumn("lot", F.floor(before / size))))
 
 
 def _apart() -> Column:
@@ -151,6 +176,8 @@ def meet(index: Index, pairs: DataFrame, compare, schema: str) -> DataFrame:
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Lists of one length as rows."""
+    if pc.count_distinct(pc.list_value_length(column)).as_py() > 1:
+        raise ValueError("vectors of one length are asked for")
     flat = column.combine_chunks().flatten().to_numpy()
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 

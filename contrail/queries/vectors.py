@@ -65,9 +65,9 @@ def _aggregate(strategy):
 
 
 def _diversity(spark, d_):
-    docs = read(spark, d_, "documents").select(F.col("doc_id").alias("sample_idx"), "text")
+    docs = read(spark, d_, "documents").select(F.col("doc_id").alias("sample_idx"), d.words_of(F.col("text")).alias("words"))  # counted before the join, which moves no text
     rows = candidate_vectors(spark, d_).join(docs, "sample_idx")
-    out = d.is_diverse_enough(d.diversity_metrics(rows, "sample_idx", "label", text="text"), 0.02, 0.5)
+    out = d.is_diverse_enough(d.diversity_metrics(rows, "sample_idx", "label", words="words"), 0.02, 0.5)
     return rounded(out, "avg_similarity", "min_distance", "word_std")
 
 

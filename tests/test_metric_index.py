@@ -1,14 +1,18 @@
 """Pruned searches against all pairs and plain greedy choice."""
 
+import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from contrail.functions.vectors import norm, unit
 from contrail.operators import diversity as d
 from contrail.operators import metric_index as index
+from contrail.queries.vectors import QUERIES
 
 
 def clustered(seed, clusters=12, size=60, dims=8, spread=0.05):
@@ -144,3 +148,63 @@ def test_few_rounds_where_nothing_can_be_ruled_out(spark, monkeypatch):
     np.fill_diagonal(s, -np.inf)
     assert abs(d.closest_pairs(frame(spark, v).withColumn("g", F.lit(1)), "id", "g", block=8).first()["max_similarity"] - s.max()) < 1e-9
     assert len(rounds) <= 4
+
+
+def exchanged(df):
+    """Columns that a plan shuffles."""
+    plan = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return {c.split("#")[0].strip() for cols in re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]\n", plan) for c in cols.split(",")}
+
+
+def test_diversity_moves_neither_texts_nor_angles(spark, monkeypatch):
+    """Words are counted before the join; a row's angles to the pivots, wider than its vector, stay in the task that computes them."""
+    written, whole = [], index.kept
+    for module in (index, d):
+        monkeypatch.setattr(module, "kept", lambda df: written.append(df) or whole(df))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = QUERIES["d1_d4_diversity_metrics"](spark, SMALL)
+        moved = set().union(*map(exchanged, [*written, out]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "words" in moved and not {"text", "far"} & (moved | {c for df in written for c in df.columns})
+
+
+def test_words_by_whitespace(spark):
+    texts = ["", "  ", " a\tb\n", "a\x0bb   c d", "a\x1cb\x85c d", "x", "\r\n\f", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", d.words_of(F.col("t")).alias("n")).orderBy("i").collect()
+    assert [x["n"] for x in got] == [len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for t in texts]
+
+
+@pytest.mark.parametrize("held", [2, 4096])
+def test_blocks_cover_their_rows(spark, monkeypatch, held):
+    """Also where a task hands on what it has of a block more than once."""
+    monkeypatch.setattr(index, "HELD", held)
+    v = clustered(13)
+    own = index.build(frame(spark, v, 3), "id", group="g", block=20, pivots=9)
+    rows = own.rows.where("block is not null").groupBy("g", "block").agg(F.count("*").alias("rows"))
+    both = own.blocks.alias("a").join(rows.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.block") == F.col("b.block")), "full").select("n", "rows", "lo", "hi").collect()
+    assert len(both) > 20 and all(x["n"] == x["rows"] and (np.array(x["lo"]) <= x["hi"]).all() for x in both) and sum(x["n"] for x in both) == len(v) - 2
+    taken = spark.createDataFrame(own.rows.collect(), own.rows.schema)  # pivots are rows of the table, and all of it is the sample
+    near = np.array([x["v"] for x in taken.orderBy(F.xxhash64("id")).collect()])
+    near = near[np.linalg.norm(near, axis=1) > 0]
+    pivots = index.farthest_first(near / np.linalg.norm(near, axis=1, keepdims=True), 9)
+    edges = {(x["g"], x["block"]): (np.array(x["lo"]), np.array(x["hi"])) for x in own.blocks.collect()}
+    for x in own.rows.where("block is not null").collect():
+        far = index.angles(np.array(x["v"])[None] / np.linalg.norm(x["v"]), pivots)[0]
+        lo, hi = edges[x["g"], x["block"]]
+        assert (lo <= far + index.SLACK).all() and (far <= hi + index.SLACK).all()
+
+
+def test_vectors_of_two_lengths_are_an_error():
+    with pytest.raises(ValueError):
+        index.matrix(pa.chunked_array([pa.array([[1.0, 2.0], [1.0, 2.0, 3.0, 4.0]])]))
+
+
+def test_a_lot_meets_itself_in_one_round(spark, monkeypatch):
+    """All pairs of blocks of a lot, for which its rows are sent once."""
+    rounds, whole = [], index.meet
+    monkeypatch.setattr(index, "meet", lambda own, pairs, *a: rounds.append(pairs) or whole(own, pairs, *a))
+    d.closest_pairs(frame(spark, np.random.default_rng(14).normal(size=(400, 16))).withColumn("g", F.lit(1)), "id", "g", block=8)
+    assert rounds[0].where("la = lb and a <> b").count() > 0 and all(x.where("la = lb").count() == 0 for x in rounds[1:])
