@@ -66,12 +66,17 @@ def _from_pivots(rows: pa.Table, pivots: np.ndarray) -> tuple[np.ndarray, np.nda
     return angles(v / np.where(size > 0, size, 1)[:, None], pivots) if len(pivots) else np.zeros((len(v), 1)), ~(size > 0)
 
 
+def _lowest(rows: DataFrame, n: int) -> DataFrame:
+    """About 2 * SAMPLE of n rows, those with the lowest hashes: the sample lies among them, and not every partition sends the driver as many rows as the sample has."""
+    return rows.where(F.xxhash64("id") <= min((1 << 63) - 1, (1 << 64) * 2 * SAMPLE // max(1, n) - (1 << 63)))
+
+
 def build(df: DataFrame, key: str, vector: str = "vector", group: str | None = None, block: int = BLOCK, pivots: int | None = None, lots: int | None = None) -> Index:
     """Of df's non-null vectors; written, as it is read several times. Lots have about `lots` rows, by default a share of the table. Runs when it is called."""
     g = F.col(group) if group else F.lit(0)
     rows = df.select(g.alias("g"), F.col(key).alias("id"), as_doubles(F.col(vector)).alias("v")).where("v is not null")
     n = rows.count()
-    taken = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
+    taken = _lowest(rows, n).orderBy(F.xxhash64("id")).limit(SAMPLE).select("v").toPandas()["v"]
     sample = np.stack(taken.to_numpy()) if len(taken) else np.empty((0, 1))
     length = np.linalg.norm(sample, axis=1)
     chosen = farthest_first(sample[length > 0] / length[length > 0][:, None], pivots or min(PIVOTS, max(1, n // PER_PIVOT)))

@@ -208,3 +208,12 @@ def test_a_lot_meets_itself_in_one_round(spark, monkeypatch):
     monkeypatch.setattr(index, "meet", lambda own, pairs, *a: rounds.append(pairs) or whole(own, pairs, *a))
     d.closest_pairs(frame(spark, np.random.default_rng(14).normal(size=(400, 16))).withColumn("g", F.lit(1)), "id", "g", block=8)
     assert rounds[0].where("la = lb and a <> b").count() > 0 and all(x.where("la = lb").count() == 0 for x in rounds[1:])
+
+
+def test_a_sample_is_cut_before_it_is_sorted(spark, monkeypatch):
+    monkeypatch.setattr(index, "SAMPLE", 20)
+    rows = spark.range(1000, numPartitions=7)
+    low = index._lowest(rows, 1000)
+    first = lambda df: [x["id"] for x in df.orderBy(F.xxhash64("id")).limit(20).collect()]
+    assert 20 <= low.count() < 80 and first(low) == first(rows)
+    assert index._lowest(rows, 30).count() == index._lowest(rows, 0).count() == 1000
