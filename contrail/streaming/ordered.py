@@ -1,7 +1,8 @@
 """Keyed streams that wait for order: events are held until the watermark has passed them and handed on by sequence.
 
 Triggers may bring the events of a key in any order, as long as none comes later than the watermark's delay; timestamps don't fall while sequences rise.
-State lives in RocksDB: a list of held events and one small row for each key, both forgotten a time after the key's last event.
+State lives in RocksDB: a list of held events and one small row for each key, both forgotten a time after the key's last event. Call pairs have so many
+keys that many of them share a slot, whose events are held and paired as tables.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -93,23 +97,113 @@ class Ordered(StatefulProcessor):
         yield from self._frame(key, out)
 
 
-class CallPairs(Ordered):
-    """Each response with the request that is the last event of its id before it."""
+#: Slots that the ids of calls are dealt to: a slot costs some calls to the state store a trigger, an id none.
+SLOTS = 1024
+#: Rows of a table in the state.
+CHUNK = 1 << 16
+#: An event of a call; value: the model of a request, the tokens of a response.
+CALL = pa.schema([("session_id", pa.string()), ("request_id", pa.string()), ("us", pa.int64()), ("sequence", pa.int64()), ("response", pa.bool_()), ("value", pa.string())])
+
+
+def packed(rows: pa.Table) -> list[tuple[bytes]]:
+    """The table as rows of a list state."""
+    out = []
+    for batch in rows.combine_chunks().to_batches(max_chunksize=CHUNK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as writer:
+            writer.write_batch(batch)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def unpacked(state: Iterator[tuple[bytes]]) -> pa.Table:
+    return pa.concat_tables([CALL.empty_table(), *(pa.ipc.open_stream(x[0]).read_all() for x in state)])
+
+
+def _codes(rows: pa.Table) -> list[np.ndarray]:
+    """Numbers that are equal where session and id are."""
+    return [pc.dictionary_encode(rows[c].combine_chunks()).indices.to_numpy(zero_copy_only=False) for c in ("session_id", "request_id")]
+
+
+def paired(asked: pa.Table, due: pa.Table) -> tuple[pa.Table, pa.Table, pa.Table]:
+    """(requests, their responses, requests that wait on), given the requests that have waited, at most one of an id, and the events after them in any order."""
+    rows = pa.concat_tables([asked, due])
+    session, request = _codes(rows)
+    order = np.lexsort((rows["sequence"].to_numpy(), np.arange(len(rows)) >= len(asked), request, session))
+    same = (session[order][1:] == session[order][:-1]) & (request[order][1:] == request[order][:-1])
+    response = rows["response"].to_numpy()[order]
+    first = np.flatnonzero(same & ~response[:-1] & response[1:])
+    last = np.flatnonzero(~np.append(same, False) & ~response)
+    return rows.take(order[first]), rows.take(order[first + 1]), rows.take(order[last])
+
+
+class CallPairs(StatefulProcessor):
+    """Each response with the request that is the last event of its id before it. The key is a slot: its state is the events held, the requests that wait for
+    a response and the time it wakes next."""
 
-    HELD = "event_type string, model string, tokens long"
-    VALUE = "asked boolean, request_sequence long, request_us long, model string"
     OUTPUT = "session_id string, request_id string, first_sequence long, second_sequence long, seconds double, model string, tokens long"
 
-    def keys(self) -> list[str]:
-        return ["session_id", "request_id"]
+    def __init__(self, idle_ms: int = WEEK_MS):
+        self.idle = idle_ms
 
-    def fold(self, state, events):
-        out = []
-        for us, sequence, kind, model, tokens in events:
-            if kind == "llm.response" and state and state[0]:
-                out.append({"first_sequence": state[1], "second_sequence": sequence, "seconds": (us - state[2]) / 1e6, "model": state[3], "tokens": tokens})
-            state = (kind == "llm.request", sequence, us, model)
-        return state, out
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "rows binary")
+        self.asked = handle.getListState("asked", "rows binary")
+        self.wakes = handle.getValueState("wakes", "ms long")
+
+    def _keep(self, state, rows: pa.Table) -> None:
+        """The rows in place of the state's; a message each for large tables."""
+        state.clear()
+        for row in packed(rows):
+            state.appendValue(row)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for df in rows:
+            self.held.appendList(packed(pa.Table.from_pandas(df[CALL.names], CALL, preserve_index=False).replace_schema_metadata()))
+            first = min(x for x in (first, int(df["us"].min())) if x is not None)
+        due, old = -(-first // 1000), self.wakes.get()
+        if old is None or due < old[0]:
+            if old is not None:
+                self.handle.deleteTimer(old[0])
+            self.handle.registerTimer(due)
+            self.wakes.update((due,))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        reached = timerValues.getCurrentWatermarkInMs() * 1000
+        held, before = unpacked(self.held.get()), unpacked(self.asked.get())
+        passed = pc.less_equal(held["us"], reached)
+        rest = held.filter(pc.invert(passed))
+        first, second, asked = paired(before, held.filter(passed))
+        # who has waited for too long is forgotten, unless more of the id has come
+        idle = pc.less_equal(pc.add(asked["us"], self.idle * 1000), reached).to_numpy()
+        if idle.any():
+            more = set(zip(rest["session_id"].to_pylist(), rest["request_id"].to_pylist(), strict=True))
+            ids = zip(asked["session_id"].to_pylist(), asked["request_id"].to_pylist(), strict=True)
+            stays = np.array([not gone or x in more for x, gone in zip(ids, idle, strict=True)], bool)
+            asked, idle = asked.filter(pa.array(stays)), idle[stays]
+        if len(rest) < len(held):
+            self._keep(self.held, rest)
+        if not asked.equals(before):
+            self._keep(self.asked, asked)
+        ahead = np.concatenate([rest["us"].to_numpy(), asked["us"].to_numpy()[~idle] + self.idle * 1000])
+        if len(ahead):
+            wakes = -(-int(ahead.min()) // 1000)
+            self.handle.registerTimer(wakes)
+            self.wakes.update((wakes,))
+        else:
+            self.wakes.clear()
+        if len(first):
+            yield self._frame(first, second)
+
+    def _frame(self, first: pa.Table, second: pa.Table) -> pd.DataFrame:
+        columns = {
+            "session_id": first["session_id"], "request_id": first["request_id"], "first_sequence": first["sequence"], "second_sequence": second["sequence"],
+            "seconds": pc.divide(pc.cast(pc.subtract(second["us"], first["us"]), pa.float64()), 1e6), "model": first["value"], "tokens": pc.cast(second["value"], pa.int64()),
+        }
+        return pd.DataFrame({name: x.to_pandas(integer_object_nulls=True) for name, x in columns.items()})
 
 
 class SessionState(Ordered):
@@ -170,12 +264,18 @@ class Progress(StatefulProcessor):
         yield from ()
 
 
-def stream_llm_pairs(events: DataFrame, delay: str = "1 hour", idle_ms: int = WEEK_MS) -> DataFrame:
+def stream_llm_pairs(events: DataFrame, delay: str = "1 hour", idle_ms: int = WEEK_MS, slots: int = SLOTS) -> DataFrame:
     """session_id, request_id, first_sequence, second_sequence, seconds, model, tokens: exactly the pairs of pair_llm_calls, each once (append mode), when the
-    watermark has passed the response. Calls without a session or id have no pair. A request that waits longer than `idle_ms` for its response is forgotten."""
+    watermark has passed the response. Calls without a session or id have no pair. A request that waits longer than `idle_ms` for its response is forgotten.
+
+    The ids are dealt to `slots` keys. A trigger writes a slot's state as a whole if the watermark passes one of its events, so state is what came within the delay and
+    the requests that wait; one task holds a slot's in memory. Slots of a running query can't change."""
     own = events.withWatermark("timestamp", delay).where("event_type in ('llm.request', 'llm.response') and session_id is not null").withColumn("request_id", field("request_id"))
-    own = own.where("request_id is not null").select("session_id", "request_id", "timestamp", F.unix_micros("timestamp").alias("us"), "sequence", "event_type", field("model").alias("model"), tokens_of().alias("tokens"))
-    return with_keyed_state(own, CallPairs(idle_ms), CallPairs.OUTPUT, "append", "session_id", "request_id")
+    own = own.where("request_id is not null").withColumn("response", F.col("event_type") == "llm.response")
+    value = F.when(F.col("response"), tokens_of().cast("string")).otherwise(field("model"))
+    slot = F.pmod(F.xxhash64("session_id", "request_id"), F.lit(slots)).alias("slot")
+    own = own.select(slot, "session_id", "request_id", "timestamp", F.unix_micros("timestamp").alias("us"), "sequence", "response", value.alias("value"))
+    return with_keyed_state(own, CallPairs(idle_ms), CallPairs.OUTPUT, "append", "slot")
 
 
 def stream_session_state(events: DataFrame, delay: str = "1 hour", idle_ms: int = WEEK_MS) -> DataFrame:

@@ -2,7 +2,9 @@
 
 import json
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,6 +192,137 @@ def test_pairs_wait_for_the_watermark(spark, tmp_path, calls):
     assert triggers(spark, tmp_path, [calls[:50]], o.stream_llm_pairs, "append").count() == 0
 
 
+def test_calls_share_state(spark, tmp_path):
+    """An id of its own state cost calls to the state store; ids share slots, so state is written once for many of them."""
+    ids = 3000
+    path = tmp_path / "log" / "s" / "0.jsonl"
+    path.parent.mkdir(parents=True)
+    kinds = [("llm.request", 1), ("llm.response", 2)]
+    path.write_text("".join(line("a", 2 * i + j, kind, {"request_id": f"r{i}"}, at=j) + "\n" for i in range(ids) for kind, j in kinds) + line("clock", 1, "llm.request", {"request_id": "tick"}, at=80_000) + "\n")
+    stream = o.stream_llm_pairs(live_logs.stream_events(spark, str(tmp_path / "log"), str(tmp_path / "positions"), "*.jsonl"))
+    query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert max(x.stateOperators[0].numRowsUpdated for x in query.recentProgress) < ids
+    got = spark.read.parquet(str(tmp_path / "out")).select("session_id", "request_id", "first_sequence", "second_sequence", "seconds", "model", "tokens")
+    assert sorted(map(tuple, got.collect())) == sorted(("a", f"r{i}", 2 * i + 1, 2 * i + 2, 1.0, None, 0) for i in range(ids))
+
+
+class Held:
+    """A list state (or, with one row, a value state)."""
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def appendValue(self, row):
+        self.rows = [*self.rows, row]
+
+    def appendList(self, rows):
+        self.rows = [*self.rows, *rows]
+
+
+class One:
+    row = None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def clear(self):
+        self.row = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.state = set(), {}
+
+    def getListState(self, name, schema):
+        return self.state.setdefault(name, Held())
+
+    def getValueState(self, name, schema):
+        return self.state.setdefault(name, One())
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.remove(ms)
+
+
+def pairs_id_by_id(triggers, delay, idle):
+    """What each id gives out alone: held until the watermark has passed, folded by sequence, forgotten idle ms after its last event. The triggers without late events and the pairs."""
+    ids, out, taken, reached = {}, [], [], 0
+    for rows in triggers:
+        taken.append([r for r in rows if r["us"] > reached])
+        for r in taken[-1]:
+            ids.setdefault((r["session_id"], r["request_id"]), {"held": [], "asked": None, "last": 0})["held"].append(r)
+        for key, x in ids.items():
+            for r in sorted((r for r in x["held"] if r["us"] <= reached), key=lambda r: r["sequence"]):
+                if r["response"] and x["asked"]:
+                    out.append((*key, x["asked"]["sequence"], r["sequence"], (r["us"] - x["asked"]["us"]) / 1e6, x["asked"]["value"], int(r["value"])))
+                x["asked"], x["last"] = None if r["response"] else r, max(x["last"], r["us"])
+            x["held"] = [r for r in x["held"] if r["us"] > reached]
+            if not x["held"] and x["last"] + idle * 1000 <= reached:
+                x["asked"] = None
+        reached = max(reached, max(r["us"] for r in rows) // 1000 * 1000 - delay * 1000)
+    return taken, out
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_a_slot_gives_out_the_pairs_of_its_ids(monkeypatch, seed):
+    monkeypatch.setattr(o, "CHUNK", 3)
+    rng = random.Random(seed)
+    rows, us = [], 1_000_000
+    for i in range(300):
+        us += rng.choice([0, 1, 700, 5_000, 2_000_000])
+        asks = rng.random() < 0.5
+        value = rng.choice(["m0", "m1", None]) if asks else str(2**53 + 2 * i + 1)
+        rows.append({"session_id": rng.choice("ab"), "request_id": f"r{rng.randrange(5)}", "us": us, "sequence": i, "response": not asks, "value": value})
+    order = sorted(rows, key=lambda r: r["sequence"] + rng.uniform(0, 12))
+    cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(40))})
+    end = [[{"session_id": "clock", "request_id": "tick", "us": us + 10**9 + i, "sequence": i, "response": False, "value": None}] for i in range(3)]
+    delay, idle = rng.choice([3_000, 30_000]), rng.choice([2_000, 20_000, 10**7])
+    taken, want = pairs_id_by_id([*(order[a:b] for a, b in zip(cuts, cuts[1:])), *end], delay, idle)
+    assert len(want) > 20
+    slot, handle, got, reached = o.CallPairs(idle), Handle(), [], 0
+    slot.init(handle)
+    for part in taken:
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: reached // 1000)  # noqa: B023
+        if part:
+            assert not list(slot.handleInputRows((0,), (pd.DataFrame(part[i : i + 7]) for i in range(0, len(part), 7)), times))
+        assert len(handle.timers) <= 1
+        for ms in [x for x in handle.timers if x * 1000 <= reached]:
+            got += [tuple(r) for df in slot.handleExpiredTimer((0,), times, ms) for r in df.astype(object).itertuples(index=False)]
+            handle.timers.remove(ms)
+        assert len(handle.timers) <= 1 and all(x * 1000 > reached for x in handle.timers)
+        reached = max([reached, *(r["us"] // 1000 * 1000 - delay * 1000 for r in part)])
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_a_waiting_request_is_forgotten(spark, tmp_path):
+    """A response that comes after the idle time has no pair; one that came before it has, whatever other ids of the slot do."""
+    transform = lambda e: o.stream_llm_pairs(e, "10 minutes", idle_ms=3_600_000, slots=1)
+    call = lambda i, r, kind, at: line("s", i, f"llm.{kind}", {"request_id": r, "model": "m"}, at=at)
+    parts = [
+        [call(1, "a", "request", 1), call(2, "b", "request", 2), call(3, "c", "request", 3), call(4, "c", "response", 3)],
+        [call(5, "d", "request", 2000)],
+        [call(6, "b", "response", 3000)],
+        [call(7, "d", "request", 8000)],
+        [call(8, "a", "response", 9000), call(9, "d", "response", 9000)],
+        [call(10, "e", "request", 20_000)],
+    ]
+    out = triggers(spark, tmp_path, parts, transform, "append")
+    assert sorted(tuple(x) for x in out.select("request_id", "first_sequence", "second_sequence").collect()) == [("b", 2, 6), ("c", 3, 4), ("d", 7, 9)]
+
+
 def states(out):
     last = out.groupBy("session_id").agg(F.max_by(F.struct("status", "phase", "progress", "layer", "best_layer", "overall", "valid_pairs", "llm_calls", "last_sequence"), "batch_id").alias("x"))
     return {x["session_id"]: tuple(x["x"]) for x in last.collect()}
